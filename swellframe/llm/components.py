@@ -1,0 +1,37 @@
+"""Connected components of a link table, by minimum labels and pointer jumping over DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from swellframe.llm.common import cut, discard
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(a long, b long) links -> (node, comp): comp is the smallest node that can be reached.
+
+    Each round hooks every node's current label to the smallest label next to it and then jumps labels to their own
+    labels, so a chain of n nodes needs about log n rounds. Nulls and self links are ignored; no links: no rows.
+    """
+    both = links.where("a is not null and b is not null and a <> b").select("a", "b")
+    both = cut(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), "labels")
+    while True:
+        # the smallest label around each node, and around each label's own tree
+        seen = (
+            both.join(labels.withColumnRenamed("node", "b"), "b")
+            .groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+            .join(labels, "node")
+        )
+        hooks = seen.where("near < comp").groupBy(F.col("comp").alias("node")).agg(F.min("near").alias("hook"))
+        mine = seen.select("node", F.least("near", "comp").alias("comp"))
+        hooked = mine.join(hooks, "node", "left").select("node", F.least("comp", "hook").alias("comp"))
+        jump = hooked.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        new = cut(hooked.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "labels")
+        changed = new.join(labels.withColumnRenamed("comp", "old"), "node").where("comp <> old").limit(1).count()
+        discard(labels)
+        labels = new
+        if not changed:
+            discard(both)
+            return labels
