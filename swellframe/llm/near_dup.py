@@ -129,14 +129,9 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def _shared_earlier(a: Column, b: Column, band: Column) -> Column:
-    """Whether an earlier band than `band` holds both documents too; the pair is then made there."""
-    mask = (1 << (BITS * ROWS)) - 1
-    found = []
-    for j in range(BANDS - 1):
-        word, at = divmod(j, PER_WORD // ROWS)
-        x = F.shiftrightunsigned(a[word].bitwiseXOR(b[word]), at * BITS * ROWS).bitwiseAND(F.lit(mask))
-        found.append((band > j) & (x == 0))
-    return reduce(or_, found)
+    """Whether an earlier band than `band` holds both documents too; the pair is then made there. a, b: the low 31
+    bits of each band's key."""
+    return reduce(or_, [(band > j) & (a[j] == b[j]) for j in range(BANDS - 1)])
 
 
 def _long_enough(a: Column, b: Column, percent: int) -> Column:
@@ -169,12 +164,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # equal sets need no comparison: the smallest id stands for them
     reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = cut(usable.select("doc_id", "digest").join(reps, "digest").select("doc_id", "rep").distinct(), "members")
-    nodes = usable.join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("node"), "n", "sig", "bands").dropDuplicates(["node"])
+    one = member.where("doc_id = rep").select(F.col("rep").alias("node")).distinct()
+    nodes = signed.withColumnRenamed("doc_id", "node").join(one, "node", "left_semi").dropDuplicates(["node"])
     dealt = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     order = F.struct(F.xxhash64("node").alias("p"), "node")
     buckets = dealt.groupBy("key").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("m")).where("m > 1")
     full = cut(dealt.join(buckets.select("key", F.col("lo.node").alias("lo"), F.col("hi.node").alias("hi")), "key"), "buckets")
-    nodes = signed.select(F.col("doc_id").alias("node"), "n", "sig").join(member.where("doc_id = rep").select(F.col("rep").alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"])
 
     stars = full.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -186,7 +181,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     placed = full.select("key", "band", "node").join(comp, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    open_ = cut(placed.join(mixed, "key", "left_semi").join(nodes, "node"), "open")
+    open_ = cut(placed.join(mixed, "key", "left_semi").join(nodes.select("node", "n", "sig", F.transform("bands", lambda x: (x.bitwiseAND(F.lit(2**31 - 1))).cast("int")).alias("marks")), "node"), "open")
     p, q = open_.alias("p"), open_.alias("q")
     rest = p.join(
         q,
@@ -195,7 +190,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         & (F.col("p.comp") != F.col("q.comp"))
         & _long_enough(F.col("p.n"), F.col("q.n"), percent)
         & (estimate(F.col("p.sig"), F.col("q.sig")) >= least)
-        & ~_shared_earlier(F.col("p.sig"), F.col("q.sig"), F.col("p.band")),
+        & ~_shared_earlier(F.col("p.marks"), F.col("q.marks"), F.col("p.band")),
     ).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
     rest = cut(rest.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
     comp = components(links.union(confirmed(rest, texts, size, percent)))
