@@ -60,17 +60,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, most: int = 100_
     An empty benchmark gives no hits; `hits` of null texts is empty."""
     grams = benchmark_grams(benchmark, size)
     known = [(r.len, r.gram) for r in grams.select("len", "gram").distinct().limit(most + 1).collect()]
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), words_of(F.col("text")).alias("w"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    inner = _once(docs.select(row), words_of(F.col("row.text")), "w")
     if not known:
         hits = inner.withColumn("hits", F.expr(NO_HITS))
     elif len(known) <= most:
         cand, at = _in_row(known)
-        hits = inner.withColumn("cand", cand).withColumn("hits", at).drop("cand")
+        hits = _once(_once(inner, cand, "cand"), at, "hits")
     else:
         hits = _joined(inner, grams.select("len", "gram").distinct())
     return hits.select("row", "w", "hits")
 
 
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a column by way of a generator: unlike a plain column, later filters and lambdas can't take in its
+    expression and work it out again for every element."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _joined(inner: DataFrame, grams: DataFrame) -> DataFrame:
     """Hits by a join of all windows with all grams, for benchmarks beyond the bound."""
     inner = inner.withColumn("key", F.monotonically_increasing_id())

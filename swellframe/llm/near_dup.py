@@ -9,7 +9,7 @@ Large buckets never give all their pairs. First every member is compared with tw
 smallest and the largest priority), which joins nearly all of a group of copies; then only pairs whose members are
 still in different components, and whose signatures come within `MARGIN` of the threshold, are confirmed as well. A
 pair at the threshold shares no band with probability (1 - 0.8^5)^32 = 3e-6, and its estimate falls short by the
-margin with probability 6e-5 (standard error 0.022); a document is lost only if that happens with every partner.
+margin with probability 6e-5 (standard error 0.0155); a document is lost only if that happens with every partner.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from swellframe.llm.common import GOLD, bounded_ids, cut, mix
 from swellframe.llm.components import components
 
-ROWS, BANDS, MINIMA, BITS = 5, 32, 360, 4
+ROWS, BANDS, MINIMA, BITS = 5, 32, 720, 4
 #: Nibbles in a signature word: three bands of five.
 PER_WORD = 15
 WORDS = MINIMA // PER_WORD
-MARGIN = 0.085
+MARGIN = 0.06
 
 _rng = np.random.default_rng(20_111)
 _MASKS = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)[:, None]
@@ -200,3 +200,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns kept, without those whose component has a smaller id; of rows that share a kept
+    id all stay, and so do rows with a null id or no words."""
+    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(bounded_ids(cut(gone, "gone")), F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS s, a AS t FROM e UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.t),
+c AS (SELECT s AS doc_id, min(t) AS c FROM r GROUP BY s)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
