@@ -2,8 +2,8 @@
 
 Folding lowers the text, takes accents and homoglyphs to plain letters and digit or sign substitutions to the letters
 they stand for, and turns everything else into blanks. The lexicon is learned from labelled documents: words and word
-beginnings that mark toxic texts, picked greedily until no entry explains `min_docs` further toxic texts, each with
-its smoothed log odds as weight. Phrases around an entry that clean texts use, with a few fixed ones, are exceptions:
+beginnings that mark toxic texts, picked greedily until no entry occurs in `min_docs` toxic texts that have fewer than
+`COVER` entries, each with its smoothed log odds as weight. Phrases around an entry that clean texts use, with a few fixed ones, are exceptions:
 an entry inside one does not count. The weights found in a document, normalised by its length, go through a logistic
 curve fitted on the same labelled rows.
 """
@@ -72,6 +72,10 @@ def automaton(entries) -> ahocorasick.Automaton:
     return found
 
 
+#: Entries that a toxic text may ask for.
+COVER = 6
+
+
 @dataclass
 class ToxicityModel:
     """Lexicon weights by entry, exception phrases, and the curve's three coefficients."""
@@ -116,19 +120,26 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(x.shape[1])
         b += np.clip(np.linalg.solve(h, x.T @ (y - p) - ridge * b), -5, 5)
+    if (b[1:] < 0).any():  # more weight must never score lower
+        use = np.r_[True, b[1:] > 0]
+        b = np.where(use, b, 0.0)
+        b[use] = fit_curve(x[:, use], y, ridge)
     return b.tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs: int = 5, max_terms: int = 2_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs: int = 4, max_terms: int = 2_000) -> ToxicityModel:
     """docs (doc_id, text) and labels (doc_id, toxic 0/1) -> a model.
 
-    At most `max_rows` labelled documents are used, those with the smallest hashes of their ids; equal texts count
-    once. Null labels, ids and texts are left out. Without toxic labels the lexicon is empty.
+    At most `max_rows` labelled documents are used, those with the smallest hashes of their ids; equal texts, and most
+    near copies (those with the same two smallest hashes of longer words), count once. Null labels, ids and texts are left out. Without toxic labels the lexicon is empty.
     """
     ids = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").dropDuplicates(["doc_id"])
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by max_rows
-    rows = cut(rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")).drop("digest"), "toxic-train")
+    longer = F.array_distinct(F.transform(F.filter(F.split("text", r"\s+"), lambda w: F.length(w) >= 7), lambda w: F.xxhash64(w)))
+    alike = F.when(F.size(longer) >= 2, F.array_join(F.slice(F.array_sort(longer), 1, 2), " ")).otherwise(F.sha2("text", 256))
+    one = F.min_by(F.struct("text", "toxic", "doc_id"), "doc_id").alias("r")
+    rows = cut(rows.groupBy(alike.alias("alike")).agg(one).select("r.*"), "toxic-train")
 
     def positive(batches):
         for batch in batches:
@@ -156,21 +167,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs:
     weight = {k: math.log((n + 0.5) / (pos + 1)) - math.log((clean.get(k, 0) + 0.5) / (neg + 1)) for k, n in counts.items()}
     telling = {k for k, w in weight.items() if w >= 2.5 and clean.get(k, 0) <= 0.25 * counts[k]}
     # of a beginning and its one common extension, the extension says more
-    longer: dict[str, int] = {}
+    best: dict[str, int] = {}
     for k in telling:
-        longer[k[:-1]] = max(longer.get(k[:-1], 0), counts[k])
-    telling = {k for k in telling if longer.get(k, 0) < 0.95 * counts[k]}
+        best[k[:-1]] = max(best.get(k[:-1], 0), counts[k])
+    telling = {k for k in telling if best.get(k, 0) < 0.95 * counts[k]}
     spark = docs.sparkSession
     named = spark.createDataFrame([(k,) for k in telling], "term string") if telling else None
     where = {r.term: set(r.docs) for r in toxic.join(F.broadcast(named), "term").groupBy("term").agg(F.collect_list("doc").alias("docs")).toLocalIterator()} if named is not None else {}
-    lexicon, covered = {}, set()
+    lexicon, covered = {}, Counter()
     while where and len(lexicon) < max_terms:
-        gain, _, best = max((len(d - covered), weight[k], k) for k, d in where.items())
-        if gain < min_docs:
-            break
+        _, _, best = max((len(d), weight[k], k) for k, d in where.items())
         lexicon[best] = weight[best]
-        covered |= where.pop(best)
-        where = {k: d for k, d in where.items() if len(d - covered) >= min_docs}
+        covered.update(taken := where.pop(best))
+        full = {d for d in taken if covered[d] >= COVER}
+        where = {k: left for k, d in where.items() if len(left := d - full) >= min_docs and best.strip() not in k}
 
     model = ToxicityModel(lexicon, list(EXCEPTIONS))
     held = frozenset(lexicon)
