@@ -74,3 +74,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def same_columns(docs: DataFrame, run) -> DataFrame:
+    """docs.mapInArrow(run) for a run that keeps the columns, whatever their names."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

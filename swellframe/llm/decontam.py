@@ -82,7 +82,12 @@ def _joined(inner: DataFrame, grams: DataFrame) -> DataFrame:
     """Hits by a join of all windows with all grams, for benchmarks beyond the bound."""
     inner = inner.withColumn("key", F.monotonically_increasing_id())
     sizes = [r.len for r in grams.select("len").distinct().collect()]  # `size` values at most
-    windows = [inner.where(F.size("w") >= n).select("key", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).alias("p", "gram"), F.lit(n).alias("len")) for n in sizes]
+
+    def of(n):
+        grams_ = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+        return inner.where(F.size("w") >= n).select("key", F.posexplode(grams_).alias("p", "gram"), F.lit(n).alias("len"))
+
+    windows = [of(n) for n in sizes]
     every = windows[0]
     for x in windows[1:]:
         every = every.union(x)

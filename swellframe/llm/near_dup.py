@@ -205,8 +205,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns kept, without those whose component has a smaller id; of rows that share a kept
     id all stay, and so do rows with a null id or no words."""
-    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(bounded_ids(cut(gone, "gone")), F.col("doc_id") == F.col("gone"), "left_anti")
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bounded_ids(cut(gone, "gone")), docs["doc_id"] == F.col(name), "left_anti")
 
 
 ORACLE = r"""

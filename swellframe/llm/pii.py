@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swellframe.llm.common import same_columns
+
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the method finds.
@@ -265,4 +267,4 @@ def redact(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
                 part = batch.slice(start, 1024)
                 yield part.set_column(at, part.schema.field(at), pa.array([clean(t) for t in part.column(at).to_pylist()], part.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return same_columns(docs, run)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swellframe.llm.common import cut
+from swellframe.llm.common import cut, same_columns
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("авекмнорстухіјѕԁԛԝαβεικνορτυχωζ", "abekmhopctyxijsdqwabeiknoptuxwz", strict=True))
@@ -231,8 +231,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns kept, whose text scores below the threshold."""
-    names = docs.columns
-    at = names.index("text")
+    at = docs.columns.index("text")
 
     def run(batches):
         match = model.matcher()
@@ -243,4 +242,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
                 s = model.scores(np.array([g[0] for g in got]), np.array([g[1] for g in got]))
                 yield part.filter(pa.array(s < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return same_columns(docs, run)
