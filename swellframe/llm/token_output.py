@@ -16,6 +16,7 @@ import os
 import re
 import struct
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,7 +30,7 @@ END = 2
 ROUNDS, PER_ROUND, MIN_COUNT = 3, 5_100, 24
 #: Ids in a shard, but for its last document.
 SHARD_IDS = 1 << 20
-_CACHED, _LONGEST = 500_000, 48
+_CACHED, _LONGEST = 800_000, 48
 _APART = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s | \s|^ | $")
 
@@ -43,6 +44,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # pieces are cached here instead
         self.cache: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -60,9 +62,9 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Encodes pieces: those without white space many at once, told apart by the ids that open with a blank."""
         plain = [x for x in new if len(x) < 1000 and len(x.split()) == 1 and not x[0].isspace() and not x[-1].isspace()]
-        for at in range(0, len(plain), 2048):
-            part = plain[at : at + 2048]
-            ids = self._whole(" " + " ".join(part))
+        parts = [plain[at : at + 512] for at in range(0, len(plain), 512)]
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.uint32)
             edges = np.flatnonzero(self.opens[ids])
             if len(edges) == len(part) and edges[0] == 0:
                 blob = ids.tobytes()
@@ -88,6 +90,12 @@ class Encoder:
         return out
 
 
+@lru_cache(2)
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder: it and its pieces serve all tasks that the worker runs."""
+    return Encoder(path)
+
+
 def re_pair(seq: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS):
     """seq: symbols below 65,536; last: whether a symbol ends its document. -> (symbols, last, rules, lengths).
 
@@ -199,7 +207,7 @@ def _writer(path: str, shard_ids: int, rounds: int):
     def run(batches):
         from pyspark import TaskContext
 
-        part, encoder, seq = TaskContext.get().partitionId(), Encoder(path), 0
+        part, encoder, seq = TaskContext.get().partitionId(), _encoder(path), 0
         names, docs, held = [], [], 0
 
         def out():
