@@ -434,7 +434,7 @@ def _channels(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), (F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), (F.col("l_tax") * 10).alias("c"), (F.col("l_extendedprice") / 110000).alias("d"))
 
 
-@query("s0 s1 s2 dolp aolp", f"WITH {_CH}, m AS (SELECT o, l, 0.75 * a + 0.25 * (b + d - c) AS a, 0.75 * b + 0.25 * (a + c - d) AS b, 0.75 * c + 0.25 * (b + d - a) AS c, 0.75 * d + 0.25 * (a + c - b) AS d FROM ch), s AS (SELECT o, l, (a + b + c + d) * 0.5 AS s0, round(a - c, 9) + 0.0 AS s1, round(b - d, 9) + 0.0 AS s2 FROM m) SELECT o, l, s0, s1, s2, sqrt(s1 * s1 + s2 * s2) / nullif(s0, 0) AS dolp, (CASE WHEN atan2(s1, s2) < 0 THEN atan2(s1, s2) + 2 * pi() ELSE atan2(s1, s2) END - 3.1415) / 2 AS aolp FROM s", 5)
+@query("s0 s1 s2 dolp aolp", f"WITH {_CH}, m AS (SELECT o, l, 0.75 * a + 0.25 * (b + d - c) AS a, 0.75 * b + 0.25 * (a + c - d) AS b, 0.75 * c + 0.25 * (b + d - a) AS c, 0.75 * d + 0.25 * (a + c - b) AS d FROM ch), s AS (SELECT o, l, (a + b + c + d) * 0.5 AS s0, round(a - c, 9) + 0.0 AS s1, round(b - d, 9) + 0.0 AS s2 FROM m) SELECT o, l, s0, s1, s2, sqrt(s1 * s1 + s2 * s2) / nullif(s0, 0) AS dolp, (CASE WHEN atan2(s1, s2) < 0 THEN atan2(s1, s2) + 2 * pi() ELSE atan2(s1, s2) END - 3.1415) / 2 AS aolp FROM s", 8)
 def stokes_dolp_aolp(spark, sf_dir):
     s = g.stokes(*[F.col(k) for k in "abcd"])
     x = _channels(spark, sf_dir).select("o", "l", s[0].alias("s0"), *[(F.round(v, 9) + F.lit(0.0)).alias(f"s{k}") for k, v in ((1, s[1]), (2, s[2]))])
