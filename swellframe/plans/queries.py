@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from swellframe.functions import geometry as g
 from swellframe.operators import cloud as c
-from swellframe.operators import grid, match, raster, temporal
+from swellframe.operators import grid, match, raster, surface, temporal
 from swellframe.sources import codecs
 from swellframe.tables import cloud, cube, series, table
 
@@ -375,6 +375,21 @@ def homography_fit(spark, sf_dir):
     return match.homographies(matches(spark, sf_dir)).select("frame", F.size("h").alias("n"), (F.element_at("h", 9) >= 0).alias("signed"))
 
 
+@query()
+def relative_poses(spark, sf_dir):
+    """Pose of the second camera by frame, from matches in normalised places."""
+    m = matches(spark, sf_dir)
+    return surface.poses(m.select("frame", *[(F.col(k) / 800).alias(k) for k in ("ax", "ay", "bx", "by")])).select("frame", "votes", F.size("r").alias("n"))
+
+
+@query("radiance", f"WITH {CUBE}, p AS (SELECT t, i, j, 0.4 * i + 0.1 * z / 8 + 1.5 AS fi, 0.6 * j + 0.05 * z / 8 + 0.5 AS fj FROM cube), o(a, b) AS (VALUES (0, 0), (0, 1), (1, 0), (1, 1)), x AS (SELECT t, i, j, floor(fi) + a AS ci, floor(fj) + b AS cj, CASE WHEN a = 1 THEN fi - floor(fi) ELSE 1 - (fi - floor(fi)) END * CASE WHEN b = 1 THEN fj - floor(fj) ELSE 1 - (fj - floor(fj)) END AS w FROM p, o) SELECT x.t, x.i, x.j, CASE WHEN count(z) = 4 THEN sum(w * z) / 255 END AS radiance FROM x LEFT JOIN cube c ON c.t = x.t AND c.i = x.ci AND c.j = x.cj GROUP BY x.t, x.i, x.j")
+def radiance_sample(spark, sf_dir):
+    """The cube taken as an image too, sampled where its own cells are seen."""
+    x = cube(spark, sf_dir)
+    cells = x.select("t", "i", "j", F.col("j").cast("double").alias("x"), F.col("i").cast("double").alias("y"), (F.col("z") / 8).alias("z"))
+    return surface.radiance(cells, x, ((0.6, 0.0, 0.05, 0.5), (0.0, 0.4, 0.1, 1.5), (0.0, 0.0, 0.0, 1.0)))
+
+
 @query("time", f"WITH {SERIES} SELECT cell, t, v, t / 12.5 AS time FROM series")
 def setfps(spark, sf_dir):
     return temporal.timestamped(series(spark, sf_dir), 12.5)
@@ -434,10 +449,10 @@ def _channels(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), (F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), (F.col("l_tax") * 10).alias("c"), (F.col("l_extendedprice") / 110000).alias("d"))
 
 
-@query("s0 s1 s2 dolp aolp", f"WITH {_CH}, m AS (SELECT o, l, 0.75 * a + 0.25 * (b + d - c) AS a, 0.75 * b + 0.25 * (a + c - d) AS b, 0.75 * c + 0.25 * (b + d - a) AS c, 0.75 * d + 0.25 * (a + c - b) AS d FROM ch), s AS (SELECT o, l, (a + b + c + d) * 0.5 AS s0, round(a - c, 9) + 0.0 AS s1, round(b - d, 9) + 0.0 AS s2 FROM m) SELECT o, l, s0, s1, s2, sqrt(s1 * s1 + s2 * s2) / nullif(s0, 0) AS dolp, (CASE WHEN atan2(s1, s2) < 0 THEN atan2(s1, s2) + 2 * pi() ELSE atan2(s1, s2) END - 3.1415) / 2 AS aolp FROM s", 8)
+@query("s0 s1 s2 dolp aolp", f"WITH {_CH}, m AS (SELECT o, l, 0.75 * a + 0.25 * (b + d - c) AS a, 0.75 * b + 0.25 * (a + c - d) AS b, 0.75 * c + 0.25 * (b + d - a) AS c, 0.75 * d + 0.25 * (a + c - b) AS d FROM ch), s AS (SELECT o, l, (a + b + c + d) * 0.5 AS s0, round(a - c, 12) + 0.0 AS s1, round(b - d, 12) + 0.0 AS s2 FROM m) SELECT o, l, s0, s1, s2, sqrt(s1 * s1 + s2 * s2) / nullif(s0, 0) AS dolp, (CASE WHEN atan2(s1, s2) < 0 THEN atan2(s1, s2) + 2 * pi() ELSE atan2(s1, s2) END - 3.1415) / 2 AS aolp FROM s", 9)
 def stokes_dolp_aolp(spark, sf_dir):
     s = g.stokes(*[F.col(k) for k in "abcd"])
-    x = _channels(spark, sf_dir).select("o", "l", s[0].alias("s0"), *[(F.round(v, 9) + F.lit(0.0)).alias(f"s{k}") for k, v in ((1, s[1]), (2, s[2]))])
+    x = _channels(spark, sf_dir).select("o", "l", s[0].alias("s0"), *[(F.round(v, 12) + F.lit(0.0)).alias(f"s{k}") for k, v in ((1, s[1]), (2, s[2]))])
     s0, s1, s2 = (F.col(f"s{k}") for k in range(3))
     return x.select("o", "l", "s0", "s1", "s2", g.polarisation_degree(s0, s1, s2).alias("dolp"), g.polarisation_angle(s1, s2).alias("aolp"))
 

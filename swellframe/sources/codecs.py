@@ -131,7 +131,7 @@ def read_matches(spark: SparkSession, path: str) -> DataFrame:
     """Files of a count and then four numbers a line -> frame, m, ax, ay, bx, by."""
     rows = read_numbers(spark, path).select(frame_of(F.col("path")).alias("frame"), F.slice("values", 2, F.size("values")).alias("v"))
     m = rows.select("frame", "v", F.explode(F.expr("sequence(0, size(v) div 4 - 1)")).alias("m")).where("size(v) >= 4")
-    return m.select("frame", "m", *[F.element_at("v", F.col("m") * 4 + k + 1).alias(c) for k, c in enumerate(("ax", "ay", "bx", "by"))])
+    return m.select("frame", "m", *[F.element_at("v", (F.col("m") * 4 + k + 1).cast("int")).alias(c) for k, c in enumerate(("ax", "ay", "bx", "by"))])
 
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:

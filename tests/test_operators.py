@@ -262,3 +262,45 @@ def test_stream(spark, tmp_path):
     q = gridding.windowed_cells(stream, (0.0, 20.0, 3), (0.0, 1.0, 2)).writeStream.format("memory").queryName("cells").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("cells").agg(F.sum("n")).first()[0] == 20
+
+
+def test_poses_and_camera(spark):
+    from swellframe.functions import camera
+    from swellframe.operators import surface
+
+    rng = np.random.default_rng(11)
+    r = np.array(g.plane_rotation(0.05, 0.02, math.sqrt(1 - 0.0029)))
+    t = np.array([-0.9, 0.3, 0.1])
+    t /= np.linalg.norm(t)
+    p = rng.uniform([-3, -3, 8], [3, 3, 20], (60, 3))
+    q = p @ r.T + t
+    df = spark.createDataFrame([(4, *map(float, a[:2] / a[2]), *map(float, b[:2] / b[2])) for a, b in zip(p, q, strict=True)], "frame long, ax double, ay double, bx double, by double")
+    got = surface.poses(df).first()
+    assert got.votes == 60 and np.allclose(np.reshape(got.r, (3, 3)), r, atol=1e-6) and np.allclose(got.t, t, atol=1e-6)
+    k = np.array([[500.0, 0, 320], [0, 510, 240], [0, 0, 1]])
+    f = camera.fundamental(k, k, r, t)
+    a, b = p @ k.T, q @ k.T
+    assert np.abs(np.einsum("ni,ij,nj->n", b / b[:, 2:], f, a / a[:, 2:])).max() < 1e-8
+    back = camera.inverse_pose(*camera.inverse_pose(r, t))
+    assert np.allclose(back[0], r) and np.allclose(back[1], t) and camera.rescaled(k, 0.5)[2, 2] == 1.0
+    plane = (0.1, 0.2, math.sqrt(0.95), -3.0)
+    x, y, z = (np.array(v) for v in zip(*[(c[0], c[1], c[2]) for c in p], strict=True))
+    m = camera.plane_pose(plane) @ np.c_[p, np.ones(60)].T
+    metric = np.vstack([2.5 * m[0], 2.5 * m[1], -2.5 * m[2], np.ones(60)])
+    one = camera.plane_camera(camera.projection(k, np.eye(3), np.zeros(3)), plane, 2.5) @ metric
+    assert np.allclose(one[:2] / one[2], a[:, :2].T / a[:, 2])
+    corners = np.array([[0, 0], [10, 0], [10, 5], [0, 5.0]])
+    h = camera.homography(corners, corners * 2 + 1)
+    assert np.allclose(h, [[2, 0, 1], [0, 2, 1], [0, 0, 1]])
+
+
+def test_radiance_and_polarisation(spark):
+    from swellframe.operators import surface
+
+    image = cube_of(spark, np.add.outer(10.0 * np.arange(20), np.arange(30.0)))
+    cells = spark.createDataFrame([(0, 1, 1, 4.0, 2.0, 2.0), (0, 1, 2, 900.0, 2.0, 2.0)], "t int, i int, j int, x double, y double, z double")
+    got = {r.j: r.radiance for r in surface.radiance(cells, image, ((1.0, 0, 0, 1.0), (0, 1.0, 0, 1.0), (0, 0, 1.0, 0))).collect()}
+    assert got[1] == pytest.approx((15 + 2.5) / 255) and got[2] is None
+    rows = [(t, 0, 0, 2.0, 0.6, 0.8, t < 2) for t in range(3)]
+    p = surface.mean_polarisation(spark.createDataFrame(rows, "t int, i int, j int, s0 double, s1 double, s2 double, visible boolean")).first()
+    assert p.frames == 2 and p.dolp == pytest.approx(0.5)
