@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swellframe.llm.common import cut
+
 
 def _lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -37,7 +39,7 @@ def drop_lines(docs: DataFrame, host: str = "source", ratio: float = 0.02, min_p
     Null texts count as one blank line and stay empty; blank lines are never boilerplate; repeated rows count as
     pages of their own. Other columns are ignored. The hosts' arrays are broadcast while they hold at most `most`
     lines (8 bytes each); beyond that pages and arrays are joined by host in a shuffle."""
-    drops = boilerplate(docs, host, ratio, min_pages).withColumnRenamed("host", "h")
+    drops = cut(boilerplate(docs, host, ratio, min_pages).withColumnRenamed("host", "h"), "boilerplate")
     size = drops.agg(F.sum(F.size("drop")).alias("n")).first().n or 0
     if size <= most:
         drops = F.broadcast(drops)
