@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,6 +26,12 @@ _WORD = re.compile(r"[a-z]+")
 
 #: Elements whose text is no text of the page.
 SILENT = frozenset(("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "math", "select", "title", "canvas", "audio", "video"))
+#: Of these, the ones whose content is no markup: it reaches to the next end tag of the name.
+RAW = frozenset(("script", "style", "textarea", "title", "iframe"))
+#: Of these, the ones that never hold one of their own kind.
+_ONCE = frozenset(("iframe", "noscript", "select", "canvas", "audio", "video"))
+_OPENS = {t: re.compile(rf"<{t}(?=[\s/>])", re.I | re.A) for t in _ONCE}
+_ENDS = {t: re.compile(rf"</{t}(?:(?=[\s/>])[^>]*+>?|\Z)", re.I | re.A) for t in SILENT}
 #: Elements that break the text into blocks.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -44,13 +51,20 @@ class Block:
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a whole page, in order."""
+    """The leaf blocks of a whole page, in order.
+
+    Silent elements are raw, and end at the next end tag of their name whatever stands before it, or are ancestors
+    like others, which also end where an element around them does (svg and math at a block within them, too). One
+    that has no end tag before the next of its kind, or before the end of the page, is taken as empty; only script
+    and style then reach to the end of the page."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
-    linked = links = 0
-    silent = None
+    linked = links = at = 0
+    quiet = None  # place in the stack of the outermost silent element
     source = page or ""
+    ends: dict[str, re.Match | None] = {}
 
     def flush():
         nonlocal linked
@@ -63,39 +77,77 @@ def leaf_blocks(page: str | None) -> list[Block]:
             text.clear()
             linked = 0
 
-    for m in _TOKEN.finditer(source):
+    def push(tag, features):
+        stack.append((tag, features))
+        opened[tag] += 1
+
+    def pop():
+        nonlocal quiet
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        if quiet == len(stack):
+            quiet = None
+        return tag
+
+    def end_ahead(tag):
+        if tag not in ends or ends[tag] and ends[tag].start() < at:
+            ends[tag] = _ENDS[tag].search(source, at)
+        end = ends[tag]
+        return None if end and tag in _ONCE and _OPENS[tag].search(source, at, end.start()) else end
+
+    while at < len(source):
+        m = _TOKEN.match(source, at)
+        at = m.end()
         tag = m[2] or m[5]
         if tag is None:
             piece = m[0]
-            if silent is None and not (piece[0] == "<" and len(piece) > 1):
+            if quiet is None and not (piece[0] == "<" and len(piece) > 1):
                 text.append(piece)
                 linked += len(piece) * (links > 0)
             continue
         tag, closing = tag.lower(), (m[1] or m[4]) == "/"
-        if silent is not None:
-            if closing and tag == silent:
-                silent = None
-            continue
         if closing:
+            if quiet is not None:
+                if not opened[tag]:
+                    continue
+                while quiet is not None and stack[-1][0] != tag:
+                    pop()
+                if quiet is not None:
+                    pop()
+                    continue
             if tag in BLOCKS:
                 flush()
             if tag == "a":
                 links = max(0, links - 1)
-            if any(t == tag for t, _ in stack):
-                while stack and stack.pop()[0] != tag:
+            if opened[tag]:
+                while pop() != tag:
                     pass
             continue
         attributes = m[3] if m[2] else m[6]
+        empty = attributes.endswith("/")
         if tag in SILENT:
-            if not attributes.endswith("/"):
-                silent = tag
+            end = None if empty else end_ahead(tag)
+            if tag in RAW:
+                if end or not empty and tag in ("script", "style"):
+                    at = end.end() if end else len(source)
+            elif end:
+                push(tag, ())
+                quiet = len(stack) - 1 if quiet is None else quiet
             continue
+        if quiet is not None:
+            if tag in BLOCKS and stack[quiet][0] in ("svg", "math") and not (opened["foreignobject"] or opened["desc"] or opened["annotation-xml"]):
+                while quiet is not None:
+                    pop()
+            else:
+                if tag not in VOID and not empty:
+                    push(tag, ())
+                continue
         if tag in BLOCKS:
             flush()
             links = 0
             shut = _CLOSES.get(tag, {"p"} if tag not in ("button", "label") else set())
             while stack and (stack[-1][0] in shut or stack[-1][0] not in BLOCKS and any(t in shut for t, _ in stack[-4:])) and stack[-1][0] not in _LISTS:
-                stack.pop()
+                pop()
         elif tag == "br":
             text.append(" ")
         if tag == "a":
@@ -104,7 +156,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
             named = [tag]
             for a in _ATTRIBUTE.finditer(attributes):
                 named += ["." + w for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower())]
-            stack.append((tag, tuple(named)))
+            push(tag, tuple(named))
+    while quiet is not None:
+        pop()
     flush()
     return out
 

@@ -288,6 +288,32 @@ def test_html(spark):
     assert html_text.extract(df.where("page_id = 9")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "odd",
+    [
+        "<script>for(i=0;i<n;i++){x()}</script>",
+        "<script>var s = '<!--'; t = \"<b \" + 'don\\'t';</SCRIPT >",
+        "<style>a:after{content:'<!-- <x'}</style>",
+        "<textarea>a <b c</textarea>",
+        "<video src=v><p>no video</p><div>x</div></video>",
+        "<video src=v>",
+        "<video src=v><video src=w>no video</video>",
+        "<iframe src=v>",
+        "<iframe src=v><iframe src=w></iframe>",
+        "<div><object data=v><select><option>one</div>",
+        "<svg><path d='M0'/><g>",
+        "<svg><text>no</text><foreignObject><div>no</div></foreignObject></svg>",
+        "<select><option>one<option>two</select>",
+        "<template><p>no</p><template><p>no</p></template></template>",
+        "<noscript><div><p>no</div></noscript>",
+    ],
+)
+def test_html_silent(odd):
+    """What stands in or after a silent element never takes text of the page with it."""
+    page = f"<body><article><p>before</p>{odd}<p>first part</p></article><svg><g></g></svg><object></object><p>after"
+    assert [b.text for b in html_text.leaf_blocks(page)] == ["before", "first part", "after"]
+
+
 def test_html_field():
     pages = html_text.labelled_pages(260, seed=99)
     field = html_text.train(pages[:200])
