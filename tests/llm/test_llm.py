@@ -262,6 +262,33 @@ def test_mixing(spark):
     assert mixing.weighted(docs(spark, [])).count() == 0
 
 
+def test_mixing_hot_source(spark):
+    """All marginals of the sample have their target shares; what lacks the tokens is taken whole and told."""
+    import pandas as pd
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(6000):
+        hot = rng.random() < 0.4
+        lang = "en" if rng.random() < (0.8 if hot else 0.5) else rng.choice(["de", "fr"])
+        rows.append((i, " ".join(["word"] * (rng.randint(150, 300) if rng.random() < 0.7 else rng.randint(20, 100))), lang, "hot" if hot else f"s{rng.randrange(5)}", 0))
+    d = spark.createDataFrame(rows, SCHEMA)
+    for fraction, whole in ((0.5, set()), (0.8, {"short"})):
+        got = mixing.weighted(d, fraction=fraction).toPandas().merge(pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n"]), on="doc_id")
+        assert abs((got.tokens * got.probability).sum() / got.tokens.sum() - fraction) < 1e-6
+        told = {(r.margin, r.value): r for r in mixing.shares(d, fraction=fraction).collect()}
+        targets = mixing.tempered(got)
+        for m in mixing.MARGINS:
+            mine = (got.tokens * got.probability).groupby(got[m]).sum() / (got.tokens * got.probability).sum()
+            drawn = got.tokens[got.sampled].groupby(got[m]).sum() / got.tokens[got.sampled].sum()
+            scale = {mine[v] / targets[m][v] for v in mine.index if v not in whole}
+            assert max(scale) - min(scale) < 1e-6 and (whole & set(mine.index) or abs(max(scale) - 1) < 1e-6)
+            for v in mine.index:
+                assert abs(drawn[v] - mine[v]) < 0.02 and abs(told[m, v].share - mine[v]) < 1e-9
+                assert abs(told[m, v].shortfall - max(0, targets[m][v] - mine[v])) < 1e-9
+                assert (got.probability[got[m] == v].min() == 1) == (v in whole)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 16)).astype(np.float32)
