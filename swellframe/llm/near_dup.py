@@ -7,9 +7,13 @@ unequal minima whose low bits agree. Links are confirmed on the full shingle set
 
 Large buckets never give all their pairs. First every member is compared with two members of its bucket (those of the
 smallest and the largest priority), which joins nearly all of a group of copies; then only pairs whose members are
-still in different components, and whose signatures come within `MARGIN` of the threshold, are confirmed as well. A
-pair at the threshold shares no band with probability (1 - 0.8^5)^32 = 3e-6, and its estimate falls short by the
-margin with probability 6e-5 (standard error 0.0155); a document is lost only if that happens with every partner.
+still in different components, and which are likely to be alike, are confirmed as well. Two sets of `SMALL` shingles
+at most are likely alike if they are: the sets go along and are compared as they are, since the permutations are far
+from independent on few values (for sets of 4 and 5 shingles the estimate has standard error 0.0297, and 27 of 15,000
+simulated pairs at 0.8 fell below 0.74). Of others the signatures must come within `MARGIN` of the threshold. With
+unions of 50 to 500 shingles the standard error is 0.0154 to 0.0157; of 75,000 simulated pairs at 0.8, 9 fell below
+0.74 and one below 0.72, and none of 120,000 of any size shared no band (independent minima: (1 - 0.8^5)^32 = 3e-6).
+Such a document is lost only if that happens with every partner.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ ROWS, BANDS, MINIMA, BITS = 5, 32, 720, 4
 #: Nibbles in a signature word: three bands of five.
 PER_WORD = 15
 WORDS = MINIMA // PER_WORD
-MARGIN = 0.06
+MARGIN = 0.08
+#: Sets of so many shingles at most are kept with the signature.
+SMALL = 64
 
 _rng = np.random.default_rng(20_111)
 _MASKS = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)[:, None]
@@ -84,7 +90,7 @@ def _signer(size: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = {"n": [], "digest": [], "bands": [], "sig": []}
+                rows = {"n": [], "digest": [], "bands": [], "sig": [], "few": []}
                 for text in part.column(1).to_pylist():
                     h = shingles(text, size)
                     low = minima(h) if len(h) else None
@@ -92,9 +98,10 @@ def _signer(size: int):
                     rows["digest"].append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                     rows["bands"].append(band_keys(low) if len(h) else None)
                     rows["sig"].append(packed(low) if len(h) else None)
+                    rows["few"].append(h.view(np.int64) if 0 < len(h) <= SMALL else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(rows["n"], pa.int64()), pa.array(rows["digest"], pa.binary()), pa.array(rows["bands"], pa.list_(pa.int64())), pa.array(rows["sig"], pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "digest", "bands", "sig"],
+                    [part.column(0), pa.array(rows["n"], pa.int64()), pa.array(rows["digest"], pa.binary()), pa.array(rows["bands"], pa.list_(pa.int64())), pa.array(rows["sig"], pa.list_(pa.int64())), pa.array(rows["few"], pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "digest", "bands", "sig", "few"],
                 )
 
     return run
@@ -138,6 +145,18 @@ def _long_enough(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _alike(inter: Column, a: Column, b: Column, percent: int) -> Column:
+    return inter * 100 >= (a + b - inter) * percent
+
+
+def _likely(p: str, q: str, percent: int) -> Column:
+    """Whether two documents (prefixes of their columns n, sig and few) may be linked: small sets by the sets."""
+    n, m = F.col(p + "n"), F.col(q + "n")
+    small = F.greatest(n, m) <= SMALL
+    few = _alike(F.size(F.array_intersect(p + "few", q + "few")), n, m, percent)
+    return _long_enough(n, m, percent) & F.when(small, few).otherwise(estimate(F.col(p + "sig"), F.col(q + "sig")) >= percent / 100 - MARGIN)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The (a, b) pairs whose full shingle sets have 100 * intersection >= percent * union.
 
@@ -147,7 +166,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     inter = F.size(F.array_intersect("x", "y"))
-    return both.where(inter * 100 >= (F.size("x") + F.size("y") - inter) * percent).select("a", "b")
+    return both.where(_alike(inter, F.size("x"), F.size("y"), percent)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -159,7 +178,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     null component and kept, and link nothing. Other columns are ignored. An empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(texts.mapInArrow(_signer(size), "doc_id long, n long, digest binary, bands array<long>, sig array<long>"), "signed")
+    signed = cut(texts.mapInArrow(_signer(size), "doc_id long, n long, digest binary, bands array<long>, sig array<long>, few array<long>"), "signed")
     usable = signed.where("doc_id is not null and digest is not null")
     # equal sets need no comparison: the smallest id stands for them
     reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
@@ -173,23 +192,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     stars = full.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
-    least = percent / 100 - MARGIN
-    stars = cut(stars.join(side("a"), "a").join(side("b"), "b").where(_long_enough(F.col("na"), F.col("nb"), percent)).where(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b"), "stars")
+    side = lambda k: nodes.select(F.col("node").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("n", "sig", "few")])
+    stars = cut(stars.join(side("a"), "a").join(side("b"), "b").where(_likely("a_", "b_", percent)).select("a", "b"), "stars")
     links = cut(confirmed(stars, texts, size, percent), "links")
     comp = components(links)
 
     placed = full.select("key", "band", "node").join(comp, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    open_ = cut(placed.join(mixed, "key", "left_semi").join(nodes.select("node", "n", "sig", F.transform("bands", lambda x: (x.bitwiseAND(F.lit(2**31 - 1))).cast("int")).alias("marks")), "node"), "open")
+    open_ = cut(placed.join(mixed, "key", "left_semi").join(nodes.select("node", "n", "sig", "few", F.transform("bands", lambda x: (x.bitwiseAND(F.lit(2**31 - 1))).cast("int")).alias("marks")), "node"), "open")
     p, q = open_.alias("p"), open_.alias("q")
     rest = p.join(
         q,
         (F.col("p.key") == F.col("q.key"))
         & (F.col("p.node") < F.col("q.node"))
         & (F.col("p.comp") != F.col("q.comp"))
-        & _long_enough(F.col("p.n"), F.col("q.n"), percent)
-        & (estimate(F.col("p.sig"), F.col("q.sig")) >= least)
+        & _likely("p.", "q.", percent)
         & ~_shared_earlier(F.col("p.marks"), F.col("q.marks"), F.col("p.band")),
     ).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
     rest = cut(rest.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
