@@ -74,7 +74,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[{] ?(?:at|AT) ?[)\]}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[{] ?(?:dot|DOT) ?[)\]}]) ?[A-Za-z0-9-]{1,63}){1,4}")
 _GROUPS = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?[ .\-/][0-9]{2,4}[ .\-/][0-9]{3,5}(?:[ .\-/][0-9]{2,5}){0,2}(?![0-9A-Za-z])")
-_SECRET = re.compile(r"(?<![A-Za-z])[A-Za-z_]{2,24}[ ]{0,2}[=:][ ]{0,2}[\"']?([A-Za-z0-9_\-+/]{12,128})(?![A-Za-z0-9_\-+/])")
+_SECRET = re.compile(r"(?<![A-Za-z])[A-Za-z_]{2,24}[ ]{0,2}[=:][ ]{0,2}[\"']?([A-Za-z0-9_\-+/]{12,}+)")
 
 #: Endings of common domains.
 ENDINGS = frozenset(("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "it", "nl"))

@@ -211,6 +211,13 @@ def test_pii(spark):
     assert pii.base_spans("9" * 200_000 + "a" * 200_000) == []  # linear time
 
 
+@pytest.mark.parametrize("n", [11, 12, 128, 129, 256, 5000])
+def test_long_secrets(n):
+    """Secret candidates have no upper length."""
+    text = f"api_key = {('a1B2c3D4e5' * n)[:n]} end"
+    assert pii.candidates(text, []) == ([("secret", 10, 10 + n)] if n >= 12 else [])
+
+
 def test_expectation_maximisation():
     patterns = np.array([[1, 1], [1, -1], [-1, 1], [-1, -1]])
     _, rel, chance = pii.expectation_maximisation(patterns, np.array([400.0, 40, 40, 400]))
