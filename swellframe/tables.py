@@ -14,19 +14,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where the session names none."""
+    """The folder in spark.checkpoint.dir, which the driver and all executors share. Only a local session may name
+    none; it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df in the shared folder and reads it back, so that later rounds don't compute it again."""
-    path = f"{shared_dir(df.sparkSession)}/swellframe/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path for a table in the shared folder."""
+    return f"{shared_dir(spark)}/swellframe/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back: later steps survive lost executors
+    without computing it again."""
+    path = scratch(df.sparkSession, kind)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the tables behind results of cut() that nothing needs any more."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
