@@ -54,3 +54,37 @@ def plane_camera(p: np.ndarray, plane: tuple[float, float, float, float], baseli
     """3 x 4 projection of metric points of the plane's axes, heights upwards, given one of camera axes."""
     metric = np.diag([1 / baseline, 1 / baseline, -1 / baseline, 1.0])
     return p @ np.linalg.inv(plane_pose(plane)) @ metric
+
+
+def grid_matrices(p: np.ndarray, plane: tuple[float, float, float, float], baseline: float, k: np.ndarray, size: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """3 x 4 projection of metric points of the plane's axes to places from -1 to 1 in an image of `size`, and the
+    4 x 4 matrix that takes camera points to the metric grid."""
+    w, h = size
+    unit = np.array([[2 / w, 0, -1], [0, 2 / h, -1], [0, 0, 1.0]])
+    metric = np.diag([baseline, baseline, -baseline, 1.0])
+    pose = np.eye(4)
+    pose[:3] = np.linalg.inv(k) @ p
+    return unit @ plane_camera(p, plane, baseline), metric @ plane_pose(plane) @ np.linalg.inv(pose)
+
+
+def corner_homography(p: np.ndarray, corners: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Homography from the image places of four grid corners (4, 3) to the target places (4, 2)."""
+    seen = np.c_[corners, np.ones(len(corners))] @ p.T
+    return homography(seen[:, :2] / seen[:, 2:], target)
+
+
+def rotation_quaternion(r: np.ndarray) -> np.ndarray:
+    """Unit quaternion (w, x, y, z), w not negative, of a rotation."""
+    k = np.array([[r[0, 0] - r[1, 1] - r[2, 2], 0, 0, 0], [r[1, 0] + r[0, 1], r[1, 1] - r[0, 0] - r[2, 2], 0, 0], [r[2, 0] + r[0, 2], r[2, 1] + r[1, 2], r[2, 2] - r[0, 0] - r[1, 1], 0], [r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1], np.trace(r)]])
+    x, y, z, w = np.linalg.eigh(k)[1][:, -1]
+    return np.array([w, x, y, z]) * (1 if w >= 0 else -1)
+
+
+def quaternion_rotation(q: np.ndarray) -> np.ndarray:
+    w, v = q[0], q[1:]
+    cross = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+    return np.eye(3) + 2 * w * cross + 2 * cross @ cross
+
+
+def quaternion_product(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.r_[p[0] * q[0] - p[1:] @ q[1:], p[0] * q[1:] + q[0] * p[1:] + np.cross(p[1:], q[1:])]

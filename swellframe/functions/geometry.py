@@ -49,6 +49,12 @@ def projected(x: Column, y: Column, z: Column, p: Sequence[Sequence[float]]) ->
     return h[0] / w, h[1] / w
 
 
+def unwarped(u: Column, v: Column, back: Sequence[Sequence[float]]) -> tuple[Column, Column]:
+    """A rectified pixel back in the camera's image by the inverse of a given homography."""
+    w = F.nullif(back[2][0] * u + back[2][1] * v + back[2][2], F.lit(0.0))
+    return (back[0][0] * u + back[0][1] * v + back[0][2]) / w, (back[1][0] * u + back[1][1] * v + back[1][2]) / w
+
+
 def unrectified(u: Column, v: Column, f: float, c: tuple[float, float], r: Sequence[Sequence[float]], k: tuple[float, float, float, float]) -> tuple[Column, Column]:
     """A rectified pixel back in the camera's image: by the inverse of rotation r, then fx, fy, cx, cy in k."""
     x, y = (u - c[0]) / f, (v - c[1]) / f
@@ -76,6 +82,12 @@ def triangulated(px: Column, py: Column, qx: Column, qy: Column, r: Sequence[Seq
     return [det([[b[i] if j == k else n[i][j] for j in range(3)] for i in range(3)]) / whole for k in range(3)]
 
 
+def distance(p: Sequence[Column], q: Sequence[Column], scale: float = 1.0) -> Column:
+    """Distance of two points, in units of the baseline times `scale`."""
+    d = [a - b for a, b in zip(p, q, strict=True)]
+    return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) * scale
+
+
 def disparity(raw: Column, low: float, count: float, offset: float = 0.0, scale: float = 1.0) -> Column:
     """Disparity from sixteenths: null unless low < d <= count."""
     d = raw / 16.0

@@ -49,17 +49,48 @@ def zero_phase(sections: np.ndarray, x: np.ndarray, pad: int = 27) -> np.ndarray
     return _run(sections, y[..., ::-1])[..., ::-1][..., pad:-pad]
 
 
+def zero_phase_rows(sections: np.ndarray, rows: list[np.ndarray], pad: int = 27) -> list[np.ndarray]:
+    """zero_phase() of series of any lengths, all together: shorter ones are followed by their last value, which the
+    backward pass, that begins at each one's own end, never sees."""
+    sizes = np.array([len(r) for r in rows])
+    if (sizes <= pad).any():
+        raise ValueError(f"a series needs more than {pad} samples, got {sizes.min()}")
+    wide = np.empty((len(rows), sizes.max() + 2 * pad))
+    for out, x in zip(wide, rows, strict=True):
+        n = len(x) + 2 * pad
+        out[:n] = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+        out[n:] = out[n - 1]
+    back = np.maximum((sizes + 2 * pad - 1)[:, None] - np.arange(wide.shape[1])[None], 0)
+    y = _run(sections, np.take_along_axis(_run(sections, wide), back, axis=1))
+    return [r[pad : n + pad][::-1] for r, n in zip(y, sizes, strict=True)]
+
+
+def welch_rows(rows: list[np.ndarray], rate: float, length: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
+    """welch() of series of any lengths; all segments of one length are transformed together."""
+    out: list = [None] * len(rows)
+    sizes = np.array([min(length, len(r)) for r in rows])
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        hop, window = max(1, size - size // 2), hann_periodic(size)
+        parts = [np.lib.stride_tricks.sliding_window_view(rows[k], size)[::hop] for k in own]
+        counts = np.array([len(p) for p in parts])
+        x = np.concatenate(parts)
+        power = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * window, axis=1)) ** 2 / (rate * (window**2).sum())
+        power[:, 1 : -1 if size % 2 == 0 else None] *= 2
+        mean = np.add.reduceat(power, np.cumsum(counts) - counts, axis=0) / counts[:, None]
+        f = np.fft.rfftfreq(size, 1 / rate)
+        for k, s in zip(own, mean, strict=True):
+            out[k] = (f, s)
+    return out
+
+
+def hann_periodic(n: int) -> np.ndarray:
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+
+
 def welch(x: np.ndarray, rate: float, length: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Density of segments of `length` with half overlap, a periodic Hann window and the mean taken off each."""
-    length = min(length, x.shape[-1])
-    hop = max(1, length - length // 2)
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
-    starts = range(0, x.shape[-1] - length + 1, hop)
-    parts = np.stack([x[..., s : s + length] for s in starts])
-    parts = (parts - parts.mean(axis=-1, keepdims=True)) * window
-    s = (np.abs(np.fft.rfft(parts, axis=-1)) ** 2).mean(axis=0) / (rate * (window**2).sum())
-    s[..., 1 : -1 if length % 2 == 0 else None] *= 2
-    return np.fft.rfftfreq(length, 1 / rate), s
+    return welch_rows([x], rate, length)[0]
 
 
 def low_pass_gain(rows: int, cols: int, step: float, cutoff: float, order: int = 4) -> np.ndarray:
@@ -69,20 +100,26 @@ def low_pass_gain(rows: int, cols: int, step: float, cutoff: float, order: int =
     return 1 / np.sqrt(1 + (r / k) ** (2 * order))
 
 
-def spectrum3d(z: np.ndarray, rate: float, dx: float, dy: float, segments: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """z (t, y, x) -> density over (f, ky, kx), centred, and the segment length: means over segments with half overlap,
-    under a symmetric Hann window in each direction."""
-    nt = int(2 * (z.shape[0] // (segments + 1))) or z.shape[0]
-    z = np.where(np.isnan(z), np.nanmean(z, axis=0, keepdims=True), z)
-    z = z - np.nanmean(z)
-    hann = lambda n: np.hanning(n) if n > 2 else np.ones(n)
-    window = hann(nt)[:, None, None] * hann(z.shape[1])[None, :, None] * hann(z.shape[2])[None, None]
-    total, count = 0.0, 0
-    for s in range(0, z.shape[0] - nt + 1, max(1, nt // 2)):
-        total = total + np.abs(np.fft.fftshift(np.fft.fftn(z[s : s + nt] * window, norm="ortho"))) ** 2
-        count += 1
-    dk = (2 * np.pi / (z.shape[2] * dx)) * (2 * np.pi / (z.shape[1] * dy)) * (rate / nt)
-    return total / count / (window.size * dk * (window**2).mean()), nt
+def centre_window(rows: int, cols: int, shift: int = -20) -> tuple[int, int, int]:
+    """First row, first column and odd side of the square of about two thirds of the rows in the middle of a grid,
+    its first row moved by `shift` as far as the grid allows."""
+    side = min(2 * (rows * 2 // 3 // 2) + 1, cols - (cols % 2 == 0), rows - (rows % 2 == 0))
+    r = min(max(rows // 2 - side // 2 + shift, 0), rows - side)
+    return r, min(max(cols // 2 - side // 2, 0), cols - side), side
+
+
+def segment_length(frames: int, segments: int = 10) -> int:
+    """Even length of one of `segments` segments."""
+    n = frames // segments
+    return n + n % 2
+
+
+def spectrum_scale(nt: int, side: int, rate: float, step: float) -> float:
+    """What |fft|^2 of a windowed cube (nt, side, side) is multiplied by for a density over f, ky and kx."""
+    dk, df = 2 * np.pi / (step * (side // 2 * 2)), rate / (nt // 2 * 2)
+    size = nt * side * side
+    correction = 1 / (np.mean(np.hanning(side) ** 2) ** 2 * np.mean(np.hanning(nt) ** 2))
+    return float(correction / (size * size * size * dk * dk * df))  # an orthonormal transform, divided by the size, squared
 
 
 def shadowed(z: np.ndarray, eye: tuple[float, float, float], step: float = 1.0) -> np.ndarray:
@@ -93,14 +130,13 @@ def shadowed(z: np.ndarray, eye: tuple[float, float, float], step: float = 1.0)
     di, dj, dz = eye[0] - i, eye[1] - j, eye[2] - z
     longest = np.maximum(np.maximum(np.abs(di), np.abs(dj)), 1e-12)
     di, dj, dz = di / longest, dj / longest, dz / longest
-    top, hidden = np.nanmax(z, initial=-np.inf), np.zeros(z.shape, bool)
-    height, live = z.copy(), ~np.isnan(z)
+    top, hidden, live = np.nanmax(z, initial=-np.inf), np.zeros(z.shape, bool), ~np.isnan(z)
     for n in range(1, int(max(rows, cols, longest.max())) + 1):
-        i, j, height = i + di, j + dj, height + dz
-        live &= (n < longest) & (i > -0.5) & (i < rows - 0.5) & (j > -0.5) & (j < cols - 0.5) & (height <= top)
+        p, q, height = i + n * di, j + n * dj, z + n * dz
+        live &= (n < longest) & (p > -0.5) & (p < rows - 0.5) & (q > -0.5) & (q < cols - 0.5) & (height <= top)
         if not live.any():
             break
-        a, b = np.rint(i[live]).astype(int), np.rint(j[live]).astype(int)
+        a, b = np.rint(p[live]).astype(int), np.rint(q[live]).astype(int)
         hit = z[a, b] >= height[live]
         where = np.argwhere(live)[hit]
         hidden[where[:, 0], where[:, 1]] = True

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,11 +45,36 @@ def clipped(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
     return df.withColumn(value, F.greatest(F.lit(low), F.least(F.lit(high), F.col(value))))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """by..., q0, q1, ...: exact quantiles, linear between neighbours; nulls are left out. Values are counted first,
+    and a sketch brackets each quantile: only the distinct values inside a bracket, a few of 10,000, are put in order.
+    Ranks below it are counted."""
+    by, accuracy = by or [], 10_000
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    counts = rows.groupBy(*by, "v").agg(F.count("*").alias("m"))
+    out = None
+    for k, share in enumerate(shares):
+        ends = [max(0.0, share - 3 / accuracy), min(1.0, share + 3 / accuracy)]
+        sketch = rows.groupBy(*by).agg(F.percentile_approx("v", ends, 4 * accuracy).alias("e"), F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        # one distinct value further on both sides makes up for the quantile's place between two values
+        box = sketch.select(*by, "n", (F.lit(share) * (F.col("n") - 1)).alias("at"), F.when(F.lit(ends[0]) <= 0, F.col("least")).otherwise(F.col("e")[0]).alias("lo"), F.when(F.lit(ends[1]) >= 1, F.col("most")).otherwise(F.col("e")[1]).alias("hi"))
+        near = counts.join(box, by) if by else counts.crossJoin(F.broadcast(box))  # one row
+        below = near.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("v") < F.col("lo"), F.col("m"))), F.lit(0)).alias("below"), F.min(F.when(F.col("v") > F.col("hi"), F.col("v"))).alias("next"))
+        w = Window.partitionBy(*by).orderBy("v")
+        inside_ = near.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).withColumn("upto", F.sum("m").over(w))
+        inside_ = inside_.join(below, by) if by else inside_.crossJoin(F.broadcast(below))  # one row
+        place = F.floor(F.col("at"))
+        rank = F.col("upto") + F.col("below")
+        picked = inside_.groupBy(*by).agg(F.min(F.when(rank > place, F.col("v"))).alias("a"), F.coalesce(F.min(F.when(rank > place + 1, F.col("v"))), F.first("next")).alias("b"), F.first("at").alias("at"))
+        q = picked.select(*by, (F.col("a") + F.coalesce((F.col("b") - F.col("a")) * (F.col("at") - F.floor("at")), F.lit(0.0))).alias(f"q{k}"))
+        out = q if out is None else (out.join(q, by) if by else out.crossJoin(q))
+    return out
+
+
 def symmetric_limits(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99, factor: float = 1.5) -> DataFrame:
     """Limits -m and m, where m is factor times the larger quantile's size."""
-    q = df.agg(F.percentile(value, F.lit(low)).alias("a"), F.percentile(value, F.lit(high)).alias("b"))
-    m = F.greatest(F.abs("a"), F.abs("b")) * factor
-    return q.select((-m).alias("zmin"), m.alias("zmax"))
+    m = F.greatest(F.abs("q0"), F.abs("q1")) * factor
+    return quantiles(df, value, [low, high]).select((-m).alias("zmin"), m.alias("zmax"))
 
 
 def axis(n: Column, count: int, low: float, high: float) -> Column:

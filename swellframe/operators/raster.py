@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swellframe.tables import cut, discard
+
 Taps = Sequence[tuple[int, int, float]]
 NINE: Taps = [(a, b, 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1)]
 EIGHT: Taps = [x for x in NINE if x[:2] != (0, 0)]
@@ -71,6 +73,20 @@ def closed(grid: DataFrame, rows: int, cols: int) -> DataFrame:
     return inside(n, rows, cols).where("n = 9").select("t", "i", "j")
 
 
+def filled_inside(grid: DataFrame, rows: int, cols: int, taps: Taps | None = None, rounds: int = 100) -> DataFrame:
+    """Passes of filled() until no cell of the closing of the existing cells is missing, `rounds` at most; cells outside
+    the closing stay missing. Each pass is written, so that lost executors repeat one pass only."""
+    want = cut(closed(grid, rows, cols))
+    now = cut(grid.select("t", "i", "j", "z"))
+    for _ in range(rounds):
+        if want.join(now, ["t", "i", "j"], "left_anti").isEmpty():
+            break
+        new = cut(filled(now, rows, cols, taps).select("t", "i", "j", "z"))
+        discard(now)
+        now = new
+    return now.join(want, ["t", "i", "j"], "left_semi")
+
+
 def convolved(grid: DataFrame, taps: Taps) -> DataFrame:
     """Weighted sums over the existing cells; every tap must be there."""
     near = scatter(grid, taps).groupBy("t", "i", "j").agg(F.sum(F.col("w") * F.col("z")).alias("z"), F.count("*").alias("n"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swellframe.functions import geometry as g
+from swellframe.operators import temporal
+from swellframe.operators.match import centred
 from swellframe.operators.raster import sampled
 
 _CELL = 1 << 20
@@ -32,6 +34,27 @@ def mean_polarisation(cells: DataFrame) -> DataFrame:
     return seen.select("i", "j", "frames", "s0", "s1", "s2", g.polarisation_degree(s0, s1, s2).alias("dolp"), g.polarisation_angle(s1, s2).alias("aolp"))
 
 
+def mean_surface(cells: DataFrame) -> DataFrame:
+    """cells (t, i, j, z, nx, ny, nz) -> i, j, mean height, and the mean normal scaled to unit length again."""
+    m = cells.groupBy("i", "j").agg(F.avg("z").alias("z"), *[F.avg(f"n{k}").alias(f"n{k}") for k in "xyz"])
+    n = F.nullif(F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2), F.lit(0.0))
+    return m.select("i", "j", "z", *[(F.col(f"n{k}") / n).alias(f"n{k}") for k in "xyz"])
+
+
+def polarimetry(cube: DataFrame, images: DataFrame, rows: int, cols: int, camera: Sequence[Sequence[float]], eye: tuple[float, float, float], most: float = 85.0) -> DataFrame:
+    """cube (t, i, j, z) and images (t, i, j, s0, s1, s2) -> t, i, j, z, normal, angle, visible, s0, s1, s2: each cell's
+    Stokes parameters where the camera sees it. Cells turned from the eye by `most` degrees, or hidden, aren't visible;
+    what the image doesn't hold is null. mean_polarisation() and mean_surface() average the result."""
+    seen = temporal.visibility(cube, rows, cols, eye, most)
+    cells = temporal.slopes(cube).select("t", "i", "j", "z", "nx", "ny", "nz").join(seen, ["t", "i", "j"])
+    u, v = g.projected(F.col("j").cast("double"), F.col("i").cast("double"), F.col("z"), camera)
+    places = cells.select("t", (F.col("i").cast("long") * _CELL + F.col("j")).alias("id"), v.alias("fi"), u.alias("fj")).where((F.abs("fi") < 1e9) & (F.abs("fj") < 1e9))
+    out = cells.withColumn("id", F.col("i").cast("long") * _CELL + F.col("j"))
+    for k in ("s0", "s1", "s2"):
+        out = out.join(sampled(images.select("t", "i", "j", F.col(k).alias("z")), places).withColumnRenamed("z", k), ["t", "id"], "left")
+    return out.select("t", "i", "j", "z", "nx", "ny", "nz", "angle", (F.col("visible") & F.col("s0").isNotNull()).alias("visible"), "s0", "s1", "s2")
+
+
 def _poses(e: np.ndarray) -> list[tuple[list[float], list[float]]]:
     """The four poses of an essential matrix."""
     u, _, v = np.linalg.svd(e)
@@ -40,13 +63,98 @@ def _poses(e: np.ndarray) -> list[tuple[list[float], list[float]]]:
     return [((u @ m @ v).ravel().tolist(), (s * u[:, 2]).tolist()) for m in (w, w.T) for s in (1.0, -1.0)]
 
 
+def _design(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows of the equations b' E a = 0 of normalised places."""
+    a, b = np.c_[a, np.ones(len(a))], np.c_[b, np.ones(len(b))]
+    return (b[:, :, None] * a[:, None, :]).reshape(len(a), 9)
+
+
+def _essential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least squares over eight matches or more, in coordinates moved and scaled to unit spread, with the two equal
+    singular values that an essential matrix has."""
+
+    def scaling(p):
+        m, s = p.mean(axis=0), max(np.sqrt(p.var(axis=0).sum()), 1e-12)
+        return np.array([[1 / s, 0, -m[0] / s], [0, 1 / s, -m[1] / s], [0, 0, 1]])
+
+    ta, tb = scaling(a), scaling(b)
+    d = _design(a * ta[0, 0] + ta[:2, 2], b * tb[0, 0] + tb[:2, 2])
+    u, s, v = np.linalg.svd(tb.T @ np.linalg.eigh(d.T @ d)[1][:, 0].reshape(3, 3) @ ta)
+    return u @ np.diag([1.0, 1.0, 0.0]) @ v
+
+
+def sampson(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """First-order distances of matches to their epipolar lines."""
+    a, b = np.c_[a, np.ones(len(a))], np.c_[b, np.ones(len(b))]
+    la, lb = a @ e.T, b @ e
+    return np.abs((b * la).sum(axis=1)) / np.sqrt(np.maximum((la[:, :2] ** 2).sum(axis=1) + (lb[:, :2] ** 2).sum(axis=1), 1e-300))
+
+
+def depths(a: np.ndarray, b: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Depths of matches in both cameras, from the rays' least-squares crossing."""
+    x, y = np.c_[a, np.ones(len(a))] @ r.T, np.c_[b, np.ones(len(b))]
+    # z1 * y - z0 * x = t, solved for both depths
+    xx, yy, xy = (x * x).sum(axis=1), (y * y).sum(axis=1), (x * y).sum(axis=1)
+    det = np.where(np.abs(d := xx * yy - xy * xy) > 1e-15, d, np.nan)
+    tx, ty = x @ t, y @ t
+    return (xy * ty - yy * tx) / det, (xx * ty - xy * tx) / det
+
+
+def _inliers(pdf: pd.DataFrame, threshold: float, rounds: int, seed: int) -> pd.DataFrame:
+    pdf = pdf.sort_values("m")
+    a, b = pdf[["ax", "ay"]].to_numpy(float), pdf[["bx", "by"]].to_numpy(float)
+    n = len(a)
+    base = {"frame": int(pdf.frame.iloc[0]), "m": pdf.m.to_numpy()}
+    if n < 8:
+        return pd.DataFrame(base | {"inlier": False, "ahead": False, "r": [[]] * n, "t": [[]] * n})
+    rng = np.random.default_rng([seed, base["frame"] & (2**63 - 1)])
+    best, good = None, np.zeros(n, bool)
+    for _ in range(rounds):
+        e = _essential(a[pick := rng.choice(n, 8, replace=False)], b[pick])
+        near = sampson(e, a, b) < threshold
+        if near.sum() > good.sum():
+            best, good = e, near
+    for _ in range(10):  # settle on all inliers
+        if best is None or good.sum() < 8:
+            break
+        e = _essential(a[good], b[good])
+        near = sampson(e, a, b) < threshold
+        if near.sum() < good.sum():
+            break
+        best, same, good = e, (near == good).all(), near
+        if same:
+            break
+    if best is None:
+        return pd.DataFrame(base | {"inlier": False, "ahead": False, "r": [[]] * n, "t": [[]] * n})
+    votes = []
+    for r, t in _poses(best):
+        r, t = np.array(r).reshape(3, 3), np.array(t)
+        z0, z1 = depths(a, b, r, t)
+        votes.append((((z0 > 0) & (z1 > 0) & good).sum(), r[0, 0], r, t, (z0 > 0) & (z1 > 0)))
+    _, _, r, t, ahead = max(votes, key=lambda v: v[:2])
+    return pd.DataFrame(base | {"inlier": good, "ahead": ahead & good, "r": [r.ravel().tolist()] * n, "t": [t.tolist()] * n})
+
+
+def epipolar_inliers(matches: DataFrame, threshold: float, rounds: int = 500, seed: int = 1) -> DataFrame:
+    """Normalised matches (frame, m, ax, ay, bx, by) -> frame, m, inlier, ahead, r, t: matches within `threshold` (a
+    pixel's share of the focal length) of the epipolar geometry of most inliers, those of them in front of both
+    cameras, and the pose that puts most there (ties to the larger first element of r). Draws are seeded by frame;
+    the geometry is refitted to its inliers. A frame's matches, some thousands at most, meet in one task."""
+    rows = matches.select(F.col("frame").cast("long").alias("frame"), F.col("m").cast("long").alias("m"), *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
+    return rows.groupBy("frame").applyInPandas(lambda pdf: _inliers(pdf, threshold, rounds, seed), "frame long, m long, inlier boolean, ahead boolean, r array<double>, t array<double>")
+
+
 def essential_matrices(matches: DataFrame) -> DataFrame:
     """Normalised matches (frame, ax, ay, bx, by) -> frame, pose 0..3, r (nine), t (three of unit length): candidates of
     the essential matrix of least squares. Only 45 sums a frame leave the executors' aggregation."""
+    x = centred(matches)
     a = [F.col("ax"), F.col("ay"), F.lit(1.0)]
     b = [F.col("bx"), F.col("by"), F.lit(1.0)]
     row = [y * x for y in b for x in a]
-    sums = matches.groupBy("frame").agg(*[F.sum(row[i] * row[j]).alias(f"n{i}{j}") for i in range(9) for j in range(i, 9)])
+    sums = x.groupBy("frame").agg(F.any_value("ma").alias("ma"), F.any_value("mb").alias("mb"), *[F.sum(row[i] * row[j]).alias(f"n{i}{j}") for i in range(9) for j in range(i, 9)])
+
+    def scaling(m):
+        return np.array([[1 / m[2], 0, -m[0] / m[2]], [0, 1 / m[2], -m[1] / m[2]], [0, 0, 1]])
 
     def solve(batches):
         for pdf in batches:
@@ -56,7 +164,7 @@ def essential_matrices(matches: DataFrame) -> DataFrame:
                 for i in range(9):
                     for j in range(i, 9):
                         m[i, j] = m[j, i] = getattr(x, f"n{i}{j}")
-                e = np.linalg.eigh(m)[1][:, 0].reshape(3, 3)
+                e = scaling(x.mb).T @ np.linalg.eigh(m)[1][:, 0].reshape(3, 3) @ scaling(x.ma)
                 out += [(x.frame, k, r, t) for k, (r, t) in enumerate(_poses(e))]
             yield pd.DataFrame(out, columns=["frame", "pose", "r", "t"])
 

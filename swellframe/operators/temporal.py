@@ -5,23 +5,55 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swellframe.functions import signal
 
 
-def filtered(series: DataFrame, rate: float, cutoff: float, high: bool = False, order: int = 8) -> DataFrame:
-    """series (cell, t, v) -> cell, t, v: zero-phase Butterworth filter of each series; a high pass takes the mean off
-    first. Series of 27 samples or fewer raise an error."""
+def gathered(series: DataFrame) -> DataFrame:
+    """series (cell, t, v) -> cell, t array, v array in the order of t: one row a series."""
+    rows = series.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("r"))
+    return rows.select("cell", F.col("r.t").alias("t"), F.col("r.v").cast("array<double>").alias("v"))
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return np.split(values, np.cumsum(column.value_lengths().to_numpy())[:-1])
+
+
+def by_series(series: DataFrame, kernel, width: int) -> DataFrame:
+    """cell, t array, o0, o1, ... arrays: the `width` arrays that kernel(list of series) gives for each series. Many
+    series reach Python together, and are worked on in slices."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                got = kernel(_lists(part.column(2)))
+                out = [pa.array([g[k] for g in got], pa.list_(pa.float64())) for k in range(width)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *out], names=["cell", "t", *[f"o{k}" for k in range(width)]])
+
+    return gathered(series).mapInArrow(run, "cell long, t array<long>, " + ", ".join(f"o{k} array<double>" for k in range(width)))
+
+
+def filtered(series: DataFrame, rate: float, cutoff: float, high: bool = False, order: int = 8, level: bool | None = None) -> DataFrame:
+    """series (cell, t, v) -> cell, t, v: zero-phase Butterworth filter of each series. `level` takes each one's mean
+    off first; by default a high pass does. Series of 27 samples or fewer raise an error."""
     sections = signal.butterworth(order, cutoff, rate, high)
+    level = high if level is None else level
 
-    def run(pdf):
-        pdf = pdf.sort_values("t")
-        v = pdf.v.to_numpy(float)
-        return pd.DataFrame({"cell": pdf.cell, "t": pdf.t, "v": signal.zero_phase(sections, v - v.mean() if high else v)})
+    def kernel(rows):
+        return [(y,) for y in signal.zero_phase_rows(sections, [x - x.mean() if level else x for x in rows])]
+
+    got = by_series(series.select(F.col("cell").cast("long"), F.col("t").cast("long"), "v"), kernel, 1)
+    return got.select("cell", F.explode(F.arrays_zip("t", "o0")).alias("r")).select("cell", F.col("r.t").alias("t"), F.col("r.o0").alias("v"))
 
-    return series.select("cell", "t", "v").groupBy("cell").applyInPandas(run, "cell long, t long, v double")
+
+def fast_filtered(series: DataFrame, rate: float, cutoff: float, high: bool = False) -> DataFrame:
+    """As filtered(), with the rate as a whole number and no mean taken off."""
+    return filtered(series, float(max(1, round(rate))), cutoff, high, level=False)
 
 
 def longer_than(series: DataFrame, least: int) -> DataFrame:
@@ -29,14 +61,41 @@ def longer_than(series: DataFrame, least: int) -> DataFrame:
     return series.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).where(F.col("n") > least).drop("n")
 
 
+def guarded(df: DataFrame, least: int, what: str, by: str) -> DataFrame:
+    """df as it is; reading it fails if a group has `least` rows or fewer."""
+    n = F.count("*").over(Window.partitionBy(by))
+    stop = F.raise_error(F.format_string(f"more than {least} {what} are needed, got %d", "_n")).cast("boolean")
+    return df.withColumn("_n", n).where(F.when(F.col("_n") > least, True).otherwise(stop)).drop("_n")
+
+
 def welch_spectra(series: DataFrame, rate: float, length: int = 512) -> DataFrame:
     """series (cell, t, v) -> cell, f, s."""
+    got = by_series(series.select(F.col("cell").cast("long"), F.col("t").cast("long"), "v"), lambda rows: signal.welch_rows(rows, rate, length), 2)
+    return got.select("cell", F.explode(F.arrays_zip("o0", "o1")).alias("r")).select("cell", F.col("r.o0").alias("f"), F.col("r.o1").alias("s"))
 
-    def run(pdf):
-        f, s = signal.welch(pdf.sort_values("t").v.to_numpy(float), rate, length)
-        return pd.DataFrame({"cell": pdf.cell.iloc[0], "f": f, "s": s})
 
-    return series.groupBy("cell").applyInPandas(run, "cell long, f double, s double")
+def centre_spectrum(cube: DataFrame, rows: int, cols: int, rate: float, length: int = 512, reach: int = 5, scale: float = 1e-3) -> DataFrame:
+    """cube (t, i, j, z) -> f, s: Welch spectra of the cells within `reach` of the middle, averaged; the middle one
+    counts twice. Every series has its mean taken off; heights are scaled (millimetres to metres)."""
+    i0, j0 = rows // 2, cols // 2
+    near = cube.where((F.abs(F.col("i") - i0) <= reach) & (F.abs(F.col("j") - j0) <= reach))
+    wide = near.select((F.col("i").cast("long") * cols + F.col("j")).alias("cell"), F.col("t").cast("long").alias("t"), (F.col("z") * scale).alias("v"))
+    spectra = welch_spectra(wide, rate, length)
+    weight = F.when(F.col("cell") == i0 * cols + j0, 2.0).otherwise(1.0)
+    return spectra.groupBy("f").agg((F.sum(F.col("s") * weight) / F.sum(weight)).alias("s"))
+
+
+def time_step(df: DataFrame, time: str = "time") -> DataFrame:
+    """dt: the second time less the first; null for fewer than two."""
+    two = df.select(F.col(time).alias("x")).distinct().orderBy("x").limit(2)
+    return two.agg(F.when(F.count("*") == 2, F.max("x") - F.min("x")).alias("dt"))
+
+
+def clip_extremes(cube: DataFrame, low: float, high: float) -> tuple[DataFrame, DataFrame]:
+    """The cube clipped to low..high, and one row with the extremes before and after."""
+    clipped = F.greatest(F.lit(low), F.least(F.lit(high), F.col("z")))
+    ends = cube.agg(F.min("z").alias("before_min"), F.max("z").alias("before_max"), F.min(clipped).alias("zmin"), F.max(clipped).alias("zmax"))
+    return cube.withColumn("z", clipped), ends
 
 
 def mean_spectrum(spectra: DataFrame) -> DataFrame:
@@ -153,20 +212,63 @@ def occluded(cube: DataFrame, rows: int, cols: int, eye: tuple[float, float, flo
     return by_surface(cube, rows, cols, lambda z: np.where(np.isnan(z), np.nan, signal.shadowed(z, eye)))
 
 
-def spectrum3d(cube: DataFrame, rows: int, cols: int, rate: float, step: float, block: int = 16, segments_: int = 2) -> DataFrame:
-    """Density over (f, ky, kx) by square blocks of the cube, averaged: fi, ki, kj, s."""
-    x = cube.where(f"i < {rows // block * block} and j < {cols // block * block}").withColumn("b", F.floor(F.col("i") / block) * 4096 + F.floor(F.col("j") / block))
-
-    def run(pdf):
-        ts = np.unique(pdf.t)
-        z = np.full((len(ts), block, block), np.nan)
-        z[np.searchsorted(ts, pdf.t), pdf.i % block, pdf.j % block] = pdf.z
-        z = np.where(np.isnan(z), np.nanmean(z), z)
-        s, nt = signal.spectrum3d(z, rate, step, step, segments_)
-        f, a, b = np.nonzero(np.ones(s.shape))
-        return pd.DataFrame({"fi": f - nt // 2, "ki": a - block // 2, "kj": b - block // 2, "s": s.ravel()})
-
-    return x.groupBy("b").applyInPandas(run, "fi int, ki int, kj int, s double").groupBy("fi", "ki", "kj").agg(F.avg("s").alias("s"))
+def spectrum3d(cube: DataFrame, rows: int, cols: int, frames: int, rate: float, step: float, segments_: int = 10, shift: int = -20) -> DataFrame:
+    """cube (t, i, j, z), t from 0 to frames - 1 -> fi, ki, kj, s: density over frequency and wavenumbers by Welch's
+    method over segments with half overlap, of the square that centre_window() gives.
+
+    Missing cells become their mean over the segment, or else the segment's mean, which is taken off, and symmetric Hann windows are
+    laid along all three axes. The transform is split: over space frame by frame, then over time row by row."""
+    r0, c0, side = signal.centre_window(rows, cols, shift)
+    nt = signal.segment_length(frames, segments_)
+    hop, scale = nt // 2, signal.spectrum_scale(nt, side, rate, step)
+    window, window_t = np.outer(np.hanning(side), np.hanning(side)), np.hanning(nt)
+    places = F.sequence(F.lit(0), F.lit(side - 1))
+    x = cube.where((F.col("i") >= r0) & (F.col("i") < r0 + side) & (F.col("j") >= c0) & (F.col("j") < c0 + side))
+    x = x.select(F.col("t").cast("int").alias("t"), (F.col("i") - r0).cast("int").alias("i"), (F.col("j") - c0).cast("int").alias("j"), F.nanvl("z", F.lit(None).cast("double")).alias("z"))
+    grid_ = cube.sparkSession.range(frames).select(F.col("id").cast("int").alias("t"), F.explode(places).alias("i")).select("t", "i", F.explode(places).alias("j"))
+    k = F.floor(F.col("t") / hop).cast("int")
+    x = grid_.join(x, ["t", "i", "j"], "left").withColumn("segment", F.explode(F.array(k - 1, k)))
+    x = x.where((F.col("segment") >= 0) & (F.col("segment") * hop + nt <= frames) & (F.col("segment") < 2 * segments_))
+    x = x.withColumn("z", F.coalesce("z", F.avg("z").over(Window.partitionBy("segment", "i", "j"))))
+    means = x.groupBy("segment").agg(F.avg("z").alias("m"))
+    x = x.join(F.broadcast(means), "segment").select("segment", (F.col("t") - F.col("segment") * hop).alias("place"), "i", "j", F.coalesce(F.col("z") - F.col("m"), F.lit(0.0)).alias("z"))  # 2 * segments rows at most
+
+    def space(pdf):
+        z = np.zeros((side, side))
+        z[pdf.i.to_numpy(), pdf.j.to_numpy()] = pdf.z.to_numpy(float)
+        h = np.fft.fftshift(np.fft.fft2(z * window))
+        return pd.DataFrame({"segment": pdf.segment.iloc[0], "place": pdf.place.iloc[0], "ki": np.arange(side) - side // 2, "re": list(h.real), "im": list(h.imag)})
+
+    def time(pdf):
+        pdf = pdf.sort_values("place")
+        h = (np.stack(pdf.re.tolist()) + 1j * np.stack(pdf.im.tolist())) * window_t[:, None]
+        s = np.abs(np.fft.fftshift(np.fft.fft(h, axis=0), axes=0)) ** 2 * scale
+        a, b = np.mgrid[0:nt, 0:side]
+        return pd.DataFrame({"fi": (a - nt // 2).ravel(), "ki": pdf.ki.iloc[0], "kj": (b - side // 2).ravel(), "s": s.ravel()})
+
+    wide = x.groupBy("segment", "place").applyInPandas(space, "segment int, place int, ki int, re array<double>, im array<double>")
+    return wide.groupBy("segment", "ki").applyInPandas(time, "fi int, ki int, kj int, s double").groupBy("fi", "ki", "kj").agg(F.avg("s").alias("s"))
+
+
+def force_zero_mean(cube: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cube less each cell's mean over time, and one row with its limits: zmean 0 and zmax = -zmin, the larger of
+    both extremes' sizes."""
+    w = Window.partitionBy("i", "j")
+    out = cube.withColumn("z", F.col("z") - F.avg("z").over(w)).select("t", "i", "j", "z")
+    m = F.greatest(F.abs(F.min("z")), F.abs(F.max("z")))
+    return out, out.agg((-m).alias("zmin"), m.alias("zmax"), F.lit(0.0).alias("zmean"))
+
+
+def visibility(cube: DataFrame, rows: int, cols: int, eye: tuple[float, float, float], most: float = 88.0) -> DataFrame:
+    """cube -> t, i, j, angle (of incidence at the eye), visible: cells whose normal is turned from the eye by less
+    than `most` degrees and that no part of the surface hides."""
+    from swellframe.functions import geometry as g
+
+    hidden = occluded(cube, rows, cols, eye).withColumnRenamed("z", "hidden")
+    s = slopes(cube)
+    angle = g.incidence(F.col("nx"), F.col("ny"), F.col("nz"), F.col("j").cast("double"), F.col("i").cast("double"), F.col("z"), (eye[1], eye[0], eye[2]))
+    x = s.select("t", "i", "j", angle.alias("angle")).join(hidden, ["t", "i", "j"])
+    return x.select("t", "i", "j", "angle", ((F.col("hidden") == 0) & F.coalesce(F.col("angle") < most, F.lit(False))).alias("visible"))
 
 
 def nan_replaced(df: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swellframe.functions import geometry as g
+from swellframe.functions import signal
 from swellframe.operators import cloud as c
 from swellframe.operators import grid, match, raster, surface, temporal
 from swellframe.sources import codecs
@@ -38,17 +39,18 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 
 def query(doubles: str = "", sql: str | None = None, digits: int = 6):
-    """Registers a query; the named columns are rounded on both sides, with no negative zero."""
-    names = doubles.split()
+    """Registers a query; the named columns are rounded on both sides, with no negative zero. A shift far below the
+    last digit comes first: means of short decimals often end on a 5 there, and the engines' sums differ by less."""
+    names, shift = doubles.split(), 3.7e-3 * 10.0**-digits
 
     def take(f):
         def run(spark, sf_dir):
             out = f(spark, sf_dir)
-            return out.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names}) if names else out
+            return out.withColumns({n: F.round(F.col(n) + shift, digits) + F.lit(0.0) for n in names}) if names else out
 
         text = sql
         if sql and names:
-            text = f"SELECT * REPLACE ({', '.join(f'round({n}, {digits}) + 0.0 AS {n}' for n in names)}) FROM ({sql})"
+            text = f"SELECT * REPLACE ({', '.join(f'round({n} + {shift!r}::DOUBLE, {digits}) + 0.0 AS {n}' for n in names)}) FROM ({sql})"
         REGISTRY[f.__name__] = (run, text)
         return f
 
@@ -162,9 +164,23 @@ def plane_fit_refine(spark, sf_dir):
     return c.fit_planes(cloud(spark, sf_dir))
 
 
-@query("a b c d", None, 5)
+_DRAW = "(pid * 7919 + frame * 104729 + CAST(x AS BIGINT) * 31) % 1000003"
+_RANSAC = f"""{CLOUD}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY {_DRAW}, pid, x, y, z) - 1 AS r FROM cloud),
+three AS (SELECT frame, CAST(r // 3 AS INTEGER) AS h, {', '.join(f"max(CASE WHEN r % 3 = {k} THEN {c} END) AS {c}{k}" for k in range(3) for c in 'xyz')} FROM o WHERE r < 96 GROUP BY 1, 2),
+v AS (SELECT *, {', '.join(f"{c}1 - {c}0 AS u{c}, {c}2 - {c}0 AS v{c}" for c in 'xyz')} FROM three),
+n AS (SELECT *, uy * vz - uz * vy AS nx, uz * vx - ux * vz AS ny, ux * vy - uy * vx AS nz FROM v
+      WHERE least(ux * ux + uy * uy + uz * uz, vx * vx + vy * vy + vz * vz, (ux - vx) * (ux - vx) + (uy - vy) * (uy - vy) + (uz - vz) * (uz - vz)) >= 1),
+l AS (SELECT *, nullif(sqrt(nx * nx + ny * ny + nz * nz), 0) * CASE WHEN nz < 0 THEN -1 ELSE 1 END AS s FROM n),
+pl AS (SELECT frame, h, nx / s AS a, ny / s AS b, nz / s AS c, -(nx / s * x0 + ny / s * y0 + nz / s * z0) AS d FROM l WHERE s IS NOT NULL),
+hits AS (SELECT frame, h, a, b, c, d, count(*) FILTER (WHERE abs(x * a + y * b + z * c + d) < 4) AS inliers, count(*) AS points FROM cloud JOIN pl USING (frame) GROUP BY ALL)
+SELECT frame, h, inliers, points, a, b, c, d, inliers >= points * 0.1 AS ok FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY inliers DESC, h) AS k FROM hits) WHERE k = 1"""
+
+
+@query("a b c d", f"WITH {_RANSAC}", 5)
 def ransac_plane(spark, sf_dir):
-    return c.ransac_planes(cloud(spark, sf_dir), rounds=32, threshold=4.0)
+    """Points are drawn in the order of a small arithmetic hash, which SQL can repeat."""
+    draw = F.expr("(pid * 7919 + frame * 104729 + cast(x as bigint) * 31) % 1000003")
+    return c.ransac_planes(cloud(spark, sf_dir), rounds=32, threshold=4.0, order=draw, least_gap=1.0)
 
 
 TRIALS = [(k, 0.02 * k, -0.01 * k, 1.0 - 0.002 * k, -5.0 * k) for k in range(8)]
@@ -179,10 +195,9 @@ def ransac_inlier_count(spark, sf_dir):
     return wide.select("frame", "points", F.posexplode(F.array(*[f"h{k}" for k in range(8)])).alias("h", "inliers")).select("frame", "h", "inliers", "points")
 
 
-@query(sql=f"WITH {CUBE}, gaps AS (SELECT a.t, abs(a.z - b.z) AS gap FROM cube a JOIN cube b ON a.t = b.t AND a.j = b.j AND b.i = a.i - 1), r AS (SELECT t, gap, row_number() OVER (PARTITION BY t ORDER BY gap) - 1 AS k, count(*) OVER (PARTITION BY t) AS n FROM gaps) SELECT t, gap AS value FROM r WHERE k = least(CAST(floor(n * 0.99) AS BIGINT), n - 1)")
+@query(sql=f"WITH {CUBE}, gaps AS (SELECT a.t, abs(a.z - b.z) AS gap FROM cube a JOIN cube b ON a.t = b.t AND b.i = a.i - 1 AND abs(b.j - a.j) <= 1 WHERE a.j BETWEEN 1 AND {COLS - 2}), r AS (SELECT t, gap, row_number() OVER (PARTITION BY t ORDER BY gap) - 1 AS k, count(*) OVER (PARTITION BY t) AS n FROM gaps) SELECT t, gap AS value FROM r WHERE k = least(CAST(floor(n * 0.99) AS BIGINT), n - 1)")
 def zgap_percentile(spark, sf_dir):
-    gaps = c.neighbour_gaps(cube(spark, sf_dir))
-    return c.index_percentile(gaps.select("t", F.col("up").alias("gap")), "t", "gap", 99)
+    return c.index_percentile(c.upper_gaps(cube(spark, sf_dir), COLS), "t", "gap", 99)
 
 
 @query(sql=f"WITH RECURSIVE {CUBE}, n AS (SELECT t, (CAST(t AS BIGINT) * 1048576 + i) * 1048576 + j AS a, i, j, z FROM cube), e AS (SELECT p.a AS a, q.a AS b FROM n p JOIN n q ON p.t = q.t AND abs(p.z - q.z) < 4 AND ((p.i = q.i AND abs(p.j - q.j) = 1) OR (p.j = q.j AND abs(p.i - q.i) = 1))), r AS (SELECT a, a AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), m AS (SELECT a, min(b) AS component FROM r GROUP BY a), s AS (SELECT t, component, count(*) AS size FROM m JOIN n USING (a) GROUP BY 1, 2) SELECT t, max(size) AS size, min(component) FILTER (WHERE size = top) AS component, count(*) AS components FROM (SELECT *, max(size) OVER (PARTITION BY t) AS top FROM s) GROUP BY t")
@@ -332,7 +347,7 @@ def payoff_pairs(spark, sf_dir):
 
 @query()
 def game_match(spark, sf_dir):
-    return match.game_selected(match.payoffs(matches(spark, sf_dir), 1e-4))
+    return match.game_selected(matches(spark, sf_dir), 1e-4)
 
 
 @query(sql=f"WITH {FEATURES}, cand AS (SELECT a.frame, a.fid AS fa, b.fid AS fb FROM features a JOIN features b ON a.frame = b.frame AND a.cam = 0 AND b.cam = 1 AND a.cell = b.cell), used AS (SELECT * FROM cand WHERE (fa + fb) % 11 = 0) SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.frame = cand.frame AND u.fa = cand.fa) AND NOT EXISTS (SELECT 1 FROM used u WHERE u.frame = cand.frame AND u.fb = cand.fb)")
@@ -370,16 +385,21 @@ def match_union(spark, sf_dir):
     return match.union_all([o.where(F.col("space") == s) for s in "FOP"])
 
 
-@query()
+_NINE = [f"h{k}" for k in range(9)]
+
+
+@query(" ".join(_NINE), None, 5)
 def homography_fit(spark, sf_dir):
-    return match.homographies(matches(spark, sf_dir)).select("frame", F.size("h").alias("n"), (F.element_at("h", 9) >= 0).alias("signed"))
+    """The nine numbers of each frame's homography."""
+    return match.homographies(matches(spark, sf_dir)).select("frame", *[F.element_at("h", k + 1).alias(n) for k, n in enumerate(_NINE)])
 
 
-@query()
+@query("r0 r1 r2 r3 r4 r5 r6 r7 r8 t0 t1 t2", None, 5)
 def relative_poses(spark, sf_dir):
     """Pose of the second camera by frame, from matches in normalised places."""
     m = matches(spark, sf_dir)
-    return surface.poses(m.select("frame", *[(F.col(k) / 800).alias(k) for k in ("ax", "ay", "bx", "by")])).select("frame", "votes", F.size("r").alias("n"))
+    got = surface.poses(m.select("frame", *[(F.col(k) / 800).alias(k) for k in ("ax", "ay", "bx", "by")]))
+    return got.select("frame", "votes", *[F.element_at("r", k + 1).alias(f"r{k}") for k in range(9)], *[F.element_at("t", k + 1).alias(f"t{k}") for k in range(3)])
 
 
 @query("radiance", f"WITH {CUBE}, p AS (SELECT t, i, j, 0.4 * i + 0.1 * z / 8 + 1.5 AS fi, 0.6 * j + 0.05 * z / 8 + 0.5 AS fj FROM cube), o(a, b) AS (VALUES (0, 0), (0, 1), (1, 0), (1, 1)), x AS (SELECT t, i, j, floor(fi) + a AS ci, floor(fj) + b AS cj, CASE WHEN a = 1 THEN fi - floor(fi) ELSE 1 - (fi - floor(fi)) END * CASE WHEN b = 1 THEN fj - floor(fj) ELSE 1 - (fj - floor(fj)) END AS w FROM p, o) SELECT x.t, x.i, x.j, CASE WHEN count(z) = 4 THEN sum(w * z) / 255 END AS radiance FROM x LEFT JOIN cube c ON c.t = x.t AND c.i = x.ci AND c.j = x.cj GROUP BY x.t, x.i, x.j")
@@ -480,24 +500,83 @@ def butterworth_filtfilt(spark, sf_dir):
     return temporal.filtered(temporal.longer_than(series(spark, sf_dir), 27), 10.0, 1.0)
 
 
-@query("s", None, 4)
+_WELCH = "w AS (SELECT cell, k, t - k * 8 AS p, v - avg(v) OVER (PARTITION BY cell, k) AS v FROM (SELECT cell, t, v, n, t // 8 + o AS k FROM ns, (VALUES (-1), (0)) z(o)) WHERE k >= 0 AND k * 8 + 16 <= n), d AS (SELECT cell, k, f, sum(v * (0.5 - 0.5 * cos(2 * pi() * p / 16)) * cos(2 * pi() * f * p / 16)) AS re, sum(v * (0.5 - 0.5 * cos(2 * pi() * p / 16)) * sin(2 * pi() * f * p / 16)) AS im FROM w, (SELECT unnest(range(9)) AS f) GROUP BY cell, k, f), sp AS (SELECT cell, f * 10.0 / 16 AS f, avg((re * re + im * im) / 60 * CASE WHEN f IN (0, 8) THEN 1 ELSE 2 END) AS s FROM d GROUP BY cell, f)"
+
+
+@query("s", f"WITH {SERIES}, ns AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY cell) AS n FROM series) WHERE n > 27), {_WELCH} SELECT cell, f, s FROM sp", 4)
 def welch_spectrum(spark, sf_dir):
     return temporal.welch_spectra(temporal.longer_than(series(spark, sf_dir), 27), 10.0, 16)
 
 
-@query("z", None, 4)
+def _low_pass_sql() -> str:
+    gain = f"(1 / sqrt(1 + power(sqrt(power((CASE WHEN a < {ROWS // 2} THEN a ELSE a - {ROWS} END) / ({ROWS} * 0.5), 2) + power((CASE WHEN b < {COLS // 2} THEN b ELSE b - {COLS} END) / ({COLS} * 0.5), 2)) / (2 * pi() * 0.16 / 9.81), 8)))"
+    return f"""WITH {CUBE}, full_ AS (SELECT t, i, j, z FROM cube UNION ALL SELECT m.t, i, j, m.z FROM (SELECT t, avg(z) AS z FROM cube GROUP BY t) m, (SELECT unnest(range({ROWS})) AS i) x, (SELECT unnest(range({COLS})) AS j) y WHERE NOT EXISTS (SELECT 1 FROM cube c WHERE c.t = m.t AND c.i = x.i AND c.j = y.j)),
+p AS (SELECT t, i, b, sum(z * cos(2 * pi() * b * j / {COLS})) AS re, -sum(z * sin(2 * pi() * b * j / {COLS})) AS im FROM full_, (SELECT unnest(range({COLS})) AS b) GROUP BY t, i, b),
+q AS (SELECT t, a, b, sum(re * cos(2 * pi() * a * i / {ROWS}) + im * sin(2 * pi() * a * i / {ROWS})) * {gain} AS re, sum(im * cos(2 * pi() * a * i / {ROWS}) - re * sin(2 * pi() * a * i / {ROWS})) * {gain} AS im FROM p, (SELECT unnest(range({ROWS})) AS a) GROUP BY t, a, b),
+u AS (SELECT t, i, b, sum(re * cos(2 * pi() * a * i / {ROWS}) - im * sin(2 * pi() * a * i / {ROWS})) AS re, sum(im * cos(2 * pi() * a * i / {ROWS}) + re * sin(2 * pi() * a * i / {ROWS})) AS im FROM q, (SELECT unnest(range({ROWS})) AS i) GROUP BY t, i, b),
+r AS (SELECT t, i, j, sum(re * cos(2 * pi() * b * j / {COLS}) - im * sin(2 * pi() * b * j / {COLS})) / {ROWS * COLS} AS z FROM u, (SELECT unnest(range({COLS})) AS j) GROUP BY t, i, j)
+SELECT r.t, r.i, r.j, r.z FROM r JOIN cube USING (t, i, j)"""
+
+
+@query("z", _low_pass_sql(), 4)
 def spatial_lowpass(spark, sf_dir):
     return temporal.low_passed(cube(spark, sf_dir), ROWS, COLS, 0.5, 0.4)
 
 
-@query("s", None, 4)
+FRAMES, SIDE = 40, 12
+MOVIE = f"movie AS (SELECT CAST(l_orderkey % {FRAMES} AS INTEGER) AS t, CAST(l_partkey % {SIDE} AS INTEGER) AS i, CAST(l_suppkey % {SIDE} AS INTEGER) AS j, max(l_extendedprice) / 1000 AS z FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def movie(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
+    """A longer cube of few cells: t, i, j, z."""
+    x = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % FRAMES).cast("int").alias("t"), (F.col("l_partkey") % side).cast("int").alias("i"), (F.col("l_suppkey") % side).cast("int").alias("j"), F.col("l_extendedprice").alias("v"))
+    return x.groupBy("t", "i", "j").agg((F.max("v") / 1000).alias("z"))
+
+
+def _spectrum_sql() -> str:
+    r0, c0, side = signal.centre_window(SIDE, SIDE)
+    nt = signal.segment_length(FRAMES)
+    hann = lambda k, n: f"(0.5 - 0.5 * cos(2 * pi() * {k} / {n - 1}))"
+    turn = f"2 * pi() * (f * p / {nt}.0 + a * i / {side}.0 + b * j / {side}.0)"
+    return f"""WITH {MOVIE}, g AS (SELECT s, p, i, j FROM (SELECT unnest(range({(FRAMES - nt) // (nt // 2) + 1})) AS s), (SELECT unnest(range({nt})) AS p), (SELECT unnest(range({side})) AS i), (SELECT unnest(range({side})) AS j)),
+x AS (SELECT g.s, g.p, g.i, g.j, coalesce(m.z, avg(m.z) OVER (PARTITION BY g.s, g.i, g.j)) AS z FROM g LEFT JOIN movie m ON m.t = g.s * {nt // 2} + g.p AND m.i = g.i + {r0} AND m.j = g.j + {c0}),
+w AS (SELECT s, p, i, j, coalesce(z - avg(z) OVER (PARTITION BY s), 0) * {hann('p', nt)} * {hann('i', side)} * {hann('j', side)} AS z FROM x),
+d AS (SELECT s, f, a, b, sum(z * cos({turn})) AS re, sum(z * sin({turn})) AS im FROM w, (SELECT unnest(range({-(nt // 2)}, {nt // 2})) AS f), (SELECT unnest(range({-(side // 2)}, {side // 2 + 1})) AS a), (SELECT unnest(range({-(side // 2)}, {side // 2 + 1})) AS b) GROUP BY s, f, a, b)
+SELECT CAST(f AS INTEGER) AS fi, CAST(a AS INTEGER) AS ki, CAST(b AS INTEGER) AS kj, avg(re * re + im * im) * {signal.spectrum_scale(nt, side, 5.0, 0.5)!r}::DOUBLE AS s FROM d GROUP BY f, a, b"""
+
+
+@query("s", _spectrum_sql(), 9)
 def spectrum3d(spark, sf_dir):
-    return temporal.spectrum3d(cube(spark, sf_dir), ROWS, COLS, 5.0, 0.5)
+    return temporal.spectrum3d(movie(spark, sf_dir), SIDE, SIDE, FRAMES, 5.0, 0.5)
+
+
+_CENTRE = MOVIE.replace(f"% {SIDE}", "% 4") + ", series AS (SELECT i * 4 + j AS cell, row_number() OVER (PARTITION BY i, j ORDER BY t) - 1 AS t, z / 1000 AS v FROM movie WHERE i BETWEEN 1 AND 3 AND j BETWEEN 1 AND 3), ns AS (SELECT *, count(*) OVER (PARTITION BY cell) AS n FROM series)"
+
+
+@query("s", f"WITH {_CENTRE}, {_WELCH} SELECT f, sum(s * CASE WHEN cell = 10 THEN 2 ELSE 1 END) / sum(CASE WHEN cell = 10 THEN 2 ELSE 1 END) AS s FROM sp GROUP BY f", 12)
+def centre_spectrum(spark, sf_dir):
+    """The middle cell's spectrum, counted twice, and its neighbours'."""
+    return temporal.centre_spectrum(movie(spark, sf_dir, 4), 4, 4, 10.0, 16, reach=1)
+
 
+_RAY = (-30.0, 16.0, 120.0)
+_SHADOW = f"""top AS (SELECT t, max(z) AS top FROM cube GROUP BY t), r AS (SELECT c.t, i, j, z, top, {_RAY[0]} - i AS di, {_RAY[1]} - j AS dj, {_RAY[2]} - z AS dz, greatest(abs({_RAY[0]} - i), abs({_RAY[1]} - j)) AS far FROM cube c JOIN top USING (t)),
+m AS (SELECT t, i, j, n, round_even(i + n * (di / far), 0) AS p, round_even(j + n * (dj / far), 0) AS q, z + n * (dz / far) AS h FROM r, (SELECT unnest(range(1, 90)) AS n) WHERE n < far AND i + n * (di / far) > -0.5 AND i + n * (di / far) < {ROWS} - 0.5 AND j + n * (dj / far) > -0.5 AND j + n * (dj / far) < {COLS} - 0.5 AND z + n * (dz / far) <= top),
+hid AS (SELECT DISTINCT m.t, m.i, m.j FROM m JOIN cube b ON b.t = m.t AND b.i = m.p AND b.j = m.q WHERE b.z >= m.h)"""
 
-@query("hidden_percent", None, 4)
+
+@query("hidden_percent", f"WITH {CUBE}, {_SHADOW} SELECT c.t, avg(CASE WHEN hid.t IS NULL THEN 0.0 ELSE 1.0 END) * 100 AS hidden_percent, count(*) AS cells FROM cube c LEFT JOIN hid ON hid.t = c.t AND hid.i = c.i AND hid.j = c.j GROUP BY c.t", 4)
 def occlusion_mask(spark, sf_dir):
-    return temporal.hidden_share(temporal.occluded(cube(spark, sf_dir), ROWS, COLS, (-30.0, 16.0, 120.0)))
+    return temporal.hidden_share(temporal.occluded(cube(spark, sf_dir), ROWS, COLS, _RAY))
+
+
+_TURNED = f"{_SLOPE}, an AS (SELECT t, i, j, degrees(acos(greatest(-1, least(1, -(nx * (j - {_RAY[1]}) + ny * (i - ({_RAY[0]})) + nz * (z - {_RAY[2]})) / sqrt((j - {_RAY[1]}) * (j - {_RAY[1]}) + (i - ({_RAY[0]})) * (i - ({_RAY[0]})) + (z - {_RAY[2]}) * (z - {_RAY[2]})))))) AS angle FROM nm)"
+
+
+@query("angle", f"WITH {CUBE}, {_SHADOW}, {_TURNED} SELECT an.t, an.i, an.j, angle, hid.t IS NULL AND coalesce(angle < 88, FALSE) AS visible FROM an LEFT JOIN hid ON hid.t = an.t AND hid.i = an.i AND hid.j = an.j", 4)
+def visibility_map(spark, sf_dir):
+    """Cells that the eye sees: neither hidden nor turned away by 88 degrees."""
+    return temporal.visibility(cube(spark, sf_dir), ROWS, COLS, _RAY)
 
 
 @query("z", None, 3)
@@ -515,14 +594,16 @@ def nan_replace(spark, sf_dir):
 def truth_outliers(spark, sf_dir):
     """Errors against a known surface below their 99.9th percentile."""
     e = cloud(spark, sf_dir).select("frame", F.abs(F.col("z") - F.col("x") * 1.5).alias("err"))
-    q = e.groupBy("frame").agg(F.percentile("err", F.lit(0.999)).alias("q"))
+    q = grid.quantiles(e, "err", [0.999], ["frame"]).withColumnRenamed("q0", "q")
     return e.join(q, "frame").where("err < q").groupBy("frame").agg(F.count("*").alias("n"), F.max("err").alias("worst"))
 
 
 @query()
 def local_plane_outliers(spark, sf_dir):
-    x = c.voted_outliers(cloud(spark, sf_dir), 10.0, 25.0)
-    return x.groupBy("frame").agg(F.count_if("outlier").alias("outliers"), F.count("*").alias("points"))
+    """Points with votes against them around 5 x 5 places of a frame."""
+    draw = F.expr("(pid * 7919 + cast(x as bigint) * 31) % 1000003")
+    x = c.voted_outliers(cloud(spark, sf_dir), 4.0, 25.0, 16, 5, order=draw)
+    return x.groupBy("frame").agg(F.count("*").alias("outliers"), F.sum("votes").alias("votes"))
 
 
 @query(sql="SELECT 'l_orderkey' AS \"column\", 'bigint' AS type, count(*) AS rows, count(l_orderkey) AS \"values\" FROM lineitem UNION ALL SELECT 'l_quantity', 'double', count(*), count(l_quantity) FROM lineitem UNION ALL SELECT 'l_returnflag', 'string', count(*), count(l_returnflag) FROM lineitem")
@@ -530,6 +611,9 @@ def describe_cube(spark, sf_dir):
     return codecs.described(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag"))
 
 
+from swellframe.plans import more  # noqa: E402, F401  registers further queries
+
+
 def queries() -> dict:
     return {k: f for k, (f, _) in REGISTRY.items()}
 

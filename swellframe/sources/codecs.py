@@ -64,6 +64,34 @@ def decode_ply(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows["p"].astype(float), rows["c"]
 
 
+def encode_triangles(points: np.ndarray, faces: np.ndarray) -> bytes:
+    """Binary PLY of points (n, 3) and triangles (m, 3) of their numbers."""
+    head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(points)}\n" + "".join(f"property float {c}\n" for c in "xyz") + f"element face {len(faces)}\nproperty list uchar int vertex_indices\nend_header\n"
+    rows = np.zeros(len(faces), np.dtype([("n", "u1"), ("f", "<i4", 3)]))
+    rows["n"], rows["f"] = 3, faces
+    return head.encode() + points.astype("<f4").tobytes() + rows.tobytes()
+
+
+def frustum_ply(r: np.ndarray, t: np.ndarray, size: float = 1.0) -> str:
+    """ASCII PLY of a camera at pose (r, t): the four corners of its frame, then its centre and the ends of its axes."""
+    centre = -r.T @ t
+    corners = [centre + size * r.T @ np.array([a, b, 1.0]) for a, b in ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5))]
+    points = [*corners, centre, *[centre + size * row for row in r]]
+    edges = [(k, (k + 1) % 4) for k in range(4)] + [(4, 5), (4, 6), (4, 7)]
+    head = ["ply", "format ascii 1.0", f"element vertex {len(points)}", *[f"property float {c}" for c in "xyz"], f"element edge {len(edges)}", "property int vertex1", "property int vertex2", "end_header"]
+    return "\n".join(head + [" ".join(f"{v:.9g}" for v in p) for p in points] + [f"{a} {b}" for a, b in edges]) + "\n"
+
+
+def encode_matches(matches: np.ndarray) -> bytes:
+    """u32 number of matches, then f8 ax, ay, bx, by and score of each."""
+    return struct.pack("<I", len(matches)) + matches.astype("<f8").tobytes()
+
+
+def decode_matches(data: bytes) -> np.ndarray:
+    n = struct.unpack_from("<I", data)[0]
+    return np.frombuffer(data, "<f8", 5 * n, 4).reshape(n, 5)
+
+
 def encode_features(features: np.ndarray) -> bytes:
     """Rows of x, y, scale, angle and the descriptor."""
     return struct.pack("<2I", len(features), features.shape[1] - 4) + features.astype("<f4").tobytes()
@@ -134,10 +162,19 @@ def read_matches(spark: SparkSession, path: str) -> DataFrame:
     return m.select("frame", "m", *[F.element_at("v", (F.col("m") * 4 + k + 1).cast("int")).alias(c) for k, c in enumerate(("ax", "ay", "bx", "by"))])
 
 
-def read_settings(spark: SparkSession, path: str) -> DataFrame:
-    """KEY=value lines -> key, value; comments are left out."""
+def read_settings(spark: SparkSession, path: str, defaults: dict[str, str] | None = None) -> DataFrame:
+    """KEY=value lines -> key, value; comments are left out, and defaults stand for keys that are missing."""
     lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("v")).where("v like '%=%'")
-    return lines.select(F.trim(F.split_part("v", F.lit("="), F.lit(1))).alias("key"), F.trim(F.substring_index("v", "=", -1)).alias("value"))
+    found = lines.select(F.trim(F.split_part("v", F.lit("="), F.lit(1))).alias("key"), F.trim(F.substring_index("v", "=", -1)).alias("value"))
+    if not defaults:
+        return found
+    known = spark.createDataFrame(list(defaults.items()), "key string, fallback string")
+    return found.join(known, "key", "full").select("key", F.coalesce("value", "fallback").alias("value"))
+
+
+def settings_text(defaults: dict[str, str]) -> str:
+    """A settings file that names every key, commented out, with its default."""
+    return "".join(f"# {k}={v}\n" for k, v in defaults.items())
 
 
 def write_text_cloud(points: DataFrame, path: str, stride: int = 1) -> None:
@@ -147,6 +184,104 @@ def write_text_cloud(points: DataFrame, path: str, stride: int = 1) -> None:
     x.select("frame", F.concat_ws(" ", *[F.format_string("%.15g", c) for c in "xyz"]).alias("value")).write.partitionBy("frame").text(path)
 
 
+def workdirs(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """Frame folders (000012_wd) under a path that hold files: frame, path, in order; the first ones only if asked."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"^(.*/\d+_wd)/", 1).alias("path"))
+    found = files.where("path <> ''").distinct().select(frame_of(F.concat("path", F.lit("/"))).alias("frame"), "path").orderBy("frame")
+    return found if first is None else found.limit(first)
+
+
+def known_folders(spark: SparkSession, listed: str, path: str) -> DataFrame:
+    """The folders named in a text file (one a token) that exist as frame folders under the path: path."""
+    names = spark.read.text(listed).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("name")).where("name <> ''").distinct()
+    found = workdirs(spark, path).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return found.join(names.select(F.element_at(F.split(F.regexp_replace("name", "/+$", ""), "/"), -1).alias("name")), "name", "left_semi").select("path")
+
+
+def write_lines(df: DataFrame, path: str, columns: list[str], form: str = "%.16e", by: str = "frame", gap: str = " ", count: bool = False) -> None:
+    """One text file of numbers a group, in the order of all columns, a folder a group; `count` puts the number of rows
+    first. A group is one file, as its readers expect, and so one task writes it."""
+    line = F.concat_ws(gap, *[F.coalesce(F.format_string(form, F.col(c).cast("double")), F.lit("nan")) for c in columns])
+    order = [c for c in df.columns if c != by and c not in columns] + columns
+    x = df.select(by, *[F.col(c) for c in order], line.alias("value")).withColumn("k", F.lit(1))
+    if count:
+        head = df.groupBy(by).agg(F.count("*").alias("n")).select(by, *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order], F.col("n").cast("string").alias("value"), F.lit(0).alias("k"))
+        x = head.unionByName(x)
+    x.repartition(by).sortWithinPartitions(by, "k", *order).select(by, "value").write.partitionBy(by).text(path)
+
+
+def write_matches(matches: DataFrame, path: str) -> None:
+    """matches (frame, m, ax, ay, bx, by) -> a count and then a match a line."""
+    write_lines(matches.select("frame", "m", "ax", "ay", "bx", "by"), path, ["ax", "ay", "bx", "by"], "%.15g", count=True)
+
+
+def write_planes(planes: DataFrame, path: str) -> None:
+    """planes (frame, a, b, c, d) -> one line a frame in the order of frames, "nan" for what is missing, in few files."""
+    line = F.concat_ws(" ", *[F.coalesce(F.format_string("%.20g", F.col(c)), F.lit("nan")) for c in "abcd"])
+    planes.repartitionByRange("frame").sortWithinPartitions("frame").select(line.alias("value")).write.text(path)
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """error_stats() rows as CSV with semicolons and a header."""
+    stats.write.option("sep", ";").option("header", "true").csv(path)
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("sep", ";").option("header", "true").schema("frame long, n long, avg_err double, std_err double, min_err double, max_err double").csv(path)
+
+
+def xml_matrix(name: Column, rows: int, cols: int, values: Column) -> Column:
+    """The XML text of one matrix, as read_xml_matrices() takes it."""
+    numbers = F.array_join(F.transform(values, lambda x: F.format_string("%.16e", x)), " ")
+    return F.format_string('<?xml version="1.0"?>\n<opencv_storage>\n<%s type_id="opencv-matrix">\n  <rows>%d</rows>\n  <cols>%d</cols>\n  <dt>d</dt>\n  <data>\n    %s</data></%s>\n</opencv_storage>\n', name, F.lit(rows), F.lit(cols), numbers, name)
+
+
+def write_extrinsics(pose: DataFrame, frames: DataFrame, path: str) -> None:
+    """pose (r nine, t three), one row, and frames (frame) -> ext_R and ext_T as XML text for every frame's folder."""
+    both = F.array(F.struct(F.lit("ext_R").alias("name"), xml_matrix(F.lit("ext_R"), 3, 3, F.col("r")).alias("value")), F.struct(F.lit("ext_T").alias("name"), xml_matrix(F.lit("ext_T"), 3, 1, F.col("t")).alias("value")))
+    rows = frames.select("frame").distinct().crossJoin(F.broadcast(pose.select("r", "t").limit(1)))  # one row
+    rows.select("frame", F.explode(both).alias("m")).select("frame", "m.*").write.partitionBy("frame", "name").option("lineSep", "\n").text(path)
+
+
+def grid_settings(spark: SparkSession, path: str) -> DataFrame:
+    """An [Area] file -> one row: cx, cy, width, height, nx, ny. `area_size` and `N` stand for both directions; what is
+    missing has the template's value."""
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "[#;].*", "")).alias("v")).where("v like '%=%'")
+    pair = lines.select(F.lower(F.trim(F.split_part("v", F.lit("="), F.lit(1)))).alias("k"), F.trim(F.substring_index("v", "=", -1)).try_cast("double").alias("x"))
+    of = lambda *names: F.coalesce(*[F.max(F.when(F.col("k") == n, F.col("x"))) for n in names])
+    known = {"cx": of("area_center_x"), "cy": of("area_center_y"), "width": of("area_size_x", "area_size"), "height": of("area_size_y", "area_size"), "nx": of("nx", "n"), "ny": of("ny", "n")}
+    return pair.agg(*[F.coalesce(v, F.lit(GRID_TEMPLATE[n])).cast("int" if n in ("nx", "ny") else "double").alias(n) for n, v in known.items()])
+
+
+#: The grid that a new settings file describes (fixed values).
+GRID_TEMPLATE = {"cx": 0.0, "cy": -35.0, "width": 50.0, "height": 50.0, "nx": 1024.0, "ny": 1024.0}
+
+
+def grid_settings_text() -> str:
+    g = GRID_TEMPLATE
+    return f"[Area]\narea_center_x={g['cx']}\narea_center_y={g['cy']}\narea_size={g['width']}\nN={int(g['nx'])}\n"
+
+
+def grid_nodes(spark: SparkSession, settings: dict) -> DataFrame:
+    """i, j, x, y, kx, ky of every node of a grid: lines from one end of the area to the other, and the wavenumbers of
+    a centred spectrum (even numbers of lines)."""
+    from swellframe.operators.grid import axis, wavenumber
+
+    nx, ny = int(settings["nx"]), int(settings["ny"])
+    left, low = settings["cx"] - settings["width"] / 2, settings["cy"] - settings["height"] / 2
+    dx, dy = settings["width"] / (nx - 1), settings["height"] / (ny - 1)
+    ij = spark.range(nx * ny).select(F.expr(f"cast(id div {nx} as int)").alias("i"), (F.col("id") % nx).cast("int").alias("j"))
+    return ij.select("i", "j", axis(F.col("j"), nx, left, left + settings["width"]).alias("x"), axis(F.col("i"), ny, low, low + settings["height"]).alias("y"), wavenumber(F.col("j"), nx, dx).alias("kx"), wavenumber(F.col("i"), ny, dy).alias("ky"))
+
+
+def square_step(nodes: DataFrame) -> DataFrame:
+    """nodes (i, j, x, y) -> dx: the distance of neighbouring nodes; reading it fails unless cells are square."""
+    ends = nodes.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in "ijxy" for f in (F.min, F.max)])
+    step = lambda x, n: (F.col(f"max_{x}") - F.col(f"min_{x}")) / F.nullif(F.col(f"max_{n}") - F.col(f"min_{n}"), F.lit(0))
+    square = F.abs(step("x", "j") - step("y", "i")) <= 1e-6 * F.abs(step("x", "j"))
+    return ends.select(F.when(square, step("x", "j")).otherwise(F.raise_error(F.lit("the grid's cells aren't square")).cast("double")).alias("dx"))
+
+
 def image_files(spark: SparkSession, path: str) -> DataFrame:
     """Images of a folder in order: n, path. The first ending with more than one file counts; otherwise none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("path")
@@ -163,6 +298,45 @@ def write_cube(cube: DataFrame, path: str, tile: int = 128) -> None:
     x.repartition("ti", "tj", F.floor(F.col("t") / 512)).sortWithinPartitions("ti", "tj", "t", "i", "j").write.partitionBy("ti", "tj").parquet(path)
 
 
+def write_cube_parts(path: str, cube: DataFrame, nodes: DataFrame | None = None, frames: DataFrame | None = None, settings: DataFrame | None = None) -> None:
+    """A cube with what belongs to it: nodes (i, j, x, y, kx, ky, mask), frames (t, time, workdir) and settings
+    (key, value), each a table beside the heights."""
+    write_cube(cube, f"{path}/z")
+    for name, part in (("nodes", nodes), ("frames", frames), ("settings", settings)):
+        if part is not None:
+            part.write.parquet(f"{path}/{name}")
+
+
+def read_cube_parts(spark: SparkSession, path: str, name: str = "z") -> DataFrame:
+    """One of the tables of write_cube_parts()."""
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def cube_settings(cube: DataFrame, rate: float, more: dict[str, str] | None = None) -> DataFrame:
+    """key, value: number of frames, limits of the heights, rate, and whatever else is told."""
+    ends = cube.agg(F.count_distinct("t").alias("count"), F.min("z").alias("zmin"), F.max("z").alias("zmax"))
+    known = [F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in ("count", "zmin", "zmax")]
+    told = [F.struct(F.lit(k).alias("key"), F.lit(str(v)).alias("value")) for k, v in {"fps": rate, **(more or {})}.items()]
+    return ends.select(F.explode(F.array(*known, *told)).alias("r")).select("r.*")
+
+
+def grid_setup(spark: SparkSession, values: dict[str, object]) -> DataFrame:
+    """Named scalars and matrices of a grid's setup -> name, rows, cols, values (row by row)."""
+    rows = [(k, *np.atleast_2d(np.asarray(v, float)).shape, np.atleast_2d(np.asarray(v, float)).ravel().tolist()) for k, v in values.items()]
+    return spark.createDataFrame(rows, "name string, rows int, cols int, values array<double>")
+
+
+def write_spectrum(spectrum: DataFrame, stats: DataFrame, path: str) -> None:
+    """A spectrum and one row of its statistics and origin."""
+    spectrum.write.parquet(f"{path}/spectrum")
+    stats.write.parquet(f"{path}/stats")
+
+
+def write_frames(products: DataFrame, path: str, by: str = "t") -> None:
+    """Products of frames, such as polarimetry()'s rows, in a folder a frame."""
+    products.repartition(by).sortWithinPartitions(by).write.partitionBy(by).parquet(path)
+
+
 def read_cube(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
