@@ -1,53 +1,18 @@
-"""Helpers shared by the training-data operators: tables, shared scratch tables, words and hashes."""
+"""Helpers shared by the training-data operators: hashes and bounded broadcasts, with the library's tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GOLD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given Parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from swellframe.tables import cut, discard, scratch, shared_dir, table
 
+__all__ = ["GOLD", "bounded_ids", "crc_of", "crc_text", "cut", "discard", "mix", "same_columns", "scratch", "shared_dir", "table"]
 
-def scratch(spark: SparkSession, kind: str) -> str:
-    """A new path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/swellframe/{kind}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: later steps survive lost executors
-    without computing it again."""
-    path = scratch(df.sparkSession, kind)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the table behind a result of cut() that nothing needs any more."""
-    spark, path = df.sparkSession, getattr(df, "scratch_path", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bounded_ids(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
