@@ -1,13 +1,13 @@
 """Token ids, written as Re-Pair grammars: one shard a row, in ascending doc_id order.
 
-A shard holds some documents' ids. Re-Pair replaces frequent id pairs by nonterminals, many pairs a round and never
-across a document's end, while symbols fit 16 bits; the rules, the length that each nonterminal expands to and each
-document's place in the compressed sequence are stored with it, so a document, or a part of one, is decoded without the
-rest of its shard.
-
-Layout of a payload (little-endian): b"RPG1"; u32 base, rules, symbols, documents; u16 left[rules], right[rules];
-u32 length[rules]; u16 symbol[symbols]; u32 symbols of each document; u32 ids of each document. Symbols below base are
-ids, others are nonterminals. Ids of 65,536 or more are stored as u32 symbols with no rules (magic b"RPG4").
+A shard holds some documents' ids. Re-Pair replaces frequent id pairs by nonterminals, never across a document's end,
+until no pair of symbols stands in `MIN_COUNT` places any more. Each round replaces many pairs at once, the most
+frequent ones first. The rules, the length that each nonterminal expands to and each document's place in the compressed
+sequence are stored with it, so a document, or a part of one, is decoded without the rest of its shard.
+
+Layout of a payload (little-endian): b"RPG2"; u32 width, base, rules, symbols, documents; left[rules], right[rules],
+u32 length[rules]; symbol[symbols]; u32 symbols of each document; u32 ids of each document. Symbols take `width` bytes,
+2 or 4; those below base are ids, others are nonterminals.
 """
 
 from __future__ import annotations
@@ -17,27 +17,30 @@ import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from swellframe.llm.common import scratch
+from swellframe.llm.common import GOLD, scratch
 
 END = 2
-ROUNDS, PER_ROUND, MIN_COUNT = 3, 5_100, 24
+#: Places that a pair must have to be replaced, and the most pairs that one round replaces.
+MIN_COUNT, PER_ROUND = 24, 8_192
 #: Ids in a shard, but for its last document.
 SHARD_IDS = 1 << 20
-_CACHED, _LONGEST = 800_000, 48
+#: Pieces in a generation of the encoder's cache, and the longest one that is kept.
+_CACHED, _LONGEST = 600_000, 48
 _APART = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s | \s|^ | $")
 
 
 class Encoder:
-    """Whole texts to ids. Texts are encoded in pieces cut before single blanks between other characters, where the
-    vocabulary's byte-level pre-tokenizer always cuts too; pieces met before come from a bounded cache."""
+    """Whole texts to ids. Texts are encoded in pieces cut before single blanks, and before single line ends with no
+    blank beside them, where the vocabulary's byte-level pre-tokenizer always cuts too; pieces met before come from a
+    cache of two generations, so that frequent pieces stay and its memory is bounded."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,48 +49,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model._resize_cache(0)  # pieces are cached here instead
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for x, i in vocabulary.items() if x[0] == "Ġ"]] = True  # ids whose text begins with a blank
+        self.breaks = np.zeros(len(self.opens), bool)
+        self.breaks[vocabulary["Ċ"]] = True  # the line end
 
     def pieces(self, text: str) -> list[str]:
-        """The text's start, marked by a newline in front, and its further pieces without their blank."""
-        found = _APART.split(text) if _ODD.search(text) else text.split(" ")
-        found[0] = "\n" + found[0]
+        """The text's start, marked by a blank in front; words without their blank; words with the line end before."""
+        plain = not any(x in text for x in ("  ", "\n ", " \n", "\n\n\n")) and not text[0].isspace() and not text[-1].isspace() and text.replace("\n", "").isprintable()
+        found = text.replace("\n", " \n").split(" ") if plain else _APART.split(text)
+        found[0] = " " + found[0]
         return found
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, new: list[str]) -> None:
-        """Encodes pieces: those without white space many at once, told apart by the ids that open with a blank."""
-        plain = [x for x in new if len(x) < 1000 and len(x.split()) == 1 and not x[0].isspace() and not x[-1].isspace()]
-        parts = [plain[at : at + 512] for at in range(0, len(plain), 512)]
-        for part, got in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, np.uint32)
-            edges = np.flatnonzero(self.opens[ids])
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Encodes pieces: those of one word many at once, told apart by the ids that open with a blank or are a line
+        end."""
+        got: dict[str, bytes] = {}
+        words = [x for x in new if x.isprintable() and 0 < len(x) < 1000 and " " not in x]
+        lines = [x for x in new if x[:1] == "\n" and 1 < len(x) < 1000 and x[1:].isprintable() and " " not in x]
+        parts = [(self.opens, " ", words[at : at + 256]) for at in range(0, len(words), 256)] + [(self.breaks, "", lines[at : at + 256]) for at in range(0, len(lines), 256)]
+        joined = [gap + gap.join(part) for _, gap, part in parts]
+        for (edge, _, part), found in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            edges = np.flatnonzero(edge[ids])
             if len(edges) == len(part) and edges[0] == 0:
                 blob = ids.tobytes()
-                places = (edges * 4).tolist() + [len(blob)]
-                self.cache.update(zip(part, (blob[a:b] for a, b in zip(places, places[1:], strict=False)), strict=True))
-        for x in new:
-            if x not in self.cache:
-                self.cache[x] = self._whole(x[1:] if x[:1] == "\n" else " " + x).tobytes()
+                places = (edges * 4).tolist()
+                got.update(zip(part, map(blob.__getitem__, map(slice, places, [*places[1:], len(blob)])), strict=True))
+        for x in new.difference(got):
+            got[x] = self._whole(x[1:] if x[:1] == " " else x if x[:1] == "\n" else " " + x).tobytes()
+        return got
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.pieces(t) if t else [] for t in texts]
-        cache = self.cache
-        new = set(chain.from_iterable(cut)).difference(cache)
-        if len(cache) + len(new) > _CACHED:
-            cache.clear()
-            new = set(chain.from_iterable(cut))
-        self._learn(list(new))
-        find, end = cache.__getitem__, np.uint32(END).tobytes()
-        out = [np.frombuffer(b"".join(map(find, pieces)) + end, np.uint32) for pieces in cut]
-        for x in new:
-            if len(x) > _LONGEST or x[:1] == "\n":
-                del cache[x]
-        return out
+        found = [list(map(self.cache.get, pieces)) for pieces in cut]
+        new: set[str] = set()
+        for pieces, got in zip(cut, found, strict=True):
+            new.update(compress(pieces, map(not_, got)))
+        more = {x: self.older[x] for x in new & self.older.keys()}
+        more.update(self._learn(new - more.keys()))
+        end = np.uint32(END).tobytes()
+        for pieces, got in zip(cut, found, strict=True):
+            for i in compress(range(len(got)), map(not_, got)):
+                got[i] = more[pieces[i]]
+            got.append(end)
+        self.cache.update((x, ids) for x, ids in more.items() if len(x) <= _LONGEST and x[:1] != " ")
+        if len(self.cache) > _CACHED:
+            self.older, self.cache = self.cache, {}
+        return [np.frombuffer(b"".join(got), np.uint32) for got in found]
 
 
 @lru_cache(2)
@@ -96,70 +110,83 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def re_pair(seq: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS):
-    """seq: symbols below 65,536; last: whether a symbol ends its document. -> (symbols, last, rules, lengths).
-
-    Each round counts all neighbours, gives the most frequent pairs nonterminals and replaces them from left to right;
-    of overlapping candidates in a run every second one is taken."""
-    seq, rules, lengths = seq.astype(np.uint32), np.empty((0, 2), np.uint32), np.ones(base, np.int64)
-    for _ in range(rounds):
-        room = min(PER_ROUND, 65_536 - base - len(rules))
-        if room <= 0 or len(seq) < 2:
-            break
-        pair = (seq[:-1] << np.uint32(16)) | seq[1:]
-        inside = ~last[:-1]
-        # a cheap count by hash first: only pairs that may be frequent are counted exactly
-        bucket = (pair * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        often = np.bincount(bucket[inside], minlength=1 << 20)[bucket] >= MIN_COUNT
-        at = np.flatnonzero(often & inside)
-        values, inverse, counts = np.unique(pair[at], return_inverse=True, return_counts=True)
-        top = np.argsort(-counts, kind="stable")[:room]
-        top = top[counts[top] >= MIN_COUNT]
-        if not len(top):
+def _frequent(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that stand in MIN_COUNT places at least -> places, number of the pair at each, pairs, counts. A count by
+    hash comes first: only pairs that may be frequent are sorted."""
+    at = np.arange(len(pair))
+    if len(pair) > 1 << 16:
+        slot = ((pair * GOLD) >> np.uint64(44)).astype(np.int32)
+        at = np.flatnonzero((np.bincount(slot, minlength=1 << 20) >= MIN_COUNT)[slot])
+    values, inverse, counts = np.unique(pair[at], return_inverse=True, return_counts=True)
+    often = counts >= MIN_COUNT
+    kept = often[inverse]
+    return at[kept], (np.cumsum(often) - 1)[inverse[kept]], values[often], counts[often]
+
+
+def re_pair(seq: np.ndarray, last: np.ndarray, base: int):
+    """seq: symbols; last: whether a symbol ends its document. -> (symbols, last, rules, lengths).
+
+    Each round gives the most frequent pairs nonterminals and replaces them from left to right, until no pair inside a
+    document stands in MIN_COUNT places; of overlapping places in a run every second one is taken. Once all frequent
+    pairs of a round are replaced, only pairs with a nonterminal of that round can be frequent, and others aren't
+    counted again."""
+    seq, parts, lengths, fresh = seq.astype(np.uint32), [], np.ones(base, np.int64), 0
+    while len(seq) > 1:
+        new = seq >= fresh
+        place = np.flatnonzero((new[:-1] | new[1:]) & ~last[:-1])
+        at, which, values, counts = _frequent((seq[place].astype(np.uint64) << np.uint64(32)) | seq[place + 1])
+        if not len(at):
             break
+        top = np.argsort(-counts, kind="stable")[:PER_ROUND]
         symbol = np.full(len(values), -1, np.int64)
-        symbol[top] = base + len(rules) + np.arange(len(top))
-        rules = np.concatenate([rules, np.stack([values[top] >> np.uint32(16), values[top] & np.uint32(0xFFFF)], axis=1)])
-        lengths = np.concatenate([lengths, lengths[values[top] >> np.uint32(16)] + lengths[values[top] & np.uint32(0xFFFF)]])
-        chosen = symbol[inverse]
+        symbol[top] = np.arange(len(top))
+        at, chosen = place[at], symbol[which]
         at, chosen = at[chosen >= 0], chosen[chosen >= 0]
         new_run = np.ones(len(at), bool)
         new_run[1:] = np.diff(at) > 1
         first = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
         use = (np.arange(len(at)) - first) % 2 == 0
         at, chosen = at[use], chosen[use]
-        seq[at] = chosen
+        # overlapping places may leave a pair few; half of all stay, so some pair keeps half of its count
+        good = np.bincount(chosen, minlength=len(top)) * 2 >= MIN_COUNT
+        if good.all() and len(top) == len(values):
+            fresh = len(lengths)
+        at, chosen = at[good[chosen]], (np.cumsum(good) - 1)[chosen[good[chosen]]]
+        rules = values[top[good]]
+        parts.append(rules)
+        a, b = (rules >> np.uint64(32)).astype(np.int64), (rules & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        seq[at] = len(lengths) + chosen
+        lengths = np.concatenate([lengths, lengths[a] + lengths[b]])
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
-    return seq, last, rules, lengths[base:]
+    rules = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    return seq, last, np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32), lengths[base:]
 
 
-def write_shard(docs: list[np.ndarray], rounds: int = ROUNDS) -> bytes:
+def write_shard(docs: list[np.ndarray]) -> bytes:
     """The payload of some documents' ids."""
     sizes = np.array([len(d) for d in docs], np.uint32)
     seq = np.concatenate(docs) if docs else np.empty(0, np.uint32)
-    top = int(seq.max(initial=0))
-    if top >= 65_536:
-        return b"RPG4" + struct.pack("<4I", top + 1, 0, len(seq), len(docs)) + seq.astype("<u4").tobytes() + sizes.astype("<u4").tobytes() * 2
-    base = top + 1
+    base = int(seq.max(initial=0)) + 1
     last = np.zeros(len(seq), bool)
     last[np.cumsum(sizes, dtype=np.int64) - 1] = True
-    seq, last, rules, lengths = re_pair(seq, last, base, rounds)
+    seq, last, rules, lengths = re_pair(seq, last, base)
     own = np.diff(np.flatnonzero(last), prepend=-1)
-    return b"".join([b"RPG1", struct.pack("<4I", base, len(rules), len(seq), len(docs)), rules[:, 0].astype("<u2").tobytes(), rules[:, 1].astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u2").tobytes(), own.astype("<u4").tobytes(), sizes.astype("<u4").tobytes()])
+    width = 2 if base + len(rules) <= 65_536 else 4
+    plain = lambda x: x.astype(f"<u{width}").tobytes()
+    return b"".join([b"RPG2", struct.pack("<5I", width, base, len(rules), len(seq), len(docs)), plain(rules[:, 0]), plain(rules[:, 1]), lengths.astype("<u4").tobytes(), plain(seq), own.astype("<u4").tobytes(), sizes.astype("<u4").tobytes()])
 
 
 class Shard:
     """A payload, decoded document by document or id range by id range."""
 
     def __init__(self, payload: bytes):
-        wide = payload[:4] == b"RPG4"
-        if not wide and payload[:4] != b"RPG1":
+        if payload[:4] != b"RPG2":
             raise ValueError("not a token shard")
-        self.base, n_rules, n_symbols, n_docs = struct.unpack_from("<4I", payload, 4)
-        at = 20
+        width, self.base, n_rules, n_symbols, n_docs = struct.unpack_from("<5I", payload, 4)
+        at, symbol = 24, f"<u{width}"
 
         def take(kind, n):
             nonlocal at
@@ -167,19 +194,20 @@ class Shard:
             at += out.nbytes
             return out
 
-        left, right, lengths = take("<u2", n_rules), take("<u2", n_rules), take("<u4", n_rules)
-        self.symbols = take("<u4" if wide else "<u2", n_symbols).astype(np.int64)
+        left, right, lengths = take(symbol, n_rules).tolist(), take(symbol, n_rules).tolist(), take("<u4", n_rules)
+        self.symbols = take(symbol, n_symbols).astype(np.int64)
         self.doc_symbols, self.doc_ids = take("<u4", n_docs), take("<u4", n_docs)
         self.lengths = np.concatenate([np.ones(self.base, np.int64), lengths.astype(np.int64)])
         # all expansions one after another; a rule's parts come before it
         self.place = np.concatenate([np.arange(self.base), self.base + np.cumsum(lengths, dtype=np.int64) - lengths])
         self.flat = np.empty(self.base + int(lengths.sum()), np.uint32)
         self.flat[: self.base] = np.arange(self.base)
-        for k in range(n_rules):
-            to, a, b = self.place[self.base + k], left[k], right[k]
-            mid = to + self.lengths[a]
-            self.flat[to:mid] = self.flat[self.place[a] : self.place[a] + self.lengths[a]]
-            self.flat[mid : mid + self.lengths[b]] = self.flat[self.place[b] : self.place[b] + self.lengths[b]]
+        size, place, flat = self.lengths.tolist(), self.place.tolist(), self.flat
+        for k, (a, b) in enumerate(zip(left, right, strict=True), self.base):
+            to = place[k]
+            mid = to + size[a]
+            flat[to:mid] = flat[place[a] : place[a] + size[a]]
+            flat[mid : mid + size[b]] = flat[place[b] : place[b] + size[b]]
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.lengths[symbols]
@@ -203,7 +231,7 @@ class Shard:
 SHARDS = "part int, seq int, ids long, doc_ids array<long>, payload binary"
 
 
-def _writer(path: str, shard_ids: int, rounds: int):
+def _writer(path: str, shard_ids: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -211,7 +239,7 @@ def _writer(path: str, shard_ids: int, rounds: int):
         names, docs, held = [], [], 0
 
         def out():
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([write_shard(docs, rounds)], pa.binary())], names=["part", "seq", "ids", "doc_ids", "payload"])
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([write_shard(docs)], pa.binary())], names=["part", "seq", "ids", "doc_ids", "payload"])
             return row
 
         for batch in batches:
@@ -230,13 +258,13 @@ def _writer(path: str, shard_ids: int, rounds: int):
     return run
 
 
-def write_tokens(docs: DataFrame, to: str, vocabulary: str, shard_ids: int = SHARD_IDS, rounds: int = ROUNDS) -> None:
+def write_tokens(docs: DataFrame, to: str, vocabulary: str, shard_ids: int = SHARD_IDS) -> None:
     """docs (doc_id, text, ...) -> shards under the path `to`, a Parquet table of SHARDS.
 
     Rows are dealt by ranges of doc_id and sorted in them (null ids first, equal ids by text), so (part, seq) is
     ascending doc_id order. Null texts are empty; every document ends with id 2. An empty table writes no shard."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_writer(vocabulary, shard_ids, rounds), SHARDS).write.option("compression", "zstd").parquet(to)
+    rows.mapInArrow(_writer(vocabulary, shard_ids), SHARDS).write.option("compression", "zstd").parquet(to)
 
 
 def _reader(batches):
