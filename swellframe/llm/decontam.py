@@ -3,13 +3,15 @@
 A-Z are lowered; words are runs of a-z, 0-9 and non-ASCII characters. Every window of `size` words of an item, or the
 whole of a shorter item, is a gram. While the grams number at most `most`, they go into the plan as a literal hash set:
 each row scans its own word positions, first by a window's first word, then by its first and last word, and the windows
-left are looked up with their whole text, so a hit is verified by the words themselves and no text is shuffled. A larger
-benchmark is joined by its grams instead, window by window.
+left are looked up with their whole text, so a hit is verified by the words themselves and no text is shuffled. For a
+larger benchmark, hashes of windows whose first word begins a gram are joined with hashes of the grams, and the few
+that meet are verified by their words.
 """
 
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,20 +81,23 @@ def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def _joined(inner: DataFrame, grams: DataFrame) -> DataFrame:
-    """Hits by a join of all windows with all grams, for benchmarks beyond the bound."""
-    inner = inner.withColumn("key", F.monotonically_increasing_id())
+    """Hits by a join of window hashes with gram hashes, for benchmarks beyond the bound. A text is known by two
+    hashes of its words, so that equal texts share their hits and a task that runs again names them alike; window
+    rows are 40 bytes each. Hits carry the gram's words and are verified by them."""
     sizes = [r.len for r in grams.select("len").distinct().collect()]  # `size` values at most
+    hashed = grams.select("len", "gram", F.xxhash64("gram").alias("h"))
+    inner = inner.withColumns({"k1": F.xxhash64("w"), "k2": F.xxhash64(F.lit("w"), "w")})
 
     def of(n):
-        grams_ = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
-        return inner.where(F.size("w") >= n).select("key", F.posexplode(grams_).alias("p", "gram"), F.lit(n).alias("len"))
+        windows_ = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+        return inner.where(F.size("w") >= n).select("k1", "k2", F.posexplode(windows_).alias("p", "h"), F.lit(n).alias("len"))
 
-    windows = [of(n) for n in sizes]
-    every = windows[0]
-    for x in windows[1:]:
-        every = every.union(x)
-    found = every.join(grams, ["len", "gram"], "left_semi").groupBy("key").agg(F.collect_list(F.struct((F.col("p") + 1).alias("pos"), F.col("len"))).alias("hits"))
-    return inner.join(found, "key", "left").withColumn("hits", F.coalesce("hits", F.expr(NO_HITS))).drop("key")
+    windows = reduce(DataFrame.union, [of(n) for n in sizes])
+    met = windows.join(hashed, ["len", "h"]).groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("p") + 1).alias("pos"), F.col("len"), F.col("gram"))).alias("met"))
+    found = inner.join(met, ["k1", "k2"], "left")
+    true = F.filter("met", lambda m: F.array_join(F.slice("w", m["pos"], m["len"]), " ") == m["gram"])
+    hits = F.transform(true, lambda m: F.struct(m["pos"].alias("pos"), m["len"].alias("len")))
+    return found.withColumn("hits", F.coalesce(hits, F.expr(NO_HITS))).drop("k1", "k2", "met")
 
 
 def hit_positions(hits: str = "hits") -> Column:
@@ -104,7 +109,8 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """One row per row of docs (doc_id, text, ...): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and wordless texts have no words and no hits; null item ids and wordless items are left out; repeated rows
-    are reported each. Other columns are ignored. An empty table gives an empty result."""
+    are reported each; ties don't arise; texts of any length are scanned whole. Other columns are ignored. An empty
+    table gives an empty result."""
     found = scan(docs.select("doc_id", "text"), benchmark, size)
     row = found.select("row.doc_id", F.monotonically_increasing_id().alias("at"), F.size("w").cast("long").alias("n_words"), F.size(hit_positions()).cast("long").alias("n_hit"),
                        F.array_distinct(F.transform("hits", lambda h: F.array_join(F.slice("w", h.pos, h.len), " "))).alias("seen"))
@@ -115,13 +121,15 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_hit: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns kept, whose hit words are at most `most_hit` of their words."""
+    """The rows of docs, all columns kept, whose hit words are at most `most_hit` of their words. Null and wordless texts
+    stay, repeated rows fare alike, clashing columns stay as they are; an empty table or benchmark removes nothing."""
     share = F.size(hit_positions()) / F.greatest(F.size("w"), F.lit(1))
     return scan(docs, benchmark, size).where(share <= most_hit).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of docs with the words inside occurrences, and what stands before each of them, cut from `text`."""
+    """The rows of docs with the words inside occurrences, and what stands before each of them, cut from `text`. Null
+    texts and texts without a hit stay as they are, and so do all other columns; repeated rows fare alike."""
     at, text = hit_positions(), F.col("row.text")
     pieces = F.regexp_extract_all(text, F.lit(f"{OTHER_CASED}{WORD_CASED}"), F.lit(0))
     left = F.filter(F.transform(pieces, lambda x, i: F.struct(x.alias("x"), F.array_contains(at, i + 1).alias("hit"))), lambda p: ~p.hit)
