@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swellframe.llm.common import cut, same_columns
+from swellframe.llm.common import cut, discard, same_columns
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("авекмнорстухіјѕԁԛԝαβεικνορτυχωζ", "abekmhopctyxijsdqwabeiknoptuxwz", strict=True))
@@ -58,12 +58,16 @@ def terms(words: set[str], least: int = 3, most: int = 12) -> set[str]:
     """Words with their ends marked, and their beginnings."""
     out = set()
     for w in words:
-        if w and len(w) <= 64:
+        if w:
             out.update(" " + w[:k] for k in range(least, min(most, len(w)) + 1))
             out.add(f" {w} ")
     return out
 
 
+def _counted(seen: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "m"])
+
+
 def automaton(entries) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for k, v in entries:
@@ -100,7 +104,7 @@ class ToxicityModel:
                     start = end - len(k) + 1
                     hits[start] = max(hits.get(start, (0.0, "")), (w, k))
             kept = [x for at, x in hits.items() if not any(a <= at < b for a, b in spared)]
-            return sum(w for w, _ in kept), folded.count(" ") - folded.count("  "), sorted({k.strip() for _, k in kept})
+            return sum(w for w, _ in kept), len(folded.split()), sorted({k.strip() for _, k in kept})
 
         return match
 
@@ -127,13 +131,16 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     return b.tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs: int = 4, max_terms: int = 2_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs: int = 4) -> ToxicityModel:
     """docs (doc_id, text) and labels (doc_id, toxic 0/1) -> a model.
 
     At most `max_rows` labelled documents are used, those with the smallest hashes of their ids; equal texts, and most
-    near copies (those with the same two smallest hashes of longer words), count once. Null labels, ids and texts are left out. Without toxic labels the lexicon is empty.
+    near copies (those with the same two smallest hashes of longer words), count once. Of contradicting labels of one id
+    "toxic" counts. Null labels, ids and texts are left out; texts are read whole. Without toxic labels, or rows, the
+    lexicon is empty. Only entries that tell toxic from other texts reach the driver, and of those as many stay as
+    COVER entries a toxic text ask for.
     """
-    ids = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    ids = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by max_rows
     longer = F.array_distinct(F.transform(F.filter(F.split("text", r"\s+"), lambda w: F.length(w) >= 7), lambda w: F.xxhash64(w)))
@@ -148,34 +155,36 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([doc] * len(found), pa.int64())], names=["term", "doc"])
 
     toxic = rows.where("toxic = 1").select("doc_id", "text").mapInArrow(positive, "term string, doc long")
-    frequent = toxic.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    counts = {r.term: r.n for r in frequent.toLocalIterator()}
+    toxic = cut(toxic, "toxic-terms")
+    frequent = cut(toxic.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs), "toxic-frequent")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    if not counts:
-        return ToxicityModel({}, list(EXCEPTIONS), [math.log((pos + 0.5) / (neg + 0.5)) if pos + neg else -4.0, 0.0, 0.0])
-    wanted = frozenset(counts)
 
     def negative(batches):
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(terms(set(fold(text).split())) & wanted)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
-
-    clean = {r.term: r.n for r in rows.where("toxic = 0").select("text").mapInArrow(negative, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
-    weight = {k: math.log((n + 0.5) / (pos + 1)) - math.log((clean.get(k, 0) + 0.5) / (neg + 1)) for k, n in counts.items()}
-    telling = {k for k, w in weight.items() if w >= 2.5 and clean.get(k, 0) <= 0.25 * counts[k]}
+                seen.update(terms(set(fold(text).split())))
+                if len(seen) > 200_000:
+                    yield _counted(seen)
+                    seen.clear()
+        yield _counted(seen)
+
+    clean = rows.where("toxic = 0").select("text").mapInArrow(negative, "term string, m long").groupBy("term").agg(F.sum("m").alias("m"))
+    both = frequent.join(clean, "term", "left").select("term", "n", F.coalesce("m", F.lit(0)).alias("m"))
+    odds = F.log((F.col("n") + 0.5) / (pos + 1)) - F.log((F.col("m") + 0.5) / (neg + 1))
+    both = both.withColumn("w", odds).where((F.col("w") >= 2.5) & (F.col("m") <= 0.25 * F.col("n")))
     # of a beginning and its one common extension, the extension says more
-    best: dict[str, int] = {}
-    for k in telling:
-        best[k[:-1]] = max(best.get(k[:-1], 0), counts[k])
-    telling = {k for k in telling if best.get(k, 0) < 0.95 * counts[k]}
-    spark = docs.sparkSession
-    named = spark.createDataFrame([(k,) for k in telling], "term string") if telling else None
-    where = {r.term: set(r.docs) for r in toxic.join(F.broadcast(named), "term").groupBy("term").agg(F.collect_list("doc").alias("docs")).toLocalIterator()} if named is not None else {}
+    longer = both.groupBy(F.expr("substring(term, 1, length(term) - 1)").alias("term")).agg(F.max("n").alias("more"))
+    telling = both.join(longer, "term", "left").where("more is null or more < 0.95 * n").select("term", "w")
+    found = toxic.join(telling, "term").groupBy("term", "w").agg(F.collect_list("doc").alias("docs")).toPandas()  # telling entries of the sample
+    weight = dict(zip(found.term, found.w, strict=True))
+    where = {k: set(map(int, d)) for k, d in zip(found.term, found.docs, strict=True)}
+    discard(toxic, frequent)
+    if not where:
+        return ToxicityModel({}, list(EXCEPTIONS), [math.log((pos + 0.5) / (neg + 0.5)) if pos + neg else -4.0, 0.0, 0.0])
     lexicon, covered = {}, Counter()
-    while where and len(lexicon) < max_terms:
+    while where:
         _, _, best = max((len(d), weight[k], k) for k, d in where.items())
         lexicon[best] = weight[best]
         covered.update(taken := where.pop(best))
@@ -196,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs:
 
     phrases = rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(around, "phrase string, toxic int")
     spared = phrases.groupBy("phrase").agg(F.sum(1 - F.col("toxic")).alias("n"), F.sum("toxic").alias("t")).where((F.col("n") >= min_docs) & (F.col("t") * 20 <= F.col("n")))
-    model.exceptions += [r.phrase for r in spared.orderBy(F.desc("n"), "phrase").limit(max_terms).collect()]
+    model.exceptions += [r.phrase for r in spared.orderBy(F.desc("n"), "phrase").collect()]  # phrases of the sample
 
     got = rows.select("doc_id", "text").mapInArrow(_matched(model), "doc_id long, weight double, words long, found array<string>")
     seen = got.join(rows.select("doc_id", "toxic"), "doc_id").select("weight", "words", "toxic").toPandas()  # at most max_rows
@@ -222,7 +231,8 @@ def _matched(model: ToxicityModel):
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, score, words, found (the entries met), one row per row.
 
-    Null and empty texts score as texts without any entry. Other columns are ignored; repeated rows score alike."""
+    Null and empty texts score as texts without any entry; texts of any length are read whole. Null ids stay, other
+    columns are ignored, repeated rows score alike; an empty table gives an empty result."""
     a, b, c = model.curve
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_matched(model), "doc_id long, weight double, words long, found array<string>")
     z = F.lit(a) + F.lit(b) * F.log1p("weight") + F.lit(c) * F.log1p(100 * F.col("weight") / (F.col("words") + 50))
@@ -230,7 +240,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns kept, whose text scores below the threshold."""
+    """The rows of docs, all columns kept, whose text scores below the threshold. Null and empty texts score as texts
+    without any entry, repeated rows fare alike, clashing columns stay as they are; an empty table stays empty."""
     at = docs.columns.index("text")
 
     def run(batches):
