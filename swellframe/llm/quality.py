@@ -2,10 +2,11 @@
 
 Words are runs of letters, of digits or of other signs, with their case, hashed into `BUCKETS`. Every bucket has a
 fixed sparse index vector of +1 and -1; a bucket's word vector is the sum of the index vectors of the words next to it
-over all documents, counted in whole numbers by every task and summed by Spark. A document's pooled vector is the mean
-of its words' unit vectors, their spread, and a few pooled counts (lengths, repeats, shares of signs and capitals).
-A network of one hidden layer is trained on a bounded sample of labelled rows; a temperature fitted on rows kept from
-training calibrates its probabilities.
+over all documents, counted in whole numbers by every task and summed by Spark. A document's inputs are pooled from its
+words' unit vectors alone, once with equal weights and once with weights that fall with a word's frequency: their mean,
+their spread, the mean's length, and the mean and mean square of the products of neighbouring words' vectors, which
+tell running text from repeats and shuffled words. A network of one hidden layer is trained on a bounded sample of
+labelled rows; a temperature fitted on rows kept from training calibrates its probabilities.
 """
 
 from __future__ import annotations
@@ -33,22 +34,16 @@ _KIND = np.full(256, 3, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _KIND[48:58] = 2
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-#: Bytes worked on at once.
-BLOCK = 1 << 22
+#: Characters worked on at once: while contexts are counted, and while vectors, which should stay in cache, are pooled.
+BLOCK, POOL_BLOCK = 1 << 22, 1 << 17
 
 
 @dataclass
 class Words:
-    """The words of some texts: bucket, document and byte length of each, and counts of bytes by document."""
+    """The words of some texts: bucket and document of each."""
 
     bucket: np.ndarray
     doc: np.ndarray
-    length: np.ndarray
-    bytes_: np.ndarray
-    upper: np.ndarray
-    lines: np.ndarray
 
 
 def words(texts: list[str | None]) -> Words:
@@ -73,82 +68,132 @@ def words(texts: list[str | None]) -> Words:
     code[kind == 0] = 0
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code, dtype=np.uint64)])
     h = mix(total[stop] - total[start])
-    doc = np.searchsorted(ends, start, "right")
-    edges = np.concatenate([[0], ends])
-    count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[edges])
-    return Words((h >> np.uint64(64 - BITS)).astype(np.int64), doc, (stop - start), sizes, count(_UPPER[b]), count(b == 10))
+    return Words((h >> np.uint64(64 - BITS)).astype(np.int64), np.searchsorted(ends, start, "right"))
 
 
 _CODES = mix(np.arange(1, 16 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(16, 256)
 
 
-def blocks(batches, column: int = 0):
-    """Slices of record batches with at most about BLOCK bytes of text; a longer text comes alone."""
-    for batch in batches:
-        texts = batch.column(column)
-        first, held = 0, 0
-        for i, t in enumerate(texts):
-            n = len(t.as_py() or "")
-            if held and held + n > BLOCK:
-                yield batch.slice(first, i - first)
-                first, held = i, 0
-            held += n
-        if first < batch.num_rows:
-            yield batch.slice(first)
+def slices(texts: list[str | None], block: int):
+    """(number of the first text, texts or one slice of a text, whether the text before goes on): at most `block`
+    characters at once. Longer texts are cut at white space where there is some."""
+    first, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        if held and size + len(t) > block:
+            yield first, held, False
+            held, size = [], 0
+        if len(t) > block:
+            at = 0
+            while at < len(t):
+                end = at + block
+                if end < len(t):
+                    gap = max(t.rfind(" ", at, end), t.rfind("\n", at, end))
+                    end = gap + 1 if gap > at else end
+                yield i, [t[at:end]], at > 0
+                at = end
+            first = i + 1
+            continue
+        if not held:
+            first = i
+        held.append(t)
+        size += len(t)
+    if held:
+        yield first, held, False
+
+
+def word_runs(texts: list[str | None], block: int):
+    """(buckets, documents, how many words at the start were in the run before) of slices(): a slice of a long text
+    begins with the last REACH words of the slice before."""
+    tail = np.empty(0, np.int64)
+    for first, part, goes_on in slices(texts, block):
+        w = words(part)
+        carried = tail if goes_on else tail[:0]
+        bucket, doc = np.concatenate([carried, w.bucket]), np.concatenate([np.full(len(carried), first), w.doc + first])
+        tail = bucket[-REACH:]
+        yield bucket, doc, len(carried)
 
 
 def _count_contexts(batches):
     table = np.zeros(BUCKETS * DIMS, np.int64)
-    for part in blocks(batches):
-        w = words(part.column(0).to_pylist())
-        for off in range(1, REACH + 1):
-            near = w.doc[off:] == w.doc[:-off]
-            a, b = w.bucket[:-off][near], w.bucket[off:][near]
-            for word, context in ((a, b), (b, a)):
-                for k in range(NONZERO):
-                    table += np.bincount(word * DIMS + _PLACES[context, k], _SIGNS[context, k], BUCKETS * DIMS).astype(np.int64)
+    seen = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for bucket, doc, old in word_runs(batch.column(0).to_pylist(), BLOCK):
+            seen += np.bincount(bucket[old:], minlength=BUCKETS)
+            for off in range(1, REACH + 1):
+                near = doc[off:] == doc[:-off]
+                near[: max(0, old - off)] = False  # pairs of the run before
+                a, b = bucket[:-off][near], bucket[off:][near]
+                for word, context in ((a, b), (b, a)):
+                    for k in range(NONZERO):
+                        table += np.bincount(word * DIMS + _PLACES[context, k], _SIGNS[context, k], BUCKETS * DIMS).astype(np.int64)
     table = table.reshape(BUCKETS, DIMS)
-    rows = np.flatnonzero(table.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *[pa.array(table[rows, d]) for d in range(DIMS)]], names=["bucket", *[f"d{d}" for d in range(DIMS)]])
+    rows = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(seen[rows]), *[pa.array(table[rows, d]) for d in range(DIMS)]], names=["bucket", "n", *[f"d{d}" for d in range(DIMS)]])
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit word vectors from all documents, a table of BUCKETS x DIMS whatever the input's size."""
+def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Unit word vectors and weights by frequency from all documents, tables of BUCKETS rows whatever the input's
+    size."""
     dims = [f"d{d}" for d in range(DIMS)]
-    parts = docs.select("text").mapInArrow(_count_contexts, "bucket long, " + ", ".join(f"{d} long" for d in dims))
-    got = parts.groupBy("bucket").agg(*[F.sum(d).alias(d) for d in dims]).toPandas()  # at most BUCKETS rows
-    table = np.zeros((BUCKETS, DIMS), np.float32)
+    parts = docs.select("text").mapInArrow(_count_contexts, "bucket long, n long, " + ", ".join(f"{d} long" for d in dims))
+    got = parts.groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(d).alias(d) for d in dims]).toPandas()  # at most BUCKETS rows
+    table, weight = np.zeros((BUCKETS, DIMS), np.float32), np.ones(BUCKETS, np.float32)
     if len(got):
-        v = got[dims].to_numpy(float)
-        table[got.bucket.to_numpy()] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    return table
+        v, at = got[dims].to_numpy(float), got.bucket.to_numpy()
+        table[at] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        weight[at] = RARE / (RARE + got.n.to_numpy(float) / max(got.n.sum(), 1))
+    return table, weight
+
+
+#: Share of all words at which a word's weight is one half.
+RARE = 1e-3
+INPUTS = 2 * (2 * DIMS + 3)
+
+
+def _sums(out: np.ndarray, doc: np.ndarray, values: np.ndarray) -> None:
+    """Adds the rows of values, in the order of doc, to out[doc]."""
+    if len(doc):
+        start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        out[doc[start]] += np.add.reduceat(values, start, axis=0)
 
 
-def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
-    """One row of inputs per text; a text without words is all zeros but for its counts."""
-    w = words(texts)
+def pooled(texts: list[str | None], vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """One row of INPUTS per text; a text without words is all zeros. Sums are carried from slice to slice."""
     n = len(texts)
-    count = np.bincount(w.doc, minlength=n)
-    edges = np.concatenate([[0], np.cumsum(count)])
-    mean = np.zeros((n, DIMS), np.float32)
-    full = np.flatnonzero(count)
-    if len(full):
-        v = vectors[w.bucket]
-        mean[full] = np.add.reduceat(v, edges[full], axis=0) / count[full, None]
-    many = np.maximum(count, 1)
-    same = np.zeros(len(w.doc), bool)
-    same[1:] = (w.doc[1:] == w.doc[:-1]) & (w.bucket[1:] == w.bucket[:-1])
-    skip = np.zeros(len(w.doc), bool)
-    skip[2:] = (w.doc[2:] == w.doc[:-2]) & (w.bucket[2:] == w.bucket[:-2])
-    distinct = np.bincount(np.unique(w.doc * BUCKETS + w.bucket) // BUCKETS, minlength=n)
-    share = lambda x: np.bincount(w.doc, x, n) / many
-    extra = [np.log1p(count), share(w.length), share(same), share(skip), distinct / many, distinct / np.sqrt(many), (mean**2).sum(axis=1), w.upper / np.maximum(w.bytes_, 1), np.log1p(w.lines), w.lines / many, share(w.length == 1), share(w.length > 12)]
-    return np.concatenate([mean, np.stack(extra, axis=1).astype(np.float32)], axis=1)
+    total, pairs = np.zeros((n, 2)), np.zeros((n, 2))
+    first, second = np.zeros((n, 2 * DIMS)), np.zeros((n, 2 * DIMS))
+    near, near2 = np.zeros((n, 2)), np.zeros((n, 2))
+    for bucket, doc, old in word_runs(texts, POOL_BLOCK):
+        v, w = vectors[bucket], np.stack([np.ones(len(bucket), np.float32), weights[bucket]], axis=1)
+        own, rare, at = v[old:], w[old:, 1, None], doc[old:]
+        squares = own * own
+        _sums(first[:, :DIMS], at, own)
+        _sums(first[:, DIMS:], at, own * rare)
+        _sums(second[:, :DIMS], at, squares)
+        _sums(second[:, DIMS:], at, squares * rare)
+        _sums(total, at, w[old:])
+        same = doc[1:] == doc[:-1]
+        same[: max(0, old - 1)] = False
+        at = np.flatnonzero(same) + 1
+        dot = np.einsum("ij,ij->i", v[at], v[at - 1])[:, None]
+        weight = w[at] * w[at - 1]
+        _sums(pairs, doc[at], weight)
+        _sums(near, doc[at], weight * dot)
+        _sums(near2, doc[at], weight * dot * dot)
+    out = []
+    for k in range(2):
+        many, two = np.maximum(total[:, k, None], 1e-9), np.maximum(pairs[:, k, None], 1e-9)
+        mean = first[:, k * DIMS : (k + 1) * DIMS] / many
+        spread = np.sqrt(np.maximum(second[:, k * DIMS : (k + 1) * DIMS] / many - mean * mean, 0))
+        out += [mean, spread, (mean * mean).sum(axis=1, keepdims=True), near[:, k, None] / two, near2[:, k, None] / two]
+    return np.concatenate(out, axis=1).astype(np.float32)
 
 
 @dataclass
 class QualityModel:
     vectors: np.ndarray
+    weights: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
     layers: list[np.ndarray]
@@ -159,7 +204,7 @@ class QualityModel:
         return np.maximum(np.clip((x - self.centre) / self.scale, -6, 6) @ w1 + b1, 0) @ w2 + b2
 
     def scores(self, texts) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(pooled(texts, self.vectors)) / self.temperature, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(pooled(texts, self.vectors, self.weights)) / self.temperature, -30, 30)))
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, steps: int = 1_500, seed: int = 5) -> list[np.ndarray]:
@@ -192,26 +237,25 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384) -> Quality
     """docs (doc_id, text) and labels (doc_id, quality 0/1) -> a model.
 
     Word vectors come from all documents; the network from at most `max_rows` labelled ones, those with the smallest
-    hashes of their ids, a fifth of them for the temperature. Null labels, ids and texts are left out; without labels
-    every text scores one half."""
-    vectors = word_vectors(docs)
-    ids = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("y")).dropDuplicates(["doc_id"])
+    hashes of their ids, a fifth of them for the temperature. Of contradicting labels of one id the lower counts. Null
+    labels, ids and texts are left out; without labels, or rows, every text scores one half."""
+    vectors, weights = word_vectors(docs)
+    ids = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, weights))
 
     def run(batches):
-        for part in blocks(batches, 2):
-            x = pooled(part.column(2).to_pylist(), shared.value)
+        for part in batches:
+            x = pooled(part.column(2).to_pylist(), *shared.value)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
 
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")  # bounded by max_rows
     got = rows.mapInArrow(run, "doc_id long, y int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
-    width = pooled([""], vectors).shape[1]
-    x, y = np.array(got.x.tolist(), float).reshape(-1, width), got.y.to_numpy(float)
+    x, y = np.array(got.x.tolist(), float).reshape(-1, INPUTS), got.y.to_numpy(float)
     if not len(y):
-        return QualityModel(vectors, np.zeros(width), np.ones(width), [np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(())], 1.0)
+        return QualityModel(vectors, weights, np.zeros(INPUTS), np.ones(INPUTS), [np.zeros((INPUTS, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(())], 1.0)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    model = QualityModel(vectors, centre, scale, [], 1.0)
+    model = QualityModel(vectors, weights, centre, scale, [], 1.0)
     kept = pd.util.hash_array(got.doc_id.to_numpy(np.int64)) % 5 == 0
     kept &= len(y) >= 50
     model.layers = fit_network(np.clip((x[~kept] - centre) / scale, -6, 6), y[~kept])
@@ -222,11 +266,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384) -> Quality
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, score, one row per row; null texts score as empty ones, repeated rows alike.
 
-    Other columns are ignored; an empty table gives an empty result."""
+    Texts of any length are read whole, in slices; null ids stay; other columns are ignored; an empty table gives an
+    empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of BUCKETS x DIMS floats and the network
 
     def run(batches):
-        for part in blocks(batches, 1):
+        for part in batches:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.scores(part.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
