@@ -58,8 +58,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
     that has no end tag before the next of its kind, or before the end of the page, is taken as empty; only script
     and style then reach to the end of the page."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # tags, each with the features of all elements down to it
     opened: Counter[str] = Counter()
+    within: list[str] = []  # the open block elements
     text: list[str] = []
     linked = links = at = 0
     quiet = None  # place in the stack of the outermost silent element
@@ -71,20 +72,26 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if text:
             own = " ".join(html.unescape("".join(text)).split())
             if own:
-                above = tuple(dict.fromkeys(f for _, fs in stack for f in fs))
-                tag = next((t for t, _ in reversed(stack) if t in BLOCKS), "body")
+                above = stack[-1][1] if stack else ()
+                tag = within[-1] if within else "body"
                 out.append(Block(own, tag, above, linked))
             text.clear()
             linked = 0
 
     def push(tag, features):
-        stack.append((tag, features))
+        above = stack[-1][1] if stack else ()
+        new = tuple(dict.fromkeys(f for f in features if f not in above))
+        stack.append((tag, above + new if new else above))
         opened[tag] += 1
+        if tag in BLOCKS:
+            within.append(tag)
 
     def pop():
         nonlocal quiet
         tag = stack.pop()[0]
         opened[tag] -= 1
+        if tag in BLOCKS:
+            within.pop()
         if quiet == len(stack):
             quiet = None
         return tag
@@ -152,7 +159,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             text.append(" ")
         if tag == "a":
             links += 1
-        if tag not in VOID and len(stack) < 512:
+        if tag not in VOID:
             named = [tag]
             for a in _ATTRIBUTE.finditer(attributes):
                 named += ["." + w for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower())]
@@ -163,6 +170,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
     return out
 
 
+#: Words of notices and legal lines, looked for in the whole block.
+PHRASES = {
+    "rights": ("©", "copyright", "all rights reserved", "terms of use", "privacy policy", "impressum"),
+    "notice": ("cookie", "consent", "gdpr", "we value your privacy"),
+    "offer": ("subscribe", "sign up", "newsletter", "log in", "sponsored", "advertisement"),
+}
+
 WIDTH = 1 << 13
 
 
@@ -186,11 +200,10 @@ def block_features(blocks: list[Block]) -> list[list[int]]:
         names += ["up=" + a for a in b.above]
         names.append(f"first={i == 0}")
         names.append(f"last={i == n - 1}")
-        low = b.text[:200].lower()
-        if "©" in low or "copyright" in low or "all rights" in low:
-            names.append("rights")
-        if "cookie" in low or "subscribe" in low or "sign up" in low or "newsletter" in low:
-            names.append("notice")
+        if n == 1:
+            names.append("alone")
+        low, size = b.text.lower(), "long" if words > 25 else "in" if "article" in b.above or "main" in b.above else "short"
+        names += [f"{kind}={size}" for kind, signs in PHRASES.items() if any(x in low for x in signs)]
         out.append([_slot(x) for x in names])
     return out
 
@@ -223,6 +236,29 @@ class Field:
         return np.array(out[::-1])
 
 
+def likeliest(field: Field, feats: list[list[int]], allowed: list[int]) -> int:
+    """Which of the allowed blocks is main on the most probable path that has one of them as main."""
+    e = field.potentials(feats)
+    ahead, behind = [field.first + e[0]], [np.zeros(2)]
+    for x in e[1:]:
+        ahead.append((ahead[-1][:, None] + field.step).max(axis=0) + x)
+    for x in e[:0:-1]:
+        behind.append((field.step + (x + behind[-1])[None]).max(axis=1))
+    return max(allowed, key=lambda i: ahead[i][1] + behind[len(e) - 1 - i][1])
+
+
+def main_states(blocks: list[Block], field: Field) -> np.ndarray:
+    """States of a page's blocks. A page whose every block looks like another thing may still have a text: then the
+    likeliest one of the blocks of eight words or more, mostly outside links and without a notice's words, is main."""
+    feats = block_features(blocks)
+    states = field.decode(feats)
+    if not states.any():
+        prose = [i for i, b in enumerate(blocks) if b.text.count(" ") >= 7 and 2 * b.linked < len(b.text) and not any(x in b.text.lower() for signs in PHRASES.values() for x in signs)]
+        if prose:
+            states[likeliest(field, feats, prose)] = 1
+    return states
+
+
 def _gradient(field: Field, feats, states):
     """Gradient of the log likelihood of one labelled sequence: as for each block (2,), steps (2, 2), first (2,)."""
     e = field.potentials(feats)
@@ -280,18 +316,31 @@ OTHER_SHELLS = (
 )
 
 
-def labelled_pages(n: int = 400, seed: int = 3) -> list[tuple[list[Block], list[int]]]:
+#: Lines of notices, legal lines and offers for the labelled pages.
+NOTICES = (
+    "We use cookies to improve this site.", "This site asks for your consent to cookies.", "Accept all cookies", "We value your privacy.", "\u00a9 2021 {}. All rights reserved.", "Copyright {} and others", "Terms of use | Privacy policy", "Subscribe to our newsletter", "Sign up for news about {}", "Log in to comment",
+    "Sponsored: {}", "Advertisement", "Share this {}", "Read more about {}", "{} replied: {}", "Posted by {}",
+)
+
+
+def labelled_pages(n: int = 1000, seed: int = 3) -> list[tuple[list[Block], list[int]]]:
     """Training pages put together from the shells above with random words; main blocks are known by a mark that is
-    taken off again before training. Advertisements, notices and comments also stand inside the main part."""
+    taken off again before training. Advertisements, notices and comments also stand inside the main part; some pages
+    have one block, no wrapper around the main part, or nothing but it, and articles also speak of cookies and news."""
     rng = random.Random(seed)
-    mark = "⁣"
+    mark = "\u2063"
 
     def words(a, b):
         return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(a, b)))
 
+    def notice():
+        return rng.choice(NOTICES).replace("{}", words(1, 3))
+
     def prose(main):
-        p = (words(1, 4) if rng.random() < 0.25 else words(4, 80)).capitalize() + rng.choice([".", ".", ".", ".", "?", "!", ""])
-        return f"<p>{mark if main else ''}{p}" + ("</p>" if rng.random() < 0.9 else "")
+        p = (words(1, 4) if rng.random() < 0.25 else words(4, 80)).capitalize()
+        if main and rng.random() < 0.12:  # an article may speak of such things
+            p += " " + rng.choice(("cookies", "a newsletter", "their consent", "copyright", "who subscribe")) + " " + words(14, 60)
+        return f"<p>{mark if main else ''}{p}" + rng.choice([".", ".", ".", ".", "?", "!", ""]) + ("</p>" if rng.random() < 0.9 else "")
 
     def block(main):
         m, r = mark if main else "", rng.random()
@@ -305,28 +354,37 @@ def labelled_pages(n: int = 400, seed: int = 3) -> list[tuple[list[Block], list[
             return f"<blockquote>{m}{words(5, 40)}.</blockquote>"
         if r < 0.94:
             return f"<p>{m}{words(3, 10)} <a href='/x'>{words(1, 4)}</a> {words(2, 30)}.</p>"
-        if r < 0.97:
+        if r < 0.965:
             return "<table>" + "".join(f"<tr><td>{m}{words(1, 3)}</td><td>{m}{words(1, 3)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>"
-        return f"<pre>{m}{words(3, 30)}</pre>"
+        return rng.choice((f"<pre>{m}{words(3, 30)}</pre>", f"<div>{m}{words(3, 60)}.</div>"))
 
     def other():
         shell, r = rng.choice(OTHER_SHELLS), rng.random()
-        if r < 0.35:
+        if r < 0.3:
             inner = "<ul>" + "".join(f"<li><a href='/{i}'>{words(1, 3)}</a></li>" for i in range(rng.randint(2, 8))) + "</ul>"
-        elif r < 0.85:
+        elif r < 0.62:
             inner = "".join(block(False) for _ in range(rng.randint(1, 4)))
-        else:
+        elif r < 0.74:
             inner = words(2, 40)
+        else:
+            return (shell if rng.random() < 0.4 else rng.choice(('<div>{}</div>', '<p>{}</p>', '<section>{}</section>'))).format(notice())
         return shell.format(inner)
 
     out = []
     for _ in range(n):
-        inner = [f"<h1>{mark}{words(3, 12)}</h1>"] if rng.random() < 0.9 else []
-        for _ in range(rng.randint(1, 12)):
-            inner.append(block(True))
-            if rng.random() < 0.08:
+        kind = rng.random()
+        inner = [f"<h1>{mark}{words(3, 12)}</h1>"] if rng.random() < (0.9 if kind > 0.3 else 0.3) else []
+        shell = "{}" if kind < 0.12 or rng.random() < 0.06 else rng.choice(MAIN_SHELLS)
+        if kind > 0.86:  # text right inside the main part's element
+            inner = [f"{mark}{words(12, 80)}."]
+        for _ in range(1 if kind < 0.06 else rng.randint(1, 12)):
+            if ("<article" in shell or "<main" in shell) and rng.random() < 0.05:
+                inner.append(f"<p>{mark}{notice()}</p>")
+            inner.append(block(True) if kind > 0.02 else f"<div>{mark}{words(2, 30)}</div>")
+            if rng.random() < 0.08 and kind > 0.3:
                 inner.append(other())
-        parts = [other() for _ in range(rng.randint(1, 4))] + [rng.choice(MAIN_SHELLS).format("".join(inner))] + [other() for _ in range(rng.randint(0, 4))]
+        before, after = (0, 0) if kind < 0.2 else (rng.randint(0, 4), rng.randint(0, 4))
+        parts = [other() for _ in range(before)] + [shell.format("".join(inner))] + [other() for _ in range(after)]
         blocks = leaf_blocks("<html><body>" + "".join(parts) + rng.choice(["</body></html>", ""]))
         states = [int(mark in b.text) for b in blocks]
         for b in blocks:
@@ -344,14 +402,15 @@ def main_text(page: str | None, field: Field) -> str:
     blocks = leaf_blocks(page)
     if not blocks:
         return ""
-    return "\n\n".join(b.text for b, s in zip(blocks, field.decode(block_features(blocks)), strict=True) if s)
+    return "\n\n".join(b.text for b, s in zip(blocks, main_states(blocks, field), strict=True) if s)
 
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """pages (page_id, url, html, ...) -> one row per row: page_id, url, text (main blocks joined by two newlines,
     empty if none), n_chars (its code points).
 
-    Null html is empty; repeated rows are treated alike; other columns are ignored; nothing is cut off."""
+    Null html is empty; repeated rows are treated alike; pages of any length are read whole and nothing is cut off;
+    other columns, and null ids and addresses, make no difference. An empty table gives an empty result."""
     field = field or trained()
 
     def run(batches):
