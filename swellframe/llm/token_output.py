@@ -53,11 +53,15 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for x, i in vocabulary.items() if x[0] == "Ġ"]] = True  # ids whose text begins with a blank
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.breaks = np.zeros(len(self.opens), bool)
         self.breaks[vocabulary["Ċ"]] = True  # the line end
 
     def pieces(self, text: str) -> list[str]:
-        """The text's start, marked by a blank in front; words without their blank; words with the line end before."""
+        """The text's start, marked by a blank in front; words without their blank; words with the line end before. A
+        text with one of the vocabulary's special tokens, which end whatever stands before them, is one piece."""
+        if any(x in text for x in self.special):
+            return [" " + text]
         plain = not any(x in text for x in ("  ", "\n ", " \n", "\n\n\n")) and not text[0].isspace() and not text[-1].isspace() and text.replace("\n", "").isprintable()
         found = text.replace("\n", " \n").split(" ") if plain else _APART.split(text)
         found[0] = " " + found[0]
