@@ -198,10 +198,12 @@ def known_folders(spark: SparkSession, listed: str, path: str) -> DataFrame:
     return found.join(names.select(F.element_at(F.split(F.regexp_replace("name", "/+$", ""), "/"), -1).alias("name")), "name", "left_semi").select("path")
 
 
-def write_lines(df: DataFrame, path: str, columns: list[str], form: str = "%.16e", by: str = "frame", gap: str = " ", count: bool = False) -> None:
+def write_lines(df: DataFrame, path: str, columns: list[str], form: str | None = None, by: str = "frame", gap: str = " ", count: bool = False) -> None:
     """One text file of numbers a group, in the order of all columns, a folder a group; `count` puts the number of rows
-    first. A group is one file, as its readers expect, and so one task writes it."""
-    line = F.concat_ws(gap, *[F.coalesce(F.format_string(form, F.col(c).cast("double")), F.lit("nan")) for c in columns])
+    first. Numbers have the digits that tell them apart, or those of a format. A group is one file, as its readers
+    expect, and so one task writes it."""
+    text = lambda x: x.cast("string") if form is None else F.format_string(form, x)
+    line = F.concat_ws(gap, *[F.coalesce(text(F.col(c).cast("double")), F.lit("nan")) for c in columns])
     order = [c for c in df.columns if c != by and c not in columns] + columns
     x = df.select(by, *[F.col(c) for c in order], line.alias("value")).withColumn("k", F.lit(1))
     if count:
@@ -212,12 +214,12 @@ def write_lines(df: DataFrame, path: str, columns: list[str], form: str = "%.16e
 
 def write_matches(matches: DataFrame, path: str) -> None:
     """matches (frame, m, ax, ay, bx, by) -> a count and then a match a line."""
-    write_lines(matches.select("frame", "m", "ax", "ay", "bx", "by"), path, ["ax", "ay", "bx", "by"], "%.15g", count=True)
+    write_lines(matches.select("frame", "m", "ax", "ay", "bx", "by"), path, ["ax", "ay", "bx", "by"], count=True)
 
 
 def write_planes(planes: DataFrame, path: str) -> None:
     """planes (frame, a, b, c, d) -> one line a frame in the order of frames, "nan" for what is missing, in few files."""
-    line = F.concat_ws(" ", *[F.coalesce(F.format_string("%.20g", F.col(c)), F.lit("nan")) for c in "abcd"])
+    line = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("double").cast("string"), F.lit("nan")) for c in "abcd"])
     planes.repartitionByRange("frame").sortWithinPartitions("frame").select(line.alias("value")).write.text(path)
 
 

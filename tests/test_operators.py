@@ -139,11 +139,41 @@ def test_spectra(spark):
     s = temporal.welch_spectra(series, 10.0)
     m = temporal.spectral_moments(s).collect()
     assert len(m) == 2 and all(abs(r.hm0 - 4 * 2 / math.sqrt(2)) < 0.05 and abs(r.peak_freq - 0.2) < 0.02 for r in m)
-    k = 2 * np.pi * 3 / 32
-    z = np.cos(k * np.arange(32)[None, None] - 2 * np.pi * 0.25 * np.arange(110)[:, None, None]) * np.ones((1, 16, 1))
-    d, nt = signal.spectrum3d(z, 1.0, 1.0, 1.0)
-    f, ky, kx = np.unravel_index(d.argmax(), d.shape)
-    assert ky == 8 and abs(kx - 16) == 3 and abs(abs(f - nt // 2) / nt - 0.25) < 0.06
+    rows = [v[:n] + n for n in (28, 100, 64, 333)]
+    sos = signal.butterworth(8, 1.0, 10.0)
+    for x, y in zip(rows, signal.zero_phase_rows(sos, rows), strict=True):
+        assert np.allclose(y, signal.zero_phase(sos, x))
+    for x, (f, p) in zip(rows, signal.welch_rows(rows, 10.0, 64), strict=True):
+        n = min(64, len(x))
+        parts = [x[a : a + n] - x[a : a + n].mean() for a in range(0, len(x) - n + 1, n - n // 2)]
+        want = np.mean([np.abs(np.fft.rfft(q * signal.hann_periodic(n))) ** 2 for q in parts], axis=0) / (10 * (signal.hann_periodic(n) ** 2).sum())
+        want[1 : -1 if n % 2 == 0 else None] *= 2
+        assert np.allclose(p, want) and f[1] == pytest.approx(10 / n)
+
+
+def test_spectrum3d(spark):
+    """Place and level of a plane wave's peak, against a plain transform of whole segments."""
+    rows, frames, rate, step = 18, 80, 4.0, 0.5
+    r0, c0, side = signal.centre_window(rows, rows)
+    nt = signal.segment_length(frames)
+    i, j, t = np.arange(rows)[:, None], np.arange(rows)[None], np.arange(frames)[:, None, None]
+    z = 0.7 * np.cos(2 * np.pi * (2 * j / side + i * 0 - 2 * t / nt)) + 5
+    z[3, 4, 5] = np.nan
+    df = spark.createDataFrame([(int(a), int(b), int(c), float(z[a, b, c])) for a, b, c in np.ndindex(z.shape)], "t int, i int, j int, z double")
+    got = np.zeros((nt, side, side))
+    for r in temporal.spectrum3d(df, rows, rows, frames, rate, step).collect():
+        got[r.fi + nt // 2, r.ki + side // 2, r.kj + side // 2] = r.s
+    window = np.hanning(nt)[:, None, None] * np.hanning(side)[None, :, None] * np.hanning(side)
+    parts = []
+    for s in range(0, frames - nt + 1, nt // 2):
+        x = z[s : s + nt, r0 : r0 + side, c0 : c0 + side]
+        x = np.where(np.isnan(x), np.nanmean(x, axis=0), x)
+        h = np.fft.fftshift(np.fft.fftn((x - x.mean()) * window, norm="ortho")) / x.size
+        dk, df_ = 2 * np.pi / (step * (side - 1)), rate / nt
+        parts.append(np.abs(h) ** 2 / (dk * dk * df_) / np.mean(np.hanning(side) ** 2) ** 2 / np.mean(np.hanning(nt) ** 2))
+    assert np.allclose(got, np.mean(parts, axis=0), rtol=1e-6, atol=1e-15)
+    f, ky, kx = np.unravel_index(got.argmax(), got.shape)
+    assert abs(f - nt // 2) == 2 and ky == side // 2 and abs(kx - side // 2) == 2
 
 
 def test_low_pass_and_fill():
@@ -200,9 +230,13 @@ def test_game():
     a[8:, 8:] = 0.3 * (1 - np.eye(4))
     x = match.play(a)
     assert np.allclose(x[:8], 1 / 8, atol=1e-3) and x[8:].max() < 1e-3
-    pairs = pd.DataFrame([(0, m, n, a[m, n]) for m in range(12) for n in range(m + 1, 12)], columns=["frame", "m", "n", "payoff"])
-    groups = match._groups(pairs, 0.7, 4, 20)
+    rng = np.random.default_rng(3)
+    xy = rng.uniform(0, 100, (12, 2))
+    shift = np.where(np.arange(12)[:, None] < 8, [[5.0, 1.0]], [[40.0, -30.0]])
+    pdf = pd.DataFrame({"frame": 0, "m": range(12), "fa": range(12), "fb": range(12), "ax": xy[:, 0], "ay": xy[:, 1], "bx": (xy + shift)[:, 0], "by": (xy + shift)[:, 1], "sin": 0.0, "cos": 1.0, "ds": 1.0})
+    groups = match._groups(pdf, 1e-2, 0.7, 4, 20)
     assert set(groups[groups.turn == 0].m) == set(range(8)) and set(groups[groups.turn == 1].m) == set(range(8, 12))
+    assert match.payoff_matrix(pdf, 1e-2)[0, 1] == pytest.approx(1.0) and match.payoff_matrix(pdf, 1e-2)[0, 0] == 0.0
 
 
 def test_homography(spark):
