@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from swellframe.tables import cut, discard, scratch, shared_dir, table
 
-__all__ = ["GOLD", "bounded_ids", "crc_of", "crc_text", "cut", "discard", "mix", "same_columns", "scratch", "shared_dir", "table"]
+__all__ = ["GOLD", "bounded_ids", "crc_of", "crc_text", "cut", "discard", "kept_in_worker", "let_go", "mix", "same_columns", "scratch", "shared_dir", "table"]
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -21,6 +21,20 @@ def bounded_ids(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
+_kept: list = []
+
+
+def kept_in_worker(clear) -> None:
+    """Registers how to empty what a Python worker keeps from task to task."""
+    _kept.append(clear)
+
+
+def let_go() -> None:
+    """Empties it: for tasks of another kind, which may need the memory."""
+    for clear in _kept:
+        clear()
+
+
 def crc_text(col) -> object:
     """crc32 of an id written as text."""
     return F.crc32(col.cast("string").cast("binary"))
