@@ -194,3 +194,37 @@ def test_shares_of_cells(spark):
 
 def test_nearest_without_partners():
     assert list(match._nearest(pd.DataFrame({"frame": [1], "cam": [0], "fid": [5], "descriptor": [[1.0]]}), 3).columns) == ["frame", "fa", "fb", "d2", "rank"]
+
+
+def test_scattered(spark):
+    """Triangles whose circles are empty; a plane is met exactly inside the hull; tiles agree with the whole."""
+    from swellframe.operators import scattered
+
+    rng = np.random.default_rng(3)
+    p = rng.uniform(0, 10, (400, 2))
+    t = scattered.delaunay(p)
+    centre, radius = scattered.circumcircles(p, t)
+    away = ((p[None] - centre[:, None]) ** 2).sum(axis=2)
+    assert (away >= radius[:, None] * (1 - 1e-6)).all()
+    area = np.abs(np.cross(p[t[:, 1]] - p[t[:, 0]], p[t[:, 2]] - p[t[:, 0]])).sum() / 2
+    hull = p[np.lexsort((p[:, 1], p[:, 0]))]
+    ring = []
+    for half in (hull, hull[::-1]):
+        part = []
+        for q in half:
+            while len(part) > 1 and (part[-1][0] - part[-2][0]) * (q[1] - part[-2][1]) - (part[-1][1] - part[-2][1]) * (q[0] - part[-2][0]) <= 0:
+                part.pop()
+            part.append(q)
+        ring += part[:-1]
+    x, y = np.array(ring).T
+    assert area == pytest.approx(abs(np.sum(x * np.roll(y, -1) - y * np.roll(x, -1))) / 2, rel=1e-3)
+    at = rng.uniform(1, 9, (200, 2))
+    z = scattered.interpolated(p, 2 * p[:, 0] - p[:, 1], at)
+    assert np.allclose(z[~np.isnan(z)], (2 * at[:, 0] - at[:, 1])[~np.isnan(z)]) and np.isnan(z).sum() < 5
+    assert np.isnan(scattered.interpolated(p, p[:, 0], np.array([[99.0, 99.0]]))).all()
+    h = np.sin(p[:, 0]) + p[:, 1] ** 2
+    df = spark.createDataFrame([(1, *map(float, (*q, v))) for q, v in zip(p, h, strict=True)], "frame int, x double, y double, z double")
+    nodes = spark.createDataFrame([(k, 0, *map(float, q)) for k, q in enumerate(at)], "i int, j int, x double, y double")
+    got = {r.i: r.z for r in scattered.linear(df, nodes, 2.5, 3.0).collect()}
+    want = scattered.interpolated(p, h, at)
+    assert all(got[k] == pytest.approx(want[k]) for k in range(200) if not np.isnan(want[k]))
