@@ -88,3 +88,44 @@ def quaternion_rotation(q: np.ndarray) -> np.ndarray:
 
 def quaternion_product(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.r_[p[0] * q[0] - p[1:] @ q[1:], p[0] * q[1:] + q[0] * p[1:] + np.cross(p[1:], q[1:])]
+
+
+def _distortion(h: np.ndarray, size: tuple[int, int]) -> float:
+    """How much a homography's scale differs over the image: the ratio of the corners' largest and smallest depth."""
+    w, hh = size
+    depth = np.array([[0, 0, 1], [w, 0, 1], [w, hh, 1], [0, hh, 1.0]]) @ h[2]
+    return np.inf if (depth <= 0).any() else float(depth.max() / depth.min())
+
+
+def rectification(k0: np.ndarray, k1: np.ndarray, r: np.ndarray, t: np.ndarray, size: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, tuple[float, float, float, float]]:
+    """Homographies of both images that lay matching points on equal rows, and the box (left, top, right, bottom) that
+    the middle two of the first image's warped corners span. Both cameras turn so that their rows run along the
+    baseline; the turn about the baseline is the one of least perspective distortion, found by golden sections. Each
+    homography has determinant 1. Rigs one above the other are refused."""
+    base = -r.T @ t
+    base = base / np.linalg.norm(base)
+    if abs(base[0]) < abs(base[1]):
+        raise ValueError("the cameras stand one above the other")
+    x = base * np.sign(base[0])
+    k = (k0 + k1) / 2
+    ahead = np.cross(np.cross(x, [0, 0, 1.0]), x)
+    ahead, side = ahead / np.linalg.norm(ahead), np.cross(x, ahead / np.linalg.norm(ahead))
+
+    def both(angle):
+        z = np.cos(angle) * ahead + np.sin(angle) * side
+        turn = np.stack([x, np.cross(z, x), z])
+        out = [k @ turn @ np.linalg.inv(k0), k @ turn @ r.T @ np.linalg.inv(k1)]
+        return [h / np.cbrt(np.linalg.det(h)) for h in out]
+
+    cost = lambda angle: max(_distortion(h, size) for h in both(angle))
+    tries = np.linspace(-0.8, 0.8, 33)
+    best = tries[int(np.argmin([cost(a) for a in tries]))]
+    low, high, golden = best - 0.05, best + 0.05, (np.sqrt(5) - 1) / 2
+    for _ in range(60):
+        a, b = high - golden * (high - low), low + golden * (high - low)
+        low, high = (low, b) if cost(a) < cost(b) else (a, high)
+    h0, h1 = both((low + high) / 2)
+    w, h = size
+    corners = np.array([[0, 0, 1], [w, 0, 1], [w, h, 1], [0, h, 1.0]]) @ h0.T
+    u, v = np.sort(corners[:, 0] / corners[:, 2]), np.sort(corners[:, 1] / corners[:, 2])
+    return h0, h1, (float(u[1]), float(v[1]), float(u[2]), float(v[2]))

@@ -228,3 +228,26 @@ def test_scattered(spark):
     got = {r.i: r.z for r in scattered.linear(df, nodes, 2.5, 3.0).collect()}
     want = scattered.interpolated(p, h, at)
     assert all(got[k] == pytest.approx(want[k]) for k in range(200) if not np.isnan(want[k]))
+
+
+def test_adjustment(spark):
+    """A pose that is off by degrees comes back from noisy matches, and points with it."""
+    from swellframe.operators import adjust
+
+    _, r, t, a, b = two_views(300, 0.1, 0, 9)
+    df = spark.createDataFrame([(k, *map(float, (*a[k], *b[k]))) for k in range(300)], "m long, ax double, ay double, bx double, by double")
+    off = adjust.turn(np.array([0.01, -0.02, 0.015])) @ r
+    wrong = t + np.array([0.0, 0.05, -0.04])
+    got_r, got_t, points = adjust.adjusted(df, off, wrong)
+    assert np.abs(got_r - r).max() <= 5e-3 and np.abs(got_t - t).max() <= 2e-2 and points.count() >= 295
+    assert np.abs(off - r).max() > np.abs(got_r - r).max()
+
+
+def test_rectification():
+    k, r, t, a, b = two_views(50, 0.0, 0, 4)
+    h0, h1, box = camera.rectification(k, k, r, t, (2400, 2000))
+    p, q = (np.c_[x, np.ones(50)] @ k.T @ h.T for x, h in ((a, h0), (b, h1)))
+    assert np.allclose(p[:, 1] / p[:, 2], q[:, 1] / q[:, 2], atol=1e-6) and np.allclose([np.linalg.det(h0), np.linalg.det(h1)], 1)
+    assert box[0] < box[2] and box[1] < box[3]
+    with pytest.raises(ValueError, match="above"):
+        camera.rectification(k, k, r, np.array([0.0, -1.0, 0.0]), (2400, 2000))
