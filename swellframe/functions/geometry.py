@@ -155,3 +155,19 @@ def fused(channels: Sequence[Column], centre: float = 0.5, sigma: float = 0.3) -
 
 def to_byte(x: Column, gain: float = 127.0) -> Column:
     return F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.rint(x * gain))).cast("int")
+
+
+def determinant(m: Sequence[Sequence[Column]]) -> Column:
+    """Of a 3 x 3 matrix of columns."""
+    return m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
+
+
+def inverse(m: Sequence[Sequence[Column]]) -> list[list[Column]]:
+    """Of a 3 x 3 matrix of columns; null where it is singular."""
+    whole = F.nullif(determinant(m), F.lit(0.0))
+
+    def cofactor(i, j):
+        a, b = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
+        return (m[a[0]][b[0]] * m[a[1]][b[1]] - m[a[0]][b[1]] * m[a[1]][b[0]]) * (-1 if (i + j) % 2 else 1)
+
+    return [[cofactor(j, i) / whole for j in range(3)] for i in range(3)]

@@ -36,6 +36,16 @@ def triangulation_gates(size: tuple[int, int], box: tuple[float, float, float, f
     return list(zip(GATES, tests, strict=True))
 
 
+def with_masks(points: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """points (frame, u0, v0, u1, v1, ...) and masks (frame, u, v, z) -> points with mask0 and mask1, the masks' values
+    at the pixels that hold both places; null where a mask has none."""
+    for k, mask in enumerate((left, right)):
+        pixel = mask.select("frame", F.col("u").alias("_u"), F.col("v").alias("_v"), F.col("z").alias(f"mask{k}"))
+        x = points.withColumns({"_u": F.floor(f"u{k}").cast("int"), "_v": F.floor(f"v{k}").cast("int")})
+        points = x.join(pixel, ["frame", "_u", "_v"], "left").drop("_u", "_v")
+    return points
+
+
 def central(mesh: DataFrame, rows: int, cols: int) -> DataFrame:
     """Cells in the middle of the image, where planes are refined: columns from a quarter to three quarters, rows from
     a half to two thirds."""
@@ -181,7 +191,7 @@ def index_percentile(df: DataFrame, by: str, value: str, percent: float) -> Data
     return placed.where(F.col("upto") > at).groupBy(by).agg(F.min(value).alias("value"))
 
 
-def _labelled(mesh: pd.DataFrame, gap: float, also: np.ndarray | None = None) -> np.ndarray:
+def _labelled(mesh: pd.DataFrame, gap: float, diagonal: bool) -> np.ndarray:
     """Component of each row of one frame's mesh (i, j, z), named by its smallest cell number."""
     i, j, z = mesh.i.to_numpy(np.int64), mesh.j.to_numpy(np.int64), mesh.z.to_numpy(float)
     wide = int(j.max()) + 2
@@ -189,7 +199,7 @@ def _labelled(mesh: pd.DataFrame, gap: float, also: np.ndarray | None = None) ->
     order = np.argsort(place)
     place, z = place[order], z[order]
     a, b = [], []
-    for step in (1, wide):
+    for step in (1, wide, wide - 1, wide + 1) if diagonal else (1, wide):
         at = np.minimum(np.searchsorted(place, place + step), len(place) - 1)
         near = (place[at] == place + step) & (np.abs(z[at] - z) < gap)
         a.append(at[near])
@@ -205,19 +215,20 @@ def _labelled(mesh: pd.DataFrame, gap: float, also: np.ndarray | None = None) ->
 _WIDE = 1 << 20
 
 
-def connected(mesh: DataFrame, gap: float) -> DataFrame:
-    """mesh (t, i, j, z) -> t, i, j, component: cells joined to neighbours whose height differs by less than gap. A
-    component is named by its smallest cell number. A frame's mesh, which the camera bounds, is labelled in one task."""
+def connected(mesh: DataFrame, gap: float, diagonal: bool = False) -> DataFrame:
+    """mesh (t, i, j, z) -> t, i, j, component: cells joined to neighbours, of four or of eight, whose height differs by
+    less than gap. A component is named by its smallest cell number. A frame's mesh, which the camera bounds, is
+    labelled in one task."""
 
     def run(pdf):
-        return pdf[["t", "i", "j"]].assign(component=pdf.t.astype("int64") * _WIDE * _WIDE + _labelled(pdf, gap))
+        return pdf[["t", "i", "j"]].assign(component=pdf.t.astype("int64") * _WIDE * _WIDE + _labelled(pdf, gap, diagonal))
 
     return mesh.where("z is not null").select("t", "i", "j", "z").groupBy("t").applyInPandas(run, "t int, i int, j int, component long")
 
 
-def biggest(mesh: DataFrame, gap: float) -> DataFrame:
+def biggest(mesh: DataFrame, gap: float, diagonal: bool = False) -> DataFrame:
     """Size and name of each frame's largest component; of equal ones the smallest name."""
-    sizes = connected(mesh, gap).groupBy("t", "component").agg(F.count("*").alias("size"))
+    sizes = connected(mesh, gap, diagonal).groupBy("t", "component").agg(F.count("*").alias("size"))
     best = sizes.groupBy("t").agg(F.max_by(F.struct("component", "size"), F.struct("size", (-F.col("component")).alias("c"))).alias("m"), F.count("*").alias("components"))
     return best.select("t", "m.size", "m.component", "components")
 

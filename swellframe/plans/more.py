@@ -98,6 +98,32 @@ def unwarped_pixels(spark, sf_dir):
     return cloud(spark, sf_dir).select("frame", "pid", u.alias("u"), v.alias("v"))
 
 
+@query(sql=f"WITH {CLOUD}, mk AS (SELECT l_linenumber AS frame, CAST(l_partkey % 50 AS INTEGER) AS u, CAST(l_suppkey % 10 AS INTEGER) AS v, max(l_tax) AS z FROM lineitem GROUP BY 1, 2, 3) SELECT p.frame, p.pid, p.x, p.y, p.z, a.z AS mask0, b.z AS mask1 FROM cloud p LEFT JOIN mk a ON a.frame = p.frame AND a.u = floor(p.x + 0.3) AND a.v = floor(p.y + 0.3) LEFT JOIN mk b ON b.frame = p.frame AND b.u = floor(p.x * 0.9 + 0.05) AND b.v = floor(p.y * 0.8 + 0.05)")
+def pixel_masks(spark, sf_dir):
+    """The masks' values at the pixels of both images that hold a point's places."""
+    mask = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("frame"), (F.col("l_partkey") % 50).cast("int").alias("u"), (F.col("l_suppkey") % 10).cast("int").alias("v")).agg(F.max("l_tax").alias("z"))
+    p = cloud(spark, sf_dir).select("*", (F.col("x") + 0.3).alias("u0"), (F.col("y") + 0.3).alias("v0"), (F.col("x") * 0.9 + 0.05).alias("u1"), (F.col("y") * 0.8 + 0.05).alias("v1"))
+    return c.with_masks(p, mask, mask).select("frame", "pid", "x", "y", "z", "mask0", "mask1")
+
+
+_M3 = [["l_quantity", "2.0", "l_discount * 10"], ["1.0", "l_tax * 100 + 3.0", "0.5"], ["l_discount", "0.25", "l_quantity + 7.0"]]
+_DET = "(l_quantity * ((l_tax * 100 + 3.0) * (l_quantity + 7.0) - 0.5 * 0.25) - 2.0 * (1.0 * (l_quantity + 7.0) - 0.5 * l_discount) + l_discount * 10 * (1.0 * 0.25 - (l_tax * 100 + 3.0) * l_discount))"
+
+
+@query("det i00 i01 i22", f"SELECT l_orderkey AS o, l_linenumber AS l, {_DET} AS det, ((l_tax * 100 + 3.0) * (l_quantity + 7.0) - 0.5 * 0.25) / nullif({_DET}, 0) AS i00, -(2.0 * (l_quantity + 7.0) - l_discount * 10 * 0.25) / nullif({_DET}, 0) AS i01, (l_quantity * (l_tax * 100 + 3.0) - 2.0 * 1.0) / nullif({_DET}, 0) AS i22 FROM lineitem", 7)
+def matrix_inverse(spark, sf_dir):
+    """Determinants and parts of the inverses of small matrices."""
+    m = [[F.expr(x).cast("double") for x in row] for row in _M3]
+    n = g.inverse(m)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), g.determinant(m).alias("det"), n[0][0].alias("i00"), n[0][1].alias("i01"), n[2][2].alias("i22"))
+
+
+@query(sql="SELECT DISTINCT l_linenumber AS frame, lpad(CAST(l_linenumber AS VARCHAR), 6, '0') || '_wd' AS folder FROM lineitem")
+def frame_names(spark, sf_dir):
+    """Folder names of frames."""
+    return cloud(spark, sf_dir).select("frame").distinct().select("frame", codecs.frame_name(F.col("frame")).alias("folder"))
+
+
 # features and matches
 
 
@@ -195,6 +221,12 @@ def gradient_cut(spark, sf_dir):
     return image.without_edges(cube(spark, sf_dir), 2000.0)
 
 
+@query(sql=f"WITH RECURSIVE {CUBE}, s(di, dj, wi, wj) AS (VALUES (-1,-1,-1,-1), (-1,0,-2,0), (-1,1,-1,1), (1,-1,1,-1), (1,0,2,0), (1,1,1,1), (0,-1,0,-2), (0,1,0,2)), x AS (SELECT t, i - di AS i, j - dj AS j, sum(wi * z) AS gi, sum(wj * z) AS gj, count(*) AS n FROM cube, s GROUP BY 1, 2, 3), cut_ AS (SELECT c.t, c.i, c.j, c.z FROM cube c LEFT JOIN x ON x.t = c.t AND x.i = c.i AND x.j = c.j AND x.n = 8 AND gi * gi + gj * gj > 2000 WHERE x.t IS NULL), n AS (SELECT t, (CAST(t AS BIGINT) * 1048576 + i) * 1048576 + j AS a, i, j FROM cut_), e AS (SELECT p.a AS a, q.a AS b FROM n p JOIN n q ON p.t = q.t AND abs(p.i - q.i) <= 1 AND abs(p.j - q.j) <= 1 AND p.a <> q.a), r AS (SELECT a, a AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), m AS (SELECT a, min(b) AS component FROM r GROUP BY a), z AS (SELECT t, component, count(*) AS size FROM m JOIN n USING (a) GROUP BY 1, 2) SELECT t, max(size) AS size, min(component) FILTER (WHERE size = top) AS component, count(*) AS components FROM (SELECT *, max(size) OVER (PARTITION BY t) AS top FROM z) GROUP BY t")
+def gradient_component(spark, sf_dir):
+    """The largest part of the image, of eight neighbours, after its steep edges are cut."""
+    return c.biggest(image.without_edges(cube(spark, sf_dir), 2000.0), float("inf"), diagonal=True)
+
+
 _TAPS = "o(a, b) AS (VALUES (0, 0), (0, 1), (1, 0), (1, 1))"
 
 

@@ -22,6 +22,11 @@ def frame_of(path: Column) -> Column:
     return F.regexp_extract(path, r"(\d+)_wd", 1).try_cast("int")
 
 
+def frame_name(frame: Column) -> Column:
+    """The folder of a frame: six digits at least, then _wd."""
+    return F.concat(F.format_string("%06d", frame), F.lit("_wd"))
+
+
 def encode_cloud(points: np.ndarray, rotation: np.ndarray, shift: np.ndarray) -> bytes:
     """Points (n, 3) as 16-bit steps of their box in the plane's axes. Header: u32 n; f64 scale and least of each axis;
     f64 inverse rotation, row by row; f64 inverse shift."""
