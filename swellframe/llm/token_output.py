@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from swellframe.llm.common import GOLD, scratch
+from swellframe.llm.common import GOLD, kept_in_worker, scratch
 
 END = 2
 #: Places that a pair must have to be replaced, and the most pairs that one round replaces.
@@ -33,7 +33,7 @@ MIN_COUNT, PER_ROUND = 24, 8_192
 #: Ids in a shard, but for its last document.
 SHARD_IDS = 1 << 20
 #: Pieces in a generation of the encoder's cache, and the longest one that is kept.
-_CACHED, _LONGEST = 600_000, 48
+_CACHED, _LONGEST = 400_000, 48
 _APART = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -114,6 +114,9 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+kept_in_worker(_encoder.cache_clear)
+
+
 def _frequent(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs that stand in MIN_COUNT places at least -> places, number of the pair at each, pairs, counts. A count by
     hash comes first: only pairs that may be frequent are sorted."""

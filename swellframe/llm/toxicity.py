@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swellframe.llm.common import cut, discard, same_columns
+from swellframe.llm.common import cut, discard, let_go, same_columns
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("авекмнорстухіјѕԁԛԝαβεικνορτυχωζ", "abekmhopctyxijsdqwabeiknoptuxwz", strict=True))
@@ -149,10 +149,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs:
     rows = cut(rows.groupBy(alike.alias("alike")).agg(one).select("r.*"), "toxic-train")
 
     def positive(batches):
+        let_go()
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = sorted(terms(set(fold(text).split())))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([doc] * len(found), pa.int64())], names=["term", "doc"])
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = sorted(terms(set(fold(text.as_py()).split())))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([doc.as_py()] * len(found), pa.int64())], names=["term", "doc"])
 
     toxic = rows.where("toxic = 1").select("doc_id", "text").mapInArrow(positive, "term string, doc long")
     toxic = cut(toxic, "toxic-terms")
@@ -161,11 +162,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs:
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
 
     def negative(batches):
+        let_go()
         seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(terms(set(fold(text).split())))
-                if len(seen) > 200_000:
+            for text in batch.column(0):
+                seen.update(terms(set(fold(text.as_py()).split())))
+                if len(seen) > 100_000:
                     yield _counted(seen)
                     seen.clear()
         yield _counted(seen)
@@ -197,8 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs:
     def around(batches):
         """Two-word phrases with an entry, by label."""
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = fold(text).split()
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                w = fold(text.as_py()).split()
                 mark = [bool(terms({x}) & held) for x in w]
                 out = sorted({f"{w[i]} {w[i + 1]}" for i in range(len(w) - 1) if mark[i] or mark[i + 1]})
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array([label] * len(out), pa.int32())], names=["phrase", "toxic"])
@@ -215,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs:
 
 def _matched(model: ToxicityModel):
     def run(batches):
+        let_go()
         match = model.matcher()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -245,6 +248,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
     at = docs.columns.index("text")
 
     def run(batches):
+        let_go()
         match = model.matcher()
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
