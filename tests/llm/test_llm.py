@@ -387,6 +387,22 @@ def test_raking_plain():
     assert np.allclose(got, [now[k] for k in keys], rtol=1e-6)
 
 
+def test_raking_tables(spark):
+    """Raking over tables gives the weights and probabilities of the driver's; capped values are whole in both."""
+    import pandas as pd
+
+    rng = random.Random(3)
+    cells = pd.DataFrame([(s, la, t, rng.randint(1, 4000) * (20 if s == "a" else 1)) for s in ("a", "b", "c", None) for la in ("x", "y") for t in ("p", "q", "r")], columns=["source", "lang", "topic", "tokens"])
+    rows = [tuple(None if v is None else v for v in r) for r in cells.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    for targets in ({"source": {"a": 0.5, "b": 0.3}, "lang": {"x": 0.5, "y": 0.5}},):
+        want = targets or mixing.tempered(cells)
+        got = {(r.source, r.lang, r.topic): (r.weight, r.probability) for r in mixing.raked_table(df, targets, 0.5, rounds=10).collect()}
+        weight, chance = mixing.rake(cells, want), mixing.probabilities(cells, want, 0.5)
+        for k, w, p in zip(rows, weight, chance, strict=True):
+            assert got[k[:3]][0] == pytest.approx(w, rel=1e-3) and got[k[:3]][1] == pytest.approx(p, abs=5e-3)
+
+
 def test_topics(spark):
     """Texts of two vocabularies fall apart; names are those of the nearest centre; long texts are whole."""
     rng = random.Random(2)
