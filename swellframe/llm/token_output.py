@@ -269,7 +269,8 @@ def write_tokens(docs: DataFrame, to: str, vocabulary: str, shard_ids: int = SHA
     """docs (doc_id, text, ...) -> shards under the path `to`, a Parquet table of SHARDS.
 
     Rows are dealt by ranges of doc_id and sorted in them (null ids first, equal ids by text), so (part, seq) is
-    ascending doc_id order. Null texts are empty; every document ends with id 2. An empty table writes no shard."""
+    ascending doc_id order. Null texts are empty; every document ends with id 2; repeated rows are written each; texts
+    of any length are encoded whole; other columns, whatever their names, are ignored. An empty table writes no shard."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(_writer(vocabulary, shard_ids), SHARDS).write.option("compression", "zstd").parquet(to)
 
@@ -287,7 +288,8 @@ def _reader(batches):
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Shards -> one row per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """Shards -> one row per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. No shards: no
+    rows."""
     shards = spark.read.schema(SHARDS).parquet(path)
     ids = shards.select("part", "seq", "ids")
     parts = ids.groupBy("part").agg(F.sum("ids").alias("n"))  # one row for each task that wrote
@@ -298,7 +300,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Writes docs as shards in the shared folder and reads them back."""
+    """Writes docs as shards in the shared folder and reads them back; cases are as in write_tokens()."""
     to = scratch(docs.sparkSession, "tokens")
     write_tokens(docs, to, vocabulary)
     return read_tokens(docs.sparkSession, to)
