@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from swellframe.llm import decontam, html_text, line_dedup, mixing, near_dup, pii, quality, token_output, topk, toxicity
+from swellframe.llm import decontam, html_text, line_dedup, mixing, near_dup, pii, quality, secret_scan, token_output, topk, toxicity
 from swellframe.llm.common import crc_text, table
 
 
@@ -59,9 +59,13 @@ def op10_html(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_secrets(spark, sf_dir):
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_tokens, op3_lines, op4_minhash, op5_pii, op6_mixing, op7_toxicity, op8_decontam, op9_topk, op10_html)}
+    return {f.__name__: f for f in (op1_quality, op2_tokens, op3_lines, op4_minhash, op5_pii, op6_mixing, op7_toxicity, op8_decontam, op9_topk, op10_html, op11_secrets)}
 
 
 def oracle_sql() -> dict:
-    return {"op3_lines": line_dedup.ORACLE, "op4_minhash": near_dup.ORACLE, "op8_decontam": decontam.ORACLE, "op9_topk": topk.ORACLE}
+    return {"op3_lines": line_dedup.ORACLE, "op4_minhash": near_dup.ORACLE, "op8_decontam": decontam.ORACLE, "op9_topk": topk.ORACLE, "op11_secrets": secret_scan.ORACLE}
