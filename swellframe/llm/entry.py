@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from swellframe.llm import decontam, html_text, line_dedup, mixing, near_dup, pii, quality, secret_scan, token_output, topk, toxicity
+from swellframe.llm import decontam, html_text, lexical, line_dedup, mixing, near_dup, pii, quality, secret_scan, token_output, topk, toxicity, whitening
 from swellframe.llm.common import crc_text, table
 
 
@@ -63,9 +63,20 @@ def op11_secrets(spark, sf_dir):
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+_QUERIES = (op1_quality, op2_tokens, op3_lines, op4_minhash, op5_pii, op6_mixing, op7_toxicity, op8_decontam, op9_topk, op10_html, op11_secrets, op12_lexical, op13_whitening)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_tokens, op3_lines, op4_minhash, op5_pii, op6_mixing, op7_toxicity, op8_decontam, op9_topk, op10_html, op11_secrets)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {"op3_lines": line_dedup.ORACLE, "op4_minhash": near_dup.ORACLE, "op8_decontam": decontam.ORACLE, "op9_topk": topk.ORACLE, "op11_secrets": secret_scan.ORACLE}
+    return {"op3_lines": line_dedup.ORACLE, "op4_minhash": near_dup.ORACLE, "op8_decontam": decontam.ORACLE, "op9_topk": topk.ORACLE, "op11_secrets": secret_scan.ORACLE, "op12_lexical": lexical.ORACLE}
