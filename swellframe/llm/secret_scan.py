@@ -232,25 +232,38 @@ def candidates(index: DataFrame, rules: Iterable[Rule]) -> DataFrame:
 # -- Verification --
 
 
-def _sums_before(x: Column) -> Column:
-    """Of an array of integers, each one's sum of those before it; in chunks, as arrays have no running sums."""
-    w = F.ceil(F.sqrt(F.size(x))).cast("int")
-    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, v: s + v)
-    chunk = lambda b: F.slice(x, b * w + 1, w)
-    sums = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / w).cast("int") - 1), lambda b: total(chunk(b)))
-    out = F.flatten(F.transform(sums, lambda _, b: F.transform(chunk(b), lambda _v, i: total(F.slice(sums, 1, b)) + total(F.slice(chunk(b), 1, i)))))
-    return F.when(F.size(x) == 0, F.array().cast("array<bigint>")).otherwise(out)
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0).cast("bigint"), lambda s, v: s + v)
+
+
+def _most(x: Column) -> Column:
+    return F.coalesce(F.array_max(x), F.lit(0).cast("bigint"))
+
+
+def _running(rows: DataFrame, column: str, name: str, total=_sum, plus=lambda a, b: a + b) -> DataFrame:
+    """Adds, for every element of an array of longs, the total of those before it. Arrays have no running totals, so it
+    goes in chunks of about the root of their number."""
+    before = lambda x: F.transform(x, lambda _, i: total(F.slice(x, 1, i)))
+    w, x = F.col("_w"), F.col(column)
+    rows = _once(rows, "_w", F.greatest(F.ceil(F.sqrt(F.size(x))), F.lit(1)).cast("int"))
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / w).cast("int") - 1), lambda b: F.slice(x, b * w + 1, w))
+    rows = _once(rows, "_c", F.when(F.size(x) > 0, chunks).otherwise(F.array().cast("array<array<bigint>>")))
+    rows = _once(rows, "_t", F.transform("_c", total))
+    rows = _once(rows, "_h", before(F.col("_t")))
+    return _once(rows, name, F.flatten(F.zip_with("_c", "_h", lambda c, h: F.transform(before(c), lambda s: plus(s, h))))).drop("_w", "_c", "_t", "_h")
 
 
 def _matched(rows: DataFrame, k: int, r: Rule, may: Column) -> DataFrame:
-    """Adds the spans of rule k, as s{k}, in the rows where it may match."""
+    """Adds the spans of rule k, as s{k}, in the rows where it may match: a match starts where the lengths of all
+    matches before it, and of all that stands between them, end."""
     text, pattern, m = F.col("text"), F.lit(r.pattern), F.col("m")
     rows = _once(rows, "m", F.when(may, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
     measured = F.regexp_extract_all(text, pattern, F.lit(r.group)) if r.group else m
     before = F.transform(F.slice(F.split(text, r.pattern, -1), 1, F.size(m)), F.char_length)
     both = F.arrays_zip(before.alias("gap"), F.transform(m, F.char_length).alias("n"), F.transform(measured, lambda x: F.char_length(x) >= r.least).alias("kept"))
     rows = _once(rows, "g", F.when(F.size("m") > 0, both).otherwise(F.array().cast("array<struct<gap: int, n: int, kept: boolean>>"))).drop("m")
-    rows = _once(rows, "b", F.when(F.size("g") > 0, _sums_before(F.transform("g", lambda g: g["gap"] + g["n"]))).otherwise(F.array().cast("array<bigint>")))
+    rows = _once(rows, "d", F.transform("g", lambda g: (g["gap"] + g["n"]).cast("bigint")))
+    rows = _running(rows, "d", "b").drop("d")
     at = F.zip_with("b", "g", lambda b, g: F.struct((b + g["gap"]).alias("start"), F.lit(k).alias("rule"), (b + g["gap"] + g["n"]).alias("end"), g["kept"].alias("kept")))
     return _once(rows, f"s{k}", F.filter(at, lambda x: x["kept"])).drop("g", "b")
 
@@ -289,14 +302,13 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     """One row per row of docs: doc_id and text with every span, or run of overlapping spans, replaced by `mark`; null texts stay
     null. The cases are those of `find`."""
     here = docs.select(F.struct("doc_id", "text").alias("doc_id"), "text")
-    found = _once(find(here, rules), "text", F.col("doc_id.text"))
-    # a span begins a run if no earlier one reaches it; the runs' ends are the furthest before the next beginning
-    far = F.transform("spans", lambda x, i: F.struct(x["start"].alias("start"), F.array_max(F.transform(F.slice("spans", 1, i + 1), lambda y: y["end"])).alias("end")))
-    found = _once(found, "far", F.when(F.size("spans") > 0, far).otherwise(F.array().cast("array<struct<start: bigint, end: bigint>>")))
-    heads = F.filter(F.transform("far", lambda x, i: F.struct(x["start"].alias("start"), F.when(i > 0, F.try_element_at("far", F.greatest(i, F.lit(1)))["end"]).otherwise(F.lit(0)).alias("end"), i.alias("i"))), lambda x: (x["i"] == 0) | (x["start"] >= x["end"]))
-    found = _once(found, "heads", heads)
+    found = _once(_once(find(here, rules), "text", F.col("doc_id.text")), "ends", F.transform("spans", lambda x: x["end"]))
+    # a span that no earlier one reaches begins a run; what stays before it begins where the furthest of them ends
+    found = _running(found, "ends", "far", _most, F.greatest)
+    heads = F.zip_with("spans", "far", lambda x, far: F.struct(x["start"].alias("start"), far.alias("end")))
+    found = _once(found, "heads", F.filter(heads, lambda x, i: (i == 0) | (x["start"] >= x["end"])))
     clean = F.transform("heads", lambda h: F.substring("text", (h["end"] + 1).cast("int"), (h["start"] - h["end"]).cast("int")))
-    last = F.expr("substring(text, cast(far[size(far) - 1].end + 1 as int))")
+    last = F.expr("substring(text, cast(array_max(ends) + 1 as int))")
     done = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(F.array_join(clean, mark), F.lit(mark), last))
     return found.select(F.col("doc_id.doc_id").alias("doc_id"), done.alias("text"))
 
