@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,7 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>|<[!?/][^>]*+>|[^<]++|<", re.S)
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
+_INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_SIGNS = re.compile(r"[>\"']")
+#: Characters in which a tag's end is looked for before the page is gone through for all ends at once.
+_NEAR = 1 << 8
 _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[a-z]+")
 
@@ -42,6 +47,58 @@ _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt",
 _LISTS = frozenset(("ul", "ol", "dl", "table", "tbody", "thead", "div", "section", "article", "nav", "aside", "body", "html", "main", "footer", "header", "form", "menu"))
 
 
+class _Source:
+    """A page's tokens. A tag ends at the first `>` outside quotes, or, if there is none, at the first one of any kind;
+    without one either, its `<` is text. Each look-up that could reach far is answered from one pass over the page."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.starts: list[int] | None = None
+
+    def _far(self, at: int) -> int:
+        """Where the `>` outside quotes after `at`, itself outside, stands; -1 if nowhere."""
+        if self.starts is None:
+            # from the end of the page: a quote leads on behind the next one of its kind
+            signs = [(m.start(), m[0]) for m in _SIGNS.finditer(self.page)]
+            found, after = -1, {'"': -1, "'": -1}
+            follow = [-1] * len(signs)
+            for i in range(len(signs) - 1, -1, -1):
+                place, sign = signs[i]
+                if sign == ">":
+                    found = place
+                else:
+                    pair = after[sign]
+                    found = follow[pair + 1] if -1 < pair < len(signs) - 1 else -1
+                    after[sign] = i
+                follow[i] = found
+            self.starts, self.follow = [x for x, _ in signs], follow
+        i = bisect_left(self.starts, at)
+        return self.follow[i] if i < len(self.follow) else -1
+
+    def token(self, at: int) -> tuple[int, str | None, bool, str]:
+        """(end, tag, whether it closes, attributes) of the token at a place; without a tag it is text if the last is
+        its text, and markup to skip if that is empty."""
+        page = self.page
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+            return end, None, False, page[at:end]
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return len(page) if end < 0 else end + 3, None, False, ""
+        if at < self.last:
+            name = _NAME.match(page, at)
+            if name:
+                inside = _INSIDE.match(page, name.end(), name.end() + _NEAR)
+                end = inside.end() - 1 if inside else self._far(name.end())
+                if end < 0:
+                    end = page.find(">", name.end())
+                return end + 1, name[2].lower(), bool(name[1]), page[name.end() : end]
+            if page[at + 1] in "!?/":
+                return page.find(">", at) + 1, None, False, ""
+        return at + 1, None, False, "<"
+
+
 @dataclass
 class Block:
     text: str
@@ -65,6 +122,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     linked = links = at = 0
     quiet = None  # place in the stack of the outermost silent element
     source = page or ""
+    tokens = _Source(source)
     ends: dict[str, re.Match | None] = {}
 
     def flush():
@@ -103,16 +161,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
         return None if end and tag in _ONCE and _OPENS[tag].search(source, at, end.start()) else end
 
     while at < len(source):
-        m = _TOKEN.match(source, at)
-        at = m.end()
-        tag = m[2] or m[5]
+        at, tag, closing, attributes = tokens.token(at)
         if tag is None:
-            piece = m[0]
-            if quiet is None and not (piece[0] == "<" and len(piece) > 1):
-                text.append(piece)
-                linked += len(piece) * (links > 0)
+            if quiet is None and attributes:
+                text.append(attributes)
+                linked += len(attributes) * (links > 0)
             continue
-        tag, closing = tag.lower(), (m[1] or m[4]) == "/"
         if closing:
             if quiet is not None:
                 if not opened[tag]:
@@ -130,7 +184,6 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 while pop() != tag:
                     pass
             continue
-        attributes = m[3] if m[2] else m[6]
         empty = attributes.endswith("/")
         if tag in SILENT:
             end = None if empty else end_ahead(tag)

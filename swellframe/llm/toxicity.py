@@ -76,6 +76,18 @@ def automaton(entries) -> ahocorasick.Automaton:
     return found
 
 
+def _outside(places: list[int], ranges: list[tuple[int, int]]) -> list[int]:
+    """The places in none of the ranges (end exclusive), both in order: one pass over both."""
+    out, k, reach = [], 0, -1
+    for at in places:
+        while k < len(ranges) and ranges[k][0] <= at:
+            reach = max(reach, ranges[k][1])
+            k += 1
+        if at >= reach:
+            out.append(at)
+    return out
+
+
 #: Entries that a toxic text may ask for.
 COVER = 6
 
@@ -103,7 +115,7 @@ class ToxicityModel:
                 else:
                     start = end - len(k) + 1
                     hits[start] = max(hits.get(start, (0.0, "")), (w, k))
-            kept = [x for at, x in hits.items() if not any(a <= at < b for a, b in spared)]
+            kept = [hits[at] for at in _outside(sorted(hits), sorted(spared))]
             return sum(w for w, _ in kept), len(folded.split()), sorted({k.strip() for _, k in kept})
 
         return match
@@ -134,8 +146,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs: int = 4) -> ToxicityModel:
     """docs (doc_id, text) and labels (doc_id, toxic 0/1) -> a model.
 
-    At most `max_rows` labelled documents are used, those with the smallest hashes of their ids; equal texts, and most
-    near copies (those with the same two smallest hashes of longer words), count once. Of contradicting labels of one id
+    At most `max_rows` labelled documents are used, those with the smallest hashes of their ids; of rows that repeat an
+    id one counts, that of the smallest digest, and so do equal texts. Of contradicting labels of one id or text
     "toxic" counts. Null labels, ids and texts are left out; texts are read whole. Without toxic labels, or rows, the
     lexicon is empty. Only entries that tell toxic from other texts reach the driver, and of those as many stay as
     COVER entries a toxic text ask for.
@@ -143,10 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs:
     ids = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by max_rows
-    longer = F.array_distinct(F.transform(F.filter(F.split("text", r"\s+"), lambda w: F.length(w) >= 7), lambda w: F.xxhash64(w)))
-    alike = F.when(F.size(longer) >= 2, F.array_join(F.slice(F.array_sort(longer), 1, 2), " ")).otherwise(F.sha2("text", 256))
-    one = F.min_by(F.struct("text", "toxic", "doc_id"), "doc_id").alias("r")
-    rows = cut(rows.groupBy(alike.alias("alike")).agg(one).select("r.*"), "toxic-train")
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.sha2("text", 256).alias("digest"), "text")).alias("r"))
+    rows = cut(rows.groupBy("r.digest").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("r.text").alias("text")).drop("digest"), "toxic-train")
 
     def positive(batches):
         let_go()
@@ -209,8 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs:
     spared = phrases.groupBy("phrase").agg(F.sum(1 - F.col("toxic")).alias("n"), F.sum("toxic").alias("t")).where((F.col("n") >= min_docs) & (F.col("t") * 20 <= F.col("n")))
     model.exceptions += [r.phrase for r in spared.orderBy(F.desc("n"), "phrase").collect()]  # phrases of the sample
 
-    got = rows.select("doc_id", "text").mapInArrow(_matched(model), "doc_id long, weight double, words long, found array<string>")
-    seen = got.join(rows.select("doc_id", "toxic"), "doc_id").select("weight", "words", "toxic").toPandas()  # at most max_rows
+    seen = rows.select(F.col("toxic").cast("long").alias("toxic"), "text").mapInArrow(_matched(model), "toxic long, weight double, words long, found array<string>")
+    seen = seen.select("weight", "words", "toxic").toPandas()  # at most max_rows
     model.curve = fit_curve(curve_inputs(seen.weight, seen.words), seen.toxic.to_numpy(float))
     return model
 
@@ -218,14 +228,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_384, min_docs:
 def _matched(model: ToxicityModel):
     def run(batches):
         let_go()
-        match = model.matcher()
+        match = model.matcher()  # the first column is passed through
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 got = [match(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.string()))],
-                    names=["doc_id", "weight", "words", "found"],
+                    names=[part.schema.names[0], "weight", "words", "found"],
                 )
 
     return run
