@@ -48,8 +48,8 @@ def with_masks(points: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
 
 def central(mesh: DataFrame, rows: int, cols: int) -> DataFrame:
     """Cells in the middle of the image, where planes are refined: columns from a quarter to three quarters, rows from
-    a half to two thirds."""
-    return mesh.where((F.col("j") >= cols // 4) & (F.col("j") <= 3 * cols // 4) & (F.col("i") >= rows // 2) & (F.col("i") <= 2 * rows // 3))
+    a quarter to two thirds."""
+    return mesh.where((F.col("j") >= cols // 4) & (F.col("j") <= 3 * cols // 4) & (F.col("i") >= rows // 4) & (F.col("i") <= 2 * rows // 3))
 
 
 def rejected(tests: list[tuple[str, Column]]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swellframe.functions import geometry as g
+from swellframe.functions.epipolar import consensus, design, sampson
 from swellframe.operators import temporal
 from swellframe.operators.match import centred
 from swellframe.operators.raster import sampled
@@ -63,12 +64,6 @@ def _poses(e: np.ndarray) -> list[tuple[list[float], list[float]]]:
     return [((u @ m @ v).ravel().tolist(), (s * u[:, 2]).tolist()) for m in (w, w.T) for s in (1.0, -1.0)]
 
 
-def _design(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Rows of the equations b' E a = 0 of normalised places."""
-    a, b = np.c_[a, np.ones(len(a))], np.c_[b, np.ones(len(b))]
-    return (b[:, :, None] * a[:, None, :]).reshape(len(a), 9)
-
-
 def _essential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least squares over eight matches or more, in coordinates moved and scaled to unit spread, with the two equal
     singular values that an essential matrix has."""
@@ -78,18 +73,11 @@ def _essential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.array([[1 / s, 0, -m[0] / s], [0, 1 / s, -m[1] / s], [0, 0, 1]])
 
     ta, tb = scaling(a), scaling(b)
-    d = _design(a * ta[0, 0] + ta[:2, 2], b * tb[0, 0] + tb[:2, 2])
+    d = design(a * ta[0, 0] + ta[:2, 2], b * tb[0, 0] + tb[:2, 2])
     u, s, v = np.linalg.svd(tb.T @ np.linalg.eigh(d.T @ d)[1][:, 0].reshape(3, 3) @ ta)
     return u @ np.diag([1.0, 1.0, 0.0]) @ v
 
 
-def sampson(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """First-order distances of matches to their epipolar lines."""
-    a, b = np.c_[a, np.ones(len(a))], np.c_[b, np.ones(len(b))]
-    la, lb = a @ e.T, b @ e
-    return np.abs((b * la).sum(axis=1)) / np.sqrt(np.maximum((la[:, :2] ** 2).sum(axis=1) + (lb[:, :2] ** 2).sum(axis=1), 1e-300))
-
-
 def depths(a: np.ndarray, b: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Depths of matches in both cameras, from the rays' least-squares crossing."""
     x, y = np.c_[a, np.ones(len(a))] @ r.T, np.c_[b, np.ones(len(b))]
@@ -100,22 +88,18 @@ def depths(a: np.ndarray, b: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[
     return (xy * ty - yy * tx) / det, (xx * ty - xy * tx) / det
 
 
-def _inliers(pdf: pd.DataFrame, threshold: float, rounds: int, seed: int) -> pd.DataFrame:
+def _inliers(pdf: pd.DataFrame, threshold: float, rounds: int, seed: int, confidence: float) -> pd.DataFrame:
     pdf = pdf.sort_values("m")
     a, b = pdf[["ax", "ay"]].to_numpy(float), pdf[["bx", "by"]].to_numpy(float)
     n = len(a)
     base = {"frame": int(pdf.frame.iloc[0]), "m": pdf.m.to_numpy()}
-    if n < 8:
-        return pd.DataFrame(base | {"inlier": False, "ahead": False, "r": [[]] * n, "t": [[]] * n})
     rng = np.random.default_rng([seed, base["frame"] & (2**63 - 1)])
-    best, good = None, np.zeros(n, bool)
-    for _ in range(rounds):
-        e = _essential(a[pick := rng.choice(n, 8, replace=False)], b[pick])
-        near = sampson(e, a, b) < threshold
-        if near.sum() > good.sum():
-            best, good = e, near
+    best, good, made = consensus(a, b, threshold, rng, rounds, confidence)
+    base["draws"] = made
+    if best is None:
+        return pd.DataFrame(base | {"inlier": False, "ahead": False, "r": [[]] * n, "t": [[]] * n})
     for _ in range(10):  # settle on all inliers
-        if best is None or good.sum() < 8:
+        if good.sum() < 8:
             break
         e = _essential(a[good], b[good])
         near = sampson(e, a, b) < threshold
@@ -124,8 +108,6 @@ def _inliers(pdf: pd.DataFrame, threshold: float, rounds: int, seed: int) -> pd.
         best, same, good = e, (near == good).all(), near
         if same:
             break
-    if best is None:
-        return pd.DataFrame(base | {"inlier": False, "ahead": False, "r": [[]] * n, "t": [[]] * n})
     votes = []
     for r, t in _poses(best):
         r, t = np.array(r).reshape(3, 3), np.array(t)
@@ -135,13 +117,15 @@ def _inliers(pdf: pd.DataFrame, threshold: float, rounds: int, seed: int) -> pd.
     return pd.DataFrame(base | {"inlier": good, "ahead": ahead & good, "r": [r.ravel().tolist()] * n, "t": [t.tolist()] * n})
 
 
-def epipolar_inliers(matches: DataFrame, threshold: float, rounds: int = 500, seed: int = 1) -> DataFrame:
-    """Normalised matches (frame, m, ax, ay, bx, by) -> frame, m, inlier, ahead, r, t: matches within `threshold` (a
-    pixel's share of the focal length) of the epipolar geometry of most inliers, those of them in front of both
-    cameras, and the pose that puts most there (ties to the larger first element of r). Draws are seeded by frame;
-    the geometry is refitted to its inliers. A frame's matches, some thousands at most, meet in one task."""
+def epipolar_inliers(matches: DataFrame, threshold: float, rounds: int = 1000, seed: int = 1, confidence: float = 0.9999) -> DataFrame:
+    """Normalised matches (frame, m, ax, ay, bx, by) -> frame, m, draws, inlier, ahead, r, t: matches within `threshold`
+    (a pixel's share of the focal length) of the epipolar geometry of most inliers, those of them in front of both
+    cameras, and the pose that puts most there (ties to the larger first element of r). Geometries come from draws of
+    five matches, seeded by frame, until `rounds` or until the inliers found make more draws needless at the given
+    confidence; the best one is refitted to its inliers while it keeps them. Frames of fewer than six matches have no
+    inliers. A frame's matches, some thousands at most, meet in one task."""
     rows = matches.select(F.col("frame").cast("long").alias("frame"), F.col("m").cast("long").alias("m"), *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
-    return rows.groupBy("frame").applyInPandas(lambda pdf: _inliers(pdf, threshold, rounds, seed), "frame long, m long, inlier boolean, ahead boolean, r array<double>, t array<double>")
+    return rows.groupBy("frame").applyInPandas(lambda pdf: _inliers(pdf, threshold, rounds, seed, confidence), "frame long, m long, draws long, inlier boolean, ahead boolean, r array<double>, t array<double>")
 
 
 def essential_matrices(matches: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def triangulation_gates(spark, sf_dir):
     return x.groupBy("frame", c.rejected(tests).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(sql=f"WITH {CUBE} SELECT t, count(*) AS n, min(z) AS zmin, max(z) AS zmax FROM cube WHERE j BETWEEN {COLS // 4} AND {3 * COLS // 4} AND i BETWEEN {ROWS // 2} AND {2 * ROWS // 3} GROUP BY t")
+@query(sql=f"WITH {CUBE} SELECT t, count(*) AS n, min(z) AS zmin, max(z) AS zmax FROM cube WHERE j BETWEEN {COLS // 4} AND {3 * COLS // 4} AND i BETWEEN {ROWS // 4} AND {2 * ROWS // 3} GROUP BY t")
 def central_window(spark, sf_dir):
     """The middle of the image, where planes are refined."""
     return c.central(cube(spark, sf_dir), ROWS, COLS).groupBy("t").agg(F.count("*").alias("n"), F.min("z").alias("zmin"), F.max("z").alias("zmax"))
@@ -162,11 +162,38 @@ def reprojection_stats(spark, sf_dir):
 def epipolar_inliers(spark, sf_dir):
     """Matches that fit one epipolar geometry, those in front of both cameras, and its pose."""
     m = matches(spark, sf_dir).select("frame", "m", *[(F.col(k) / 800).alias(k) for k in ("ax", "ay", "bx", "by")])
-    x = surface.epipolar_inliers(m, 1.5 / 800, 60)
+    x = surface.epipolar_inliers(m, 1.5 / 800)
     pose = [F.first(F.element_at("r", k + 1)).alias(f"r{k}") for k in range(9)] + [F.first(F.element_at("t", k + 1)).alias(f"t{k}") for k in range(3)]
     return x.groupBy("frame").agg(F.count_if("inlier").alias("inliers"), F.count_if("ahead").alias("ahead"), F.count("*").alias("matches"), *pose)
 
 
+#: A known rig: the second camera's rotation and place, and views of points by both, two in five of them misplaced.
+VIEW_R, VIEW_T = ((0.96, 0.0, 0.28), (0.0, 1.0, 0.0), (-0.28, 0.0, 0.96)), (-1.0, 0.1, 0.05)
+_VIEW_E = [[sum(s[i][k] * VIEW_R[k][j] for k in range(3)) for j in range(3)] for s in [((0.0, -VIEW_T[2], VIEW_T[1]), (VIEW_T[2], 0.0, -VIEW_T[0]), (-VIEW_T[1], VIEW_T[0], 0.0))] for i in range(3)]
+_VIEWS = "l_orderkey // 64 AS frame, l_orderkey * 2 + CAST(l_partkey % 5 < 2 AS INTEGER) AS m, (l_quantity - 25) / 8 AS x, l_discount * 60 - 3 + l_tax AS y, 4 + l_extendedprice / 10000 AS z, l_partkey % 5 < 2 AS odd, (l_suppkey * 31 % 97) / 97.0 - 0.5 AS u, (l_partkey * 17 % 89) / 89.0 - 0.5 AS v"
+_SEEN = [f"({VIEW_R[k][0]} * x + {VIEW_R[k][1]} * y + {VIEW_R[k][2]} * z + {VIEW_T[k]})" for k in range(3)]
+_LINE = [[f"({e[0]} * {a} + {e[1]} * {b} + {e[2]})" for e in rows] for rows, a, b in ((_VIEW_E, "a0", "a1"), ([[_VIEW_E[i][j] for i in range(3)] for j in range(3)], "b0", "b1"))]
+_OFF = f"abs(b0 * {_LINE[0][0]} + b1 * {_LINE[0][1]} + {_LINE[0][2]}) / sqrt({' + '.join(f'{k} * {k}' for k in (*_LINE[0][:2], *_LINE[1][:2]))})"
+
+
+@query(
+    sql=f"WITH p AS (SELECT {_VIEWS} FROM lineitem), s AS (SELECT frame, odd, x / z AS a0, y / z AS a1, CASE WHEN odd THEN u ELSE {_SEEN[0]} / {_SEEN[2]} END AS b0, CASE WHEN odd THEN v ELSE {_SEEN[1]} / {_SEEN[2]} END AS b1 FROM p) "
+    f"SELECT frame, count(*) AS matches, count(*) FILTER ({_OFF} < 1e-6) AS inliers, count(*) FILTER (odd AND {_OFF} < 1e-6) AS odd, TRUE AS posed FROM s GROUP BY frame HAVING count(*) FILTER (NOT odd) >= 8"
+)
+def five_point_views(spark, sf_dir):
+    """Views of the points by a known rig, two in five misplaced: the inliers are the matches on the rig's own epipolar
+    lines, and the pose is its own, in every frame of eight true matches or more."""
+    p = table(spark, sf_dir, "lineitem").selectExpr(*_VIEWS.replace("//", "div").split(", "))
+    place = [F.when(F.col("odd"), F.col(c)).otherwise(F.expr(f"{_SEEN[k]} / {_SEEN[2]}")) for k, c in enumerate("uv")]
+    views = p.select("frame", "m", F.expr("x / z").alias("ax"), F.expr("y / z").alias("ay"), place[0].alias("bx"), place[1].alias("by"))
+    got = surface.epipolar_inliers(views, 1e-6, confidence=0.999999).withColumn("odd", F.col("m") % 2 == 1)
+    length = sum(c * c for c in VIEW_T) ** 0.5
+    true = [*(v for row in VIEW_R for v in row), *(c / length for c in VIEW_T)]
+    away = F.greatest(*[F.abs(F.element_at(F.concat("r", "t"), k + 1) - v) for k, v in enumerate(true)])
+    sums = got.groupBy("frame").agg(F.count("*").alias("matches"), F.count_if("inlier").alias("inliers"), F.count_if(F.col("inlier") & F.col("odd")).alias("odd"), (F.max(away) < 1e-6).alias("posed"), F.count_if(~F.col("odd")).alias("n"))
+    return sums.where("n >= 8").drop("n")
+
+
 @query("worst", "WITH a AS (SELECT l_linenumber AS k, avg(l_discount) AS x, avg(l_tax) AS y FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_linenumber AS k, avg(l_discount) AS x, avg(l_tax) AS y FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) SELECT count(*) AS n, max(greatest(abs(a.x - b.x), abs(a.y - b.y))) AS worst FROM a JOIN b USING (k)", 9)
 def calibration_check(spark, sf_dir):
     """Largest difference of two sets of calibration values."""

@@ -598,11 +598,27 @@ def truth_outliers(spark, sf_dir):
     return e.join(q, "frame").where("err < q").groupBy("frame").agg(F.count("*").alias("n"), F.max("err").alias("worst"))
 
 
-@query()
+_LOCAL_DRAW = "(pid * 7919 + CAST(x AS BIGINT) * 31) % 1000003"
+_LOCAL = f"""{CLOUD}, box AS (SELECT frame, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cloud GROUP BY frame),
+ce AS (SELECT frame, frame * 25 + k AS g, x0 + (k // 5) * (x1 - x0) / 4 AS cx, y0 + (k % 5) * (y1 - y0) / 4 AS cy FROM box, (SELECT unnest(range(25)) AS k)),
+loc AS (SELECT frame, g, pid, x, y, z FROM ce JOIN cloud USING (frame) WHERE (x - cx) * (x - cx) + (y - cy) * (y - cy) <= 16),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {_LOCAL_DRAW}, pid, x, y, z) - 1 AS r FROM loc),
+h3 AS (SELECT g, r // 3 AS h, max(x) FILTER (r % 3 = 0) AS x0, max(y) FILTER (r % 3 = 0) AS y0, max(z) FILTER (r % 3 = 0) AS z0, max(x) FILTER (r % 3 = 1) AS x1, max(y) FILTER (r % 3 = 1) AS y1, max(z) FILTER (r % 3 = 1) AS z1,
+       max(x) FILTER (r % 3 = 2) AS x2, max(y) FILTER (r % 3 = 2) AS y2, max(z) FILTER (r % 3 = 2) AS z2 FROM o WHERE r < 48 GROUP BY 1, 2),
+n3 AS (SELECT g, h, x0, y0, z0, (y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0) AS nx, (z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0) AS ny, (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) AS nz FROM h3),
+u3 AS (SELECT *, nullif(sqrt(nx * nx + ny * ny + nz * nz), 0) AS s FROM n3),
+p3 AS (SELECT g, h, nx / s AS a, ny / s AS b, nz / s AS c, -(nx / s * x0 + ny / s * y0 + nz / s * z0) AS d FROM u3 WHERE s IS NOT NULL),
+c3 AS (SELECT g, h, a, b, c, d, count(*) FILTER (WHERE abs(x * a + y * b + z * c + d) < 1.37) AS n FROM loc JOIN p3 USING (g) GROUP BY ALL),
+b3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, h) AS k FROM c3) WHERE k = 1),
+v3 AS (SELECT frame, pid, count(*) AS votes FROM loc JOIN b3 USING (g) WHERE abs(x * a + y * b + z * c + d) >= 1.37 GROUP BY 1, 2)
+SELECT frame, count(*) AS outliers, CAST(sum(votes) AS BIGINT) AS votes FROM v3 GROUP BY frame"""
+
+
+@query(sql=f"WITH {_LOCAL}")
 def local_plane_outliers(spark, sf_dir):
-    """Points with votes against them around 5 x 5 places of a frame."""
+    """Points with votes against them around 5 x 5 places of a frame; the draws' order is arithmetic that SQL can repeat."""
     draw = F.expr("(pid * 7919 + cast(x as bigint) * 31) % 1000003")
-    x = c.voted_outliers(cloud(spark, sf_dir), 4.0, 25.0, 16, 5, order=draw)
+    x = c.voted_outliers(cloud(spark, sf_dir), 4.0, 1.37, 16, 5, order=draw)
     return x.groupBy("frame").agg(F.count("*").alias("outliers"), F.sum("votes").alias("votes"))
 
 

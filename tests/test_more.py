@@ -251,3 +251,27 @@ def test_rectification():
     assert box[0] < box[2] and box[1] < box[3]
     with pytest.raises(ValueError, match="above"):
         camera.rectification(k, k, r, np.array([0.0, -1.0, 0.0]), (2400, 2000))
+
+
+def test_five_point(spark):
+    """Exact views give the matrix itself; at 60 % outliers the gates hold and draws stop early."""
+    from swellframe.functions import epipolar
+
+    _, r, t, a, b = two_views(800, 0.0, 0, 9)
+    true = np.array([[0, -t[2], t[1]], [t[2], 0, -t[0]], [-t[1], t[0], 0]]) @ r
+    true /= np.linalg.norm(true)
+    draw, e = epipolar.five_point(np.stack([a[:5], a[5:10]]), np.stack([b[:5], b[5:10]]))
+    for k in (0, 1):
+        assert min(min(np.abs(x - true).max(), np.abs(x + true).max()) for x in e[draw == k]) < 1e-8
+    assert np.abs(np.linalg.det(e)).max() < 1e-10
+    assert epipolar.draws_needed(0.4, 0.9999) == pytest.approx(np.log(1e-4) / np.log(1 - 0.4**5)) and epipolar.draws_needed(0, 0.9) == np.inf and epipolar.draws_needed(1, 0.9) == 0
+    _, r, t, a, b = two_views(1200, 0.15, 720, 11)
+    df = spark.createDataFrame([(7, k, *map(float, (*a[k], *b[k]))) for k in range(1200)], "frame long, m long, ax double, ay double, bx double, by double")
+    got = surface.epipolar_inliers(df, 1.5 / 2000).toPandas()
+    kept = got[got.inlier & got.ahead]
+    assert len(kept) >= 400 and (kept.m >= 720).mean() > 0.97 and kept.draws.iloc[0] < 1000
+    assert np.abs(np.reshape(kept.r.iloc[0], (3, 3)) - r).max() <= 5e-3 and np.abs(np.array(kept.t.iloc[0]) - t).max() <= 2e-2
+    for n in (0, 5):
+        assert epipolar.consensus(a[:n], b[:n], 1e-3, np.random.default_rng(0))[0] is None
+    flat = epipolar.consensus(np.zeros((9, 2)), np.zeros((9, 2)), 1e-3, np.random.default_rng(0), rounds=40)
+    assert flat[0] is None and flat[2] == 40
