@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swellframe.operators.graph import forest
-from swellframe.operators.grid import quantiles
+from swellframe.operators.graph import components, forest
+from swellframe.operators.grid import quantiles, selected
+from swellframe.tables import cut
 
 #: Gates of a triangulated pixel, in the order in which they are tried.
 GATES = ("disparity", "left", "right", "box", "left mask", "right mask", "burned", "angle", "near", "far")
@@ -183,12 +184,8 @@ def upper_gaps(mesh: DataFrame, cols: int) -> DataFrame:
 
 def index_percentile(df: DataFrame, by: str, value: str, percent: float) -> DataFrame:
     """sorted[floor(percent / 100 * n)] of each group, the last value at most; nulls are left out."""
-    rows = df.where(F.col(value).isNotNull())
-    counts = rows.groupBy(by, value).agg(F.count("*").alias("m"))
-    w = Window.partitionBy(by)
-    placed = counts.withColumns({"upto": F.sum("m").over(w.orderBy(value)), "n": F.sum("m").over(w)})
-    at = F.least(F.floor(F.col("n") * percent / 100), F.col("n") - 1)
-    return placed.where(F.col("upto") > at).groupBy(by).agg(F.min(value).alias("value"))
+    place = F.least(F.floor(F.col("n") * percent / 100), F.col("n") - 1)
+    return selected(df, value, [place], [by]).select(by, F.col("v0").alias("value"))
 
 
 def _labelled(mesh: pd.DataFrame, gap: float, diagonal: bool) -> np.ndarray:
@@ -215,20 +212,37 @@ def _labelled(mesh: pd.DataFrame, gap: float, diagonal: bool) -> np.ndarray:
 _WIDE = 1 << 20
 
 
-def connected(mesh: DataFrame, gap: float, diagonal: bool = False) -> DataFrame:
+def connected(mesh: DataFrame, gap: float, diagonal: bool = False, tile: int = 512) -> DataFrame:
     """mesh (t, i, j, z) -> t, i, j, component: cells joined to neighbours, of four or of eight, whose height differs by
-    less than gap. A component is named by its smallest cell number. A frame's mesh, which the camera bounds, is
-    labelled in one task."""
+    less than gap. A component is named by its smallest cell number. Null heights are left out.
 
-    def run(pdf):
-        return pdf[["t", "i", "j"]].assign(component=pdf.t.astype("int64") * _WIDE * _WIDE + _labelled(pdf, gap, diagonal))
-
-    return mesh.where("z is not null").select("t", "i", "j", "z").groupBy("t").applyInPandas(run, "t int, i int, j int, component long")
+    Square tiles of a frame are labelled in tasks of their own. Cells on a tile's rim meet their neighbours across it
+    by place, and the labels that meet there are joined as a link table, however far a component reaches; only rims and labels are shuffled
+    again. The result is read from a table in the shared folder."""
 
-
-def biggest(mesh: DataFrame, gap: float, diagonal: bool = False) -> DataFrame:
+    def run(pdf):
+        return pdf[["t", "i", "j", "z"]].assign(label=pdf.t.astype("int64") * _WIDE * _WIDE + _labelled(pdf, gap, diagonal))
+
+    at = [F.floor(F.col(c) / tile) for c in "ij"]
+    parts = cut(mesh.where("z is not null").select("t", "i", "j", "z").groupBy("t", *at).applyInPandas(run, "t int, i int, j int, z double, label long"), "labelled")
+    rim = F.lit(False)
+    for c in "ij":
+        rim = rim | F.pmod(c, F.lit(tile)).isin(0, tile - 1)
+    edge = parts.where(rim)
+    steps = [(0, 1), (1, 0), (1, 1), (1, -1)] if diagonal else [(0, 1), (1, 0)]
+    onto = edge.select("t", "z", F.col("label").alias("a"), F.col("i").alias("pi"), F.col("j").alias("pj"), F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps])).alias("d"))
+    onto = onto.select("t", "a", F.col("z").alias("pz"), "pi", "pj", (F.col("pi") + F.col("d.x")).alias("i"), (F.col("pj") + F.col("d.y")).alias("j"))
+    across = onto.where((F.floor(F.col("pi") / tile) != at[0]) | (F.floor(F.col("pj") / tile) != at[1]))
+    links = cut(across.join(edge, ["t", "i", "j"]).where(F.abs(F.col("z") - F.col("pz")) < gap).select("a", F.col("label").alias("b")).distinct(), "label-links")
+    out = parts.select("t", "i", "j", F.col("label").alias("component"))
+    if links.isEmpty():  # each component lies in one tile
+        return out
+    return out.join(components(links).withColumnRenamed("node", "component"), "component", "left").select("t", "i", "j", F.coalesce("comp", "component").alias("component"))
+
+
+def biggest(mesh: DataFrame, gap: float, diagonal: bool = False, tile: int = 512) -> DataFrame:
     """Size and name of each frame's largest component; of equal ones the smallest name."""
-    sizes = connected(mesh, gap, diagonal).groupBy("t", "component").agg(F.count("*").alias("size"))
+    sizes = connected(mesh, gap, diagonal, tile).groupBy("t", "component").agg(F.count("*").alias("size"))
     best = sizes.groupBy("t").agg(F.max_by(F.struct("component", "size"), F.struct("size", (-F.col("component")).alias("c"))).alias("m"), F.count("*").alias("components"))
     return best.select("t", "m.size", "m.component", "components")
 

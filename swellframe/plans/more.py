@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from swellframe.functions import geometry as g
 from swellframe.operators import cloud as c
 from swellframe.operators import image, match, raster, surface, temporal
-from swellframe.plans.queries import _MATCHES, _RAY, _SHADOW, _SLOPE, _TURNED, CLOUD, COLS, CUBE, FEATURES, ROWS, SERIES, SHIFT, TURN, _channels, features, matches, query
+from swellframe.plans.queries import _MATCHES, _RAY, _SHADOW, _SLOPE, _TURNED, CLOUD, COLS, CUBE, FEATURES, REGISTRY, ROWS, SERIES, SHIFT, TURN, _channels, features, matches, query
 from swellframe.sources import codecs
 from swellframe.tables import cloud, cube, series, table
 
@@ -167,6 +167,12 @@ def epipolar_inliers(spark, sf_dir):
     return x.groupBy("frame").agg(F.count_if("inlier").alias("inliers"), F.count_if("ahead").alias("ahead"), F.count("*").alias("matches"), *pose)
 
 
+@query(sql=REGISTRY["biggest_component"][1])
+def biggest_component_tiles(spark, sf_dir):
+    """The same from tiles of seven cells, whose labels meet at their rims."""
+    return c.biggest(cube(spark, sf_dir), 4.0, tile=7)
+
+
 #: A known rig: the second camera's rotation and place, and views of points by both, two in five of them misplaced.
 VIEW_R, VIEW_T = ((0.96, 0.0, 0.28), (0.0, 1.0, 0.0), (-0.28, 0.0, 0.96)), (-1.0, 0.1, 0.05)
 _VIEW_E = [[sum(s[i][k] * VIEW_R[k][j] for k in range(3)) for j in range(3)] for s in [((0.0, -VIEW_T[2], VIEW_T[1]), (VIEW_T[2], 0.0, -VIEW_T[0]), (-VIEW_T[1], VIEW_T[0], 0.0))] for i in range(3)]

@@ -49,6 +49,11 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded(small: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of short rows, marked for broadcast if it has at most `most` rows; beyond that joins shuffle."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points: frame, pid, x, y, z from lineitem."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("frame"), F.col("l_orderkey").alias("pid"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_extendedprice") / 1000).alias("z"))

@@ -275,3 +275,35 @@ def test_five_point(spark):
         assert epipolar.consensus(a[:n], b[:n], 1e-3, np.random.default_rng(0))[0] is None
     flat = epipolar.consensus(np.zeros((9, 2)), np.zeros((9, 2)), 1e-3, np.random.default_rng(0), rounds=40)
     assert flat[0] is None and flat[2] == 40
+
+
+def test_selected(spark, monkeypatch):
+    """Any place of any group, of values that share many leading bits, repeat, or span all sizes."""
+    rng = np.random.default_rng(3)
+    groups = {0: 1 + rng.random(900) * 1e-13, 1: np.repeat([2.5, -1.0], [700, 300]), 2: rng.normal(size=800) * 10.0 ** rng.integers(-300, 300, 800), 3: np.array([0.0, -0.0, np.inf, -np.inf, np.nan, 1.0]), None: np.array([7.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [(0, None)], "frame int, v double")
+    places = [F.lit(0), F.floor(F.col("n") / 3), F.col("n") - 1]
+    for few in (grid.FEW, 20):
+        monkeypatch.setattr(grid, "FEW", few)
+        for r in grid.selected(df, "v", places, ["frame"]).collect():
+            x = np.sort(groups[r.frame])
+            assert r.n == len(x) and np.array_equal([r.v0, r.v1, r.v2], x[[0, len(x) // 3, -1]], equal_nan=True)
+        one = grid.quantiles(df.where("frame < 3"), "v", [0.0, 0.31, 1.0]).first()
+        assert np.allclose([one.q0, one.q1, one.q2], np.quantile(np.concatenate([groups[k] for k in range(3)]), [0, 0.31, 1]), rtol=1e-12)
+    assert grid.quantiles(df.limit(0), "v", [0.5]).count() == 0 and grid.selected(df.limit(0), "v", places, ["frame"]).count() == 0
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_component_tiles(spark, diagonal):
+    """Components that wind through many tiles are named as if a frame were labelled at once."""
+    rng = np.random.default_rng(5)
+    snake = np.full((30, 23), np.nan)
+    snake[::4] = 1.0
+    for k in range(0, 28, 4):
+        snake[k : k + 5, 22 if k % 8 == 0 else 0] = 1.0
+    frames = [snake, np.where(rng.random((30, 23)) < 0.6, rng.integers(0, 3, (30, 23)), np.nan)]
+    rows = [(t, i, j, float(z[i, j])) for t, z in enumerate(frames) for i, j in np.ndindex(z.shape) if z[i, j] == z[i, j]] + [(1, 50, 50, None)]
+    mesh = spark.createDataFrame(rows, "t int, i int, j int, z double")
+    whole, tiled = (sorted(map(tuple, cloud.connected(mesh, 1.0, diagonal, tile).select("t", "i", "j", "component").collect())) for tile in (512, 4))
+    assert whole == tiled and len({c for t, _, _, c in whole if t == 0}) == 1 and len({c for t, _, _, c in whole if t == 1}) > 10
+    assert cloud.connected(mesh.limit(0), 1.0, diagonal, 4).count() == 0
