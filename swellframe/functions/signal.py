@@ -39,6 +39,64 @@ def _run(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y
 
 
+def cascade(sections: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(a, b, c, d) of second-order sections in a row: state' = a state + b x, y = c state + d x."""
+    n = 2 * len(sections)
+    a, b, c, d = np.zeros((n, n)), np.zeros(n), np.zeros(n), 1.0
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(sections):
+        own, gain = slice(2 * k, 2 * k + 2), np.array([b1 - a1 * b0, b2 - a2 * b0])
+        a[own] = np.outer(gain, c)
+        a[own, own] = [[-a1, 1.0], [-a2, 0.0]]
+        b[own] = gain * d
+        c, d = b0 * c, b0 * d
+        c[2 * k] += 1.0
+    return a, b, c, d
+
+
+class Recursive:
+    """A recursive filter that works on parts of a series: what a part gives from rest, and what the state before it
+    adds, are known apart. Within a part, rows of `width` samples are filtered together, too."""
+
+    def __init__(self, sections: np.ndarray, width: int = 256):
+        self.a, b, c, d = cascade(sections)
+        self.width, n = width, len(b)
+        powers = np.empty((width + 1, n, n))
+        powers[0] = np.eye(n)
+        for k in range(width):
+            powers[k + 1] = powers[k] @ self.a
+        self.powers = powers
+        self.seen = c @ powers[:width]  # (width, n): what the state adds to each sample of a row
+        answer = np.r_[d, self.seen[: width - 1] @ b]
+        lag = np.arange(width)[:, None] - np.arange(width)
+        self.rest = np.where(lag >= 0, answer[np.abs(lag)], 0.0).T  # from rest: row @ this
+        self.left = powers[width - 1 :: -1] @ b  # (width, n): what each sample of a row leaves in the state
+        self.steady = np.linalg.solve(np.eye(n) - self.a, b)
+        self.jumps: dict[int, np.ndarray] = {}
+
+    def jump(self, n: int) -> np.ndarray:
+        """What n samples make of a state; parts are mostly of one length."""
+        if n not in self.jumps:
+            self.jumps[n] = np.linalg.matrix_power(self.a, n)
+        return self.jumps[n]
+
+    def run(self, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(y, state after) of a part that begins in a state, at rest by default."""
+        w, n = self.width, len(x)
+        state = np.zeros(len(self.a)) if state is None else state
+        rows = n // w
+        part = x[: rows * w].reshape(rows, w)
+        y, ends, begins = part @ self.rest, part @ self.left, np.empty((rows, len(self.a)))
+        for k in range(rows):
+            begins[k] = state
+            state = self.powers[w] @ state + ends[k]
+        y = [(y + begins @ self.seen.T).ravel()]
+        if m := n - rows * w:
+            tail = x[rows * w :]
+            y.append(tail @ self.rest[:m, :m] + self.seen[:m] @ state)
+            state = self.powers[m] @ state + tail @ self.left[w - m :]
+        return np.concatenate(y), state
+
+
 def zero_phase(sections: np.ndarray, x: np.ndarray, pad: int = 27) -> np.ndarray:
     """Forward and backward filtering along the last axis, with odd extensions of `pad` samples at both ends."""
     if x.shape[-1] <= pad:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swellframe.functions import signal
+from swellframe.tables import bounded, cut
 
 
 def gathered(series: DataFrame) -> DataFrame:
@@ -51,6 +52,148 @@ def filtered(series: DataFrame, rate: float, cutoff: float, high: bool = False,
     return got.select("cell", F.explode(F.arrays_zip("t", "o0")).alias("r")).select("cell", F.col("r.t").alias("t"), F.col("r.o0").alias("v"))
 
 
+def _parts(series: DataFrame, size: int, ranges: int | None) -> DataFrame:
+    """series (cell, t, v) -> cell, part, n, t array, v array: runs of at most `size` samples in order, written once. A
+    cell's samples may lie in many ranges; parts of a cell are numbered from 0 by the runs' metadata alone."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        at, k, held = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            out, held = _runs(held, size, False)
+            for cell, t, v in out:
+                yield _part(cell, at, k, t, v)
+                k += 1
+        if held is not None:
+            for cell, t, v in _runs(held, size, True)[0]:
+                yield _part(cell, at, k, t, v)
+                k += 1
+
+    rows = series.select(F.col("cell").cast("long"), F.col("t").cast("long"), F.col("v").cast("double"))
+    ranged = rows.repartitionByRange(ranges, "cell", "t") if ranges else rows.repartitionByRange("cell", "t")
+    parts = cut(ranged.sortWithinPartitions("cell", "t").mapInArrow(run, "cell long, range int, k long, n long, t array<long>, v array<double>"), "series-parts")
+    number = (F.row_number().over(Window.partitionBy("cell").orderBy("range", "k")) - 1).cast("long")
+    numbers = parts.select("cell", "range", "k", number.alias("part"))
+    return parts.join(bounded(numbers), ["cell", "range", "k"]).select("cell", "part", "n", "t", "v")
+
+
+def _runs(held: pa.Table, size: int, last: bool) -> tuple[list, pa.Table | None]:
+    """The runs of one cell and of `size` samples that a sorted table holds, and what may still go on."""
+    cell, t, v = (held.column(k).to_numpy() for k in range(3))
+    starts = np.flatnonzero(np.r_[len(cell) > 0, cell[1:] != cell[:-1]])
+    out, done = [], 0
+    for a, b in zip(starts, [*starts[1:], len(cell)], strict=True):
+        for at in range(a, b, size):
+            end = min(at + size, b)
+            if end - at < size and end == len(cell) and not last:
+                break
+            out.append((cell[at], t[at:end], v[at:end]))
+            done = end
+    return out, held.slice(done) if done < len(cell) else None
+
+
+def _part(cell, at, k, t, v) -> pa.RecordBatch:
+    own = [pa.array([cell], pa.int64()), pa.array([at], pa.int32()), pa.array([k], pa.int64()), pa.array([len(t)], pa.int64())]
+    return pa.RecordBatch.from_arrays([*own, *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (t, v)]], names=["cell", "range", "k", "n", "t", "v"])
+
+
+def _rows_of(batch: pa.RecordBatch):
+    """A batch's rows: lists as arrays, other columns as plain values."""
+    columns = []
+    for c in batch.columns:
+        if pa.types.is_list(c.type):
+            columns.append(np.split(c.flatten().to_numpy(zero_copy_only=False), np.cumsum(c.value_lengths().to_numpy())[:-1]))
+        else:
+            columns.append(c.to_pylist())
+    return zip(*columns)  # noqa: B905  an empty batch has one empty list
+
+
+def _row(**values) -> pa.RecordBatch:
+    arrays = [pa.array([v], pa.int64() if isinstance(v, int) else pa.list_(pa.from_numpy_dtype(v.dtype))) for v in values.values()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(values))
+
+
+def long_filtered(series: DataFrame, rate: float, cutoff: float, high: bool = False, order: int = 8, level: bool | None = None, size: int = 1 << 14, ranges: int | None = None) -> DataFrame:
+    """filtered() for series of any length, none of which any task holds: cell, t, v.
+
+    Series are cut into parts of at most `size` samples by a range partitioning. A part is filtered from rest; its last
+    state, a few numbers, is all that the parts behind it need: they add it through powers of the filter's matrix. The
+    states of a cell's parts, one short row each, are carried along in one small group, once forward and once back. Both
+    ends are extended by 27 samples as in filtered(). Null samples are left out; series of 27 samples or fewer raise an
+    error; `t` must differ within a cell. An empty table gives an empty result."""
+    pad, sections = 27, signal.butterworth(order, cutoff, rate, high)
+    level = high if level is None else level
+    parts = _parts(series.where("v is not null"), size, ranges)
+    whole = parts.groupBy("cell").agg(F.sum("n").alias("all"), F.max("part").alias("last"), F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("sum"))
+    before = Window.partitionBy("cell").orderBy("part")
+    meta = parts.select("cell", "part", "n").withColumn("upto", F.sum("n").over(before)).join(whole, "cell").withColumn("left", F.col("all") - F.col("upto") + F.col("n"))
+    # the first and the last 28 samples of each cell, from the few parts that hold them
+    ends = parts.join(meta.where(f"upto - n <= {pad} or left - n <= {pad}").select("cell", "part", "all", "sum"), ["cell", "part"])
+    head, tail = F.slice("v", 1, pad + 1), F.slice(F.reverse("v"), 1, pad + 1)
+    ends = ends.groupBy("cell").agg(F.first("all").alias("all"), F.first("sum").alias("sum"), F.array_sort(F.collect_list(F.struct("part", head.alias("head"), tail.alias("tail")))).alias("e"))
+    ends = ends.select("cell", "all", (F.col("sum") / F.col("all") if level else F.lit(0.0)).alias("mean"), F.slice(F.flatten("e.head"), 1, pad + 1).alias("head"), F.slice(F.flatten(F.reverse("e.tail")), 1, pad + 1).alias("tail"))
+    stop = F.raise_error(F.format_string(f"a series needs more than {pad} samples, got %d", "all")).cast("boolean")
+    ends = cut(ends.where(F.when(F.col("all") > pad, True).otherwise(stop)), "series-ends")
+    known = bounded(ends.select("cell", "mean"))
+
+    def states(batches):
+        """The state that each part leaves from rest."""
+        f = signal.Recursive(sections)
+        for b in batches:
+            for cell, part, n, v, mean in _rows_of(b):
+                yield _row(cell=cell, part=part, n=n, s=f.run(v - mean)[1])
+
+    def carried(forward: bool):
+        def run(key, rows, edge):
+            f = signal.Recursive(sections)
+            rows = rows.sort_values("part", ascending=forward)
+            if forward:
+                h = np.array(edge["head"].iloc[0]) - edge["mean"].iloc[0]
+                x = 2 * h[0] - h[pad:0:-1]
+                state = f.run(x, f.steady * x[0])[1]
+            else:
+                y = np.array(edge["y"].iloc[0])[::-1]
+                state = f.run(y, f.steady * y[0])[1]
+            begins = []
+            for n, s in zip(rows["n"], rows["s"], strict=True):
+                begins.append(state)
+                state = f.jump(int(n)) @ state + np.array(s)
+            out = {"cell": rows["cell"].to_numpy(), "part": rows["part"].to_numpy(), "s": [b.tolist() for b in begins]}
+            if forward:
+                t = np.array(edge["tail"].iloc[0]) - edge["mean"].iloc[0]
+                y = f.run(2 * t[0] - t[1:], state)[0]
+                out["y"] = [y.tolist()] * len(rows)
+            return pd.DataFrame(out)
+
+        return run
+
+    def ahead(batches):
+        f = signal.Recursive(sections)
+        for b in batches:
+            for cell, part, n, t, v, mean, s in _rows_of(b):
+                y = f.run(v - mean, s)[0]
+                yield _row(cell=cell, part=part, n=n, t=t, v=y, b=f.run(y[::-1])[1])
+
+    def back(batches):
+        f = signal.Recursive(sections)
+        for b in batches:
+            for cell, t, v, s in _rows_of(b):
+                y = f.run(v[::-1], s)[0][::-1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), cell)), pa.array(t), pa.array(y)], names=["cell", "t", "v"])
+
+    level_ = parts.join(known, "cell")
+    rest = level_.select("cell", "part", "n", "v", "mean").mapInArrow(states, "cell long, part long, n long, s array<double>")
+    begin = rest.groupBy("cell").cogroup(ends.groupBy("cell")).applyInPandas(carried(True), "cell long, part long, s array<double>, y array<double>")
+    begin = cut(begin, "series-states")
+    x = level_.join(bounded(begin.select("cell", "part", "s")), ["cell", "part"]).select("cell", "part", "n", "t", "v", "mean", "s")
+    once = cut(x.mapInArrow(ahead, "cell long, part long, n long, t array<long>, v array<double>, b array<double>"), "series-once")
+    edge = begin.groupBy("cell").agg(F.first("y").alias("y"))
+    again = once.select("cell", "part", "n", F.col("b").alias("s")).groupBy("cell").cogroup(edge.groupBy("cell")).applyInPandas(carried(False), "cell long, part long, s array<double>")
+    return once.join(bounded(again), ["cell", "part"]).select("cell", "t", "v", "s").mapInArrow(back, "cell long, t long, v double")
+
+
 def fast_filtered(series: DataFrame, rate: float, cutoff: float, high: bool = False) -> DataFrame:
     """As filtered(), with the rate as a whole number and no mean taken off."""
     return filtered(series, float(max(1, round(rate))), cutoff, high, level=False)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swellframe.functions import geometry as g
@@ -495,11 +495,44 @@ def welch_segments(spark, sf_dir):
     return temporal.segments(series(spark, sf_dir), 16)
 
 
-@query("v", None, 4)
+def _zero_phase_sql(series: str, sections) -> str:
+    """Forward and backward filtering of `s` (cell, t from 0, v) with odd extensions, sample by sample and all cells at once."""
+    size = 2 * len(sections)
+    steady = signal.Recursive(sections, 1).steady
+    rest = ", ".join(f"{float(z)!r} * x AS z{k}" for k, z in enumerate(steady))
+
+    def step(source, at, move):
+        x, outs, states = f"{source}.x", [], []
+        for k, (b0, b1, b2, _, a1, a2) in enumerate(map(lambda r: tuple(map(float, r)), sections)):
+            outs.append(f"{b0!r} * {x} + p.z{2 * k} AS o{k}")
+            states += [f"{b1!r} * {x} - {a1!r} * o{k} + p.z{2 * k + 1} AS n{2 * k}", f"{b2!r} * {x} - {a2!r} * o{k} AS n{2 * k + 1}"]
+            x = f"o{k}"
+        return f"SELECT cell, k, o{len(sections) - 1} AS y, {', '.join(f'n{k}' for k in range(size))} FROM (SELECT p.cell, {source}.k, {', '.join(outs)}, {', '.join(states)} FROM {at} p JOIN {source} ON p.cell = {source}.cell AND {source}.k = p.k {move} 1)"
+
+    ends = "(SELECT cell, count(*) AS n, max(v) FILTER (t = 0) AS v0 FROM s GROUP BY cell)"
+    return f"""WITH RECURSIVE {series},
+n AS (SELECT e.cell, e.n, e.v0, s.v AS v1 FROM {ends} e JOIN s ON s.cell = e.cell AND s.t = e.n - 1 WHERE e.n > 27),
+ext AS (SELECT cell, 27 - t AS k, 2 * v0 - v AS x FROM s JOIN n USING (cell) WHERE t BETWEEN 1 AND 27 UNION ALL SELECT cell, 27 + t, v FROM s JOIN n USING (cell)
+        UNION ALL SELECT cell, 27 + 2 * n - 2 - t, 2 * v1 - v FROM s JOIN n USING (cell) WHERE t BETWEEN n - 28 AND n - 2),
+fw AS (SELECT cell, -1::BIGINT AS k, 0.0::DOUBLE AS y, {rest} FROM ext WHERE k = 0 UNION ALL {step('ext', 'fw', '+')}),
+once AS (SELECT cell, k, y AS x FROM fw WHERE k >= 0),
+bw AS (SELECT cell, k + 1 AS k, 0.0::DOUBLE AS y, {rest} FROM once JOIN n USING (cell) WHERE k = n + 53 UNION ALL {step('once', 'bw', '-')})
+SELECT cell, k - 27 AS t, y AS v FROM bw JOIN n USING (cell) WHERE k BETWEEN 27 AND n + 26"""
+
+
+@query("v", _zero_phase_sql(f"{SERIES}, s AS (SELECT * FROM series)", signal.butterworth(8, 1.0, 10.0)), 4)
 def butterworth_filtfilt(spark, sf_dir):
     return temporal.filtered(temporal.longer_than(series(spark, sf_dir), 27), 10.0, 1.0)
 
 
+@query("v", _zero_phase_sql("s AS (SELECT user_id % 7 AS cell, row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) - 1 AS t, value AS v FROM events)", signal.butterworth(8, 0.8, 10.0)), 4)
+def butterworth_parts(spark, sf_dir):
+    """Seven long series, each cut into parts that are filtered apart."""
+    x = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("cell"), F.col("event_id").alias("t"), F.col("value").alias("v"))
+    got = temporal.long_filtered(x, 10.0, 0.8, size=64, ranges=5)
+    return got.withColumn("t", (F.row_number().over(Window.partitionBy("cell").orderBy("t")) - 1).cast("long"))
+
+
 _WELCH = "w AS (SELECT cell, k, t - k * 8 AS p, v - avg(v) OVER (PARTITION BY cell, k) AS v FROM (SELECT cell, t, v, n, t // 8 + o AS k FROM ns, (VALUES (-1), (0)) z(o)) WHERE k >= 0 AND k * 8 + 16 <= n), d AS (SELECT cell, k, f, sum(v * (0.5 - 0.5 * cos(2 * pi() * p / 16)) * cos(2 * pi() * f * p / 16)) AS re, sum(v * (0.5 - 0.5 * cos(2 * pi() * p / 16)) * sin(2 * pi() * f * p / 16)) AS im FROM w, (SELECT unnest(range(9)) AS f) GROUP BY cell, k, f), sp AS (SELECT cell, f * 10.0 / 16 AS f, avg((re * re + im * im) / 60 * CASE WHEN f IN (0, 8) THEN 1 ELSE 2 END) AS s FROM d GROUP BY cell, f)"
 
 

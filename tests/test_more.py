@@ -307,3 +307,40 @@ def test_component_tiles(spark, diagonal):
     whole, tiled = (sorted(map(tuple, cloud.connected(mesh, 1.0, diagonal, tile).select("t", "i", "j", "component").collect())) for tile in (512, 4))
     assert whole == tiled and len({c for t, _, _, c in whole if t == 0}) == 1 and len({c for t, _, _, c in whole if t == 1}) > 10
     assert cloud.connected(mesh.limit(0), 1.0, diagonal, 4).count() == 0
+
+
+def test_recursive_parts():
+    """Filtering part by part, each from the state that the last one left, is filtering at once."""
+    from swellframe.functions import signal
+
+    rng = np.random.default_rng(6)
+    for cutoff, high in ((0.05, False), (1.0, False), (2.0, True)):
+        sections = signal.butterworth(8, cutoff, 10.0, high)
+        f, x = signal.Recursive(sections, 64), rng.normal(size=1000) + 3
+        whole = signal._run(sections, x)
+        state, out = f.steady * x[0], []
+        for a, b in ((0, 1), (1, 300), (300, 301), (301, 900), (900, 1000)):
+            y, state = f.run(x[a:b], state)
+            out.append(y)
+        assert np.abs(np.concatenate(out) - whole).max() < 1e-9
+        rest = f.run(x[:333])[1] + f.jump(333) @ (f.steady * x[0])
+        assert np.abs(rest - f.run(x[:333], f.steady * x[0])[1]).max() < 1e-9
+
+
+@pytest.mark.parametrize("high", [False, True])
+def test_long_filter(spark, high):
+    """Long and short series, in parts over several ranges, equal the filter of each whole series."""
+    from swellframe.functions import signal
+
+    rng = np.random.default_rng(7)
+    wholes = {1: np.cumsum(rng.normal(size=30_000)), 2: rng.normal(size=28), 5: rng.normal(size=777)}
+    rows = pd.DataFrame([(c, 3 * k, v) for c, x in wholes.items() for k, v in enumerate(x)], columns=["cell", "t", "v"]).sample(frac=1, random_state=1)
+    df = spark.createDataFrame(rows, "cell long, t long, v double").union(spark.createDataFrame([(1, -5, None)], "cell long, t long, v double"))
+    got = temporal.long_filtered(df, 10.0, 1.0, high, size=500, ranges=4).toPandas().sort_values(["cell", "t"])
+    for cell, x in wholes.items():
+        mine = got[got.cell == cell]
+        want = signal.zero_phase(signal.butterworth(8, 1.0, 10.0, high), x - x.mean() if high else x)
+        assert mine.t.tolist() == [3 * k for k in range(len(x))] and np.abs(mine.v.to_numpy() - want).max() < 1e-9 * max(1, np.abs(x).max())
+    assert temporal.long_filtered(df.limit(0), 10.0, 1.0).count() == 0
+    with pytest.raises(Exception, match="more than 27 samples"):
+        temporal.long_filtered(df.where("cell = 2 and t > 0"), 10.0, 1.0).count()
