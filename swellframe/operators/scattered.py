@@ -1,17 +1,21 @@
 """Linear interpolation of scattered points at grid nodes, over Delaunay triangles.
 
-Points and nodes are dealt into square tiles; a tile gets the points of a margin around it too, so that triangles
-across its border are the same on both sides as long as the margin is wider than the largest empty circle. A tile's
-points, whose number its size bounds, are triangulated in one task.
+Points and nodes are dealt into square tiles. A tile's points are triangulated in one task with those of the tiles
+around it, and a triangle counts only if points still farther away can't change it; nodes that get none are asked
+again with more tiles around, so the result is that of one triangulation of all points.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swellframe.tables import cut
+
 
 def circumcircles(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Centres and squared radii of triangles t (m, 3) of points p."""
@@ -56,14 +60,57 @@ def delaunay(p: np.ndarray) -> np.ndarray:
     return t[(t < n).all(axis=1)]
 
 
-def interpolated(p: np.ndarray, z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Heights at places (m, 2), NaN outside the points' hull; of points at one place the mean counts."""
+def certain(p: np.ndarray, t: np.ndarray, known: tuple[float, float, float, float], box: tuple[float, float, float, float]) -> np.ndarray:
+    """Which triangles t of points p no point can take away that lies in `box` but outside `known` (x from, y from, x
+    to, y to): those of whose circles the part in the box lies in the known rectangle."""
+    c, r2 = circumcircles(p, t)
+    r2 = r2 * (1 + 1e-9)
+    out = np.ones(len(t), bool)
+    for k in (0, 1):
+        other = 1 - k
+        gap = np.maximum(np.maximum(box[other] - c[:, other], c[:, other] - box[2 + other]), 0.0)
+        half = np.sqrt(np.maximum(r2 - gap * gap, 0.0))
+        out &= (np.maximum(c[:, k] - half, box[k]) >= known[k]) & (np.minimum(c[:, k] + half, box[2 + k]) <= known[2 + k])
+    return out
+
+
+def hull(p: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of points, counter-clockwise; fewer than three if they lie in a line."""
+    p = np.unique(p, axis=0)
+    if len(p) < 3:
+        return p
+
+    def chain(points):
+        out: list[np.ndarray] = []
+        for q in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out
+
+    low, high = chain(p), chain(p[::-1])
+    return np.array(low[:-1] + high[:-1])
+
+
+def within(corners: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which places lie in a convex polygon or on its rim."""
+    if len(corners) < 3:
+        return np.zeros(len(at), bool)
+    a, b = corners, np.roll(corners, -1, axis=0)
+    side = (b[:, 0] - a[:, 0]) * (at[:, 1, None] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (at[:, 0, None] - a[:, 0])
+    return (side >= -1e-12 * np.abs(corners).max() ** 2).all(axis=1)
+
+
+def interpolated(p: np.ndarray, z: np.ndarray, at: np.ndarray, sure=None) -> np.ndarray:
+    """Heights at places (m, 2), NaN outside the points' hull; of points at one place the mean counts. Given `sure`
+    (points, triangles -> which count), NaN as well where only other triangles are."""
     p, which = np.unique(p, axis=0, return_inverse=True)
     z = np.bincount(which.ravel(), z) / np.maximum(np.bincount(which.ravel()), 1)
     out = np.full(len(at), np.nan)
     order = np.argsort(at[:, 0], kind="stable")
     xs = at[order, 0]
-    for tri in delaunay(p):
+    triangles = delaunay(p)
+    for tri in triangles if sure is None else triangles[sure(p, triangles)]:
         a, b, c = p[tri]
         part = order[np.searchsorted(xs, min(a[0], b[0], c[0]) - 1e-9) : np.searchsorted(xs, max(a[0], b[0], c[0]) + 1e-9)]
         d = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
@@ -77,18 +124,79 @@ def interpolated(p: np.ndarray, z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def linear(points: DataFrame, nodes: DataFrame, tile: float, margin: float) -> DataFrame:
-    """points (frame, x, y, z) and nodes (i, j, x, y) -> frame, i, j, z at every node inside the frame's hull."""
-    cell = lambda c, d: F.floor((F.col(c) + d) / tile)
-    near = points.select("frame", "x", "y", "z", F.explode(F.sequence(cell("x", -margin), cell("x", margin))).alias("a"))
-    near = near.select("frame", "x", "y", "z", "a", F.explode(F.sequence(cell("y", -margin), cell("y", margin))).alias("b"))
-    wanted = nodes.select("i", "j", "x", "y", cell("x", 0).alias("a"), cell("y", 0).alias("b"))
-    frames = points.select(F.col("frame").cast("int").alias("own")).distinct()
-    asked = frames.join(wanted)
+def _hulls(points: DataFrame) -> DataFrame:
+    """points (frame, a, b, x, y) -> frame, hull (x and y in turn) and the box x0, y0, x1, y1: corners of tiles first, then of those."""
+
+    def corners(pdf):
+        h = hull(pdf[["x", "y"]].to_numpy(float))
+        return pd.DataFrame({"frame": pdf.frame.iloc[0], "x": h[:, 0], "y": h[:, 1]})
+
+    def whole(pdf):
+        p = pdf[["x", "y"]].to_numpy(float)
+        return pd.DataFrame({"frame": [pdf.frame.iloc[0]], "hull": [hull(p).ravel().tolist()], "x0": [p[:, 0].min()], "y0": [p[:, 1].min()], "x1": [p[:, 0].max()], "y1": [p[:, 1].max()]})
+
+    rim = points.groupBy("frame", "a", "b").applyInPandas(corners, "frame int, x double, y double")
+    return rim.groupBy("frame").applyInPandas(whole, "frame int, hull array<double>, x0 double, y0 double, x1 double, y1 double")
+
+
+#: Cells to a side of a tile: points around a tile are taken by cells.
+CELLS = 4
+
+
+def linear(points: DataFrame, nodes: DataFrame, tile: float, margin: float | None = None) -> DataFrame:
+    """points (frame, x, y, z) and nodes (i, j, x, y) -> frame, i, j, z at every node inside the frame's hull, linear
+    over the triangles of all its points' Delaunay triangulation.
+
+    Nodes are asked tile by tile. A tile's points and those up to `margin` around it (a quarter of a tile by default)
+    are triangulated in one task; a triangle counts if no point farther away can lie in its circle. Nodes in no such
+    triangle, as in gaps or on the hull's rim, are asked again with twice the margin, and no others are; once a tile
+    sees the whole frame, all its triangles count. So the margin decides about time alone. Points of null or non-finite places or heights are left out, of points at one place the mean
+    counts, and of equal circles either triangulation is as good. Frames of points in a line have no nodes; nor have slivers on the
+    rim ten thousand times longer than high. Empty tables give an empty result."""
+    size = tile / CELLS
+    cell = lambda c, by: F.floor(F.col(c) / by).cast("long")
+    fine = F.lit(True)
+    for c in ("x", "y", "z"):
+        fine = fine & F.coalesce(F.abs(c) < float("inf"), F.lit(False))
+    own = points.where(fine).groupBy(F.col("frame").cast("int").alias("frame"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.avg("z").alias("z"))
+    own = cut(own.withColumns({"ca": cell("x", size), "cb": cell("y", size)}), "scattered")
+    frames = cut(_hulls(own.select("frame", cell("x", tile).alias("a"), cell("y", tile).alias("b"), "x", "y")), "hulls")
+    wanted = nodes.select(cell("x", tile).alias("a"), cell("y", tile).alias("b"), F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("n"))
+    wanted = wanted.groupBy("a", "b").agg(F.collect_list("n").alias("nodes"))  # a tile's nodes, which its size bounds
+    over = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}0") / tile).cast("long"), F.floor(F.col(f"{c}1") / tile).cast("long")))
+    tiles = frames.select("*", over("x").alias("a")).select("*", over("y").alias("b"))
+    open_ = tiles.join(wanted, ["a", "b"])
+    kept = ["frame", "a", "b", "hull", "x0", "y0", "x1", "y1"]
+
+    def asked(reach):
+        def run(key, some: pd.DataFrame, tile_: pd.DataFrame) -> pd.DataFrame:
+            row = tile_.iloc[0]
+            at = pd.DataFrame.from_records(list(row["nodes"]))
+            places, box = at[["x", "y"]].to_numpy(float), (row.x0, row.y0, row.x1, row.y1)
+            inside = within(np.array(row.hull).reshape(-1, 2), places)
+            known = [(CELLS * k - reach) * size for k in (row.own_a, row.own_b)] + [(CELLS * (k + 1) + reach) * size for k in (row.own_a, row.own_b)]
+            all_seen = known[0] <= box[0] and known[1] <= box[1] and known[2] > box[2] and known[3] > box[3]
+            z = np.full(len(at), np.nan)
+            if len(some) and inside.any():
+                z[inside] = interpolated(some[["x", "y"]].to_numpy(float), some.z.to_numpy(float), places[inside], None if all_seen else lambda p, t: certain(p, t, known, box))
+            left = inside & np.isnan(z) & (not all_seen)
+            rows = at.assign(frame=int(row.own_frame), a=int(row.own_a), b=int(row.own_b), z=np.where(np.isnan(z), None, z), open=left)
+            return rows[left | ~np.isnan(z)][["frame", "a", "b", "i", "j", "x", "y", "z", "open"]]
 
-    def run(key, some: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
-        z = interpolated(some[["x", "y"]].to_numpy(float), some.z.to_numpy(float), places[["x", "y"]].to_numpy(float)) if len(some) and len(places) else np.zeros(0)
-        out = pd.DataFrame({"frame": places.own.iloc[: len(z)], "i": places.i.iloc[: len(z)], "j": places.j.iloc[: len(z)], "z": z})
-        return out[~np.isnan(z)]
+        return run
 
-    return near.where("z is not null").groupBy("frame", "a", "b").cogroup(asked.groupBy("own", "a", "b")).applyInPandas(run, "frame int, i int, j int, z double")
+    reach, found = max(1, math.ceil((margin or 0.0) / size)), None
+    while True:
+        near = open_.select("frame", "a", "b")
+        for to, c in (("ca", "a"), ("cb", "b")):
+            near = near.withColumn(to, F.explode(F.sequence(F.col(c) * CELLS - reach, F.col(c) * CELLS + CELLS - 1 + reach)))
+        here = own.join(near, ["frame", "ca", "cb"]).select("frame", "a", "b", "x", "y", "z")
+        there = open_.select(*[F.col(c).alias(f"own_{c}") for c in ("frame", "a", "b")], "nodes", *kept[3:])
+        got = here.groupBy("frame", "a", "b").cogroup(there.groupBy("own_frame", "own_a", "own_b")).applyInPandas(asked(reach), "frame int, a long, b long, i int, j int, x double, y double, z double, open boolean")
+        got = cut(got, "interpolated")
+        done = got.where("not open").select("frame", "i", "j", "z")
+        found = done if found is None else found.union(done)
+        again = got.where("open").groupBy("frame", "a", "b").agg(F.collect_list(F.struct("i", "j", "x", "y")).alias("nodes"))
+        if again.isEmpty():
+            return found
+        open_, reach = again.join(tiles.select(*kept), ["frame", "a", "b"]), reach * 2

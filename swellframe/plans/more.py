@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from swellframe.functions import geometry as g
 from swellframe.operators import cloud as c
-from swellframe.operators import image, match, raster, surface, temporal
+from swellframe.operators import image, match, raster, scattered, surface, temporal
 from swellframe.plans.queries import _MATCHES, _RAY, _SHADOW, _SLOPE, _TURNED, CLOUD, COLS, CUBE, FEATURES, REGISTRY, ROWS, SERIES, SHIFT, TURN, _channels, features, matches, query
 from swellframe.sources import codecs
 from swellframe.tables import cloud, cube, series, table
@@ -167,6 +167,17 @@ def epipolar_inliers(spark, sf_dir):
     return x.groupBy("frame").agg(F.count_if("inlier").alias("inliers"), F.count_if("ahead").alias("ahead"), F.count("*").alias("matches"), *pose)
 
 
+_SCATTERED = "l_linenumber AS frame, l_extendedprice / 1000 AS x, (l_partkey * 7919 + l_suppkey * 31) % 100003 / 1000.0 AS y"
+
+
+@query("z", f"WITH p AS (SELECT {_SCATTERED} FROM lineitem), n AS (SELECT CAST(k // 24 AS INTEGER) AS i, CAST(k % 24 AS INTEGER) AS j, 14.3 + k // 24 * 3 AS x, 13.1 + k % 24 * 3 AS y FROM (SELECT unnest(range(576)) AS k)) SELECT frame, i, j, 0.5 * n.x - 0.25 * n.y + 3 AS z FROM n, (SELECT DISTINCT frame FROM p)")
+def linear_gridding(spark, sf_dir):
+    """A plane of scattered points is met at every node of a grid, frame by frame."""
+    p = table(spark, sf_dir, "lineitem").selectExpr(*_SCATTERED.split(", ")).withColumn("z", 0.5 * F.col("x") - 0.25 * F.col("y") + 3)
+    nodes = spark.range(576).selectExpr("cast(id div 24 as int) AS i", "cast(id % 24 as int) AS j", "14.3 + id div 24 * 3 AS x", "13.1 + id % 24 * 3 AS y")
+    return scattered.linear(p, nodes, 12.0)
+
+
 @query(sql=REGISTRY["biggest_component"][1])
 def biggest_component_tiles(spark, sf_dir):
     """The same from tiles of seven cells, whose labels meet at their rims."""

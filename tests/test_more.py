@@ -206,7 +206,8 @@ def test_scattered(spark):
     centre, radius = scattered.circumcircles(p, t)
     away = ((p[None] - centre[:, None]) ** 2).sum(axis=2)
     assert (away >= radius[:, None] * (1 - 1e-6)).all()
-    area = np.abs(np.cross(p[t[:, 1]] - p[t[:, 0]], p[t[:, 2]] - p[t[:, 0]])).sum() / 2
+    u, v = p[t[:, 1]] - p[t[:, 0]], p[t[:, 2]] - p[t[:, 0]]
+    area = np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]).sum() / 2
     hull = p[np.lexsort((p[:, 1], p[:, 0]))]
     ring = []
     for half in (hull, hull[::-1]):
@@ -344,3 +345,36 @@ def test_long_filter(spark, high):
     assert temporal.long_filtered(df.limit(0), 10.0, 1.0).count() == 0
     with pytest.raises(Exception, match="more than 27 samples"):
         temporal.long_filtered(df.where("cell = 2 and t > 0"), 10.0, 1.0).count()
+
+
+def test_scattered_gap(spark):
+    """Small tiles give the triangulation of all points, across a large gap and up to the hull, for every node inside it."""
+    from itertools import combinations
+
+    from swellframe.operators import scattered
+
+    rng = np.random.default_rng(12)
+    p = rng.uniform(0, 10, (150, 2))
+    p = p[(np.abs(p - [5.5, 4.5]) > 2.6).any(axis=1)][:70]
+    z = np.sin(3 * p[:, 0]) + p[:, 1] ** 2
+    at = np.concatenate([rng.uniform(0, 10, (150, 2)), rng.uniform(4, 6, (40, 2))])
+    three = np.array(list(combinations(range(len(p)), 3)))
+    c, r2 = scattered.circumcircles(p, three)
+    empty = np.array([((p - m) ** 2).sum(axis=1).min() >= r * (1 - 1e-9) for m, r in zip(c, r2, strict=True)])
+    want = {}
+    for a, b, d in three[empty]:
+        m = np.linalg.solve(np.array([[*p[k], 1.0] for k in (a, b, d)]).T, np.c_[at, np.ones(len(at))].T)
+        for k in np.flatnonzero((m > 1e-9).all(axis=0)):
+            want[int(k)] = float(m[:, k] @ z[[a, b, d]])
+    rows = [(1, *map(float, (*q, h))) for q, h in zip(p, z, strict=True)]
+    rows += [(2, *q, float(2 * q[0] + q[1])) for q in [(0.0, 0.0), (4.0, 0.0), (0.0, 4.0), (4.0, 4.0)]] * 2 + [(3, 1.0, 1.0, 1.0), (3, 2.0, 2.0, 5.0), (1, None, 1.0, 2.0), (1, 5.5, 4.5, None), (1, 5.5, 4.5, float("nan")), (1, float("inf"), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "frame int, x double, y double, z double")
+    nodes = spark.createDataFrame([(k, 0, *map(float, q)) for k, q in enumerate(at)], "i int, j int, x double, y double")
+    got = scattered.linear(df, nodes, 0.8).collect()
+    mine = {r.i: r.z for r in got if r.frame == 1}
+    assert len(got) == len({(r.frame, r.i) for r in got}) and len(want) > 120 and want.keys() <= mine.keys() and len(mine.keys() - want.keys()) < 3
+    assert all(mine[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    square = {r.i: r.z for r in got if r.frame == 2}
+    assert square.keys() == {k for k, q in enumerate(at) if (q < 4).all()} and all(v == pytest.approx(2 * at[k][0] + at[k][1]) for k, v in square.items())
+    assert not [r for r in got if r.frame == 3]
+    assert scattered.linear(df.limit(0), nodes, 0.8).count() == 0 and scattered.linear(df, nodes.limit(0), 0.8).count() == 0
