@@ -16,6 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swellframe.llm.common import cut
+from swellframe.tables import bounded
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OTHER_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 WORD_CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -112,12 +115,17 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     are reported each; ties don't arise; texts of any length are scanned whole. Other columns are ignored. An empty
     table gives an empty result."""
     found = scan(docs.select("doc_id", "text"), benchmark, size)
-    row = found.select("row.doc_id", F.monotonically_increasing_id().alias("at"), F.size("w").cast("long").alias("n_words"), F.size(hit_positions()).cast("long").alias("n_hit"),
-                       F.array_distinct(F.transform("hits", lambda h: F.array_join(F.slice("w", h.pos, h.len), " "))).alias("seen"))
+    grams = F.array_distinct(F.transform("hits", lambda h: F.array_join(F.slice("w", h.pos, h.len), " ")))
+    row = found.select("row.doc_id", F.size("w").cast("long").alias("n_words"), F.size(hit_positions()).cast("long").alias("n_hit"), grams.alias("seen"))
+    row = cut(row.select("doc_id", "n_words", "n_hit", "seen", *[F.when(F.size("seen") > 0, F.xxhash64(*salt, "seen")).alias(k) for k, salt in (("k1", []), ("k2", [F.lit("items")]))]), "decontam")
+    # items are named once for each set of grams, however many rows hold it; clean rows meet nothing
     items = benchmark_grams(benchmark, size).select("gram", F.col("item_id").cast("string").alias("item"))
-    which = row.select("at", "doc_id", "n_words", "n_hit", F.explode_outer("seen").alias("gram")).join(items, "gram", "left")
-    named = which.groupBy("at", "doc_id", "n_words", "n_hit").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return named.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    sets = row.where("k1 is not null").dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode("seen").alias("gram"))
+    named = sets.join(items, "gram").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    known = bounded(cut(named, "decontam-items"))
+    hit = row.where("k1 is not null").join(known, ["k1", "k2"]).select("doc_id", "n_words", "n_hit", "items")
+    rows = hit.union(row.where("k1 is null").select("doc_id", "n_words", "n_hit", F.array().cast("array<string>")))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_hit: float = 0.0) -> DataFrame:
