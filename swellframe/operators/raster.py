@@ -66,25 +66,34 @@ def filled(grid: DataFrame, rows: int, cols: int, taps: Taps | None = None) -> D
     return got.select("t", "i", "j", F.coalesce("own", F.col("wz") / F.nullif(F.col("ws"), F.lit(0.0))).alias("z"), F.col("own").isNull().alias("filled")).where("z is not null")
 
 
-def closed(grid: DataFrame, rows: int, cols: int) -> DataFrame:
-    """Cells of the 3 x 3 morphological closing of the existing ones (outside counts as set)."""
-    wide = scatter(grid, NINE).select("t", "i", "j").where(f"i >= -1 and i <= {rows} and j >= -1 and j <= {cols}").distinct().withColumn("z", F.lit(1.0))
-    n = scatter(wide, NINE).groupBy("t", "i", "j").agg(F.count("*").alias("n"))
-    return inside(n, rows, cols).where("n = 9").select("t", "i", "j")
-
-
-def filled_inside(grid: DataFrame, rows: int, cols: int, taps: Taps | None = None, rounds: int = 100) -> DataFrame:
-    """Passes of filled() until no cell of the closing of the existing cells is missing, `rounds` at most; cells outside
-    the closing stay missing. Each pass is written, so that lost executors repeat one pass only."""
-    want = cut(closed(grid, rows, cols))
-    now = cut(grid.select("t", "i", "j", "z"))
+def closed(grid: DataFrame, rows: int, cols: int, size: int = 3, rounds: int = 1) -> DataFrame:
+    """Cells of the morphological closing of the existing ones by a square of odd `size`, dilated `rounds` times and
+    eroded as often; what lies outside the image neither sets nor clears a cell. Squares add up to one square, whose rows
+    and columns are gone through one after another."""
+    r = size // 2 * rounds
+    line = [[(0, k, 1.0) for k in range(-r, r + 1)], [(k, 0, 1.0) for k in range(-r, r + 1)]]
+    wide = grid.select("t", "i", "j", F.lit(1.0).alias("z"))
+    for taps in line:
+        wide = inside(scatter(wide, taps), rows, cols).select("t", "i", "j").distinct().withColumn("z", F.lit(1.0))
+    n = wide
+    for taps in line:
+        n = inside(scatter(n, taps), rows, cols).groupBy("t", "i", "j").agg(F.sum("z").alias("z"))
+    span = lambda c, most: F.least(F.col(c) + r, F.lit(most - 1)) - F.greatest(F.col(c) - r, F.lit(0)) + 1
+    return n.where(F.col("z") == span("i", rows) * span("j", cols)).select("t", "i", "j")
+
+
+def filled_inside(grid: DataFrame, rows: int, cols: int, taps: Taps | None = None, size: int = 5, rounds: int = 3) -> DataFrame:
+    """Inverse-distance filling inside the closing of the existing cells by a square of `size`, `rounds` times: every
+    pass gives each cell that wasn't there at first the weighted mean of the neighbours that the pass before knew.
+    Cells of the closing that no pass reaches stay missing. Each pass is written, so that lost executors repeat one pass only."""
+    now = cut(grid.where("z is not null").select("t", "i", "j", "z", F.lit(True).alias("first")))
     for _ in range(rounds):
-        if want.join(now, ["t", "i", "j"], "left_anti").isEmpty():
-            break
-        new = cut(filled(now, rows, cols, taps).select("t", "i", "j", "z"))
+        near = inside(scatter(now.where("first"), [(0, 0, 0.0)]).union(scatter(now, taps or distance_taps(size))), rows, cols)
+        got = near.groupBy("t", "i", "j").agg(F.max(F.when(F.col("own"), F.col("z"))).alias("own"), F.sum(F.col("w") * F.col("z")).alias("wz"), F.sum("w").alias("ws"))
+        new = cut(got.select("t", "i", "j", F.coalesce("own", F.col("wz") / F.nullif(F.col("ws"), F.lit(0.0))).alias("z"), F.col("own").isNotNull().alias("first")))
         discard(now)
         now = new
-    return now.join(want, ["t", "i", "j"], "left_semi")
+    return now.select("t", "i", "j", "z").join(closed(grid.where("z is not null"), rows, cols, size, rounds), ["t", "i", "j"], "left_semi")
 
 
 def convolved(grid: DataFrame, taps: Taps) -> DataFrame:

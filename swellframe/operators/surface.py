@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 from swellframe.functions import geometry as g
 from swellframe.functions.epipolar import consensus, design, sampson
 from swellframe.operators import temporal
+from swellframe.operators.image import sampled_sharp
 from swellframe.operators.match import centred
 from swellframe.operators.raster import sampled
 
 _CELL = 1 << 20
 
 
-def radiance(cells: DataFrame, images: DataFrame, camera: Sequence[Sequence[float]], top: float = 255.0) -> DataFrame:
+def radiance(cells: DataFrame, images: DataFrame, camera: Sequence[Sequence[float]], top: float = 255.0, sharp: int = 0) -> DataFrame:
     """cells (t, i, j, x, y, z) and images (t, i, j, z: rows, columns, values) -> t, i, j, radiance: the image where
-    each cell is seen, from 0 to 1; null outside the image."""
+    each cell is seen, from 0 to 1; null outside the image. Sampled by Lanczos weights of 2 * sharp pixels a side, as
+    published radiance products are with 4, or linearly by default."""
     u, v = g.projected(F.col("x"), F.col("y"), F.col("z"), camera)
     places = cells.select("t", (F.col("i").cast("long") * _CELL + F.col("j")).alias("id"), v.alias("fi"), u.alias("fj"))
     places = places.where(F.abs("fi") < 1e9).where(F.abs("fj") < 1e9)
-    got = sampled(images, places)
+    got = sampled_sharp(images, places, sharp) if sharp else sampled(images, places)
     return got.select("t", F.floor(F.col("id") / _CELL).cast("int").alias("i"), (F.col("id") % _CELL).cast("int").alias("j"), (F.col("z") / top).alias("radiance"))
 
 

@@ -323,6 +323,14 @@ def lanczos_sample(spark, sf_dir):
     return image.sampled_sharp(cube(spark, sf_dir), places)
 
 
+@query("radiance", f"WITH {CUBE}, p AS (SELECT t, i, j, 0.4 * i + 0.1 * z / 8 + 1.5 AS fi, 0.6 * j + 0.05 * z / 8 + 0.5 AS fj FROM cube), s AS (SELECT unnest(range(-3, 5)) AS d), x AS (SELECT t, i, j, fi, fj, floor(fi) + a.d AS ci, floor(fj) + b.d AS cj FROM p, s a, s b), y AS (SELECT x.t, x.i, x.j, {_L('fi - ci')} * {_L('fj - cj')} AS w, z FROM x LEFT JOIN cube c ON c.t = x.t AND c.i = x.ci AND c.j = x.cj) SELECT t, i, j, CASE WHEN count(z) = 64 THEN sum(w * z) / sum(w) / 255 END AS radiance FROM y GROUP BY t, i, j")
+def radiance_sharp(spark, sf_dir):
+    """The cube taken as an image too, sampled by Lanczos weights where its own cells are seen."""
+    x = cube(spark, sf_dir)
+    cells = x.select("t", "i", "j", F.col("j").cast("double").alias("x"), F.col("i").cast("double").alias("y"), (F.col("z") / 8).alias("z"))
+    return surface.radiance(cells, x, ((0.6, 0.0, 0.05, 0.5), (0.0, 0.4, 0.1, 1.5), (0.0, 0.0, 0.0, 1.0)), sharp=4)
+
+
 _CLAHE = f"""WITH {CUBE}, x AS (SELECT t, i, j, CAST(trunc(z * 2) AS INTEGER) AS v FROM cube), n AS (SELECT t, CAST(least(floor(i / 12.0), 3) AS INTEGER) AS a, CAST(least(floor(j / 8.0), 3) AS INTEGER) AS b, v, count(*) AS n FROM x GROUP BY ALL),
 tot AS (SELECT t, a, b, sum(n) AS total, greatest(floor(sum(n) * 2.0 / 256), 1) AS most FROM n GROUP BY 1, 2, 3), ov AS (SELECT t, a, b, total, most, sum(greatest(n - most, 0)) AS over_ FROM n JOIN tot USING (t, a, b) GROUP BY ALL),
 f AS (SELECT ov.*, l.v, least(coalesce(n, 0), most) + over_ / 256.0 AS c FROM ov CROSS JOIN (SELECT CAST(unnest(range(256)) AS INTEGER) AS v) l LEFT JOIN n ON n.t = ov.t AND n.a = ov.a AND n.b = ov.b AND n.v = l.v),
@@ -339,10 +347,25 @@ def equalised_image(spark, sf_dir):
     return image.equalised(x, ROWS, COLS, 4, 2.0)
 
 
-@query("z", None, 6)
+_SOME = f"{CUBE}, g0 AS (SELECT t, i, j, z FROM cube WHERE (i * 7 + j * 3) % 11 > 5 AND (i // 9 + j // 7) % 3 > 0)"
+_GRID = f"n AS (SELECT t, i, j FROM (SELECT DISTINCT t FROM cube), (SELECT CAST(unnest(range({ROWS})) AS INTEGER) AS i), (SELECT CAST(unnest(range({COLS})) AS INTEGER) AS j))"
+
+
+def _idw_sql(rounds: int, size: int) -> str:
+    r, taps = size // 2 * rounds, f"taps AS (SELECT a.d AS di, b.d AS dj, (a.d * a.d + b.d * b.d) ** -1.2 AS w FROM (SELECT unnest(range(-{size // 2}, {size // 2 + 1})) AS d) a, (SELECT unnest(range(-{size // 2}, {size // 2 + 1})) AS d) b WHERE a.d <> 0 OR b.d <> 0)"
+    passes = ", ".join(
+        f"g{k} AS (SELECT t, n.i, n.j, coalesce(max(g0.z), sum(w * p.z) / sum(w)) AS z FROM n JOIN (SELECT t, i - di AS i, j - dj AS j, w, z FROM g{k - 1}, taps UNION ALL SELECT t, i, j, 0.0, 0.0 FROM g0) p USING (t, i, j) LEFT JOIN g0 USING (t, i, j) GROUP BY t, n.i, n.j)"
+        for k in range(1, rounds + 1)
+    )
+    wide = f"wide AS (SELECT DISTINCT n.t, n.i, n.j FROM n JOIN g0 ON n.t = g0.t AND n.i BETWEEN g0.i - {r} AND g0.i + {r} AND n.j BETWEEN g0.j - {r} AND g0.j + {r})"
+    shut = f"shut AS (SELECT t, i, j FROM n WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM n EXCEPT SELECT * FROM wide) o WHERE o.t = n.t AND o.i BETWEEN n.i - {r} AND n.i + {r} AND o.j BETWEEN n.j - {r} AND n.j + {r}))"
+    return f"WITH {_SOME}, {_GRID}, {taps}, {passes}, {wide}, {shut} SELECT t, i, j, z FROM g{rounds} JOIN shut USING (t, i, j)"
+
+
+@query("z", _idw_sql(3, 5), 6)
 def idw_fill_closed(spark, sf_dir):
-    """Inverse-distance filling, repeated inside the closing."""
-    return raster.filled_inside(cube(spark, sf_dir).where("(i * 7 + j * 3) % 11 > 2"), ROWS, COLS)
+    """Inverse-distance filling in three passes inside the closing by a square of five; large holes stay open."""
+    return raster.filled_inside(cube(spark, sf_dir).where("(i * 7 + j * 3) % 11 > 5 and (i div 9 + j div 7) % 3 > 0"), ROWS, COLS)
 
 
 @query(sql=f"WITH {CUBE} SELECT g.i, g.j, CAST(CASE WHEN max(c.z) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS mask FROM (SELECT CAST(unnest(range({ROWS})) AS INTEGER) AS i, 1 AS k) a JOIN (SELECT CAST(unnest(range({COLS})) AS INTEGER) AS j, 1 AS k) b USING (k), LATERAL (SELECT a.i AS i, b.j AS j) g LEFT JOIN (SELECT i, j, z - 50 AS z FROM cube WHERE t = 2) c ON c.i = g.i AND c.j = g.j GROUP BY g.i, g.j")

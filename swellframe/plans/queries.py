@@ -233,7 +233,7 @@ def idw_fill(spark, sf_dir):
     return raster.filled(cube(spark, sf_dir), ROWS, COLS)
 
 
-@query(sql=f"WITH {CUBE}, {OFFSETS}, wide AS (SELECT DISTINCT t, i - di AS i, j - dj AS j FROM cube, off), x AS (SELECT t, i - di AS i, j - dj AS j, count(*) AS n FROM wide, off GROUP BY 1, 2, 3) SELECT t, i, j FROM x WHERE n = 9 AND {INSIDE}")
+@query(sql=f"WITH {CUBE}, {OFFSETS}, wide AS (SELECT DISTINCT t, i - di AS i, j - dj AS j FROM cube, off WHERE i - di BETWEEN 0 AND {ROWS - 1} AND j - dj BETWEEN 0 AND {COLS - 1}), x AS (SELECT t, i - di AS i, j - dj AS j, count(*) AS n FROM wide, off GROUP BY 1, 2, 3) SELECT t, i, j FROM x WHERE {INSIDE} AND n = (3 - CASE WHEN i IN (0, {ROWS - 1}) THEN 1 ELSE 0 END) * (3 - CASE WHEN j IN (0, {COLS - 1}) THEN 1 ELSE 0 END)")
 def morphological_close(spark, sf_dir):
     return raster.closed(cube(spark, sf_dir), ROWS, COLS)
 
