@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ def let_go() -> None:
     """Empties it: for tasks of another kind, which may need the memory."""
     for clear in _kept:
         clear()
+    pa.default_memory_pool().release_unused()
 
 
 def crc_text(col) -> object:

@@ -115,6 +115,7 @@ def _signer(size: int):
 
 def _shingler(size: int):
     def run(batches):
+        let_go()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -161,6 +162,7 @@ def _likely_pairs(percent: int):
     """Rows (a, am, an, asig, afew, b, bm, bn, bsig, bfew) -> PAIRS of those that may be linked."""
 
     def run(batches):
+        let_go()
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -212,6 +214,7 @@ def _by_group(kernel):
     """kernel(rows of one group) -> a batch, for batches sorted by their first four columns."""
 
     def run(batches):
+        let_go()
         held = None
         for batch in batches:
             held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch])

@@ -33,7 +33,7 @@ MIN_COUNT, PER_ROUND = 24, 8_192
 #: Ids in a shard, but for its last document.
 SHARD_IDS = 1 << 20
 #: Pieces in a generation of the encoder's cache, and the longest one that is kept.
-_CACHED, _LONGEST = 600_000, 48
+CACHED, _LONGEST = 600_000, 48
 _APART = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -42,12 +42,13 @@ class Encoder:
     blank beside them, where the vocabulary's byte-level pre-tokenizer always cuts too; pieces met before come from a
     cache of two generations, so that frequent pieces stay and its memory is bounded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = CACHED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model._resize_cache(0)  # pieces are cached here instead
+        self.kept = kept
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -103,15 +104,15 @@ class Encoder:
                 got[i] = more[pieces[i]]
             got.append(end)
         self.cache.update((x, ids) for x, ids in more.items() if len(x) <= _LONGEST and x[:1] != " ")
-        if len(self.cache) > _CACHED:
+        if len(self.cache) > self.kept:
             self.older, self.cache = self.cache, {}
         return [np.frombuffer(b"".join(got), np.uint32) for got in found]
 
 
-@lru_cache(2)
-def _encoder(path: str) -> Encoder:
+@lru_cache(1)
+def _encoder(path: str, kept: int) -> Encoder:
     """The worker's encoder: it and its pieces serve all tasks that the worker runs."""
-    return Encoder(path)
+    return Encoder(path, kept)
 
 
 kept_in_worker(_encoder.cache_clear)
@@ -238,11 +239,11 @@ class Shard:
 SHARDS = "part int, seq int, ids long, doc_ids array<long>, payload binary"
 
 
-def _writer(path: str, shard_ids: int):
+def _writer(path: str, shard_ids: int, kept: int):
     def run(batches):
         from pyspark import TaskContext
 
-        part, encoder, seq = TaskContext.get().partitionId(), _encoder(path), 0
+        part, encoder, seq = TaskContext.get().partitionId(), _encoder(path, kept), 0
         names, docs, held = [], [], 0
 
         def out():
@@ -265,14 +266,15 @@ def _writer(path: str, shard_ids: int):
     return run
 
 
-def write_tokens(docs: DataFrame, to: str, vocabulary: str, shard_ids: int = SHARD_IDS) -> None:
+def write_tokens(docs: DataFrame, to: str, vocabulary: str, shard_ids: int = SHARD_IDS, kept: int = CACHED) -> None:
     """docs (doc_id, text, ...) -> shards under the path `to`, a Parquet table of SHARDS.
 
     Rows are dealt by ranges of doc_id and sorted in them (null ids first, equal ids by text), so (part, seq) is
     ascending doc_id order. Null texts are empty; every document ends with id 2; repeated rows are written each; texts
-    of any length are encoded whole; other columns, whatever their names, are ignored. An empty table writes no shard."""
+    of any length are encoded whole; other columns, whatever their names, are ignored. An empty table writes no shard. A worker keeps up to `kept` pieces of texts
+    in each of two generations, some 200 bytes each: fewer take less memory and more time."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_writer(vocabulary, shard_ids), SHARDS).write.option("compression", "zstd").parquet(to)
+    rows.mapInArrow(_writer(vocabulary, shard_ids, kept), SHARDS).write.option("compression", "zstd").parquet(to)
 
 
 def _reader(batches):
@@ -299,8 +301,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str, kept: int = CACHED) -> DataFrame:
     """Writes docs as shards in the shared folder and reads them back; cases are as in write_tokens()."""
     to = scratch(docs.sparkSession, "tokens")
-    write_tokens(docs, to, vocabulary)
+    write_tokens(docs, to, vocabulary, kept=kept)
     return read_tokens(docs.sparkSession, to)
