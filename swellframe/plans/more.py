@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from swellframe.functions import geometry as g
 from swellframe.operators import cloud as c
-from swellframe.operators import image, match, raster, scattered, surface, temporal
+from swellframe.operators import image, match, nearest, raster, scattered, surface, temporal
 from swellframe.plans.queries import _MATCHES, _RAY, _SHADOW, _SLOPE, _TURNED, CLOUD, COLS, CUBE, FEATURES, REGISTRY, ROWS, SERIES, SHIFT, TURN, _channels, features, matches, query
 from swellframe.sources import codecs
 from swellframe.tables import cloud, cube, series, table
@@ -178,6 +178,36 @@ def linear_gridding(spark, sf_dir):
     return scattered.linear(p, nodes, 12.0)
 
 
+_PLACES = "p AS (SELECT l_linenumber AS frame, l_orderkey AS pid, l_extendedprice / 1000 AS x, (l_partkey * 7919 + l_suppkey * 31) % 100003 / 1000.0 AS y, l_quantity AS z FROM lineitem), q AS (SELECT frame, k AS qid, (k * 37 % 101) + 0.3 AS x, (k * 53 % 97) + 0.6 AS y FROM (SELECT DISTINCT frame FROM p), (SELECT unnest(range(120)) AS k))"
+_NEAREST = f"WITH {_PLACES}, n AS (SELECT q.frame, qid, pid, z, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) AS d2 FROM q JOIN p USING (frame)), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY frame, qid ORDER BY d2, pid, z) AS INTEGER) AS rank FROM n)"
+
+
+def _places(spark, sf_dir):
+    points = table(spark, sf_dir, "lineitem").selectExpr(*_SCATTERED.split(", "), "l_orderkey AS pid", "l_quantity AS z")
+    queries = points.select("frame").distinct().select("frame", F.explode(F.sequence(F.lit(0), F.lit(119))).alias("qid")).selectExpr("frame", "qid", "(qid * 37 % 101) + 0.3 AS x", "(qid * 53 % 97) + 0.6 AS y")
+    return points, queries
+
+
+@query("d2", f"{_NEAREST} SELECT frame, qid, rank, pid, d2 FROM r WHERE rank <= 9", 8)
+def nearest_nine(spark, sf_dir):
+    """The nine nearest points of a frame around each of many places, by growing rings of cells."""
+    return nearest.nearest_points(*_places(spark, sf_dir), 9, 12.0).select("frame", "qid", "rank", "pid", "d2")
+
+
+@query("z", f"{_NEAREST} SELECT frame, qid, sum(z * d2 ** -1.2) / sum(d2 ** -1.2) AS z FROM r WHERE rank <= 9 GROUP BY frame, qid")
+def inverse_distance_nine(spark, sf_dir):
+    """Heights from the nine nearest points, weighted by their distances."""
+    return nearest.inverse_distance(*_places(spark, sf_dir), 12.0)
+
+
+@query(sql=REGISTRY["spatial_nearest"][1])
+def spatial_nearest_rings(spark, sf_dir):
+    """The nearest other feature in the image, by growing rings of cells."""
+    x = features(spark, sf_dir).select("frame", F.col("fid").alias("pid"), "x", "y", F.lit(0.0).alias("z"))
+    got = nearest.nearest_points(x, x.withColumnRenamed("pid", "qid"), 1, 10.0, others=True)
+    return got.select("frame", F.col("qid").alias("fa"), F.col("pid").alias("fb"), (F.round(F.col("d2") + 3.7e-9, 6) + F.lit(0.0)).alias("d2"))
+
+
 @query(sql=REGISTRY["biggest_component"][1])
 def biggest_component_tiles(spark, sf_dir):
     """The same from tiles of seven cells, whose labels meet at their rims."""

@@ -378,3 +378,33 @@ def test_scattered_gap(spark):
     assert square.keys() == {k for k, q in enumerate(at) if (q < 4).all()} and all(v == pytest.approx(2 * at[k][0] + at[k][1]) for k, v in square.items())
     assert not [r for r in got if r.frame == 3]
     assert scattered.linear(df.limit(0), nodes, 0.8).count() == 0 and scattered.linear(df, nodes.limit(0), 0.8).count() == 0
+
+
+def test_nearest_points(spark, monkeypatch):
+    """Against all distances: crowded and empty regions, ties, points of one place, few points, and cells in parts."""
+    from swellframe.operators import nearest
+
+    rng = np.random.default_rng(4)
+    p = np.concatenate([rng.normal(5, 0.05, (150, 2)), rng.uniform(-40, 40, (60, 2)), np.repeat([[7.0, 7.0]], 30, axis=0), [[3.0, 1.0], [1.0, 3.0], [3.0, 3.0], [1.0, 1.0]]])
+    q = np.concatenate([rng.uniform(-60, 60, (30, 2)), rng.normal(5, 0.1, (30, 2)), [[2.0, 2.0], [7.0, 7.0]]])
+    rows = [(1, k, float(x), float(y), float(k % 7)) for k, (x, y) in enumerate(p)] + [(2, 1, 0.0, 0.0, 4.0), (1, 999, None, 1.0, 2.0), (1, 998, float("nan"), 1.0, 2.0), (None, 5, 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "frame int, pid long, x double, y double, z double")
+    ask = spark.createDataFrame([(f, k, float(x), float(y)) for f in (1, 2, 3) for k, (x, y) in enumerate(q)], "frame int, qid long, x double, y double")
+    d2 = ((q[:, None] - p) ** 2).sum(axis=2)
+    for part, others in ((nearest.PART, False), (16, True)):
+        monkeypatch.setattr(nearest, "PART", part)
+        got = nearest.nearest_points(df, ask, 4, 1.0, others).collect()
+        mine = {}
+        for r in sorted(got, key=lambda r: r["rank"]):
+            mine.setdefault((r.frame, r.qid), []).append((r.pid, r["rank"]))
+        for k in range(len(q)):
+            away = np.where(d2[k] == 0, np.inf, d2[k]) if others else d2[k]
+            want = np.lexsort((np.arange(len(p)), away))[:4]
+            assert mine[1, k] == [(int(i), n + 1) for n, i in enumerate(want)]
+            assert mine[2, k] == [(1, 1)] and (3, k) not in mine
+    z = {r.qid: r.z for r in nearest.inverse_distance(df, ask, 1.0, 3).where("frame = 1").collect()}
+    best = np.argsort(d2[0], kind="stable")[:3]
+    assert z[0] == pytest.approx(np.average(best % 7, weights=d2[0][best] ** -1.2))
+    same = np.flatnonzero((p == 7).all(axis=1))[:3]
+    assert z[61] == pytest.approx(np.mean(same % 7))
+    assert nearest.nearest_points(df.limit(0), ask, 3, 1.0).count() == 0 and nearest.nearest_points(df, ask.limit(0), 3, 1.0).count() == 0
