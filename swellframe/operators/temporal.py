@@ -267,6 +267,54 @@ def moving_mean(series: DataFrame, size: int) -> DataFrame:
     return every.select("cell", "t", "v", "own", F.avg("v").over(frame).alias("bg")).where("own").select("cell", "t", "v", "bg")
 
 
+def long_moving_mean(series: DataFrame, size: int, part: int = 1 << 14, ranges: int | None = None) -> DataFrame:
+    """moving_mean() for series of any length, none of which any task holds: cell, t, v, bg.
+
+    A range partitioning gives every run of samples its place in the series; blocks of `part` samples, `size` at least, then get the
+    samples up to half a window before and behind them, and no others. Null and NaN samples don't count in a mean and
+    stay in the result. `t` must differ within a cell; an empty table gives an empty result."""
+    half, part = size // 2, max(part, size)
+    parts = _parts(series, part, ranges)
+    w = Window.partitionBy("cell")
+    meta = parts.select("cell", "part", "n", (F.sum("n").over(w.orderBy("part")) - F.col("n")).alias("at"), F.sum("n").over(w).alias("all"))
+    placed = parts.select("cell", "part", "t", "v").join(bounded(meta), ["cell", "part"]).select("cell", "at", "n", "all", "t", "v")
+
+    def dealt(batches):
+        for b in batches:
+            for cell, at, n, whole, t, v in _rows_of(b):
+                for block in range(max(0, (at - half) // part), (at + n - 1 + half) // part + 1):
+                    a, z = max(block * part - half - at, 0), min((block + 1) * part + half - at, n)
+                    if a < z:
+                        yield _row(cell=cell, block=block, at=at + a, all=whole, t=t[a:z], v=v[a:z])
+
+    def means(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("at", "all")), range(table.num_rows), strict=True))
+        cell, block, whole = table.column("cell")[0].as_py(), table.column("block")[0].as_py(), rows[0][1]
+        t, v = (np.concatenate([table.column(c)[k].values.to_numpy(zero_copy_only=False) for _, _, k in rows]) for c in "tv")
+        first, last = rows[0][0], rows[0][0] + len(v)
+        own, end = block * part, min((block + 1) * part, whole)
+        if own >= end:  # only what lies around a block that isn't there
+            return pa.table({"cell": pa.array([], pa.int64()), "t": pa.array([], pa.int64()), "v": pa.array([], pa.float64()), "bg": pa.array([], pa.float64())})
+        x, begin = v, first
+        if first == 0:
+            head = v[: min(half, whole)][::-1]
+            x, begin = np.concatenate([head, x]), -len(head)
+        if last == whole:
+            x = np.concatenate([x, v[max(len(v) - half, 0) :][::-1]])
+        counts = np.r_[0, np.cumsum(~np.isnan(x))]
+        level = np.nanmean(x) if counts[-1] else 0.0  # keeps the sums small
+        sums = np.r_[0.0, np.cumsum(np.where(np.isnan(x), 0.0, x - level))]
+        at = np.arange(own, end) - begin
+        a, z = np.maximum(at - half, 0), np.minimum(at + size - half, len(x))
+        n = counts[z] - counts[a]
+        bg = np.where(n > 0, (sums[z] - sums[a]) / np.maximum(n, 1) + level, np.nan)
+        here = slice(own - first, end - first)
+        return pa.table({"cell": pa.array(np.full(end - own, cell)), "t": pa.array(t[here]), "v": pa.array(v[here], from_pandas=True), "bg": pa.array(bg, from_pandas=True)})
+
+    pieces = placed.mapInArrow(dealt, "cell long, block long, at long, all long, t array<long>, v array<double>")
+    return pieces.groupBy("cell", "block").applyInArrow(means, "cell long, t long, v double, bg double")
+
+
 def over_background(df: DataFrame, threshold: float, by: str = "cell") -> DataFrame:
     """(by, v, bg) with `over`: whether v exceeds the background, less its smallest value, by more than threshold."""
     least = F.min("bg").over(Window.partitionBy(by))

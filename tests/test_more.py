@@ -408,3 +408,20 @@ def test_nearest_points(spark, monkeypatch):
     same = np.flatnonzero((p == 7).all(axis=1))[:3]
     assert z[61] == pytest.approx(np.mean(same % 7))
     assert nearest.nearest_points(df.limit(0), ask, 3, 1.0).count() == 0 and nearest.nearest_points(df, ask.limit(0), 3, 1.0).count() == 0
+
+
+def test_long_moving_mean(spark):
+    """Long, short and gappy series, in blocks over several ranges, equal the window over each whole series."""
+    rng = np.random.default_rng(9)
+    wholes = {1: rng.normal(size=3001) + 1e6, 2: rng.normal(size=1), 3: rng.normal(size=7), 4: np.where(rng.random(200) < 0.3, np.nan, 1.0)}
+    rows = [(c, k, None if v != v else float(v)) for c, x in wholes.items() for k, v in enumerate(x)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([tuple(map(lambda v: v if v is None else float(v) if isinstance(v, float) else int(v), r)) for r in rows], "cell long, t long, v double")
+    for size, part in ((20, 64), (5, 5), (33, 1000)):
+        want = {(r.cell, r.t): (r.v, r.bg) for r in temporal.moving_mean(df, size).collect()}
+        got = temporal.long_moving_mean(df, size, part, 4).collect()
+        assert len(got) == len(want) == len(df.collect())
+        for r in got:
+            v, bg = want[r.cell, r.t]
+            assert r.v == v and (r.bg is None) == (bg is None) and (bg is None or r.bg == pytest.approx(bg, rel=1e-12, abs=1e-12))
+    assert temporal.long_moving_mean(df.limit(0), 20).count() == 0
