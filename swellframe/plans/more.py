@@ -9,7 +9,7 @@ from swellframe.operators import cloud as c
 from swellframe.operators import image, match, nearest, raster, scattered, surface, temporal
 from swellframe.plans.queries import _MATCHES, _RAY, _SHADOW, _SLOPE, _TURNED, CLOUD, COLS, CUBE, FEATURES, REGISTRY, ROWS, SERIES, SHIFT, TURN, _channels, features, matches, query
 from swellframe.sources import codecs
-from swellframe.tables import cloud, cube, series, table
+from swellframe.tables import cloud, cube, scratch, series, table
 
 # gates and clouds
 
@@ -208,6 +208,17 @@ def spatial_nearest_rings(spark, sf_dir):
     return got.select("frame", F.col("qid").alias("fa"), F.col("pid").alias("fb"), (F.round(F.col("d2") + 3.7e-9, 6) + F.lit(0.0)).alias("d2"))
 
 
+@query("z", f"WITH {CUBE} SELECT t, i, j, z + CASE WHEN t IN (2, 3) THEN i ELSE 0 END AS z FROM cube WHERE t <> 5 AND i BETWEEN 16 AND 31 AND j < 16")
+def upserted_frames(spark, sf_dir):
+    """A cube written frame by frame: two frames are replaced, twice alike, and one tile of a few frames is read."""
+    x, path = cube(spark, sf_dir), scratch(spark, "upserted")
+    codecs.upsert_frames(x, path, tile=16)
+    new = x.where("t in (2, 3)").withColumn("z", F.col("z") + F.col("i"))
+    for _ in range(2):
+        codecs.upsert_frames(new, path, tile=16)
+    return codecs.read_frames(spark, path, [1, 2, 3, 4, 6, 7], (1, 1, 0, 0)).select("t", "i", "j", "z")
+
+
 @query(sql=REGISTRY["biggest_component"][1])
 def biggest_component_tiles(spark, sf_dir):
     """The same from tiles of seven cells, whose labels meet at their rims."""

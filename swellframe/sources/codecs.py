@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from swellframe.tables import cut, discard
+
 #: Image endings in the order in which they are tried (fixed values).
 ENDINGS = ("tif", "tiff", "png", "jpg", "jpeg")
 POINTS = "frame int, pid long, x double, y double, z double"
@@ -298,13 +300,53 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
     return known.join(F.broadcast(first), "e").select(F.row_number().over(Window.orderBy("path")).alias("n"), "path")
 
 
+def _once_a_cell(cube: DataFrame, tile: int) -> DataFrame:
+    """One row for each t, i, j, with its tile: of several the one whose other columns come last in order, whatever the
+    order of the rows."""
+    others = [c for c in cube.columns if c not in ("t", "i", "j")]
+    x = cube.groupBy("t", "i", "j").agg(F.max(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_r")) if others else cube.select("t", "i", "j").distinct()
+    at = {"ti": F.floor(F.col("i") / tile).cast("int"), "tj": F.floor(F.col("j") / tile).cast("int")}
+    return x.select("t", "i", "j", *[F.col(f"_r.`{c}`").alias(c) for c in others]).withColumns(at)
+
+
 def write_cube(cube: DataFrame, path: str, tile: int = 128) -> None:
     """A cube (t, i, j, ...) by tiles of cells, sorted so that row groups hold short ranges of t; of rows with the same
     t, i, j one stays."""
-    x = cube.dropDuplicates(["t", "i", "j"]).withColumns({"ti": F.floor(F.col("i") / tile).cast("int"), "tj": F.floor(F.col("j") / tile).cast("int")})
+    x = _once_a_cell(cube, tile)
     x.repartition("ti", "tj", F.floor(F.col("t") / 512)).sortWithinPartitions("ti", "tj", "t", "i", "j").write.partitionBy("ti", "tj").parquet(path)
 
 
+def upsert_frames(cube: DataFrame, path: str, tile: int = 512) -> None:
+    """Frames (t, i, j, ...) into the cube at `path`, which begins with them: those that it has are replaced whole, by
+    their index, and no others are touched, so a repeated run changes nothing.
+
+    A frame is a partition of `path`/z, its tiles are sorted within (ti, tj); of rows with the same t, i, j one stays, rows of null t are left
+    out, and an empty table changes nothing. `path`/manifest, written last, holds each frame's cells and a digest of its
+    rows: read_frames() leaves out frames that a broken run left without a matching entry, until they are written again."""
+    x = cut(_once_a_cell(cube.where("t is not null"), tile), "frames")
+    dynamic = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("t")
+    dynamic(x.repartition("t", "ti", "tj").sortWithinPartitions("t", "ti", "tj", "i", "j")).parquet(f"{path}/z")
+    dynamic(_digests(x).repartition("t")).parquet(f"{path}/manifest")
+    discard(x)
+
+
+def _digests(frames: DataFrame) -> DataFrame:
+    columns = sorted(c for c in frames.columns if c != "t")
+    return frames.groupBy("t").agg(F.count("*").alias("cells"), F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in columns])).alias("digest"))
+
+
+def read_frames(spark: SparkSession, path: str, frames: list[int] | None = None, tiles: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """The whole frames of upsert_frames(), or some of them, or of these the tiles (ti from, ti to, tj from, tj to, ends
+    included). Frames are partitions and tiles sorted columns, so only what is asked for is read."""
+    z, manifest = spark.read.parquet(f"{path}/z"), spark.read.parquet(f"{path}/manifest")
+    if frames is not None:
+        z, manifest = z.where(F.col("t").isin(frames)), manifest.where(F.col("t").isin(frames))
+    whole = _digests(z).join(manifest, ["t", "cells", "digest"]).select("t")
+    if tiles is not None:
+        z = z.where(F.col("ti").between(*tiles[:2]) & F.col("tj").between(*tiles[2:]))
+    return z.join(whole, "t", "left_semi")
+
+
 def write_cube_parts(path: str, cube: DataFrame, nodes: DataFrame | None = None, frames: DataFrame | None = None, settings: DataFrame | None = None) -> None:
     """A cube with what belongs to it: nodes (i, j, x, y, kx, ky, mask), frames (t, time, workdir) and settings
     (key, value), each a table beside the heights."""

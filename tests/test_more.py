@@ -425,3 +425,29 @@ def test_long_moving_mean(spark):
             v, bg = want[r.cell, r.t]
             assert r.v == v and (r.bg is None) == (bg is None) and (bg is None or r.bg == pytest.approx(bg, rel=1e-12, abs=1e-12))
     assert temporal.long_moving_mean(df.limit(0), 20).count() == 0
+
+
+def test_upsert_frames(spark, tmp_path):
+    """A frame written again replaces itself alone; alike runs change nothing; broken frames are left out; reads are pruned."""
+    path = str(tmp_path / "cube")
+    rows = [(t, i, j, float(t + i * j)) for t in range(3) for i in range(6) for j in range(6)]
+    df = spark.createDataFrame(rows, "t int, i int, j int, z double")
+    twice = df.union(df.withColumn("z", F.lit(-1.0))).union(spark.createDataFrame([(None, 0, 0, 1.0)], df.schema))
+    read = lambda **k: sorted((r.t, r.i, r.j, r.z) for r in codecs.read_frames(spark, path, **k).collect())
+    codecs.upsert_frames(twice, path, tile=2)
+    assert read() == sorted(rows)
+    small = spark.createDataFrame([(1, 0, 0, 9.0), (7, 5, 5, 3.0)], df.schema)
+    for _ in range(2):
+        codecs.upsert_frames(small, path, tile=2)
+        assert read() == sorted([r for r in rows if r[0] != 1] + [(1, 0, 0, 9.0), (7, 5, 5, 3.0)])
+    codecs.upsert_frames(df.limit(0), path, tile=2)
+    assert read(frames=[0, 7], tiles=(1, 2, 2, 2)) == sorted([r for r in rows if r[0] == 0 and r[1] >= 2 and r[2] >= 4] + [(7, 5, 5, 3.0)])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = codecs.read_frames(spark, path, [0], (1, 1, 1, 1))._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "PartitionFilters: [isnotnull(t" in plan or "PartitionFilters: [(t" in plan
+    assert "GreaterThanOrEqual(ti,1)" in plan and "LessThanOrEqual(tj,1)" in plan
+    spark.createDataFrame([(0, 0, 0, 5.0, 0, 0)], "t int, i int, j int, z double, ti int, tj int").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("t").parquet(f"{path}/z")
+    assert {r[0] for r in read()} == {1, 2, 7}  # frame 0 was broken off before its entry
+    codecs.upsert_frames(df.where("t = 0"), path, tile=2)
+    assert {r[0] for r in read()} == {0, 1, 2, 7}
