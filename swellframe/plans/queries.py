@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from swellframe.functions import geometry as g
 from swellframe.functions import signal
 from swellframe.operators import cloud as c
-from swellframe.operators import grid, match, raster, surface, temporal
+from swellframe.operators import grid, match, raster, shadows, surface, temporal
 from swellframe.sources import codecs
 from swellframe.tables import cloud, cube, series, table
 
@@ -610,6 +610,12 @@ def occlusion_mask(spark, sf_dir):
     return temporal.hidden_share(temporal.occluded(cube(spark, sf_dir), ROWS, COLS, _RAY))
 
 
+@query("hidden_percent", REGISTRY["occlusion_mask"][1], 4)
+def occlusion_mask_tiles(spark, sf_dir):
+    """The same by rays that cross tiles of sixteen cells and skip those that lie below them."""
+    return temporal.hidden_share(shadows.occluded(cube(spark, sf_dir), ROWS, COLS, _RAY, tile=16))
+
+
 _TURNED = f"{_SLOPE}, an AS (SELECT t, i, j, degrees(acos(greatest(-1, least(1, -(nx * (j - {_RAY[1]}) + ny * (i - ({_RAY[0]})) + nz * (z - {_RAY[2]})) / sqrt((j - {_RAY[1]}) * (j - {_RAY[1]}) + (i - ({_RAY[0]})) * (i - ({_RAY[0]})) + (z - {_RAY[2]}) * (z - {_RAY[2]})))))) AS angle FROM nm)"
 
 

@@ -451,3 +451,50 @@ def test_upsert_frames(spark, tmp_path):
     assert {r[0] for r in read()} == {1, 2, 7}  # frame 0 was broken off before its entry
     codecs.upsert_frames(df.where("t = 0"), path, tile=2)
     assert {r[0] for r in read()} == {0, 1, 2, 7}
+
+
+def shadow_frames():
+    rng = np.random.default_rng(10)
+    frames = [np.abs(rng.normal(size=(61, 47))).cumsum(axis=0) % 7 + rng.random((61, 47)), np.where(rng.random((61, 47)) < 0.02, 9.0, 0.5) + rng.random((61, 47)) * 0.1]
+    frames[0][rng.random((61, 47)) < 0.1] = np.nan
+    return frames
+
+
+@pytest.mark.parametrize("eye", [(-20.0, 10.0, 30.0), (70.5, 33.0, 8.0), (20.0, 25.0, 4.0), (300.0, -200.0, 60.0)])
+@pytest.mark.parametrize("tile", [3, 30])
+def test_shadow_rays(eye, tile):
+    """Rays that skip tiles hide what rays over whole surfaces hide; eyes near, far, inside and below the crests."""
+    from swellframe.functions import signal
+    from swellframe.operators import shadows
+
+    for z in shadow_frames():
+        cells = pd.DataFrame([(0, i, j, z[i, j]) for i, j in np.argwhere(~np.isnan(z))], columns=["t", "i", "j", "z"]).assign(ti=lambda d: d.i // tile, tj=lambda d: d.j // tile)
+        tiles = [(a, b, d.z.max()) for (a, b), d in cells.groupby(["ti", "tj"])]
+        levels = shadows.pyramid(tiles, 61, 47, tile)
+        assert levels[-1].shape == (1, 1) and levels[-1].max() == np.nanmax(z)
+        rays, hidden = cells[["t", "i", "j", "z"]].assign(n=1), np.zeros(z.shape, bool)
+        while len(rays):
+            n, ti, tj = shadows.skipped(*(rays[c].to_numpy() for c in ("i", "j", "z", "n")), eye, 61, 47, tile, levels)
+            rays = rays.assign(n=n, ti=ti, tj=tj)[ti >= 0]
+            met = [shadows._tested(eye, 61, 47, tile)((), r, cells[(cells.ti == a) & (cells.tj == b)]) for (a, b), r in rays.groupby(["ti", "tj"])]
+            met = pd.concat(met) if met else rays.assign(hidden=False).iloc[:0]
+            hidden[met.i[met.hidden], met.j[met.hidden]] = True
+            rays = met[~met.hidden.astype(bool)].drop(columns="hidden")
+        assert (hidden == signal.shadowed(z, eye)).all()
+
+
+def test_shadow_tiles(spark, monkeypatch):
+    """The same in Spark, with frames in blocks and rays of a tile in parts."""
+    from swellframe.functions import signal
+    from swellframe.operators import shadows
+
+    frames, eye = shadow_frames(), (70.5, 33.0, 12.0)
+    df = spark.createDataFrame([(t, i, j, float(z[i, j])) for t, z in enumerate(frames) for i, j in np.ndindex(z.shape)], "t int, i int, j int, z double")
+    monkeypatch.setattr(shadows, "MAXIMA", 10)
+    monkeypatch.setattr(shadows, "RAYS", 500)
+    got = {(r.t, r.i, r.j): r.z for r in shadows.occluded(df, 61, 47, eye, 20).collect()}
+    for t, z in enumerate(frames):
+        want = signal.shadowed(z, eye)
+        assert all(got[t, i, j] == want[i, j] for i, j in np.argwhere(~np.isnan(z)))
+    assert len(got) == sum((~np.isnan(z)).sum() for z in frames)
+    assert shadows.occluded(df.limit(0), 61, 47, eye, 8).count() == 0
