@@ -2,9 +2,9 @@
 
 Strict patterns give the base spans, which always stay. Looser patterns give candidates: numbers in groups, spelled-out
 addresses, assigned secrets, card-like numbers of any checksum, dotted numbers of any size, addresses without an
-ending. Labelers vote on every candidate and base span: the pattern, the form (checksums, ranges, digits, variety of
+ending. Labelers vote on every candidate and base span, of which only candidates count: the pattern, the form (checksums, ranges, digits, variety of
 signs), gazetteers (domain endings, dialling and card prefixes, shapes of keys), cue words before it, and words and
-signs around it that speak against it; each votes for, against or abstains. Votes are counted by pattern over all
+signs around it that speak against it; each votes for, against or abstains, and a failing form is final. Votes are counted by pattern over all
 documents, and expectation-maximisation estimates every labeler's reliability and each pattern's chance of being
 personal. A logistic span classifier is trained on those chances, with
 counts of span features over all documents, and adds the candidates that it finds likely and that touch no base span.
@@ -168,7 +168,7 @@ def votes(text: str, span: tuple[str, int, int], strict: bool) -> tuple[int, ...
     own = text[s:e]
     digits = _digits(own)
     cue, odd = _around(text, span)
-    pattern = 1 if strict or kind == "secret" else -1 if kind in ("ip", "card") else 0
+    pattern = 1 if strict else -1 if kind in ("ip", "card") else 0
     return pattern, 1 if _well_formed(kind, own, digits) else -1, _known(kind, own, digits), 1 if cue else 0, -1 if odd else 0
 
 
@@ -197,7 +197,9 @@ class PiiModel:
     weights: np.ndarray
 
     def keep(self, text: str, span) -> bool:
-        return bool(_inputs(np.array([features(text, span)])) @ self.weights > 0)
+        """Whether a candidate is likely; one whose form fails, such as its checksum or range, never is."""
+        kind, s, e = span
+        return _well_formed(kind, text[s:e], _digits(text[s:e])) and bool(_inputs(np.array([features(text, span)])) @ self.weights > 0)
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50):
@@ -248,6 +250,8 @@ def fit(got) -> PiiModel:
         return PiiModel(0.5, np.full((len(LABELERS), 2, 3), 1 / 3), np.zeros(width))
     keys, n = np.array(got.key.tolist(), int), got.n.to_numpy(float)
     vote, feats = keys[:, : len(LABELERS)], keys[:, len(LABELERS) :]
+    # base spans stay whatever the model says, and their votes would tell them from all candidates: they don't count
+    n = np.where(vote[:, 0] == 1, 0.0, n)
     patterns, which = np.unique(vote, axis=0, return_inverse=True)
     prior, rel, chance = expectation_maximisation(patterns, np.bincount(which.ravel(), n))
     x, y, b = _inputs(feats), chance[which.ravel()], np.zeros(width)
