@@ -83,10 +83,11 @@ def draws_needed(share: float, confidence: float, size: int = 5) -> float:
 
 
 def consensus(a: np.ndarray, b: np.ndarray, threshold: float, rng: np.random.Generator, rounds: int = 1000, confidence: float = 0.9999, batch: int = 32) -> tuple[np.ndarray | None, np.ndarray, int]:
-    """(essential matrix, its inliers, draws made): the matrix of most inliers among five-match draws. Draws stop at
-    `rounds`, or as soon as the best share of inliers makes another clean draw needless at the given confidence."""
+    """(essential matrix, its inliers, draws made): the matrix of most inliers among five-match draws, of equal ones that
+    whose inliers lie nearer. Draws stop at `rounds`, or as soon as the best share of inliers makes another clean draw
+    needless at the given confidence."""
     n = len(a)
-    best, good, made = None, np.zeros(n, bool), 0
+    best, good, made, off = None, np.zeros(n, bool), 0, np.inf
     if n < 6:  # five matches always fit
         return best, good, made
     step = max(1, 2_000_000 // n)  # matrices measured together
@@ -94,13 +95,14 @@ def consensus(a: np.ndarray, b: np.ndarray, threshold: float, rng: np.random.Gen
         size = min(batch, rounds - made)
         pick = rng.random((size, n)).argpartition(4, axis=1)[:, :5]
         draw, e = five_point(a[pick], b[pick])
-        near = np.concatenate([sampson(e[k : k + step], a, b) < threshold for k in range(0, len(e), step)]) if len(e) else np.empty((0, n), bool)
-        counts = near.sum(axis=1)
+        away = np.concatenate([sampson(e[k : k + step], a, b) for k in range(0, len(e), step)]) if len(e) else np.empty((0, n))
+        near = away < threshold
+        counts, sums = near.sum(axis=1), np.where(near, away, 0.0).sum(axis=1)
         for d in range(size):  # draws count one by one, so that the batch makes no difference
             if made >= draws_needed(good.sum() / n, confidence):
                 break
             made += 1
             own = np.flatnonzero(draw == d)
-            if len(own) and counts[k := own[counts[own].argmax()]] > good.sum():
-                best, good = e[k], near[k]
+            if len(own) and counts[k := own[np.lexsort((sums[own], -counts[own]))[0]]] and (-counts[k], sums[k]) < (-good.sum(), off):
+                best, good, off = e[k], near[k], sums[k]
     return best, good, made

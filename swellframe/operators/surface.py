@@ -66,16 +66,16 @@ def _poses(e: np.ndarray) -> list[tuple[list[float], list[float]]]:
     return [((u @ m @ v).ravel().tolist(), (s * u[:, 2]).tolist()) for m in (w, w.T) for s in (1.0, -1.0)]
 
 
-def _essential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least squares over eight matches or more, in coordinates moved and scaled to unit spread, with the two equal
-    singular values that an essential matrix has."""
+def _essential(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted least squares over eight matches or more, in coordinates moved and scaled to unit spread, with the two
+    equal singular values that an essential matrix has."""
 
     def scaling(p):
         m, s = p.mean(axis=0), max(np.sqrt(p.var(axis=0).sum()), 1e-12)
         return np.array([[1 / s, 0, -m[0] / s], [0, 1 / s, -m[1] / s], [0, 0, 1]])
 
     ta, tb = scaling(a), scaling(b)
-    d = design(a * ta[0, 0] + ta[:2, 2], b * tb[0, 0] + tb[:2, 2])
+    d = design(a * ta[0, 0] + ta[:2, 2], b * tb[0, 0] + tb[:2, 2]) * np.sqrt(weight)[:, None]
     u, s, v = np.linalg.svd(tb.T @ np.linalg.eigh(d.T @ d)[1][:, 0].reshape(3, 3) @ ta)
     return u @ np.diag([1.0, 1.0, 0.0]) @ v
 
@@ -91,7 +91,7 @@ def depths(a: np.ndarray, b: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[
 
 
 def _inliers(pdf: pd.DataFrame, threshold: float, rounds: int, seed: int, confidence: float) -> pd.DataFrame:
-    pdf = pdf.sort_values("m")
+    pdf = pdf.sort_values(["m", "ax", "ay", "bx", "by"])
     a, b = pdf[["ax", "ay"]].to_numpy(float), pdf[["bx", "by"]].to_numpy(float)
     n = len(a)
     base = {"frame": int(pdf.frame.iloc[0]), "m": pdf.m.to_numpy()}
@@ -100,14 +100,16 @@ def _inliers(pdf: pd.DataFrame, threshold: float, rounds: int, seed: int, confid
     base["draws"] = made
     if best is None:
         return pd.DataFrame(base | {"inlier": False, "ahead": False, "r": [[]] * n, "t": [[]] * n})
-    for _ in range(10):  # settle on all inliers
+    for _ in range(20):  # settle on all inliers; those far beyond most, as chance ones are, hardly count (Cauchy weights)
         if good.sum() < 8:
             break
-        e = _essential(a[good], b[good])
+        off = sampson(best, a[good], b[good])
+        e = _essential(a[good], b[good], 1 / (1 + (off / max(3 * np.median(off), 1e-14)) ** 2))
+        e /= np.linalg.norm(e) * (np.sign((e * best).sum()) or 1.0)
         near = sampson(e, a, b) < threshold
         if near.sum() < good.sum():
             break
-        best, same, good = e, (near == good).all(), near
+        best, same, good = e, (near == good).all() and np.abs(e - best / np.linalg.norm(best)).max() < 1e-12, near
         if same:
             break
     votes = []
@@ -124,7 +126,7 @@ def epipolar_inliers(matches: DataFrame, threshold: float, rounds: int = 1000, s
     (a pixel's share of the focal length) of the epipolar geometry of most inliers, those of them in front of both
     cameras, and the pose that puts most there (ties to the larger first element of r). Geometries come from draws of
     five matches, seeded by frame, until `rounds` or until the inliers found make more draws needless at the given
-    confidence; the best one is refitted to its inliers while it keeps them. Frames of fewer than six matches have no
+    confidence; the best one is refitted to its inliers while it keeps them, by weights that fall with distance. Frames of fewer than six matches have no
     inliers. A frame's matches, some thousands at most, meet in one task."""
     rows = matches.select(F.col("frame").cast("long").alias("frame"), F.col("m").cast("long").alias("m"), *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
     return rows.groupBy("frame").applyInPandas(lambda pdf: _inliers(pdf, threshold, rounds, seed, confidence), "frame long, m long, draws long, inlier boolean, ahead boolean, r array<double>, t array<double>")

@@ -512,3 +512,25 @@ def test_square_of_equal_places(spark):
         got = {r.pid for r in cloud.plane_outliers(df, 100.0, 30.0).where("outlier").collect()}
         mean = np.mean([r.z for r in rows])
         assert got == {r.pid for r in rows if abs(r.z - mean) > 30.0}, at
+
+
+def test_pose_of_chance_inliers():
+    """A match that is misplaced but lies within the threshold by chance doesn't turn the pose."""
+    from swellframe.operators import surface
+
+    rng = np.random.default_rng(2)
+    r, t = np.array([[0.96, 0.0, 0.28], [0.0, 1.0, 0.0], [-0.28, 0.0, 0.96]]), np.array([-1.0, 0.1, 0.05])
+    worst = 0.0
+    for seed in range(12):
+        p = np.c_[rng.uniform(-3, 3, (40, 2)), rng.uniform(4, 14, 40)]
+        q = p @ r.T + t
+        a, b = p[:, :2] / p[:, 2:], q[:, :2] / q[:, 2:]
+        e = np.array([[0, -t[2], t[1]], [t[2], 0, -t[0]], [-t[1], t[0], 0]]) @ r
+        line = (np.c_[a, np.ones(40)] @ e.T)[:1, :2]
+        b[:1] += 9e-7 * line / np.linalg.norm(line)
+        b[30:] = rng.uniform(-0.5, 0.5, (10, 2))
+        pdf = pd.DataFrame({"frame": seed, "m": range(40), "ax": a[:, 0], "ay": a[:, 1], "bx": b[:, 0], "by": b[:, 1]})
+        got = surface._inliers(pdf, 1e-6, 1000, 1, 0.999999)
+        assert got.inlier[:30].all()
+        worst = max(worst, np.abs(np.array(got.r[0]).reshape(3, 3) - r).max(), np.abs(np.array(got.t[0]) - t / np.linalg.norm(t)).max())
+    assert worst < 1e-9
