@@ -1,8 +1,9 @@
 """Linear interpolation of scattered points at grid nodes, over Delaunay triangles.
 
-Points and nodes are dealt into square tiles. A tile's points are triangulated in one task with those of the tiles
-around it, and a triangle counts only if points still farther away can't change it; nodes that get none are asked
-again with more tiles around, so the result is that of one triangulation of all points.
+Nodes are dealt into square tiles, smaller where points are dense. The points of a tile with nodes are triangulated in
+one task with those of the cells around it, and a triangle counts only if points still farther away can't change it;
+nodes that get none are asked again in tiles twice as wide, so the result is that of one triangulation of all points.
+Points far from every node are met by the hull alone.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swellframe.tables import cut
+from swellframe.tables import bounded, cut
 
 
 def circumcircles(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +76,16 @@ def certain(p: np.ndarray, t: np.ndarray, known: tuple[float, float, float, floa
     return out
 
 
+_COMPASS = np.stack([f(np.arange(16) * np.pi / 8) for f in (np.cos, np.sin)])
+
+
 def hull(p: np.ndarray) -> np.ndarray:
     """Corners of the convex hull of points, counter-clockwise; fewer than three if they lie in a line."""
+    if len(p) > 64:  # those well inside the extremes of sixteen directions go first
+        some = p[(p @ _COMPASS).argmax(axis=0)]
+        to = np.roll(some, -1, axis=0)
+        side = (to[:, 0] - some[:, 0]) * (p[:, 1, None] - some[:, 1]) - (to[:, 1] - some[:, 1]) * (p[:, 0, None] - some[:, 0])
+        p = p[~((side > 1e-9 * np.abs(p).max() ** 2) | (some == to).all(axis=1)).all(axis=1) | (some == some[0]).all()]
     p = np.unique(p, axis=0)
     if len(p) < 3:
         return p
@@ -125,78 +135,121 @@ def interpolated(p: np.ndarray, z: np.ndarray, at: np.ndarray, sure=None) -> np.
 
 
 def _hulls(points: DataFrame) -> DataFrame:
-    """points (frame, a, b, x, y) -> frame, hull (x and y in turn) and the box x0, y0, x1, y1: corners of tiles first, then of those."""
-
-    def corners(pdf):
-        h = hull(pdf[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({"frame": pdf.frame.iloc[0], "x": h[:, 0], "y": h[:, 1]})
+    """points (frame, x, y) -> frame, hull (x and y in turn) and the box x0, y0, x1, y1: corners of tasks' points first, then of those."""
+
+    def rows(held):
+        sizes = [len(h) for h in held.values()]
+        p = np.concatenate(list(held.values()))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(list(held), sizes), pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 1])], names=["frame", "x", "y"])
+
+    def corners(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            frame, x, y = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            order = np.argsort(frame, kind="stable")
+            starts = np.flatnonzero(np.diff(frame[order], prepend=frame[order][:1] - 1)) if len(order) else order
+            for part in np.split(order, starts[1:]) if len(order) else []:
+                f, p = int(frame[part[0]]), np.stack([x[part], y[part]], axis=1)
+                held[f] = hull(np.concatenate([held[f], p]) if f in held else p)
+            if sum(map(len, held.values())) > 1 << 16:
+                yield rows(held)
+                held = {}
+        if held:
+            yield rows(held)
 
     def whole(pdf):
         p = pdf[["x", "y"]].to_numpy(float)
         return pd.DataFrame({"frame": [pdf.frame.iloc[0]], "hull": [hull(p).ravel().tolist()], "x0": [p[:, 0].min()], "y0": [p[:, 1].min()], "x1": [p[:, 0].max()], "y1": [p[:, 1].max()]})
 
-    rim = points.groupBy("frame", "a", "b").applyInPandas(corners, "frame int, x double, y double")
+    rim = points.select("frame", "x", "y").mapInArrow(corners, "frame int, x double, y double")
     return rim.groupBy("frame").applyInPandas(whole, "frame int, hull array<double>, x0 double, y0 double, x1 double, y1 double")
 
 
-#: Cells to a side of a tile: points around a tile are taken by cells.
-CELLS = 4
+#: Cells to a side of a tile: points around a tile are taken by cells, one on each side. Points that a tile should hold.
+CELLS, FEW = 4, 32
 
 
 def linear(points: DataFrame, nodes: DataFrame, tile: float, margin: float | None = None) -> DataFrame:
     """points (frame, x, y, z) and nodes (i, j, x, y) -> frame, i, j, z at every node inside the frame's hull, linear
     over the triangles of all its points' Delaunay triangulation.
 
-    Nodes are asked tile by tile. A tile's points and those up to `margin` around it (a quarter of a tile by default)
-    are triangulated in one task; a triangle counts if no point farther away can lie in its circle. Nodes in no such
-    triangle, as in gaps or on the hull's rim, are asked again with twice the margin, and no others are; once a tile
-    sees the whole frame, all its triangles count. So the margin decides about time alone. Points of null or non-finite places or heights are left out, of points at one place the mean
+    Nodes are asked tile by tile. A square of side `tile` that holds more than FEW points is halved until its parts
+    hold about as many, clusters further. A tile's points and those up to a quarter of a tile around it are triangulated in one task; a
+    triangle counts if no point farther away can lie in its circle. Nodes in no such triangle, as in gaps or on the
+    hull's rim, are asked again in tiles twice as wide, and no others are; once a tile sees the whole frame, all its
+    triangles count. So the tile, and a `margin` below which no quarter of a tile falls, decide about time alone.
+    Points of null or non-finite places or heights are left out, of points at one place the mean
     counts, and of equal circles either triangulation is as good. Frames of points in a line have no nodes; nor have slivers on the
     rim ten thousand times longer than high. Empty tables give an empty result."""
-    size = tile / CELLS
-    cell = lambda c, by: F.floor(F.col(c) / by).cast("long")
+    side = tile * F.pow(F.lit(2.0), -F.col("level"))
     fine = F.lit(True)
     for c in ("x", "y", "z"):
         fine = fine & F.coalesce(F.abs(c) < float("inf"), F.lit(False))
-    own = points.where(fine).groupBy(F.col("frame").cast("int").alias("frame"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.avg("z").alias("z"))
-    own = cut(own.withColumns({"ca": cell("x", size), "cb": cell("y", size)}), "scattered")
-    frames = cut(_hulls(own.select("frame", cell("x", tile).alias("a"), cell("y", tile).alias("b"), "x", "y")), "hulls")
-    wanted = nodes.select(cell("x", tile).alias("a"), cell("y", tile).alias("b"), F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("n"))
-    wanted = wanted.groupBy("a", "b").agg(F.collect_list("n").alias("nodes"))  # a tile's nodes, which its size bounds
+    own = cut(points.where(fine).select(F.col("frame").cast("int").alias("frame"), *[F.col(c).cast("double").alias(c) for c in "xyz"]).where("frame is not null"), "scattered")
+    frames = cut(_hulls(own), "hulls")
+    most = 40 if not margin else math.floor(math.log2(tile / CELLS / margin))
+    square = [F.floor(F.col(c) / tile).cast("long").alias(k) for c, k in (("x", "a"), ("y", "b"))]
+    wanted = nodes.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).select("*", *square)
     over = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}0") / tile).cast("long"), F.floor(F.col(f"{c}1") / tile).cast("long")))
-    tiles = frames.select("*", over("x").alias("a")).select("*", over("y").alias("b"))
-    open_ = tiles.join(wanted, ["a", "b"])
-    kept = ["frame", "a", "b", "hull", "x0", "y0", "x1", "y1"]
-
-    def asked(reach):
-        def run(key, some: pd.DataFrame, tile_: pd.DataFrame) -> pd.DataFrame:
-            row = tile_.iloc[0]
-            at = pd.DataFrame.from_records(list(row["nodes"]))
-            places, box = at[["x", "y"]].to_numpy(float), (row.x0, row.y0, row.x1, row.y1)
-            inside = within(np.array(row.hull).reshape(-1, 2), places)
-            known = [(CELLS * k - reach) * size for k in (row.own_a, row.own_b)] + [(CELLS * (k + 1) + reach) * size for k in (row.own_a, row.own_b)]
-            all_seen = known[0] <= box[0] and known[1] <= box[1] and known[2] > box[2] and known[3] > box[3]
-            z = np.full(len(at), np.nan)
-            if len(some) and inside.any():
-                z[inside] = interpolated(some[["x", "y"]].to_numpy(float), some.z.to_numpy(float), places[inside], None if all_seen else lambda p, t: certain(p, t, known, box))
-            left = inside & np.isnan(z) & (not all_seen)
-            rows = at.assign(frame=int(row.own_frame), a=int(row.own_a), b=int(row.own_b), z=np.where(np.isnan(z), None, z), open=left)
-            return rows[left | ~np.isnan(z)][["frame", "a", "b", "i", "j", "x", "y", "z", "open"]]
-
-        return run
-
-    reach, found = max(1, math.ceil((margin or 0.0) / size)), None
-    while True:
-        near = open_.select("frame", "a", "b")
+    tiles = frames.select("frame", "x0", "y0", "x1", "y1", over("x").alias("a")).select("*", over("y").alias("b"))
+    open_ = wanted.join(tiles, ["a", "b"]).where("x between x0 and x1 and y between y0 and y1")
+    places = F.approx_count_distinct(F.struct("x", "y")).alias("n")  # a guess will do, levels decide about time alone
+    finer = F.greatest(F.lit(0), F.ceil(F.log2(F.coalesce("n", F.lit(1)) / FEW) / 2))
+    held = own.groupBy("frame", *square).agg(places)
+    open_ = cut(open_.join(held, ["frame", "a", "b"], "left").select("frame", "i", "j", "x", "y", F.least(F.lit(most), finer).cast("int").alias("level")), "asked")
+
+    def dealt(levels: list[int], to: tuple[str, str], parts: int) -> DataFrame:
+        rows = own.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels])))
+        return rows.withColumns({k: F.floor(F.col(c) / (side / parts)).cast("long") for c, k in zip("xy", to, strict=True)})
+
+    def levels_of(rows: DataFrame) -> list[int]:
+        return sorted(r.level for r in rows.select("level").distinct().collect())  # some dozens at most
+
+    while True:  # clusters inside a tile
+        at = open_.withColumns({k: F.floor(F.col(c) / side).cast("long") for c, k in (("x", "a"), ("y", "b"))})
+        own_tiles = at.where(F.col("level") < most).select("frame", "level", "a", "b").distinct()
+        n = dealt(levels_of(own_tiles) or [0], ("a", "b"), 1).join(bounded(own_tiles), ["frame", "level", "a", "b"]).groupBy("frame", "level", "a", "b").agg(places)
+        n = cut(n.where(F.col("n") > 64 * FEW), "crowded")
+        if n.isEmpty():
+            break
+        at = at.join(bounded(n), ["frame", "level", "a", "b"], "left")
+        open_ = cut(at.select("frame", "i", "j", "x", "y", F.least(F.lit(most), F.col("level") + finer).cast("int").alias("level")), "asked")
+
+    def around(levels: list[int]) -> tuple[DataFrame, DataFrame]:
+        """The open nodes' tiles (level, a, b) with their nodes and hulls, and with the points around them."""
+        there = open_.withColumns({k: F.floor(F.col(c) / side).cast("long") for c, k in (("x", "a"), ("y", "b"))})
+        there = there.groupBy("frame", "level", "a", "b").agg(F.collect_list(F.struct("i", "j", "x", "y")).alias("nodes"))
+        near = there.select("frame", "level", "a", "b")
         for to, c in (("ca", "a"), ("cb", "b")):
-            near = near.withColumn(to, F.explode(F.sequence(F.col(c) * CELLS - reach, F.col(c) * CELLS + CELLS - 1 + reach)))
-        here = own.join(near, ["frame", "ca", "cb"]).select("frame", "a", "b", "x", "y", "z")
-        there = open_.select(*[F.col(c).alias(f"own_{c}") for c in ("frame", "a", "b")], "nodes", *kept[3:])
-        got = here.groupBy("frame", "a", "b").cogroup(there.groupBy("own_frame", "own_a", "own_b")).applyInPandas(asked(reach), "frame int, a long, b long, i int, j int, x double, y double, z double, open boolean")
+            near = near.withColumn(to, F.explode(F.sequence(F.col(c) * CELLS - 1, F.col(c) * CELLS + CELLS)))
+        here = dealt(levels, ("ca", "cb"), CELLS).join(bounded(cut(near, "near"), 300_000), ["frame", "level", "ca", "cb"])
+        here = here.groupBy("frame", "level", "a", "b", "x", "y").agg(F.avg("z").alias("z"))
+        there = there.join(frames, "frame").select(*[F.col(c).alias(f"own_{c}") for c in ("frame", "level", "a", "b")], "nodes", "hull", "x0", "y0", "x1", "y1")
+        return here, there
+
+    def asked(key, some: pd.DataFrame, tile_: pd.DataFrame) -> pd.DataFrame:
+        row = tile_.iloc[0]
+        at = pd.DataFrame.from_records(list(row["nodes"]))
+        places, box = at[["x", "y"]].to_numpy(float), (row.x0, row.y0, row.x1, row.y1)
+        inside = within(np.array(row.hull).reshape(-1, 2), places)
+        size = tile * 2.0 ** -row.own_level / CELLS
+        known = [(CELLS * k - 1) * size for k in (row.own_a, row.own_b)] + [(CELLS * (k + 1) + 1) * size for k in (row.own_a, row.own_b)]
+        all_seen = known[0] <= box[0] and known[1] <= box[1] and known[2] > box[2] and known[3] > box[3]
+        z = np.full(len(at), np.nan)
+        if len(some) and inside.any():
+            z[inside] = interpolated(some[["x", "y"]].to_numpy(float), some.z.to_numpy(float), places[inside], None if all_seen else lambda p, t: certain(p, t, known, box))
+        left = inside & np.isnan(z) & (not all_seen)
+        rows = at.assign(frame=int(row.own_frame), level=int(row.own_level), z=np.where(np.isnan(z), None, z), open=left)
+        return rows[left | ~np.isnan(z)][["frame", "level", "i", "j", "x", "y", "z", "open"]]
+
+    found = None
+    while True:
+        here, there = around(levels_of(open_) or [0])
+        keys = ["frame", "level", "a", "b"]
+        got = here.groupBy(*keys).cogroup(there.groupBy(*[f"own_{k}" for k in keys])).applyInPandas(asked, "frame int, level int, i int, j int, x double, y double, z double, open boolean")
         got = cut(got, "interpolated")
         done = got.where("not open").select("frame", "i", "j", "z")
         found = done if found is None else found.union(done)
-        again = got.where("open").groupBy("frame", "a", "b").agg(F.collect_list(F.struct("i", "j", "x", "y")).alias("nodes"))
-        if again.isEmpty():
+        open_ = got.where("open").select("frame", "i", "j", "x", "y", (F.col("level") - 1).alias("level"))
+        if open_.isEmpty():
             return found
-        open_, reach = again.join(tiles.select(*kept), ["frame", "a", "b"]), reach * 2

@@ -534,3 +534,26 @@ def test_pose_of_chance_inliers():
         assert got.inlier[:30].all()
         worst = max(worst, np.abs(np.array(got.r[0]).reshape(3, 3) - r).max(), np.abs(np.array(got.t[0]) - t / np.linalg.norm(t)).max())
     assert worst < 1e-9
+
+
+def test_scattered_dense(spark):
+    """Few nodes among many points, half of them in a cluster, need the points around the nodes alone; the hull of many
+    points is that of all."""
+    import time
+
+    from swellframe.operators import scattered
+
+    df = spark.range(400_000).selectExpr("id", "rand(1) AS a", "rand(2) AS b").selectExpr("1 AS frame", "if(id % 2 = 0, 10 * a, 3.33 + a / 100) AS x", "if(id % 2 = 0, 10 * b, 7.21 + b / 100) AS y").selectExpr("*", "2 * x - y AS z")
+    at = [(0, 0, 5.0, 5.0), (1, 0, 3.335, 7.215), (2, 0, 0.2, 9.7), (3, 0, 12.0, 1.0)]
+    began = time.perf_counter()
+    got = {r.i: r.z for r in scattered.linear(df, spark.createDataFrame(at, "i int, j int, x double, y double"), 10.0).collect()}
+    assert time.perf_counter() - began < 60  # all points in one triangulation take minutes
+    assert got == {i: pytest.approx(2 * x - y, abs=1e-6) for i, _, x, y in at[:3]}
+    rng = np.random.default_rng(8)
+    for p in (rng.normal(size=(5000, 2)), rng.integers(0, 9, (500, 2)).astype(float), np.c_[rng.uniform(size=300), np.zeros(300)], np.ones((200, 2))):
+        h = scattered.hull(p)
+        assert {tuple(q) for q in h} <= {tuple(q) for q in p}
+        if len(h) > 2:
+            a, b = h, np.roll(h, -1, axis=0)
+            side = (b[:, 0] - a[:, 0]) * (p[:, 1, None] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (p[:, 0, None] - a[:, 0])
+            assert side.min() >= -1e-9 and (np.abs(side).min(axis=0) < 1e-9).all()
