@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swellframe.operators.raster import gradient_squared, sampled
+from swellframe.operators.raster import gradient_squared, sampled, weighted
 
 _CELL = 1 << 20
 
@@ -135,13 +135,7 @@ def lanczos(x: Column, a: int = 4) -> Column:
 def sampled_sharp(image: DataFrame, places: DataFrame, a: int = 4) -> DataFrame:
     """places (t, id, fi, fj) -> t, id, z by Lanczos weights of the 2a x 2a pixels around, scaled to a sum of 1; null if
     one of them is missing."""
-    span = range(1 - a, a + 1)
-    taps = F.array(*[F.struct(F.lit(p).alias("a"), F.lit(q).alias("b")) for p in span for q in span])
-    x = places.select("t", "id", "fi", "fj", F.explode(taps).alias("o"))
-    x = x.select("t", "id", (F.floor("fi") + F.col("o.a")).cast("int").alias("i"), (F.floor("fj") + F.col("o.b")).cast("int").alias("j"), "fi", "fj")
-    w = lanczos(F.col("fi") - F.col("i"), a) * lanczos(F.col("fj") - F.col("j"), a)
-    got = x.withColumn("w", w).join(image, ["t", "i", "j"], "left").groupBy("t", "id").agg(F.sum(F.col("w") * F.col("z")).alias("wz"), F.sum("w").alias("w"), F.count("z").alias("n"))
-    return got.select("t", "id", F.when(F.col("n") == 4 * a * a, F.col("wz") / F.col("w")).alias("z"))
+    return weighted(image, places, range(1 - a, a + 1), lambda part, k: lanczos(part - k, a))
 
 
 def equalised(image: DataFrame, rows: int, cols: int, tiles: int = 8, limit: float = 2.0, levels: int = 256) -> DataFrame:

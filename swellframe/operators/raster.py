@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swellframe.tables import cut, discard
@@ -120,11 +120,25 @@ def smoothed(grid: DataFrame, rounds: int = 1) -> DataFrame:
     return now.join(grid.withColumnRenamed("z", "z0"), ["t", "i", "j"]).select("t", "i", "j", (F.col("z") - F.col("z0")).alias("dz"))
 
 
+def weighted(grid: DataFrame, places: DataFrame, span: Sequence[int], weights: Callable[[Column, int], Column]) -> DataFrame:
+    """places (t, id, fi, fj) -> t, id, z: the mean of the cells at the offsets `span` in i and j from the one that holds the
+    place, by the product of weights(part of a cell, offset) in i and in j; null if one of them is missing. Each place meets
+    the cells around it as one row, so that nothing is grouped by place; few cells are broadcast."""
+    grid, taps = cut(grid.where("z is not null").select("t", "i", "j", "z")), [(a, b) for a in span for b in span]
+    x = grid.select("t", "i", "j", "z", F.posexplode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in taps])).alias("k", "o"))
+    near = x.groupBy("t", (F.col("i") - F.col("o.a")).cast("long").alias("i0"), (F.col("j") - F.col("o.b")).cast("long").alias("j0")).agg(F.array_sort(F.collect_list(F.struct("k", "z"))).alias("s"))
+    near = near.where(F.size("s") == len(taps)).select("t", "i0", "j0", F.col("s.z").alias("s"))
+    most = min(100_000, 1_600_000 // len(taps))
+    if grid.limit(most + 1).count() <= most:
+        near = F.broadcast(near)
+    at = places.select("t", "id", "fi", "fj", F.floor("fi").alias("i0"), F.floor("fj").alias("j0")).join(near, ["t", "i0", "j0"], "left")
+    wi, wj = (F.array(*[weights(F.col(f) - F.col(k), a) for a in span]) for f, k in (("fi", "i0"), ("fj", "j0")))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
+    at = at.select("t", "id", "s", wi.alias("wi"), wj.alias("wj"))
+    w = F.flatten(F.transform("wi", lambda a: F.transform("wj", lambda b: a * b)))
+    return at.select("t", "id", F.when(F.col("s").isNotNull(), total(F.zip_with("s", w, lambda z, k: z * k)) / (total(F.col("wi")) * total(F.col("wj")))).alias("z"))
+
+
 def sampled(grid: DataFrame, places: DataFrame) -> DataFrame:
     """places (t, id, fi, fj) -> t, id, z by bilinear weights of four cells; null if one of them is missing."""
-    taps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
-    x = places.select("t", "id", F.floor("fi").alias("i0"), F.floor("fj").alias("j0"), (F.col("fi") - F.floor("fi")).alias("u"), (F.col("fj") - F.floor("fj")).alias("v"), F.explode(taps).alias("o"))
-    w = F.when(F.col("o.a") == 1, F.col("u")).otherwise(1 - F.col("u")) * F.when(F.col("o.b") == 1, F.col("v")).otherwise(1 - F.col("v"))
-    x = x.select("t", "id", (F.col("i0") + F.col("o.a")).cast("int").alias("i"), (F.col("j0") + F.col("o.b")).cast("int").alias("j"), w.alias("w"))
-    got = x.join(grid, ["t", "i", "j"], "left").groupBy("t", "id").agg(F.sum(F.col("w") * F.col("z")).alias("z"), F.count("z").alias("n"))
-    return got.select("t", "id", F.when(F.col("n") == 4, F.col("z")).alias("z"))
+    return weighted(grid, places, (0, 1), lambda part, a: part if a else 1 - part)

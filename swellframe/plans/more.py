@@ -9,7 +9,7 @@ from swellframe.operators import cloud as c
 from swellframe.operators import image, match, nearest, raster, scattered, surface, temporal
 from swellframe.plans.queries import _MATCHES, _RAY, _SHADOW, _SLOPE, _TURNED, CLOUD, COLS, CUBE, FEATURES, REGISTRY, ROWS, SERIES, SHIFT, TURN, _channels, features, matches, query
 from swellframe.sources import codecs
-from swellframe.tables import cloud, cube, scratch, series, table
+from swellframe.tables import cloud, cube, dealt, scratch, series, table
 
 # gates and clouds
 
@@ -359,8 +359,9 @@ _L = lambda d: f"CASE WHEN abs({d}) < 1e-12 THEN 1.0 WHEN abs({d}) >= 4 THEN 0.0
 @query("z", f"WITH {CUBE}, p AS (SELECT l_linenumber AS t, l_orderkey * 8 + l_linenumber AS id, min(l_quantity) * 0.8 + 3.3 AS fi, min(l_discount) * 200 + 5.7 AS fj FROM lineitem GROUP BY 1, 2), s AS (SELECT unnest(range(-3, 5)) AS d), x AS (SELECT t, id, floor(fi) + a.d AS i, floor(fj) + b.d AS j, fi, fj FROM p, s a, s b), y AS (SELECT x.t, id, {_L('fi - x.i')} * {_L('fj - x.j')} AS w, z FROM x LEFT JOIN cube c ON c.t = x.t AND c.i = x.i AND c.j = x.j) SELECT t, id, CASE WHEN count(z) = 64 THEN sum(w * z) / sum(w) END AS z FROM y GROUP BY t, id", 4)
 def lanczos_sample(spark, sf_dir):
     """The cube at places between its cells, by Lanczos weights."""
-    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("t"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
+    p = dealt(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_orderkey").groupBy("l_linenumber", "l_orderkey")
     places = p.agg((F.min("l_quantity") * 0.8 + 3.3).alias("fi"), (F.min("l_discount") * 200 + 5.7).alias("fj"))
+    places = places.select(F.col("l_linenumber").alias("t"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "fi", "fj")
     return image.sampled_sharp(cube(spark, sf_dir), places)
 
 

@@ -54,6 +54,13 @@ def bounded(small: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
 
+def dealt(df: DataFrame, *keys: str, rows: int = 500_000) -> DataFrame:
+    """df in parts by keys, of about `rows` rows each, for groupings by keys that few rows share: what a task holds doesn't
+    grow with the table."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, -(-df.count() // rows)), *keys)
+
+
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points: frame, pid, x, y, z from lineitem."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("frame"), F.col("l_orderkey").alias("pid"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_extendedprice") / 1000).alias("z"))

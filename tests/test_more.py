@@ -557,3 +557,15 @@ def test_scattered_dense(spark):
             a, b = h, np.roll(h, -1, axis=0)
             side = (b[:, 0] - a[:, 0]) * (p[:, 1, None] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (p[:, 0, None] - a[:, 0])
             assert side.min() >= -1e-9 and (np.abs(side).min(axis=0) < 1e-9).all()
+
+
+def test_sampling_without_grouping(spark):
+    """Places meet the cells around them as one row: no grouping by place holds them; a null cell or place gives null."""
+    cells = spark.createDataFrame([(1, i, j, float(10 * i + j) if (i, j) != (5, 5) else None) for i in range(12) for j in range(12)], "t int, i int, j int, z double")
+    at = spark.createDataFrame([(1, 1, 3.25, 3.5), (1, 2, 5.0, 4.5), (1, 3, 11.5, 2.0), (1, 4, None, 2.0), (2, 5, 3.0, 3.0), (1, 6, 1e12, 3.0)], "t int, id long, fi double, fj double")
+    for f, want in ((raster.sampled, {1: 36.0}), (lambda c, p: image.sampled_sharp(c.fillna(55.0), p), {1: 36.0, 2: 54.5})):
+        got = f(cells, at)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Aggregate" in line and "id#" in line]
+        z = {r.id: r.z for r in got.collect()}
+        assert len(z) == 6 and {k for k, v in z.items() if v is not None} == want.keys() and all(z[k] == pytest.approx(v, abs=0.2) for k, v in want.items())
