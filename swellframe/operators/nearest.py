@@ -2,7 +2,8 @@
 
 A query meets the points of the cells around its own. Its k nearest are certain once the kth is nearer than the rim of
 what it has met; queries that aren't certain yet go again with twice the reach, and no others do. Points at one place are one place with
-the k smallest ids, so copies cost nothing; cells and the queries around them are split into parts of bounded size.
+the k smallest ids, so copies cost nothing; cells and the queries around them are split into parts of bounded size, and small ones are worked on
+many at a time.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ PART = 4_096
 def _met(k: int, others: bool):
     def run(key, places: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"frame": [], "qid": [], "d2": [], "ids": [], "zs": []}
-        if len(places) and len(asked):
-            x, y = places.x.to_numpy(), places.y.to_numpy()
-            for at in range(0, len(asked), 512):
-                q = asked.iloc[at : at + 512]
-                d2 = (q.qx.to_numpy()[:, None] - x) ** 2 + (q.qy.to_numpy()[:, None] - y) ** 2
+        cells = places.groupby(["frame", "a", "b", "part", "block"], sort=False).indices
+        x, y, ids, zs = (places[c].to_numpy() for c in ("x", "y", "ids", "zs"))
+        own, qid, qx, qy = (asked[c].to_numpy() for c in ("own", "qid", "qx", "qy"))
+        for cell, ask in asked.groupby(["own", "qa", "qb", "qpart", "qblock"], sort=False).indices.items():
+            here = cells.get(cell, ())
+            for at in range(0, len(ask) if len(here) else 0, 512):
+                q = ask[at : at + 512]
+                d2 = (qx[q][:, None] - x[here]) ** 2 + (qy[q][:, None] - y[here]) ** 2
                 if others:
                     d2[d2 == 0] = np.inf
                 if d2.shape[1] > k:  # all places at the kth distance stay, for ties
@@ -33,11 +37,11 @@ def _met(k: int, others: bool):
                     row, col = np.nonzero((d2 <= most) & (d2 < np.inf))
                 else:
                     row, col = np.nonzero(d2 < np.inf)
-                out["frame"].append(q.own.to_numpy()[row])
-                out["qid"].append(q.qid.to_numpy()[row])
+                out["frame"].append(own[q[row]])
+                out["qid"].append(qid[q[row]])
                 out["d2"].append(d2[row, col])
-                out["ids"] += places.ids.iloc[col].tolist()
-                out["zs"] += places.zs.iloc[col].tolist()
+                out["ids"] += ids[here[col]].tolist()
+                out["zs"] += zs[here[col]].tolist()
         for c in ("frame", "qid", "d2"):
             out[c] = np.concatenate(out[c]) if out[c] else []
         return pd.DataFrame(out).astype({"ids": object, "zs": object})  # also if there are none
@@ -69,10 +73,13 @@ def nearest_points(points: DataFrame, queries: DataFrame, k: int, cell: float, o
         for to, c in (("a", "qa"), ("b", "qb")):
             near = near.withColumn(to, F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach)))
         near = near.join(bounded(cells), ["frame", "a", "b"])
-        load = bounded(cut(near.groupBy("frame", "a", "b").agg(F.ceil(F.count("*") / PART).cast("int").alias("blocks")), "loads"))
+        load = bounded(cut(near.groupBy("frame", "a", "b").agg(F.ceil(F.count("*") / PART).cast("int").alias("blocks"), F.count("*").alias("asks")), "loads"))
+        lots = max(1, (load.agg(F.sum("asks")).first()[0] or 0) // PART)  # small cells share a call
+        lot = lambda *keys: F.pmod(F.xxhash64(*keys), F.lit(lots))
+        load = load.drop("asks")
         asks = near.join(load, ["frame", "a", "b"]).select(F.col("frame").alias("own"), F.col("a").alias("qa"), F.col("b").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("qpart"), F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int").alias("qblock"), "qid", "qx", "qy")
         here = dealt.join(load, ["frame", "a", "b"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        met = here.groupBy("frame", "a", "b", "part", "block").cogroup(asks.groupBy("own", "qa", "qb", "qpart", "qblock")).applyInPandas(_met(k, others), "frame long, qid long, d2 double, ids array<long>, zs array<double>")
+        met = here.groupBy(lot("frame", "a", "b", "part", "block").alias("lot")).cogroup(asks.groupBy(lot("own", "qa", "qb", "qpart", "qblock").alias("lot"))).applyInPandas(_met(k, others), "frame long, qid long, d2 double, ids array<long>, zs array<double>")
         each = met.select("frame", "qid", "d2", F.explode(F.arrays_zip(F.col("ids").alias("pid"), F.col("zs").alias("z"))).alias("p")).select("frame", "qid", "d2", "p.pid", "p.z")
         best = each.withColumn("rank", F.row_number().over(Window.partitionBy("frame", "qid").orderBy("d2", "pid", "z"))).where(F.col("rank") <= k)
         best = cut(best.select("frame", "qid", "rank", "pid", "d2", "z"), "nearest")
