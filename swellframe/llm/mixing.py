@@ -1,7 +1,7 @@
 """Mixing to target weights by iterative proportional fitting (raking).
 
 Topics are clusters of documents: their words' hashed random vectors, weighted by rarity, are summed, and the directions
-of these sums are grouped around `TOPICS` centres fitted on a bounded sample. Tokens, words between white space, are
+of these sums are grouped around `TOPICS` centres fitted on all of them. Tokens, words between white space, are
 summed by cell of source, language and topic. Raking scales the cells until each marginal has its target share; a
 cell's weight is its raked over its present tokens. Documents are then sampled on their own, by a hash of their id.
 Their probabilities are raked once more under the cap of 1, so that the expected tokens are the wanted fraction of all
@@ -26,6 +26,8 @@ from swellframe.llm.quality import BUCKETS, slices, words
 
 MARGINS = ("source", "lang", "topic")
 TOPICS, DIRECTIONS = 8, 64
+#: One in whole numbers: sums of directions don't depend on how rows are dealt.
+UNIT = 1 << 14
 _log = logging.getLogger(__name__)
 _SIGNS = (np.random.default_rng(4_242).integers(0, 2, (BUCKETS, DIRECTIONS)) * 2 - 1).astype(np.float32)
 _BLANK = np.zeros(256, bool)
@@ -63,67 +65,150 @@ def word_counts(texts: list[str | None]):
 
 
 def directions(texts: list[str | None], rarity: np.ndarray) -> np.ndarray:
-    """Unit sums of the texts' word vectors; zeros for texts without words."""
+    """Unit sums of the texts' word vectors, in whole 2^-14ths; zeros for texts without words."""
     out = np.zeros((len(texts), DIRECTIONS), np.float32)
     for doc, bucket, n in word_counts(texts):
         if len(doc):
             start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
             out[doc[start]] = np.add.reduceat((rarity[bucket] * np.log1p(n)).astype(np.float32)[:, None] * _SIGNS[bucket], start, axis=0)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return np.rint(out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9) * UNIT).astype(np.int16)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x.astype(float) @ centres.T).argmax(axis=1)  # exact: all are whole numbers
 
 
 @dataclass
 class TopicModel:
     rarity: np.ndarray  # by bucket
-    centres: np.ndarray
+    centres: np.ndarray  # whole numbers, as directions are
+
+    def near(self, x: np.ndarray) -> list[str]:
+        """Topic of each row of directions(), "empty" if it is zero; of equally near centres the first."""
+        best = _nearest(x, self.centres) if len(self.centres) else np.zeros(len(x), int)
+        return [f"topic{k}" if v else "empty" for k, v in zip(best, x.any(axis=1), strict=True)]
 
     def name(self, texts: list[str | None]) -> list[str]:
-        """Topic of each text, "empty" if it has no words; of equally near centres the first."""
-        x = directions(texts, self.rarity)
-        best = (x @ self.centres.T).argmax(axis=1) if len(self.centres) else np.zeros(len(x), int)
-        return [f"topic{k}" if v.any() else "empty" for k, v in zip(best, x, strict=True)]
+        """Topic of each text, "empty" if it has no words."""
+        return self.near(directions(texts, self.rarity))
 
 
-def fit_topics(docs: DataFrame, max_rows: int = 4_096, topics: int = TOPICS, rounds: int = 30) -> TopicModel:
-    """docs (doc_id, text) -> centres fitted on the at most `max_rows` documents with the smallest hashes of id and text;
-    the largest cluster is topic 0. Rarities are the sample's document frequencies."""
-    key = F.xxhash64(F.lit("topics"), "doc_id", F.coalesce("text", F.lit("")))
-    ids = docs.where("text is not null").select(key.alias("k")).orderBy("k").limit(max_rows).agg(F.max("k")).first()[0]
-    if ids is None:
-        return TopicModel(np.ones(BUCKETS, np.float32), np.zeros((0, DIRECTIONS), np.float32))
+def _rarity(docs: DataFrame) -> np.ndarray:
+    """Rarity of every bucket by its frequency in all documents, 1 for a word in each; each task adds up its own first."""
 
     def run(batches):
+        total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            total = np.zeros(BUCKETS, np.int64)
-            for _, bucket, _ in word_counts(batch.column(0).to_pylist()):
-                total += np.bincount(bucket, minlength=BUCKETS)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
-
-    sample = docs.where("text is not null").where(key <= F.lit(ids)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = sample.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
-    counts = np.zeros(BUCKETS)
-    counts[found.bucket.to_numpy(int)] = found.n
-    rarity = np.log((max_rows + 1) / (counts + 1)).clip(0).astype(np.float32)
-
-    def place(batches):
+            for first in range(0, batch.num_rows, 256):
+                texts = batch.column(0).slice(first, 256).to_pylist()
+                n += len(texts)
+                for _, bucket, _ in word_counts(texts):
+                    total += np.bincount(bucket, minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, total[at]])], names=["bucket", "n"])
+
+    found = docs.where("text is not null").select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + 1 rows
+    counts = np.zeros(BUCKETS + 1)
+    counts[found.bucket.to_numpy(int)] = found.n  # the last one counts documents
+    return (np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 1).astype(np.float32)
+
+
+def _draw() -> Column:
+    """A number from 0 to 1 by a row's id, or by its text without one."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), key), 11) / F.lit(float(1 << 53))
+
+
+def _placed(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """docs -> doc_id, source, lang, draw, tokens, x: a row's directions as bytes, null without words."""
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)
+    names = ["doc_id", "source", "lang", "draw", "tokens", "x"]
+
+    def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(directions(batch.column(1).to_pylist(), rarity)), pa.list_(pa.float32()))], names=["doc_id", "x"])
-
-    got = sample.mapInArrow(place, "doc_id long, x array<float>").toPandas().sort_values("doc_id", kind="stable")  # at most max_rows
-    x = np.array(got.x.tolist(), np.float32).reshape(-1, DIRECTIONS)
-    x = x[x.any(axis=1)]
-    if not len(x):
-        return TopicModel(rarity, np.zeros((0, DIRECTIONS), np.float32))
-    centres = x[:1]
-    for _ in range(min(topics, len(x)) - 1):  # the point farthest from all centres so far
-        centres = np.concatenate([centres, x[[(x @ centres.T).max(axis=1).argmin()]]])
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                texts = part.column(4).to_pylist()
+                x = directions(texts, shared.value)
+                rows = [v.tobytes() if some else None for v, some in zip(x, x.any(axis=1), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([token_count(t) for t in texts], pa.int64()), pa.array(rows, pa.binary())], names=names)
+
+    own = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), _draw().alias("draw"), "text")
+    return own.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, lang string, draw double, tokens long, x binary")
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(v or bytes(2 * DIRECTIONS) for v in column.to_pylist()), np.int16).reshape(-1, DIRECTIONS)
+
+
+def _named(placed: DataFrame, model: TopicModel) -> DataFrame:
+    """Rows of _placed() with their topic in place of x."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(model.near(_unpacked(batch.column(5))), pa.string())], names=["doc_id", "source", "lang", "draw", "tokens", "topic"])
+
+    model = TopicModel(np.empty(0), model.centres)
+    return placed.mapInArrow(run, f"doc_id {placed.schema['doc_id'].dataType.simpleString()}, source string, lang string, draw double, tokens long, topic string")
+
+
+def _sums(placed: DataFrame, rows: int, columns: int, of) -> np.ndarray:
+    """The sum of of(x), a matrix of whole numbers, over all directions x that are placed."""
+
+    def run(batches):
+        total = np.zeros((rows, columns), np.int64)
+        for batch in batches:
+            total += of(_unpacked(batch.column(0)).astype(float)).astype(np.int64)
+        k, d = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(d), pa.array(total[k, d])], names=["k", "d", "s"])
+
+    got = placed.where("x is not null").select("x").mapInArrow(run, "k long, d long, s long").groupBy("k", "d").agg(F.sum("s").alias("s")).toPandas()  # rows x columns
+    out = np.zeros((rows, columns))
+    out[got.k.to_numpy(int), got.d.to_numpy(int)] = got.s
+    return out
+
+
+def _clusters(placed: DataFrame, topics: int, part) -> tuple[np.ndarray, np.ndarray]:
+    """Unit sums, in whole numbers, of the rows in each part(x), zeros for empty ones, and numbers of rows."""
+    sums = _sums(placed, topics, DIRECTIONS + 1, lambda x: np.eye(topics)[part(x)].T @ np.c_[x, np.ones(len(x))])
+    unit = sums[:, :-1] / np.maximum(np.linalg.norm(sums[:, :-1], axis=1, keepdims=True), 1e-9)
+    return np.rint(unit * UNIT), sums[:, -1]
+
+
+def _fit(docs: DataFrame, topics: int = TOPICS, rounds: int = 30) -> tuple[TopicModel, DataFrame]:
+    """The model of fit_topics() and the table of placed rows."""
+    rarity = _rarity(docs)
+    placed = cut(_placed(docs, rarity), "placed")
+    total = _sums(placed, DIRECTIONS + 1, DIRECTIONS + 1, lambda x: (y := np.c_[x, np.ones(len(x))]).T @ y)
+    n = total[-1, -1]
+    if not n:
+        return TopicModel(rarity, np.zeros((0, DIRECTIONS))), placed
+    mean = total[-1, :-1] / n
+    axes = np.linalg.eigh(total[:-1, :-1] / n - np.outer(mean, mean))[1][:, ::-1][:, : max(1, (topics - 1).bit_length())]
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1, 1)
+    bits = 1 << np.arange(axes.shape[1])
+    centres, size = _clusters(placed, topics, lambda x: (((x - mean) @ axes > 0) @ bits) % topics)
+    centres = centres[size > 0]
     for _ in range(rounds):
-        own = (x @ centres.T).argmax(axis=1)
-        sums = np.stack([x[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    size = np.bincount((x @ centres.T).argmax(axis=1), minlength=len(centres))
-    return TopicModel(rarity, centres[np.argsort(-size, kind="stable")].astype(np.float32))
+        new, size = _clusters(placed, len(centres), lambda x, c=centres: _nearest(x, c))
+        new = np.where(size[:, None] > 0, new, centres)
+        turned = 1 - (new * centres).sum(axis=1).min() / UNIT**2
+        centres = new
+        if turned < 1e-4:
+            break
+    return TopicModel(rarity, centres[np.argsort(-size, kind="stable")]), placed
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS, rounds: int = 30) -> TopicModel:
+    """docs (source, lang, text) -> centres fitted on all documents; the largest cluster is topic 0. Rarities are the
+    document frequencies of all.
+
+    Directions are written once, 128 bytes a document. The first centres are the sums on either side of the mean along
+    the axes of most spread; a round gives each document to its nearest centre and sums again in Spark, until no centre
+    turns by a degree any more."""
+    model, placed = _fit(docs, topics, rounds)
+    discard(placed)
+    return model
 
 
 def tempered(cells: pd.DataFrame, power: float = 0.7) -> dict[str, dict]:
@@ -257,10 +342,8 @@ def calibrate(tokens: np.ndarray, weights: np.ndarray, wanted: float) -> float:
 def _marked(docs: DataFrame, topic: Column | None, model: TopicModel | None) -> DataFrame:
     """docs as c0, c1, ... with `topic`, `tokens` and `draw` from 0 to 1 behind them."""
     at = docs.columns.index("text")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), key), 11) / F.lit(float(1 << 53))
     given = F.lit(None).cast("string") if topic is None else topic.cast("string")
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], given.alias("topic"), draw.alias("draw"))
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], given.alias("topic"), _draw().alias("draw"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS and TOPICS x DIRECTIONS numbers
 
     def run(batches):
@@ -275,18 +358,20 @@ def _marked(docs: DataFrame, topic: Column | None, model: TopicModel | None) ->
     return plain.mapInArrow(run, f"{kinds}, topic string, tokens long, draw double")
 
 
-def _model(docs: DataFrame, topic: Column | None) -> TopicModel | None:
-    return None if topic is not None else fit_topics(docs)
+def _model(docs: DataFrame, topic: Column | None) -> tuple[TopicModel | None, DataFrame | None]:
+    return (None, None) if topic is not None else _fit(docs)
 
 
 #: Cells that are broadcast; more are joined in a shuffle.
 BROADCAST_CELLS = 100_000
 
 
-def _cell_sums(docs: DataFrame, topic: Column | None, model: TopicModel | None) -> DataFrame:
-    """source, lang, topic, tokens of every cell."""
-    own = docs.select(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("text"), *([topic.alias("given")] if topic is not None else []))
-    marked = _marked(own, None if topic is None else F.col("given"), model)
+def _cell_sums(docs: DataFrame, topic: Column | None, model: TopicModel | None, placed: DataFrame | None) -> DataFrame:
+    """source, lang, topic, tokens of every cell; placed rows have what the texts would give."""
+    if placed is not None:
+        return _named(placed, model).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
+    own = docs.select(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("text"), topic.alias("given"))
+    marked = _marked(own, F.col("given"), None)
     return marked.groupBy(F.col("c1").cast("string").alias("source"), F.col("c2").cast("string").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
 
 
@@ -362,9 +447,9 @@ def raked_table(cells: DataFrame, targets: dict[str, dict] | None = None, fracti
     return now.select(*MARGINS, "tokens", (F.col("f") / F.col("tokens")).alias("weight"), F.least(F.col("u") / F.col("tokens"), F.lit(1.0)).alias("probability"))
 
 
-def _fitted(docs: DataFrame, topic: Column | None, model: TopicModel | None, targets: dict[str, dict] | None, fraction: float, most: int) -> tuple[DataFrame, pd.DataFrame | None]:
+def _fitted(docs: DataFrame, topic: Column | None, model: TopicModel | None, placed: DataFrame | None, targets: dict[str, dict] | None, fraction: float, most: int) -> tuple[DataFrame, pd.DataFrame | None]:
     """Cells with weight and probability, and, if the driver raked them, what their margins reach."""
-    spark, summed = docs.sparkSession, cut(_cell_sums(docs, topic, model), "cells")
+    spark, summed = docs.sparkSession, cut(_cell_sums(docs, topic, model, placed), "cells")
     if summed.count() > most:
         return raked_table(summed, targets, fraction).drop("tokens"), None
     cells = summed.toPandas().sort_values(list(MARGINS), kind="stable", na_position="first").reset_index(drop=True)
@@ -388,32 +473,34 @@ def cell_weights(docs: DataFrame, topic: Column | None = None, targets: dict[str
 
     Up to `most` cells are raked on the driver; more are raked over tables, to the same weights within a relative
     1e-6 or so."""
-    return _fitted(docs, topic, _model(docs, topic), targets, fraction, most)[0]
+    model, placed = _model(docs, topic)
+    frame = _fitted(docs, topic, model, placed, targets, fraction, most)[0]
+    if placed is not None:
+        discard(placed)
+    return frame
 
 
 def shares(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict] | None = None, fraction: float = 0.8, most: int = 200_000) -> DataFrame:
     """docs -> (margin, value, target, share, shortfall): what each source, language and topic should have and has of
     the expected sample. For more than `most` cells target and shortfall are null."""
-    model = _model(docs, topic)
+    model, placed = _model(docs, topic)
     schema = "margin string, value string, target double, share double, shortfall double"
-    frame, told = _fitted(docs, topic, model, targets, fraction, most)
+    frame, told = _fitted(docs, topic, model, placed, targets, fraction, most)
     if told is not None:
         return docs.sparkSession.createDataFrame([tuple(r) for r in told.itertuples(index=False)], schema)
     same = [F.col(f"s_{c}").eqNullSafe(F.col(c)) for c in MARGINS]
-    x = _cell_sums(docs, topic, model).withColumnsRenamed({c: f"s_{c}" for c in MARGINS}).join(frame, same).select(*MARGINS, (F.col("tokens") * F.col("probability")).alias("e"))
+    x = _cell_sums(docs, topic, model, placed).withColumnsRenamed({c: f"s_{c}" for c in MARGINS}).join(frame, same).select(*MARGINS, (F.col("tokens") * F.col("probability")).alias("e"))
     one = [x.groupBy(F.col(m).alias("value")).agg(F.sum("e").alias("e")).select(F.lit(m).alias("margin"), "value", F.lit(None).cast("double").alias("target"), (F.col("e") / (x.agg(F.sum("e")).first()[0] or 1.0)).alias("share"), F.lit(None).cast("double").alias("shortfall")) for m in MARGINS]
     return one[0].union(one[1]).union(one[2])
 
 
-def _joined(docs: DataFrame, topic: Column | None, targets: dict[str, dict] | None, fraction: float, most: int) -> tuple[DataFrame, list[Column]]:
-    """docs as _marked() makes them, with weight and probability, and the columns that are docs again."""
-    model = _model(docs, topic)
-    frame = _fitted(docs, topic, model, targets, fraction, most)[0].withColumnsRenamed({c: f"cell_{c}" for c in MARGINS})
-    rows = _marked(docs, topic, model)
-    at = {c: f"c{docs.columns.index(c)}" for c in ("source", "lang")} | {"topic": "topic"}
-    same = F.col(at["source"]).eqNullSafe(F.col("cell_source")) & F.col(at["lang"]).eqNullSafe(F.col("cell_lang")) & F.col("topic").eqNullSafe(F.col("cell_topic"))
-    got = rows.join(frame, same, "left")
-    return got, [F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)]
+def _cells_named(frame: DataFrame) -> DataFrame:
+    return frame.withColumnsRenamed({c: f"cell_{c}" for c in MARGINS})
+
+
+def _same(source: str, lang: str) -> Column:
+    """Whether a row is of a cell of _cells_named()."""
+    return F.col(source).eqNullSafe(F.col("cell_source")) & F.col(lang).eqNullSafe(F.col("cell_lang")) & F.col("topic").eqNullSafe(F.col("cell_topic"))
 
 
 def weighted(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict] | None = None, fraction: float = 0.8, most: int = 200_000) -> DataFrame:
@@ -422,11 +509,21 @@ def weighted(docs: DataFrame, topic: Column | None = None, targets: dict[str, di
     Null sources, languages and topics are values of their own; texts without words, null ones too, have topic "empty"
     and one token; texts of any length are read whole; repeated rows draw alike, and a null id draws by its text. Other
     columns are ignored; an empty table gives an empty result."""
-    rows, _ = _joined(docs.select("doc_id", "text", "lang", "source", *([topic.alias("given")] if topic is not None else [])), None if topic is None else F.col("given"), targets, fraction, most)
-    return rows.select(F.col("c0").alias("doc_id"), "topic", "tokens", "weight", "probability", (F.col("draw") < F.col("probability")).alias("sampled"))
+    docs = docs.select("doc_id", "text", "lang", "source", *([topic.alias("given")] if topic is not None else []))
+    topic = None if topic is None else F.col("given")
+    model, placed = _model(docs, topic)
+    frame = _cells_named(_fitted(docs, topic, model, placed, targets, fraction, most)[0])
+    rows = _named(placed, model) if placed is not None else _marked(docs, topic, None).withColumnsRenamed({"c0": "doc_id", "c2": "lang", "c3": "source"})
+    got = rows.join(frame, _same("source", "lang"), "left")
+    return got.select("doc_id", "topic", "tokens", "weight", "probability", (F.col("draw") < F.col("probability")).alias("sampled"))
 
 
 def mixed(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict] | None = None, fraction: float = 0.8, most: int = 200_000) -> DataFrame:
     """The sampled rows of docs, all columns kept whatever their names; other cases are as in weighted()."""
-    rows, columns = _joined(docs, topic, targets, fraction, most)
-    return rows.where(F.col("draw") < F.col("probability")).select(*columns)
+    model, placed = _model(docs, topic)
+    frame = _cells_named(_fitted(docs, topic, model, placed, targets, fraction, most)[0])
+    if placed is not None:
+        discard(placed)
+    source, lang = (f"c{docs.columns.index(c)}" for c in ("source", "lang"))
+    got = _marked(docs, topic, model).join(frame, _same(source, lang), "left")
+    return got.where(F.col("draw") < F.col("probability")).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

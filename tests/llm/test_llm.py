@@ -613,3 +613,18 @@ def test_queries_and_pipeline(spark, tmp_path):
     for r in sorted(final, key=lambda r: r.doc_id):
         assert r.start == start
         start += r.n_tokens
+
+
+def test_topics_of_all_documents(spark):
+    """Rarities and centres come from every document, however many: they are those of a plain count, and every centre is
+    the direction of the documents nearest to it."""
+    rng = random.Random(12)
+    texts = [" ".join(f"{'abc'[i % 3]}{rng.randrange(300)}" for _ in range(8)) for i in range(5_000)]
+    model = mixing.fit_topics(docs(spark, texts))
+    counts = sum(np.bincount(bucket, minlength=mixing.BUCKETS) for _, bucket, _ in mixing.word_counts(texts))
+    assert np.allclose(model.rarity, np.log(5_001 / (counts + 1)) + 1, atol=1e-5)
+    x = mixing.directions(texts, model.rarity).astype(float)
+    own = (x @ model.centres.T).argmax(axis=1)
+    for k, centre in enumerate(model.centres):
+        near = x[own == k].sum(axis=0)
+        assert near @ centre / np.linalg.norm(near) / np.linalg.norm(centre) > 0.999
