@@ -339,6 +339,58 @@ def test_encoder_pieces():
             assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_encoder_repeats():
+    """Words met before, also those with other signs behind them, don't go to the tokenizer again."""
+    enc, asked = token_output.Encoder(VOCABULARY), []
+
+    class Spy:
+        def __init__(self, tokenizer):
+            self.t = tokenizer
+
+        def encode(self, text, **more):
+            asked.append(text)
+            return self.t.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return self.t.encode_batch_fast(texts, **more)
+
+    plain = enc.tokenizer
+    enc.tokenizer = Spy(plain)
+    enc.encode(["x alphabet betamax 12"])
+    asked.clear()
+    text = "x alphabet, betamax.%% alphabet! 12; \u00fc."
+    assert enc.encode([text])[0].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+    assert asked and not any("alphabet" in x or "betamax" in x or "12" in x for x in asked)
+
+
+def test_encoder_generations():
+    """Small generations, which turn over, and pieces too long for them give the same ids."""
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(VOCABULARY), random.Random(4)
+    enc = token_output.Encoder(VOCABULARY, kept=40)
+    some = ["".join(rng.choice("abcde") for _ in range(rng.choice([2, 3, 4, 70]))) + rng.choice(["", ",", ".\u2014", "'", "_", "'s."]) for _ in range(150)]
+    for _ in range(30):
+        texts = [rng.choice([" ", "\n", "  "]).join(rng.choices(some, k=rng.randint(0, 25))) for _ in range(7)] + [None]
+        for text, ids in zip(texts, enc.encode(texts), strict=True):
+            assert ids.tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 2], repr(text)
+        assert not any(len(x) > 48 for x in enc.cache.at)
+
+
+def test_re_pair_rounds(monkeypatch):
+    """Rounds after the first count only pairs that may be frequent."""
+    counted, plain = [], token_output._frequent
+    monkeypatch.setattr(token_output, "_frequent", lambda pair: counted.append(len(pair)) or plain(pair))
+    rng = np.random.default_rng(6)
+    phrase = rng.integers(3, 90, 64)
+    # pairs in a run overlap, so not all frequent ones are replaced in the first round
+    made = [np.concatenate([rng.integers(3, 50_000, 300), phrase, np.full(9, 5), [2]]).astype(np.uint32) for _ in range(300)]
+    shard = token_output.Shard(token_output.write_shard(made))
+    assert all((a == b).all() for a, b in zip(shard.documents(), made, strict=True))
+    assert len(counted) > 4 and sum(counted[1:]) < counted[0]
+
+
 def test_lines(spark):
     texts = [f"menu\nbody {i}\n\nmenu" if i % 2 == 0 else f"other {i}\nmenu" if i < 4 else f"other {i}" for i in range(20)] + [None, ""]
     got = {r.doc_id: r for r in line_dedup.drop_lines(docs(spark, texts), ratio=0.5).collect()}
