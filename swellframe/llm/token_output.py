@@ -35,7 +35,7 @@ MIN_COUNT, PER_ROUND = 24, 8_192
 #: Ids in a shard, but for its last document.
 SHARD_IDS = 1 << 20
 #: Bytes of texts that are encoded together.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 20
 #: Pieces in a generation of the encoder's cache, and the longest one that is kept.
 CACHED, _LONGEST = 600_000, 48
 _APART = re.compile(r"(?<=\S) (?=\S)")
