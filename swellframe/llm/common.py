@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from swellframe.tables import cut, discard, scratch, shared_dir, table
 
-__all__ = ["GOLD", "bounded_ids", "crc_of", "crc_text", "cut", "discard", "kept_in_worker", "let_go", "mix", "same_columns", "scratch", "shared_dir", "table"]
+__all__ = ["GOLD", "bounded_ids", "crc_of", "crc_text", "cut", "discard", "kept_in_worker", "lean", "let_go", "mix", "same_columns", "scratch", "shared_dir", "table"]
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -30,11 +32,29 @@ def kept_in_worker(clear) -> None:
     _kept.append(clear)
 
 
+#: Hands freed memory back to the system, where the C library can.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def let_go() -> None:
     """Empties it: for tasks of another kind, which may need the memory."""
     for clear in _kept:
         clear()
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run):
+    """A task function that lets go before it starts and, as its worker may then idle beside others, when it has ended."""
+
+    @wraps(run)
+    def wrapped(batches):
+        let_go()
+        yield from run(batches)
+        let_go()
+
+    return wrapped
 
 
 def crc_text(col) -> object:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swellframe.llm.common import cut, discard
+from swellframe.llm.common import cut, discard, lean
 from swellframe.llm.quality import BUCKETS, slices, words
 
 MARGINS = ("source", "lang", "topic")
@@ -42,7 +42,7 @@ def token_count(text: str | None) -> int:
 
 
 #: Characters of texts worked on at once.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 
 
 def word_counts(texts: list[str | None]):
@@ -96,6 +96,7 @@ class TopicModel:
 def _rarity(docs: DataFrame) -> np.ndarray:
     """Rarity of every bucket by its frequency in all documents, 1 for a word in each; each task adds up its own first."""
 
+    @lean
     def run(batches):
         total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
@@ -124,6 +125,7 @@ def _placed(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
     names = ["doc_id", "source", "lang", "draw", "tokens", "x"]
 
+    @lean
     def run(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
@@ -144,6 +146,7 @@ def _unpacked(column: pa.Array) -> np.ndarray:
 def _named(placed: DataFrame, model: TopicModel) -> DataFrame:
     """Rows of _placed() with their topic in place of x."""
 
+    @lean
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(model.near(_unpacked(batch.column(5))), pa.string())], names=["doc_id", "source", "lang", "draw", "tokens", "topic"])
@@ -155,6 +158,7 @@ def _named(placed: DataFrame, model: TopicModel) -> DataFrame:
 def _sums(placed: DataFrame, rows: int, columns: int, of) -> np.ndarray:
     """The sum of of(x), a matrix of whole numbers, over all directions x that are placed."""
 
+    @lean
     def run(batches):
         total = np.zeros((rows, columns), np.int64)
         for batch in batches:
@@ -272,11 +276,17 @@ def _level(share: np.ndarray, low: np.ndarray, high: np.ndarray, total: float) -
     return at(b)
 
 
+#: How far raking may take a cell from its present tokens, up or down.
+FAR = 1e12
+
+
 def probabilities(cells: pd.DataFrame, targets: dict[str, dict], fraction: float, rounds: int = 2000, tolerance: float = 1e-12) -> np.ndarray:
     """Sampling probabilities of cells, raked under the cap of 1: the expected tokens are the fraction of all (or all
     that values with a target above 0 have), and each marginal has its target shares of them.
 
-    Values that lack the tokens are taken whole first, marginal after marginal; all others keep their proportions."""
+    Values that lack the tokens are taken whole first, marginal after marginal; all others keep their proportions.
+    Marginals that no probabilities meet together are met as closely as the last round leaves them; the factors of their
+    cells would grow and fall without end, so they stay within `FAR`, and the expected tokens are as wanted."""
     present = cells.tokens.to_numpy(float)
     plans = [(codes, share) for _, codes, _, share in _plans(cells, targets)]
     usable = present > 0
@@ -310,8 +320,7 @@ def probabilities(cells: pd.DataFrame, targets: dict[str, dict], fraction: float
                 if (now == clipped).all():
                     break
                 clipped = now
-            u = factor[codes] * u
-        x = np.minimum(u, present)
+            u, x = np.clip(factor[codes] * u, free * present / FAR, free * present * FAR), np.minimum(factor[codes] * u, present)
         if np.abs(x - before).max(initial=0) <= tolerance * max(present.sum(), 1):
             break
     return np.where(whole, 1.0, np.divide(x, present, out=np.zeros_like(x), where=present > 0))
@@ -346,6 +355,7 @@ def _marked(docs: DataFrame, topic: Column | None, model: TopicModel | None) ->
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], given.alias("topic"), _draw().alias("draw"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS and TOPICS x DIRECTIONS numbers
 
+    @lean
     def run(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
@@ -437,7 +447,8 @@ def raked_table(cells: DataFrame, targets: dict[str, dict] | None = None, fracti
             step = cut(step.mapInPandas(_capped_steps, "value string, ff double, fu double"), "step")
             worst = step.where("ff > 0").agg(F.max(F.greatest(F.abs(F.col("ff") - 1), F.when(F.col("fu") < _FACTORS[-1], F.abs(F.col("fu") - 1)).otherwise(0.0)))).first()[0]
             off = max(off, worst or 0.0)
-            moved = now.join(step, F.col(m).eqNullSafe(F.col("value"))).select(*MARGINS, "tokens", (F.col("f") * F.col("ff")).alias("f"), (F.col("u") * F.col("fu")).alias("u"))
+            u = F.col("u") * F.col("fu")
+            moved = now.join(step, F.col(m).eqNullSafe(F.col("value"))).select(*MARGINS, "tokens", (F.col("f") * F.col("ff")).alias("f"), F.when(u > 0, F.least(F.greatest(u, F.col("tokens") / FAR), F.col("tokens") * FAR)).otherwise(0.0).alias("u"))
             new = cut(moved, "cells")
             discard(now, step)
             now = new

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from swellframe.llm import decontam, html_text, line_dedup, mixing, near_dup, pii, quality, token_output, topk, toxicity
+from swellframe.llm import common, decontam, html_text, line_dedup, mixing, near_dup, pii, quality, token_output, topk, toxicity
 from swellframe.operators.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -439,6 +439,29 @@ def test_raking_plain():
     assert np.allclose(got, [now[k] for k in keys], rtol=1e-6)
 
 
+def test_raking_conflict():
+    """Languages and topics that nearly coincide can't both have their targets; the wanted tokens are drawn all the same."""
+    import pandas as pd
+
+    table = {
+        "de": [270762, 15228728, 141878, 338640, 360689, 131804, 628570, 1179983],
+        "en": [38107861, 2206560, 9015518, 1575644, 1845445, 7818220, 5650975, 4915527],
+        "es": [81468, 146717, 65190, 177872, 11368658, 77763, 338736, 563047],
+        "fr": [98181, 465995, 109035, 15914771, 536890, 116672, 707533, 847224],
+    }
+    rng, rows = np.random.default_rng(2), []
+    for source in range(20):
+        tokens = np.rint(np.concatenate([*table.values()]) / 1000 * rng.uniform(0.9, 1.1, 32) * (10 if source == 0 else 1)).astype(int)
+        rows += [(f"src{source}", lang, f"topic{t}", n) for (lang, t), n in zip([(k, t) for k in table for t in range(8)], tokens, strict=True)]
+    cells = pd.DataFrame(rows, columns=["source", "lang", "topic", "tokens"])
+    targets = mixing.tempered(cells)
+    with np.errstate(over="raise", invalid="raise"):
+        got = mixing.probabilities(cells, targets, 0.8)
+    assert (got >= 0).all() and (got <= 1 + 1e-9).all()
+    assert (got * cells.tokens).sum() == pytest.approx(0.8 * cells.tokens.sum())
+    assert mixing.reached(cells.assign(probability=got), targets).shortfall.max() < 0.03
+
+
 def test_raking_tables(spark):
     """Raking over tables gives the weights and probabilities of the driver's; capped values are whole in both."""
     import pandas as pd
@@ -468,6 +491,21 @@ def test_topics(spark):
         assert model.name(texts[:202]) == names[:202]
 
 
+def test_lean_tasks(monkeypatch):
+    """What a worker keeps goes before a task of another kind starts, and again when it has ended."""
+    kept, seen = ["pieces"], []
+    monkeypatch.setattr(common, "_kept", [kept.clear])
+
+    @common.lean
+    def run(batches):
+        for b in batches:
+            seen.append(list(kept))
+            kept.append(b)
+            yield b
+
+    assert list(run([1, 2])) == [1, 2] and seen == [[], [1]] and not kept
+
+
 def test_mixing_hot_source(spark):
     """All marginals of the sample have their target shares; what lacks the tokens is taken whole and told."""
     import pandas as pd
