@@ -31,8 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents that are left, written as shards and read back. Its workers share their executors'
-    memory with the other stages', so they keep fewer pieces of texts than token ids alone would."""
-    return token_output.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), kept=150_000)
+    memory with the other stages', so they keep fewer pieces of texts than token ids alone would, and none between tasks."""
+    return token_output.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), kept=150_000, stays=False)
 
 
 STAGES = [

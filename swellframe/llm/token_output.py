@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from swellframe.llm.common import GOLD, kept_in_worker, scratch
+from swellframe.llm.common import GOLD, kept_in_worker, lean, scratch
 
 END = 2
 _END = np.array([END], np.uint32)
@@ -382,7 +382,7 @@ def _slices(batch: pa.RecordBatch):
         at = end
 
 
-def _writer(path: str, shard_ids: int, kept: int):
+def _writer(path: str, shard_ids: int, kept: int, stays: bool):
     def run(batches):
         from pyspark import TaskContext
 
@@ -405,18 +405,19 @@ def _writer(path: str, shard_ids: int, kept: int):
         if docs:
             yield out()
 
-    return run
+    return run if stays else lean(run)
 
 
-def write_tokens(docs: DataFrame, to: str, vocabulary: str, shard_ids: int = SHARD_IDS, kept: int = CACHED) -> None:
+def write_tokens(docs: DataFrame, to: str, vocabulary: str, shard_ids: int = SHARD_IDS, kept: int = CACHED, stays: bool = True) -> None:
     """docs (doc_id, text, ...) -> shards under the path `to`, a Parquet table of SHARDS.
 
     Rows are dealt by ranges of doc_id and sorted in them (null ids first, equal ids by text), so (part, seq) is
     ascending doc_id order. Null texts are empty; every document ends with id 2; repeated rows are written each; texts
     of any length are encoded whole; other columns, whatever their names, are ignored. An empty table writes no shard. A worker keeps up to `kept` pieces of texts
-    in each of two generations, some 200 bytes each: fewer take less memory and more time."""
+    in each of two generations, some 200 bytes each: fewer take less memory and more time. Its encoder serves its later tasks; unless it `stays`, it goes
+    with each task, so that only workers that run one have it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_writer(vocabulary, shard_ids, kept), SHARDS).write.option("compression", "zstd").parquet(to)
+    rows.mapInArrow(_writer(vocabulary, shard_ids, kept, stays), SHARDS).write.option("compression", "zstd").parquet(to)
 
 
 def _reader(batches):
@@ -443,8 +444,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encoded(docs: DataFrame, vocabulary: str, kept: int = CACHED) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str, kept: int = CACHED, stays: bool = True) -> DataFrame:
     """Writes docs as shards in the shared folder and reads them back; cases are as in write_tokens()."""
     to = scratch(docs.sparkSession, "tokens")
-    write_tokens(docs, to, vocabulary, kept=kept)
+    write_tokens(docs, to, vocabulary, kept=kept, stays=stays)
     return read_tokens(docs.sparkSession, to)

@@ -506,6 +506,18 @@ def test_lean_tasks(monkeypatch):
     assert list(run([1, 2])) == [1, 2] and seen == [[], [1]] and not kept
 
 
+def test_token_tasks_let_go(monkeypatch):
+    """A token task whose encoder doesn't stay leaves none in its worker."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words of a text"])], names=["doc_id", "text"])
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    stay, go = (list(token_output._writer(path, 1000, 100, stays)(iter([batch]))) for stays in (True, False))
+    assert stay == go and token_output._encoder.cache_info().currsize == 0
+
+
 def test_mixing_hot_source(spark):
     """All marginals of the sample have their target shares; what lacks the tokens is taken whole and told."""
     import pandas as pd
