@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from swellframe.tables import bounded, cut
 
-#: Places of a cell, and queries around it, that meet in one task.
+#: Places of a cell, and queries around it, that meet at once.
 PART = 4_096
+#: Rows, places and queries together, that a call of the tasks' function gets, on average.
+LOT = 32_768
 
 
 def _met(k: int, others: bool):
@@ -62,8 +64,8 @@ def nearest_points(points: DataFrame, queries: DataFrame, k: int, cell: float, o
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("frame", "x", "y").orderBy("pid", "z"))).where(F.col("r") <= k)
     places = few.groupBy("frame", "x", "y").agg(F.array_sort(F.collect_list(F.struct("pid", "z"))).alias("p"))  # k at most
     places = cut(places.select("frame", "x", "y", F.col("p.pid").alias("ids"), F.col("p.z").alias("zs"), at("x").alias("a"), at("y").alias("b")), "places")
-    cells = cut(places.groupBy("frame", "a", "b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "cells")
-    dealt = places.join(bounded(cells), ["frame", "a", "b"]).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.col("parts")).cast("int")).drop("parts")
+    cells = cut(places.groupBy("frame", "a", "b").agg(F.count("*").alias("size"), F.ceil(F.count("*") / PART).cast("int").alias("parts")), "cells")
+    dealt = places.join(bounded(cells.drop("size")), ["frame", "a", "b"]).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.col("parts")).cast("int")).drop("parts")
     box = cells.groupBy("frame").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
     asked = fine(queries, "frame", "qid").select(F.col("frame").cast("long").alias("frame"), F.col("qid").cast("long").alias("qid"), F.col("x").cast("double").alias("qx"), F.col("y").cast("double").alias("qy"))
     open_ = cut(asked.join(box, "frame").withColumns({"qa": at("qx"), "qb": at("qy")}), "queries")
@@ -73,10 +75,11 @@ def nearest_points(points: DataFrame, queries: DataFrame, k: int, cell: float, o
         for to, c in (("a", "qa"), ("b", "qb")):
             near = near.withColumn(to, F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach)))
         near = near.join(bounded(cells), ["frame", "a", "b"])
-        load = bounded(cut(near.groupBy("frame", "a", "b").agg(F.ceil(F.count("*") / PART).cast("int").alias("blocks"), F.count("*").alias("asks")), "loads"))
-        lots = max(1, (load.agg(F.sum("asks")).first()[0] or 0) // PART)  # small cells share a call
+        load = near.groupBy("frame", "a", "b", "size", "parts").agg(F.ceil(F.count("*") / PART).cast("int").alias("blocks"), F.count("*").alias("asks"))
+        load = bounded(cut(load.withColumn("rows", F.col("size") * F.col("blocks") + F.col("asks") * F.col("parts")).drop("size", "parts", "asks"), "loads"))
+        lots = max(1, (load.agg(F.sum("rows")).first()[0] or 0) // LOT)  # small cells share a call, large ones don't
         lot = lambda *keys: F.pmod(F.xxhash64(*keys), F.lit(lots))
-        load = load.drop("asks")
+        load = load.drop("rows")
         asks = near.join(load, ["frame", "a", "b"]).select(F.col("frame").alias("own"), F.col("a").alias("qa"), F.col("b").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("qpart"), F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int").alias("qblock"), "qid", "qx", "qy")
         here = dealt.join(load, ["frame", "a", "b"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         met = here.groupBy(lot("frame", "a", "b", "part", "block").alias("lot")).cogroup(asks.groupBy(lot("own", "qa", "qb", "qpart", "qblock").alias("lot"))).applyInPandas(_met(k, others), "frame long, qid long, d2 double, ids array<long>, zs array<double>")

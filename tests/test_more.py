@@ -410,6 +410,31 @@ def test_nearest_points(spark, monkeypatch):
     assert nearest.nearest_points(df.limit(0), ask, 3, 1.0).count() == 0 and nearest.nearest_points(df, ask.limit(0), 3, 1.0).count() == 0
 
 
+def test_nearest_points_by_lots(spark, monkeypatch):
+    """Few queries among many points: no call gets more than a few lots of places."""
+    from swellframe.operators import nearest
+
+    met = nearest._met
+
+    def watched(k, others):
+        run = met(k, others)
+
+        def small(key, places, asked):
+            assert len(places) <= 2_000, len(places)
+            return run(key, places, asked)
+
+        return small
+
+    monkeypatch.setattr(nearest, "_met", watched)
+    monkeypatch.setattr(nearest, "PART", 64)
+    monkeypatch.setattr(nearest, "LOT", 512, raising=False)
+    p, q = np.random.default_rng(8).uniform(0, 9, (6_000, 2)), np.array([[2.0, 2.0], [4.5, 4.5], [7.0, 7.5]])
+    df = spark.createDataFrame([(1, k, float(x), float(y), 0.0) for k, (x, y) in enumerate(p)], "frame int, pid long, x double, y double, z double")
+    ask = spark.createDataFrame([(1, k, float(x), float(y)) for k, (x, y) in enumerate(q)], "frame int, qid long, x double, y double")
+    got = nearest.nearest_points(df, ask, 9, 3.0).orderBy("qid", "rank").collect()
+    assert [r.pid for r in got] == np.argsort(((q[:, None] - p) ** 2).sum(axis=2), axis=1)[:, :9].ravel().tolist()
+
+
 def test_long_moving_mean(spark):
     """Long, short and gappy series, in blocks over several ranges, equal the window over each whole series."""
     rng = np.random.default_rng(9)
