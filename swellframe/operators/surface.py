@@ -100,16 +100,18 @@ def _inliers(pdf: pd.DataFrame, threshold: float, rounds: int, seed: int, confid
     base["draws"] = made
     if best is None:
         return pd.DataFrame(base | {"inlier": False, "ahead": False, "r": [[]] * n, "t": [[]] * n})
+    cost = (np.minimum(sampson(best, a, b) / threshold, 1) ** 2).sum()
     for _ in range(20):  # settle on all inliers; those far beyond most, as chance ones are, hardly count (Cauchy weights)
         if good.sum() < 8:
             break
         off = sampson(best, a[good], b[good])
         e = _essential(a[good], b[good], 1 / (1 + (off / max(3 * np.median(off), 1e-14)) ** 2))
         e /= np.linalg.norm(e) * (np.sign((e * best).sum()) or 1.0)
-        near = sampson(e, a, b) < threshold
-        if near.sum() < good.sum():
+        away = sampson(e, a, b)
+        near, left = away < threshold, (np.minimum(away / threshold, 1) ** 2).sum()
+        if near.sum() < good.sum() and left >= cost:  # a chance inlier less is no loss if the others lie nearer
             break
-        best, same, good = e, (near == good).all() and np.abs(e - best / np.linalg.norm(best)).max() < 1e-12, near
+        best, same, good, cost = e, (near == good).all() and np.abs(e - best / np.linalg.norm(best)).max() < 1e-12, near, left
         if same:
             break
     votes = []
@@ -126,7 +128,8 @@ def epipolar_inliers(matches: DataFrame, threshold: float, rounds: int = 1000, s
     (a pixel's share of the focal length) of the epipolar geometry of most inliers, those of them in front of both
     cameras, and the pose that puts most there (ties to the larger first element of r). Geometries come from draws of
     five matches, seeded by frame, until `rounds` or until the inliers found make more draws needless at the given
-    confidence; the best one is refitted to its inliers while it keeps them, by weights that fall with distance. Frames of fewer than six matches have no
+    confidence; the best one is refitted to its inliers, by weights that fall with distance, while it keeps them or its truncated squares of
+    distances fall. Frames of fewer than six matches have no
     inliers. A frame's matches, some thousands at most, meet in one task."""
     rows = matches.select(F.col("frame").cast("long").alias("frame"), F.col("m").cast("long").alias("m"), *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
     return rows.groupBy("frame").applyInPandas(lambda pdf: _inliers(pdf, threshold, rounds, seed, confidence), "frame long, m long, draws long, inlier boolean, ahead boolean, r array<double>, t array<double>")

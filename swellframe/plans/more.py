@@ -241,7 +241,7 @@ _OFF = f"abs(b0 * {_LINE[0][0]} + b1 * {_LINE[0][1]} + {_LINE[0][2]}) / sqrt({'
 def five_point_views(spark, sf_dir):
     """Views of the points by a known rig, two in five misplaced: the inliers are the matches on the rig's own epipolar
     lines, and the pose is its own, in every frame of eight true matches or more."""
-    p = table(spark, sf_dir, "lineitem").selectExpr(*_VIEWS.replace("//", "div").split(", "))
+    p = table(spark, sf_dir, "lineitem").selectExpr(*_VIEWS.replace("//", "div").replace(".0 - ", "D - ").split(", "))  # in doubles: decimals would end at six digits
     place = [F.when(F.col("odd"), F.col(c)).otherwise(F.expr(f"{_SEEN[k]} / {_SEEN[2]}")) for k, c in enumerate("uv")]
     views = p.select("frame", "m", F.expr("x / z").alias("ax"), F.expr("y / z").alias("ay"), place[0].alias("bx"), place[1].alias("by"))
     got = surface.epipolar_inliers(views, 1e-6, confidence=0.999999).withColumn("odd", F.col("m") % 2 == 1)

@@ -278,6 +278,58 @@ def test_five_point(spark):
     assert flat[0] is None and flat[2] == 40
 
 
+def test_five_point_views_near_threshold(spark, tmp_path):
+    """Misplaced matches just within the threshold count as in SQL: places aren't rounded before."""
+    duckdb = pytest.importorskip("duckdb")
+    from swellframe.functions import epipolar
+    from swellframe.plans import more
+
+    e, rng = np.array(more._VIEW_E), np.random.default_rng(6)
+    # order, part, supplier, quantity, price, discount, tax
+    rows = [(k // 4, 5 * k + 2, k, *map(float, (rng.integers(1, 51), rng.integers(900, 100_000), rng.integers(0, 11) / 100, rng.integers(0, 9) / 100))) for k in range(120)]
+    for part in range(0, 4_000, 5):
+        supp, q, disc, tax, end = part % 997, float(part % 50 + 1), part % 11 / 100, part % 9 / 100, -1 if part % 2 else 1
+        b = np.array([[(supp * 31 % 97) / 97 - 0.5, (part * 17 % 89) / 89 - 0.5]])
+
+        def off(price):
+            z = 4 + price / 10_000
+            a = np.array([[(q - 25) / 8 / z, (disc * 60 - 3 + tax) / z]])
+            side = np.sign(np.c_[b, 1.0] @ e @ np.c_[a, 1.0].T)[0, 0]
+            return side * epipolar.sampson(e, a, b)[0], epipolar.sampson(e, a, np.round(b, 6))[0]
+
+        low, high = 900.0, 100_000.0
+        if (off(low)[0] - end * 9e-7) * (off(high)[0] - end * 9e-7) < 0 and len(rows) < 126:
+            for _ in range(100):
+                mid = (low + high) / 2
+                low, high = (mid, high) if (off(mid)[0] - end * 9e-7) * (off(low)[0] - end * 9e-7) > 0 else (low, mid)
+            if off(low)[1] > 1.05e-6 and abs(abs(off(low)[0]) - 9e-7) < 1e-9:
+                rows.append((part % 60, part, supp, q, low, disc, tax))
+    assert len(rows) == 126
+    names = [f"l_{c}" for c in "orderkey partkey suppkey quantity extendedprice discount tax".split()]
+    pd.DataFrame(rows, columns=names).to_parquet(tmp_path / "lineitem.parquet")
+    run, sql = more.REGISTRY["five_point_views"]
+    got = run(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    found = db.execute(sql)
+    want = [dict(zip([d[0] for d in found.description], r, strict=True)) for r in found.fetchall()]
+    assert [r.asDict() for r in got] == want and want[0]["odd"] == 6 and want[0]["inliers"] == 126
+
+
+def test_epipolar_refit_leaves_chance_inliers():
+    """A misplaced match just beyond the threshold, which a turned geometry of one more inlier reaches, doesn't keep it."""
+    for seed in range(10, 15):
+        _, r, t, a, b = two_views(100, 0.0, 40, seed)
+        e = np.array([[0, -t[2], t[1]], [t[2], 0, -t[0]], [-t[1], t[0], 0]]) @ r
+        line = (np.c_[a, np.ones(100)] @ e.T)[40, :2]
+        aside = line / np.linalg.norm(line) * 1e-6
+        b[40] += aside * 1.02e-6 / surface.sampson(e, a[40:41], b[40:41] + aside)[0]
+        one = pd.DataFrame({"frame": seed, "m": range(100), "ax": a[:, 0], "ay": a[:, 1], "bx": b[:, 0], "by": b[:, 1]})
+        got = surface._inliers(one, 1e-6, 1000, 1, 0.999999)
+        assert np.flatnonzero(got.inlier).tolist() == np.flatnonzero(surface.sampson(e, a, b) < 1e-6).tolist() == [*range(41, 100)]
+        assert np.abs(np.array([*got.r[0], *got.t[0]]) - [*r.ravel(), *t / np.linalg.norm(t)]).max() < 1e-9
+
+
 def test_selected(spark, monkeypatch):
     """Any place of any group, of values that share many leading bits, repeat, or span all sizes."""
     rng = np.random.default_rng(3)
