@@ -21,9 +21,6 @@ def _monomials() -> np.ndarray:
 
 
 _TO_MONOMIALS = _monomials()
-_SIGNS = np.zeros((3, 3, 3))
-for _p in itertools.permutations(range(3)):
-    _SIGNS[_p] = np.linalg.det(np.eye(3)[list(_p)])
 
 
 def design(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -41,11 +38,15 @@ def five_point(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     what multiplying the ten lower ones by x gives; that map's eigenvectors are the solutions."""
     _, _, v = np.linalg.svd(design(a, b), full_matrices=True)
     e = np.moveaxis(v[:, 5:].reshape(-1, 4, 3, 3), 1, -1)  # (m, 3, 3, weights x, y, z, 1)
-    square = np.einsum("mija,mkjb->mikab", e, e)
-    trace = np.einsum("miiab->mab", square)
-    nine = 2 * np.einsum("mikab,mkjc->mijabc", square, e) - np.einsum("mab,mijc->mijabc", trace, e)
-    det = np.einsum("ijk,mia,mjb,mkc->mabc", _SIGNS, e[:, 0], e[:, 1], e[:, 2])
-    equations = np.concatenate([nine.reshape(len(e), 9, 64), det.reshape(len(e), 1, 64)], axis=1) @ _TO_MONOMIALS
+    count = len(e)
+    square = (e.transpose(0, 1, 3, 2).reshape(count, 12, 3) @ e.transpose(0, 2, 1, 3).reshape(count, 3, 12)).reshape(count, 3, 4, 3, 4)
+    both = 2 * square.transpose(0, 1, 2, 4, 3)  # (m, i, a, b, k) of 2 E E' less its trace
+    both[:, range(3), :, :, range(3)] -= np.trace(square, axis1=1, axis2=3)
+    nine = (both.reshape(count, 48, 3) @ e.reshape(count, 3, 12)).reshape(count, 3, 4, 4, 3, 4).transpose(0, 1, 4, 2, 3, 5)
+    up, down = [1, 2, 0], [2, 0, 1]
+    cross = e[:, 1, up, :, None] * e[:, 2, down, None, :] - e[:, 1, down, :, None] * e[:, 2, up, None, :]
+    det = e[:, 0].transpose(0, 2, 1) @ cross.reshape(count, 3, 16)
+    equations = np.concatenate([nine.reshape(count, 9, 64), det.reshape(count, 1, 64)], axis=1) @ _TO_MONOMIALS
     good = np.linalg.cond(equations[:, :, :10]) < 1e12
     which = np.flatnonzero(good)
     if not len(which):
@@ -90,19 +91,36 @@ def consensus(a: np.ndarray, b: np.ndarray, threshold: float, rng: np.random.Gen
     best, good, made, off = None, np.zeros(n, bool), 0, np.inf
     if n < 6:  # five matches always fit
         return best, good, made
+    pa, pb, rows = np.c_[a, np.ones(n)].T, np.c_[b, np.ones(n)].T, design(a, b).T
     step = max(1, 2_000_000 // n)  # matrices measured together
-    while made < min(rounds, draws_needed(good.sum() / n, confidence)):
-        size = min(batch, rounds - made)
+
+    def squares(e, to):
+        """Squares of the distances that sampson() gives the first `to` matches."""
+        x, y = (e[:, :2].reshape(-1, 3) @ pa[:, :to]).reshape(len(e), 2, -1), (e[:, :, :2].swapaxes(1, 2).reshape(-1, 3) @ pb[:, :to]).reshape(len(e), 2, -1)
+        lines = x[:, 0] * x[:, 0] + x[:, 1] * x[:, 1] + y[:, 0] * y[:, 0] + y[:, 1] * y[:, 1]
+        return (e.reshape(-1, 9) @ rows[:, :to]) ** 2 / np.maximum(lines, 1e-300)
+
+    most, needed = 0, np.inf
+    while made < min(rounds, needed):
+        size = int(min(batch if best is None else 4 * batch, rounds - made, np.ceil(needed) - made))
         pick = rng.random((size, n)).argpartition(4, axis=1)[:, :5]
         draw, e = five_point(a[pick], b[pick])
-        away = np.concatenate([sampson(e[k : k + step], a, b) for k in range(0, len(e), step)]) if len(e) else np.empty((0, n))
-        near = away < threshold
-        counts, sums = near.sum(axis=1), np.where(near, away, 0.0).sum(axis=1)
-        for d in range(size):  # draws count one by one, so that the batch makes no difference
-            if made >= draws_needed(good.sum() / n, confidence):
+        first = min(n, n - most + 16)
+        if first < n and len(e):  # those that can't reach the best any more
+            may = np.concatenate([(squares(e[k : k + step], first) < threshold**2).sum(axis=1) for k in range(0, len(e), step)]) + n - first >= most
+            draw, e = draw[may], e[may]
+        near = np.concatenate([squares(e[k : k + step], n) < threshold**2 for k in range(0, len(e), step)]) if len(e) else np.empty((0, n), bool)
+        counts, top = near.sum(axis=1), np.zeros(size, int)
+        np.maximum.at(top, draw, counts)
+        for d, reached in enumerate(top.tolist()):  # draws count one by one, so that the batch makes no difference
+            if made >= needed:
                 break
             made += 1
-            own = np.flatnonzero(draw == d)
-            if len(own) and counts[k := own[np.lexsort((sums[own], -counts[own]))[0]]] and (-counts[k], sums[k]) < (-good.sum(), off):
-                best, good, off = e[k], near[k], sums[k]
+            if reached and reached >= most:
+                own = np.flatnonzero((draw == d) & (counts == reached))
+                sums = np.sqrt(np.where(near[own], squares(e[own], n), 0.0)).sum(axis=1)
+                k = int(np.argmin(sums))
+                if (-reached, sums[k]) < (-most, off):
+                    best, good, most, off = e[own[k]], near[own[k]], reached, sums[k]
+                    needed = draws_needed(most / n, confidence)
     return best, good, made

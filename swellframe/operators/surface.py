@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,16 +91,20 @@ def depths(a: np.ndarray, b: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[
     return (xy * ty - yy * tx) / det, (xx * ty - xy * tx) / det
 
 
-def _inliers(pdf: pd.DataFrame, threshold: float, rounds: int, seed: int, confidence: float) -> pd.DataFrame:
-    pdf = pdf.sort_values(["m", "ax", "ay", "bx", "by"])
-    a, b = pdf[["ax", "ay"]].to_numpy(float), pdf[["bx", "by"]].to_numpy(float)
+def _inliers(table: pa.Table, threshold: float, rounds: int, seed: int, confidence: float) -> pa.Table:
+    keys = [table.column(c).to_numpy() for c in ("m", "ax", "ay", "bx", "by")]
+    order = np.lexsort(keys[::-1])
+    a, b = (np.stack([keys[k][order], keys[k + 1][order]], axis=1).astype(float) for k in (1, 3))
     n = len(a)
-    base = {"frame": int(pdf.frame.iloc[0]), "m": pdf.m.to_numpy()}
-    rng = np.random.default_rng([seed, base["frame"] & (2**63 - 1)])
+    rng = np.random.default_rng([seed, (table.column("frame")[0].as_py() or 0) & (2**63 - 1)])
     best, good, made = consensus(a, b, threshold, rng, rounds, confidence)
-    base["draws"] = made
+
+    def rows(inlier, ahead, r, t):
+        each = lambda v: pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(v), np.tile(v, n))
+        return pa.table({"frame": table.column("frame"), "m": table.column("m").take(pa.array(order)), "draws": np.full(n, made), "inlier": inlier, "ahead": ahead, "r": each(r), "t": each(t)})
+
     if best is None:
-        return pd.DataFrame(base | {"inlier": False, "ahead": False, "r": [[]] * n, "t": [[]] * n})
+        return rows(good, good, np.empty(0), np.empty(0))
     cost = (np.minimum(sampson(best, a, b) / threshold, 1) ** 2).sum()
     for _ in range(20):  # settle on all inliers; those far beyond most, as chance ones are, hardly count (Cauchy weights)
         if good.sum() < 8:
@@ -120,7 +125,7 @@ def _inliers(pdf: pd.DataFrame, threshold: float, rounds: int, seed: int, confid
         z0, z1 = depths(a, b, r, t)
         votes.append((((z0 > 0) & (z1 > 0) & good).sum(), r[0, 0], r, t, (z0 > 0) & (z1 > 0)))
     _, _, r, t, ahead = max(votes, key=lambda v: v[:2])
-    return pd.DataFrame(base | {"inlier": good, "ahead": ahead & good, "r": [r.ravel().tolist()] * n, "t": [t.tolist()] * n})
+    return rows(good, ahead & good, r.ravel(), t)
 
 
 def epipolar_inliers(matches: DataFrame, threshold: float, rounds: int = 1000, seed: int = 1, confidence: float = 0.9999) -> DataFrame:
@@ -132,7 +137,7 @@ def epipolar_inliers(matches: DataFrame, threshold: float, rounds: int = 1000, s
     distances fall. Frames of fewer than six matches have no
     inliers. A frame's matches, some thousands at most, meet in one task."""
     rows = matches.select(F.col("frame").cast("long").alias("frame"), F.col("m").cast("long").alias("m"), *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
-    return rows.groupBy("frame").applyInPandas(lambda pdf: _inliers(pdf, threshold, rounds, seed, confidence), "frame long, m long, draws long, inlier boolean, ahead boolean, r array<double>, t array<double>")
+    return rows.groupBy("frame").applyInArrow(lambda table: _inliers(table, threshold, rounds, seed, confidence), "frame long, m long, draws long, inlier boolean, ahead boolean, r array<double>, t array<double>")
 
 
 def essential_matrices(matches: DataFrame) -> DataFrame:

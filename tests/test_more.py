@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,12 +325,26 @@ def test_epipolar_refit_leaves_chance_inliers():
         line = (np.c_[a, np.ones(100)] @ e.T)[40, :2]
         aside = line / np.linalg.norm(line) * 1e-6
         b[40] += aside * 1.02e-6 / surface.sampson(e, a[40:41], b[40:41] + aside)[0]
-        one = pd.DataFrame({"frame": seed, "m": range(100), "ax": a[:, 0], "ay": a[:, 1], "bx": b[:, 0], "by": b[:, 1]})
-        got = surface._inliers(one, 1e-6, 1000, 1, 0.999999)
+        one = pa.table({"frame": np.full(100, seed), "m": np.arange(100), "ax": a[:, 0], "ay": a[:, 1], "bx": b[:, 0], "by": b[:, 1]})
+        got = surface._inliers(one, 1e-6, 1000, 1, 0.999999).to_pandas()
         assert np.flatnonzero(got.inlier).tolist() == np.flatnonzero(surface.sampson(e, a, b) < 1e-6).tolist() == [*range(41, 100)]
         assert np.abs(np.array([*got.r[0], *got.t[0]]) - [*r.ravel(), *t / np.linalg.norm(t)]).max() < 1e-9
 
 
+def test_consensus_work(monkeypatch):
+    """The same geometry, inliers and draws whatever the batch, and no draw is solved that does not count."""
+    from swellframe.functions import epipolar
+
+    _, _, _, a, b = two_views(250, 0.0, 100, 3)
+    five, solved = epipolar.five_point, []
+    monkeypatch.setattr(epipolar, "five_point", lambda x, y: solved.append(len(x)) or five(x, y))
+    best, good, made = epipolar.consensus(a, b, 1e-6, np.random.default_rng(5), 1000, 0.999999)
+    assert np.flatnonzero(good).tolist() == [*range(100, 250)] and sum(solved) == made == np.ceil(epipolar.draws_needed(0.6, 0.999999))
+    for batch in (1, 7, 250):
+        e, near, n = epipolar.consensus(a, b, 1e-6, np.random.default_rng(5), 1000, 0.999999, batch)
+        assert n == made and (near == good).all() and min(np.abs(e - best).max(), np.abs(e + best).max()) < 1e-9
+
+
 def test_selected(spark, monkeypatch):
     """Any place of any group, of values that share many leading bits, repeat, or span all sizes."""
     rng = np.random.default_rng(3)
