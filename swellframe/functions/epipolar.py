@@ -84,11 +84,11 @@ def draws_needed(share: float, confidence: float, size: int = 5) -> float:
 
 
 def consensus(a: np.ndarray, b: np.ndarray, threshold: float, rng: np.random.Generator, rounds: int = 1000, confidence: float = 0.9999, batch: int = 32) -> tuple[np.ndarray | None, np.ndarray, int]:
-    """(essential matrix, its inliers, draws made): the matrix of most inliers among five-match draws, of equal ones that
-    whose inliers lie nearer. Draws stop at `rounds`, or as soon as the best share of inliers makes another clean draw
+    """(essential matrix, its inliers, draws made): the matrix of least squared distances among five-match draws, each cut off at the
+    threshold, so that a match within it counts the more the nearer it lies. Draws stop at `rounds`, or as soon as the best one's share of inliers makes another clean draw
     needless at the given confidence."""
     n = len(a)
-    best, good, made, off = None, np.zeros(n, bool), 0, np.inf
+    best, good, made = None, np.zeros(n, bool), 0
     if n < 6:  # five matches always fit
         return best, good, made
     pa, pb, rows = np.c_[a, np.ones(n)].T, np.c_[b, np.ones(n)].T, design(a, b).T
@@ -100,27 +100,24 @@ def consensus(a: np.ndarray, b: np.ndarray, threshold: float, rng: np.random.Gen
         lines = x[:, 0] * x[:, 0] + x[:, 1] * x[:, 1] + y[:, 0] * y[:, 0] + y[:, 1] * y[:, 1]
         return (e.reshape(-1, 9) @ rows[:, :to]) ** 2 / np.maximum(lines, 1e-300)
 
-    most, needed = 0, np.inf
+    least, needed = n, np.inf
     while made < min(rounds, needed):
         size = int(min(batch if best is None else 4 * batch, rounds - made, np.ceil(needed) - made))
         pick = rng.random((size, n)).argpartition(4, axis=1)[:, :5]
         draw, e = five_point(a[pick], b[pick])
-        first = min(n, n - most + 16)
-        if first < n and len(e):  # those that can't reach the best any more
-            may = np.concatenate([(squares(e[k : k + step], first) < threshold**2).sum(axis=1) for k in range(0, len(e), step)]) + n - first >= most
+        first = min(n, int(least) + 16)
+        if first < n and len(e):  # those that already miss more matches than the best one's sum
+            may = np.concatenate([(squares(e[k : k + step], first) >= threshold**2).sum(axis=1) for k in range(0, len(e), step)]) <= least
             draw, e = draw[may], e[may]
-        near = np.concatenate([squares(e[k : k + step], n) < threshold**2 for k in range(0, len(e), step)]) if len(e) else np.empty((0, n), bool)
-        counts, top = near.sum(axis=1), np.zeros(size, int)
-        np.maximum.at(top, draw, counts)
+        sums = np.concatenate([np.minimum(squares(e[k : k + step], n) / threshold**2, 1).sum(axis=1) for k in range(0, len(e), step)]) if len(e) else np.empty(0)
+        top = np.full(size, np.inf)
+        np.minimum.at(top, draw, sums)
         for d, reached in enumerate(top.tolist()):  # draws count one by one, so that the batch makes no difference
             if made >= needed:
                 break
             made += 1
-            if reached and reached >= most:
-                own = np.flatnonzero((draw == d) & (counts == reached))
-                sums = np.sqrt(np.where(near[own], squares(e[own], n), 0.0)).sum(axis=1)
-                k = int(np.argmin(sums))
-                if (-reached, sums[k]) < (-most, off):
-                    best, good, most, off = e[own[k]], near[own[k]], reached, sums[k]
-                    needed = draws_needed(most / n, confidence)
+            if reached < least:
+                k = np.flatnonzero((draw == d) & (sums == reached))[0]
+                best, good, least = e[k], squares(e[k : k + 1], n)[0] < threshold**2, reached
+                needed = draws_needed(good.sum() / n, confidence)
     return best, good, made

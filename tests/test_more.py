@@ -331,6 +331,19 @@ def test_epipolar_refit_leaves_chance_inliers():
         assert np.abs(np.array([*got.r[0], *got.t[0]]) - [*r.ravel(), *t / np.linalg.norm(t)]).max() < 1e-9
 
 
+def test_consensus_prefers_nearer_inliers():
+    """A geometry turned to one more match, just beyond the threshold, loses to the one on which the others lie."""
+    from swellframe.functions import epipolar
+
+    _, r, t, a, b = two_views(100, 0.0, 40, 12)
+    e = np.array([[0, -t[2], t[1]], [t[2], 0, -t[0]], [-t[1], t[0], 0]]) @ r
+    line = (np.c_[a, np.ones(100)] @ e.T)[40, :2]
+    aside = line / np.linalg.norm(line) * 1e-6
+    b[40] += aside * 1.02e-6 / surface.sampson(e, a[40:41], b[40:41] + aside)[0]
+    best, good, _ = epipolar.consensus(a, b, 1e-6, np.random.default_rng([1, 12]), 1000, 0.999999)
+    assert np.flatnonzero(good).tolist() == [*range(41, 100)] and surface.sampson(best, a[41:], b[41:]).max() < 1e-9
+
+
 def test_consensus_work(monkeypatch):
     """The same geometry, inliers and draws whatever the batch, and no draw is solved that does not count."""
     from swellframe.functions import epipolar
