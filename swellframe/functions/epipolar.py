@@ -84,7 +84,7 @@ def draws_needed(share: float, confidence: float, size: int = 5) -> float:
 
 
 def consensus(a: np.ndarray, b: np.ndarray, threshold: float, rng: np.random.Generator, rounds: int = 1000, confidence: float = 0.9999, batch: int = 32) -> tuple[np.ndarray | None, np.ndarray, int]:
-    """(essential matrix, its inliers, draws made): the matrix of least squared distances among five-match draws, each cut off at the
+    """(essential matrix, its inliers, draws made): the matrix of the least sum of distances among five-match draws, each cut off at the
     threshold, so that a match within it counts the more the nearer it lies. Draws stop at `rounds`, or as soon as the best one's share of inliers makes another clean draw
     needless at the given confidence."""
     n = len(a)
@@ -109,7 +109,7 @@ def consensus(a: np.ndarray, b: np.ndarray, threshold: float, rng: np.random.Gen
         if first < n and len(e):  # those that already miss more matches than the best one's sum
             may = np.concatenate([(squares(e[k : k + step], first) >= threshold**2).sum(axis=1) for k in range(0, len(e), step)]) <= least
             draw, e = draw[may], e[may]
-        sums = np.concatenate([np.minimum(squares(e[k : k + step], n) / threshold**2, 1).sum(axis=1) for k in range(0, len(e), step)]) if len(e) else np.empty(0)
+        sums = np.concatenate([np.minimum(np.sqrt(squares(e[k : k + step], n)) / threshold, 1).sum(axis=1) for k in range(0, len(e), step)]) if len(e) else np.empty(0)
         top = np.full(size, np.inf)
         np.minimum.at(top, draw, sums)
         for d, reached in enumerate(top.tolist()):  # draws count one by one, so that the batch makes no difference

@@ -91,7 +91,12 @@ def depths(a: np.ndarray, b: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[
     return (xy * ty - yy * tx) / det, (xx * ty - xy * tx) / det
 
 
-def _inliers(table: pa.Table, threshold: float, rounds: int, seed: int, confidence: float) -> pa.Table:
+def _inliers(pdf: pd.DataFrame, threshold: float, rounds: int, seed: int, confidence: float) -> pd.DataFrame:
+    """One frame of epipolar_inliers() in pandas."""
+    return _frame_inliers(pa.Table.from_pandas(pdf, preserve_index=False), threshold, rounds, seed, confidence).to_pandas()
+
+
+def _frame_inliers(table: pa.Table, threshold: float, rounds: int, seed: int, confidence: float) -> pa.Table:
     keys = [table.column(c).to_numpy() for c in ("m", "ax", "ay", "bx", "by")]
     order = np.lexsort(keys[::-1])
     a, b = (np.stack([keys[k][order], keys[k + 1][order]], axis=1).astype(float) for k in (1, 3))
@@ -105,7 +110,7 @@ def _inliers(table: pa.Table, threshold: float, rounds: int, seed: int, confiden
 
     if best is None:
         return rows(good, good, np.empty(0), np.empty(0))
-    cost = (np.minimum(sampson(best, a, b) / threshold, 1) ** 2).sum()
+    cost = np.minimum(sampson(best, a, b) / threshold, 1).sum()
     for _ in range(20):  # settle on all inliers; those far beyond most, as chance ones are, hardly count (Cauchy weights)
         if good.sum() < 8:
             break
@@ -113,7 +118,7 @@ def _inliers(table: pa.Table, threshold: float, rounds: int, seed: int, confiden
         e = _essential(a[good], b[good], 1 / (1 + (off / max(3 * np.median(off), 1e-14)) ** 2))
         e /= np.linalg.norm(e) * (np.sign((e * best).sum()) or 1.0)
         away = sampson(e, a, b)
-        near, left = away < threshold, (np.minimum(away / threshold, 1) ** 2).sum()
+        near, left = away < threshold, np.minimum(away / threshold, 1).sum()
         if near.sum() < good.sum() and left >= cost:  # a chance inlier less is no loss if the others lie nearer
             break
         best, same, good, cost = e, (near == good).all() and np.abs(e - best / np.linalg.norm(best)).max() < 1e-12, near, left
@@ -130,14 +135,14 @@ def _inliers(table: pa.Table, threshold: float, rounds: int, seed: int, confiden
 
 def epipolar_inliers(matches: DataFrame, threshold: float, rounds: int = 1000, seed: int = 1, confidence: float = 0.9999) -> DataFrame:
     """Normalised matches (frame, m, ax, ay, bx, by) -> frame, m, draws, inlier, ahead, r, t: matches within `threshold`
-    (a pixel's share of the focal length) of the epipolar geometry of most inliers, those of them in front of both
+    (a pixel's share of the focal length) of the epipolar geometry of the least sum of distances, cut off there, those of them in front of both
     cameras, and the pose that puts most there (ties to the larger first element of r). Geometries come from draws of
     five matches, seeded by frame, until `rounds` or until the inliers found make more draws needless at the given
-    confidence; the best one is refitted to its inliers, by weights that fall with distance, while it keeps them or its truncated squares of
-    distances fall. Frames of fewer than six matches have no
+    confidence; the best one is refitted to its inliers, by weights that fall with distance, while it keeps them or the sum of distances, each cut off
+    at the threshold, falls. Frames of fewer than six matches have no
     inliers. A frame's matches, some thousands at most, meet in one task."""
     rows = matches.select(F.col("frame").cast("long").alias("frame"), F.col("m").cast("long").alias("m"), *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
-    return rows.groupBy("frame").applyInArrow(lambda table: _inliers(table, threshold, rounds, seed, confidence), "frame long, m long, draws long, inlier boolean, ahead boolean, r array<double>, t array<double>")
+    return rows.groupBy("frame").applyInArrow(lambda table: _frame_inliers(table, threshold, rounds, seed, confidence), "frame long, m long, draws long, inlier boolean, ahead boolean, r array<double>, t array<double>")
 
 
 def essential_matrices(matches: DataFrame) -> DataFrame:
